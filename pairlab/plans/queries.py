@@ -1,6 +1,6 @@
 """Imports every query module so the registry is complete."""
 
-from pairlab.plans import q_evaluate  # noqa: F401
+from pairlab.plans import q_evaluate, q_runs  # noqa: F401
 from pairlab.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
