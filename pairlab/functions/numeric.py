@@ -80,4 +80,7 @@ def py_strip(c) -> Column:
 
 
 def round6(c) -> Column:
-    return F.round(finite_or_null(c), 6)
+    """Round half up to 6 places with plain IEEE arithmetic (floor(x*1e6+0.5)/1e6),
+    so any engine computing the same double gets the same digits."""
+    x = finite_or_null(c)
+    return F.when(F.abs(x) < 1e12, F.floor(x * 1e6 + 0.5) / 1e6).otherwise(x)

@@ -40,6 +40,9 @@ def normalise(df: DataFrame) -> DataFrame:
 
 
 def query(name: str, oracle: str | None = None):
+    if oracle and oracle.strip().startswith(","):  # CTE list without its WITH
+        oracle = "WITH " + oracle.strip()[1:]
+
     def deco(fn):
         REGISTRY[name] = Query(name, lambda spark, sf_dir: normalise(fn(spark, sf_dir)), oracle)
         return fn
@@ -50,8 +53,8 @@ def query(name: str, oracle: str | None = None):
 
 def fin(expr: str) -> str:
     """Round to 6 places; NaN/inf -> NULL; DOUBLE."""
-    return (f"CAST(round(CASE WHEN isfinite(CAST({expr} AS DOUBLE)) THEN CAST({expr} AS DOUBLE) END, 6)"
-            f" AS DOUBLE)")
+    x = f"(CASE WHEN isfinite(CAST({expr} AS DOUBLE)) THEN CAST({expr} AS DOUBLE) END)"
+    return f"CAST(CASE WHEN abs({x}) < 1e12 THEN floor({x} * 1e6 + 0.5) / 1e6 ELSE {x} END AS DOUBLE)"
 
 
 def sdiv(n: str, d: str) -> str:
