@@ -374,3 +374,36 @@ def f15_projected_cost(spark, sf):
               .withColumn("cost_per_1k_code", F.lit(au.COMPLETION_RATE_PER_1K))
               .withColumn("samples_per_call", F.lit(5)))
     return au.projected_cost(params).select("lang", "n_api_calls", "projected_cost")
+
+
+def _f5_sql() -> str:
+    from pairlab.plans.q_retrieve import sql_str
+
+    def code(x, i):
+        return f"replace(P, 'Code {i}: ...', 'Code {i}: ' || regexp_replace({x}, chr(10) || '+', chr(10), 'g') || chr(10) || chr(10))"
+
+    def desc(x, i):
+        body = f"regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), chr(10) || '{{2,}}', chr(10) || chr(10), 'g')"
+        return f"replace(P, 'Description {i}: ...', 'Description {i}: ' || {body} || chr(10) || chr(10))"
+    p = sql_str(au.CODE_ONLY_TEMPLATE)
+    for step in (code("c.url", 2), desc("c.html", 2), code("q.url", 1), desc("q.html", 1)):
+        p = step.replace("P", f"({p})", 1)
+    return _j6_sql(seed=7, max_len=700, draws=25) .replace(
+        "SELECT p.problem_id AS candidate_id, CAST(f.draw AS BIGINT) AS draw, f.partner_id\nFROM prob2 p LEFT JOIN first f ON f.candidate_id = p.problem_id",
+        f"""SELECT f.candidate_id, f.partner_id, CAST(length(x) AS BIGINT) AS prompt_length, sha256(x) AS prompt_hash
+FROM (SELECT f.*, {p} AS x FROM first f JOIN pages c ON c.page_id = f.candidate_id
+      JOIN pages q ON q.page_id = f.partner_id) f""")
+
+
+@query("f5_fill_prompt_slots", _f5_sql())
+def f5_fill_prompt_slots(spark, sf):
+    p = _problems(spark, sf)
+    pairs = au.sample_context_pairs(p, p, max_len=700, draws=25, seed=7).filter(F.col("partner_id").isNotNull())
+    pages = table(spark, sf, "pages")
+    c = pages.select(F.col("page_id").alias("candidate_id"), F.col("url").alias("cand_code"),
+                     F.col("html").alias("cand_desc"))
+    q = pages.select(F.col("page_id").alias("partner_id"), F.col("url").alias("partner_code"),
+                     F.col("html").alias("partner_desc"))
+    d = au.fill_prompt_slots(pairs.join(c, "candidate_id").join(q, "partner_id"))
+    return d.select("candidate_id", "partner_id", F.length("prompt").alias("prompt_length"),
+                    F.sha2("prompt", 256).alias("prompt_hash"))
