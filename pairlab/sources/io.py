@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.functions.numeric import finite_or_null
+from pairlab.functions.numeric import finite_or_null, py_strip
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType,
@@ -32,16 +32,22 @@ def read_splits(spark: SparkSession, paths: dict[str, str], schema: T.StructType
 
 
 def read_csv_metrics(spark: SparkSession, path: str, schema: T.StructType):
-    """S3: CSV with header; unparsable rows go to a separate error table.
+    """S3: CSV files with a header line; unparsable rows go to an error table
+    instead of failing the job.
 
+    Lines are read as text and parsed with ``from_csv`` (PERMISSIVE, corrupt
+    record column), so the error table needs no cached copy of the input.
     Returns (good, bad); bad rows keep the raw line and their file.
     """
-    full = T.StructType(list(schema.fields) + [T.StructField("_corrupt", T.StringType())])
-    d = (spark.read.schema(full).option("header", "true").option("mode", "PERMISSIVE")
-         .option("columnNameOfCorruptRecord", "_corrupt").csv(path)
-         .withColumn("file", F.col("_metadata.file_path")))
-    good = d.filter(F.col("_corrupt").isNull()).drop("_corrupt")
-    bad = d.filter(F.col("_corrupt").isNotNull()).select("file", F.col("_corrupt").alias("raw"))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", _corrupt STRING"
+    header = ",".join(schema.fieldNames())
+    lines = (spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
+             .filter(F.col("value") != F.lit(header)))
+    parsed = lines.select("file", F.col("value").alias("raw"),
+                          F.from_csv("value", ddl, {"mode": "PERMISSIVE",
+                                                    "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    good = parsed.filter(F.col("r._corrupt").isNull()).select(*[F.col(f"r.{n}").alias(n) for n in schema.fieldNames()], "file")
+    bad = parsed.filter(F.col("r._corrupt").isNotNull()).select("file", "raw")
     return good, bad
 
 
@@ -49,7 +55,7 @@ def read_keyed_documents(spark: SparkSession, pattern: str, *, key_regex: str =
     """One row per file: key = file name up to its first dot, stripped text."""
     d = spark.read.text(pattern, wholetext=True)
     return d.select(F.regexp_extract(F.col("_metadata.file_path"), key_regex, 1).alias("key"),
-                    F.trim(F.col("value")).alias("text"))
+                    py_strip(F.col("value")).alias("text"))
 
 
 def read_testcases(spark: SparkSession, root: str, allow: DataFrame | None = None) -> DataFrame:
