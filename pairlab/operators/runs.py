@@ -21,7 +21,8 @@ SKIPPED_MESSAGE = "Previous testcase was incorrect or timed out, so skipping thi
 # groups are not supported).  Java's parser would also accept "1d"/"1f".
 _NUMERIC = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf(inity)?|nan)\s*$"
 # str.splitlines() boundaries
-_LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+_BREAK_CLASS = "[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+_LINE_BREAK = "\r\n|" + _BREAK_CLASS
 
 
 def text_lines(c) -> Column:
@@ -43,11 +44,18 @@ def output_accuracy(out, expected, tol: float = 1e-3) -> Column:
     wrong); a pair matches when equal or both numeric within ``tol``.  An empty
     expected text gives NULL.
     """
-    o, e = text_lines(out), text_lines(expected)
+    o_c = F.col(out) if isinstance(out, str) else out
+    e_c = F.col(expected) if isinstance(expected, str) else expected
+    o, e = text_lines(o_c), text_lines(e_c)
     hits = F.aggregate(F.zip_with(o, e, lambda a, b: _line_ok(a, b, tol).cast("int")),
                        F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
     n_exp = F.size(e)
-    return F.when(n_exp == 0, F.lit(None).cast("double")).otherwise(hits / n_exp)
+    general = F.when(n_exp == 0, F.lit(None).cast("double")).otherwise(hits / n_exp)
+    # fast path, code-generated: both texts are a single line after strip
+    o_s, e_s = py_strip(o_c), py_strip(e_c)
+    single = ~o_s.rlike(_BREAK_CLASS) & ~e_s.rlike(_BREAK_CLASS)
+    fast = F.when(e_s == "", F.lit(None).cast("double")).otherwise(_line_ok(o_s, e_s, tol).cast("double"))
+    return F.when(single, fast).otherwise(general)
 
 
 def mean_accuracy(tests: DataFrame, *, key: Sequence[str] = ("submission_id",),
