@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions.numeric import (
@@ -82,10 +82,10 @@ def best_at_k_summary(best: DataFrame, *, key: str = "src_id",
     contrib = F.when(F.col("is_last"), F.array(real, carry)).otherwise(F.array(real))
     u = best.select(F.inline(contrib))
     g = u.groupBy("k").agg(*[F.sum(c).alias(c) for c in u.columns if c != "k"])
-    # one row per k (k <= answers per input, a generation parameter): an
-    # ordered window over this small table is the running sum
-    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    g = g.select("*", *[F.sum(f"b_{n}").over(w).alias(f"c_{n}") for n in names])
+    # one row per k; k can be as large as the longest input's answer list, so
+    # the running sum is a blocked prefix scan too (no single-task window)
+    g = prefix_agg(g.withColumn("_all", F.lit(0)), ["_all"], "k",
+                   [(f"c_{n}", "sum", f"b_{n}", True) for n in names])
     g = g.filter(F.col("a_n") > 0).select(
         "k", *[(F.col(f"a_{n}") + F.coalesce(F.col(f"c_{n}"), F.lit(0))).alias(f"s_{n}") for n in names])
     tot = {n: F.col(f"s_{n}") for n in names}

@@ -6,7 +6,6 @@
   (map-side) ``min(struct)`` aggregate instead of a window over a hot key.
 * ``dense_index`` - 0..n-1 numbering in a global order without a window
   that has no PARTITION BY (per-partition counts plus offsets).
-* ``checked_broadcast`` - broadcast hint only behind a row-count bound.
 """
 
 from __future__ import annotations
@@ -106,11 +105,3 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str = "idx",
     # one row per partition: bounded by the partition count, safe to broadcast
     out = d.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_off") + F.col("_loc"))
     return out.drop("_mid", "_pid", "_loc", "_off")
-
-
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint for a side proven to hold at most ``max_rows`` rows."""
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"refusing to broadcast {n} rows (bound {max_rows})")
-    return F.broadcast(df)

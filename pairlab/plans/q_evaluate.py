@@ -152,3 +152,12 @@ FROM v_pairs WHERE coalesce(src_code <> tgt_code, true)"""))
 def p1_drop_identity_pairs(spark, sf):
     return ev.drop_identity_pairs(view(spark, sf, "v_pairs")).select(
         "src_id", "problem_id", "slower_program")
+
+
+@query("f13_floored_speedup", oracle_with(["v_generations"], f"""
+SELECT src_id, CAST(gen_idx AS BIGINT) AS gen_idx, {fin(floor1(sdiv('src_runtime', 'agg_runtime')))} AS speedup
+FROM v_generations"""))
+def f13_floored_speedup(spark, sf):
+    from pairlab.functions.numeric import floored_speedup
+    g = view(spark, sf, "v_generations")
+    return g.select("src_id", "gen_idx", floored_speedup(F.col("src_runtime"), F.col("agg_runtime")).alias("speedup"))
