@@ -83,3 +83,10 @@ def test_parse_run_stats(spark):
     assert got["host_pct"] == [12.5] and got["bad"] == [None] and got["multi"] == [1.0, 2.0, 3.0]
     assert "lonely" not in got
     assert got["sim_seconds_precise"][0] == pytest.approx(0.001035073468, abs=1e-18)
+
+
+def test_total_runtime_maps_on_request(spark):
+    df = spark.createDataFrame([(1, 0, True, 1.0), (1, 1, False, None)],
+                               "submission_id long, tc_no int, success boolean, t double")
+    r = rn.total_runtime(df, with_maps=True).first()
+    assert r["tc2time"] == {0: 1.0, 1: float("inf")} and r["tc2success"] == {0: True, 1: False}
