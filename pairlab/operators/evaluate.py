@@ -15,6 +15,7 @@ from pairlab.functions.numeric import (
     differs, floored_speedup, inf, nan_to_null, reached, safe_divide,
 )
 from pairlab.operators.scan import keep_first, prefix_agg
+from pairlab.session import checkpoint_dir
 
 # Speedup thresholds reported by the reference.
 SPEEDUP_THRESHOLDS = (1.1, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0)
@@ -82,8 +83,12 @@ def best_at_k_summary(best: DataFrame, *, key: str = "src_id",
     contrib = F.when(F.col("is_last"), F.array(real, carry)).otherwise(F.array(real))
     u = best.select(F.inline(contrib))
     g = u.groupBy("k").agg(*[F.sum(c).alias(c) for c in u.columns if c != "k"])
-    # one row per k; k can be as large as the longest input's answer list, so
-    # the running sum is a blocked prefix scan too (no single-task window)
+    # One row per k.  It feeds both sides of the running sum below, so it is
+    # materialised once (reliable checkpoint in the shared folder) instead of
+    # recomputing the whole upstream per side.  k can be as large as the
+    # longest answer list, so the running sum is a blocked prefix scan too.
+    checkpoint_dir(best.sparkSession)
+    g = g.checkpoint(eager=True)
     g = prefix_agg(g.withColumn("_all", F.lit(0)), ["_all"], "k",
                    [(f"c_{n}", "sum", f"b_{n}", True) for n in names])
     g = g.filter(F.col("a_n") > 0).select(

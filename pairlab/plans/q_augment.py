@@ -407,3 +407,17 @@ def f5_fill_prompt_slots(spark, sf):
     d = au.fill_prompt_slots(pairs.join(c, "candidate_id").join(q, "partner_id"))
     return d.select("candidate_id", "partner_id", F.length("prompt").alias("prompt_length"),
                     F.sha2("prompt", 256).alias("prompt_hash"))
+
+
+@query("select_novel_survivors", oracle_with(["v_outputs"], _TOP20 + """
+, novel AS (SELECT cands.program_id FROM cands LEFT JOIN nm ON nm.problem_id = cands.problem_id AND nm.cand = cands.program_id
+            WHERE runs_all AND coalesce(nm.n_matching, 0) = 0)
+, nov_out AS (SELECT * FROM v_outputs WHERE kind = 'candidate' AND program_id IN (SELECT program_id FROM novel))
+, sig AS (SELECT program_id, string_agg(problem_id || ':' || tc_no || ':' || output, '|' ORDER BY problem_id, tc_no) AS s
+          FROM nov_out GROUP BY program_id)
+, grp AS (SELECT s, count(*) AS m, min(program_id) AS cluster_id FROM sig GROUP BY s)
+SELECT cluster_id AS program_id, 'generated_' || CAST(row_number() OVER (ORDER BY cluster_id) - 1 AS VARCHAR) AS gen_id,
+  CAST(m AS BIGINT) AS n_equivalent FROM grp"""))
+def select_novel_survivors(spark, sf):
+    from pairlab.plans.jobs import select_novel
+    return select_novel(view(spark, sf, "v_outputs"))["survivors"].select("program_id", "gen_id", "n_equivalent")
