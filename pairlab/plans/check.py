@@ -36,6 +36,18 @@ def _canon(v):
     return str(v)
 
 
+_SPARK_FAMILY = {"bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "double": "float",
+                 "float": "float", "string": "str", "boolean": "bool"}
+_DUCK_FAMILY = {"BIGINT": "int", "INTEGER": "int", "HUGEINT": "int", "SMALLINT": "int", "DOUBLE": "float",
+                "FLOAT": "float", "VARCHAR": "str", "BOOLEAN": "bool"}
+
+
+def _families(df, res):
+    sp = {f.name: _SPARK_FAMILY.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    dk = {d[0]: _DUCK_FAMILY.get(str(d[1]), str(d[1])) for d in res.description}
+    return sp, dk
+
+
 def compare(spark, con, name: str, sf_dir: str) -> dict:
     from pairlab.plans.queries import REGISTRY
     q = REGISTRY[name]
@@ -55,6 +67,11 @@ def compare(spark, con, name: str, sf_dir: str) -> dict:
     if sorted(cols) != sorted(ocols):
         out["status"] = f"schema mismatch spark={sorted(cols)} oracle={sorted(ocols)}"
         return out
+    sp, dk = _families(df, res)
+    bad_types = {c: (sp[c], dk[c]) for c in cols if sp[c] != dk[c]}
+    if bad_types:
+        out["status"] = f"type mismatch {bad_types}"
+        return out
     order = sorted(cols)
     si = [cols.index(c) for c in order]
     oi = [ocols.index(c) for c in order]
