@@ -136,15 +136,20 @@ def j4_restore_missing_tests(spark, sf):
 
 
 @query("j9_pair_versions", oracle_with(["v_repeats"], f"""
-, b AS (SELECT submission_id, rep, sum(CASE WHEN tc <> 'error' THEN t ELSE {INF_SQL} END) AS rt
-        FROM v_repeats WHERE rep IN (0, 1) GROUP BY submission_id, rep)
-, w AS (SELECT submission_id, coalesce(max(rt) FILTER (WHERE rep = 0), {INF_SQL}) AS v0,
-          coalesce(max(rt) FILTER (WHERE rep = 1), {INF_SQL}) AS v1 FROM b GROUP BY submission_id)
+, r AS (SELECT *, CASE WHEN rep * 2 < count(*) OVER (PARTITION BY submission_id, tc) THEN 0 ELSE 1 END AS version
+        FROM v_repeats)
+, b AS (SELECT submission_id, version, sum(CASE WHEN tc <> 'error' THEN t ELSE {INF_SQL} END) AS rt
+        FROM r GROUP BY submission_id, version)
+, w AS (SELECT submission_id, coalesce(max(rt) FILTER (WHERE version = 0), {INF_SQL}) AS v0,
+          coalesce(max(rt) FILTER (WHERE version = 1), {INF_SQL}) AS v1 FROM b GROUP BY submission_id)
 SELECT submission_id, {fin('v0')} AS agg_runtime_v0, {fin('v1')} AS agg_runtime_v1,
   {fin(sdiv('v0', 'v1'))} AS speedup FROM w"""))
 def j9_pair_versions(spark, sf):
+    """Early half of every test's repeats as version 0, late half as version 1."""
     r = view(spark, sf, "v_repeats").withColumn("success", F.col("tc") != "error")
-    return rn.pair_versions(r.filter("rep = 0"), r.filter("rep = 1"))
+    n = r.groupBy("submission_id", "tc").agg(F.count(F.lit(1)).alias("_n"))
+    r = r.join(n, ["submission_id", "tc"]).withColumn("_early", F.col("rep") * 2 < F.col("_n"))
+    return rn.pair_versions(r.filter("_early"), r.filter("NOT _early"))
 
 
 @query("s6_parse_run_stats")
@@ -153,3 +158,17 @@ def s6_parse_run_stats(spark, sf):
     lines = docs.select(F.col("doc_id").alias("run_id"), F.explode(F.split("text", "\n")).alias("line"))
     return rn.parse_run_stats(lines).select("run_id", "stat", F.size("values").alias("n_values"),
                                             F.col("values")[0].alias("first_value"))
+
+
+@query("summarise_runs_job", oracle_with(["v_test_runs"], _FF + f"""
+, m AS (SELECT submission_id, avg(CASE WHEN success THEN 1.0 ELSE 0.0 END) AS mean_acc,
+          coalesce(sum(CASE WHEN success THEN t ELSE {INF_SQL} END), {INF_SQL}) AS rt,
+          count(*) FILTER (WHERE success) AS n_success FROM ff2 GROUP BY submission_id)
+SELECT submission_id, {fin('mean_acc')} AS mean_acc, coalesce(mean_acc < 0.95, true) AS gated,
+  {fin(f'CASE WHEN coalesce(mean_acc < 0.95, true) THEN {INF_SQL} ELSE rt END')} AS agg_runtime,
+  CAST(n_success AS BIGINT) AS n_success FROM m"""))
+def summarise_runs_job(spark, sf):
+    tests = view(spark, sf, "v_test_runs").withColumn("tc_no", F.col("seq"))
+    tests = rn.fail_fast(tests).withColumn("accuracy", F.when(F.col("success"), 1.0).otherwise(0.0))
+    out = rn.summarise_runs(tests.drop("skipped", "error"), fail_fast_enabled=False)
+    return out.select("submission_id", "mean_acc", "gated", "agg_runtime", "n_success")
