@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.functions.numeric import (
     differs, floored_speedup, inf, nan_to_null, reached, safe_divide,
 )
 from pairlab.operators.scan import keep_first, prefix_agg
-from pairlab.session import checkpoint_dir
+from pairlab.session import materialize
 
 # Speedup thresholds reported by the reference.
 SPEEDUP_THRESHOLDS = (1.1, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0)
@@ -57,7 +57,8 @@ def best_at_k(gens: DataFrame, *, key: str = "src_id", order: str = "gen_idx",
 
 
 def best_at_k_summary(best: DataFrame, *, key: str = "src_id",
-                      thresholds: Sequence[float] = SPEEDUP_THRESHOLDS) -> DataFrame:
+                      thresholds: Sequence[float] = SPEEDUP_THRESHOLDS,
+                      single_task_rows: int = 100_000) -> DataFrame:
     """A5 (+A6 shares): mean accuracy, correctness and speedup for every k.
 
     An input with L answers counts at every k > L with its value at L (what the
@@ -83,14 +84,17 @@ def best_at_k_summary(best: DataFrame, *, key: str = "src_id",
     contrib = F.when(F.col("is_last"), F.array(real, carry)).otherwise(F.array(real))
     u = best.select(F.inline(contrib))
     g = u.groupBy("k").agg(*[F.sum(c).alias(c) for c in u.columns if c != "k"])
-    # One row per k.  It feeds both sides of the running sum below, so it is
-    # materialised once (reliable checkpoint in the shared folder) instead of
-    # recomputing the whole upstream per side.  k can be as large as the
-    # longest answer list, so the running sum is a blocked prefix scan too.
-    checkpoint_dir(best.sparkSession)
-    g = g.checkpoint(eager=True)
-    g = prefix_agg(g.withColumn("_all", F.lit(0)), ["_all"], "k",
-                   [(f"c_{n}", "sum", f"b_{n}", True) for n in names])
+    # One row per k, written once (the running sum below reads it more than
+    # once; recomputing would rerun the whole upstream).  Its row count is then
+    # cheap and proves whether one ordered window is safe; past the bound (k as
+    # large as a hot input's answer list) the blocked prefix scan is used.
+    g = materialize(g, "best_at_k_per_k")
+    cols = [(f"c_{n}", "sum", f"b_{n}", True) for n in names]
+    if g.count() <= single_task_rows:
+        w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+        g = g.select("*", *[F.sum(f"b_{n}").over(w).alias(f"c_{n}") for n in names])
+    else:
+        g = prefix_agg(g.withColumn("_all", F.lit(0)), ["_all"], "k", cols)
     g = g.filter(F.col("a_n") > 0).select(
         "k", *[(F.col(f"a_{n}") + F.coalesce(F.col(f"c_{n}"), F.lit(0))).alias(f"s_{n}") for n in names])
     tot = {n: F.col(f"s_{n}") for n in names}

@@ -52,3 +52,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def stage_root(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint dir for written stage tables."""
     return os.path.join(checkpoint_dir(spark), "stages", name)
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    return the re-read table: one job, and the lineage is cut at the files
+    (a reliable cut that survives executor loss; never a local checkpoint)."""
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "materialized", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
