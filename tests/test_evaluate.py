@@ -75,3 +75,18 @@ def test_drop_identity_pairs(spark):
     df = spark.createDataFrame([(1, " a ", " a "), (2, " a", "b"), (3, None, "b")], "src_id long, src_code string, tgt_code string")
     out = {r["src_id"]: r["slower_program"] for r in ev.drop_identity_pairs(df).collect()}
     assert out == {2: "a", 3: None}
+
+
+def test_summary_blocked_path_equals_window_path(spark):
+    best = ev.best_at_k(gens(spark))
+    a = sorted(tuple(r) for r in ev.best_at_k_summary(best).collect())
+    b = sorted(tuple(r) for r in ev.best_at_k_summary(best, single_task_rows=0).collect())
+    assert a == b
+
+
+def test_best_at_k_small_blocks_equal_one_block(spark):
+    rows = [(7, 1, 50.0, 50.0, i, "c", 1.0 if i % 4 else 0.5, float(100 - i)) for i in range(40)]
+    g = spark.createDataFrame(rows, SCHEMA)
+    small = sorted(tuple(r) for r in ev.best_at_k(g, block_size=3).collect())
+    big = sorted(tuple(r) for r in ev.best_at_k(g).collect())
+    assert small == big
