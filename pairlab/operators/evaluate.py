@@ -56,6 +56,18 @@ def best_at_k(gens: DataFrame, *, key: str = "src_id", order: str = "gen_idx",
         F.coalesce(F.col("best_accuracy") == F.lit(threshold), F.lit(False)).alias("is_correct"))
 
 
+def input_best(gens: DataFrame, *, key: str = "src_id", base: str = "src_runtime",
+               code: str = "code", accuracy: str = "accuracy", runtime: str = "agg_runtime",
+               threshold: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
+    """Best runtime / accuracy over all answers of each input (W1 at the last k),
+    as one partial aggregate: no ordering is needed for the final value."""
+    acc = nan_to_null(F.col(accuracy))
+    return gens.groupBy(key, *keep).agg(
+        F.first(base, ignorenulls=True).alias(base),
+        F.min(adjusted_runtime(F.col(code), F.col(accuracy), F.col(runtime), threshold)).alias("best_runtime"),
+        F.max(acc).alias("best_accuracy"))
+
+
 def best_at_k_summary(best: DataFrame, *, key: str = "src_id",
                       thresholds: Sequence[float] = SPEEDUP_THRESHOLDS,
                       single_task_rows: int = 100_000) -> DataFrame:
@@ -209,9 +221,8 @@ def evaluate(gens: DataFrame, inputs: DataFrame | None = None, *, key: str = "sr
         gens = complete_with_missing(
             gens, inputs, key=[key],
             fill={"gen_idx": 0, "accuracy": 0.0, "agg_runtime": float("inf"), "code": None})
-    best = best_at_k(gens, key=key, threshold=threshold, keep=[group])
-    per_input = best.filter("is_last")
-    grouped = group_best(per_input, group=group)
+    best = best_at_k(gens, key=key, threshold=threshold)
+    grouped = group_best(input_best(gens, key=key, threshold=threshold, keep=[group]), group=group)
     base = keep_first(gens.select(key, "src_runtime", "tgt_runtime"), [key], [key])
     return {
         "best_at_k": best,

@@ -77,8 +77,7 @@ _J3_SQL = f"""
 
 
 def _j3(spark, sf):
-    best = ev.best_at_k(view(spark, sf, "v_generations"), keep=["problem_id"])
-    return ev.group_best(best.filter("is_last"))
+    return ev.group_best(ev.input_best(view(spark, sf, "v_generations"), keep=["problem_id"]))
 
 
 @query("j3_group_best", oracle_with(["v_generations"], _J3_SQL + f"""
