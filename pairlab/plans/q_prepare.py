@@ -310,3 +310,65 @@ def s10_stage(spark, sf):
         raise AssertionError("a complete stage must be resumed, not recomputed")
 
     return io.stage(spark, path, must_not_run)  # resumes from the written stage
+
+
+EVENT_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
+                             T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+
+
+@query("s3_read_csv_metrics", f"""
+SELECT event_id, user_id, event_type, {fin('value')} AS value, false AS bad FROM events""")
+def s3_read_csv_metrics(spark, sf):
+    """Events written as CSV files with a header, read back; no row is malformed."""
+    path = os.path.join(checkpoint_dir(spark), "csv", uuid.uuid4().hex)
+    table(spark, sf, "events").select(*EVENT_SCHEMA.fieldNames()).write.option("header", "true").csv(path)
+    good, bad = io.read_csv_metrics(spark, path, EVENT_SCHEMA)
+    nb = F.lit(False)
+    return rs.union_by_name(good.drop("file").withColumn("bad", nb),
+                            bad.select(F.lit(None).cast("long").alias("event_id"), F.lit(True).alias("bad")))
+
+
+@query("s9_write_summary", oracle_with(["v_outputs"], """
+, sig AS (SELECT program_id, string_agg(problem_id || ':' || tc_no || ':' || output, '|' ORDER BY problem_id, tc_no) AS s
+          FROM v_outputs GROUP BY program_id)
+, grp AS (SELECT s, count(*) AS m FROM sig GROUP BY s)
+, one AS (SELECT CAST(sum(m) - sum(CASE WHEN m > 1 THEN m ELSE 0 END) + count(*) FILTER (WHERE m > 1) AS BIGINT) AS unique_programs,
+            CAST(sum(m) AS BIGINT) AS total_programs FROM grp)
+SELECT unique_programs, total_programs, e AS experiment FROM one, (VALUES ('first'), ('second')) AS x(e)"""))
+def s9_write_summary(spark, sf):
+    """The unique-program report appended twice as CSV; both experiments stay."""
+    path = os.path.join(checkpoint_dir(spark), "summary", uuid.uuid4().hex)
+    rep = au.unique_program_count(view(spark, sf, "v_outputs")).select("unique_programs", "total_programs")
+    io.write_summary(rep, path, experiment="first")
+    io.write_summary(rep, path, experiment="second")
+    schema = "unique_programs BIGINT, total_programs BIGINT, experiment STRING"
+    return spark.read.schema(schema).option("header", "true").csv(path)
+
+
+@query("s11_versioned_write", oracle_with(["v_pairs"], f"""
+SELECT src_id, {fin('speedup')} AS speedup, v AS version FROM v_pairs, (VALUES ('v=a'), ('v=b')) AS x(v)"""))
+def s11_versioned_write(spark, sf):
+    """Two runs write side by side; the earlier copy is never overwritten."""
+    root = os.path.join(checkpoint_dir(spark), "versions", uuid.uuid4().hex)
+    d = view(spark, sf, "v_pairs").select("src_id", "speedup")
+    io.versioned_write(d, root, "a")
+    io.versioned_write(d, root, "b")
+    return (spark.read.parquet(root).withColumn("version", F.concat(F.lit("v="), F.col("v")))
+            .select("src_id", "speedup", "version"))
+
+
+TURN_SCHEMA = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
+                            T.StructField("text", T.StringType())])
+
+
+@query("s2_read_splits", """
+SELECT conv_id, turn, sha256(text) AS text_hash, role AS split FROM conversations""")
+def s2_read_splits(spark, sf):
+    """Each role written as its own JSON-lines split, read back tagged."""
+    root = os.path.join(checkpoint_dir(spark), "splits", uuid.uuid4().hex)
+    conv = table(spark, sf, "conversations")
+    roles = ("system", "user", "assistant")
+    for role in roles:
+        io.write_records(conv.filter(F.col("role") == role).select(*TURN_SCHEMA.fieldNames()), f"{root}/{role}")
+    d = io.read_splits(spark, {r: f"{root}/{r}" for r in roles}, TURN_SCHEMA)
+    return d.select("conv_id", "turn", F.sha2("text", 256).alias("text_hash"), "split")
