@@ -181,7 +181,9 @@ def complete_with_missing(results: DataFrame, reference: DataFrame, *, key: Sequ
     """
     key = list(key)
     ref = keep_first(reference, key, list(order or key))
-    missing = ref.join(results.select(*key), key, "left_anti")
+    # distinct keys first (map-side): the anti join's right side cannot be
+    # split by AQE, so a key repeated across many result rows must collapse
+    missing = ref.join(results.select(*key).distinct(), key, "left_anti")
     cols = []
     for c, t in results.dtypes:
         if c in fill:
