@@ -98,7 +98,7 @@ def attach_descriptions(df: DataFrame, desc: DataFrame, *, key: str = "problem_i
     keep only described problems) and drop keys on a deny-list."""
     out = df.join(desc, key, how)
     if deny is not None:
-        out = out.join(deny.select(key), key, "left_anti")
+        out = out.join(deny.select(key).distinct(), key, "left_anti")
     return out
 
 

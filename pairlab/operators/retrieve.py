@@ -91,7 +91,8 @@ def _block_topk(k: int, exclude_equal: bool):
 
 def knn_join(queries: DataFrame, corpus: DataFrame, *, k: int = 4, vec: str = "embedding",
              qid: str = "query_id", cid: str = "neighbor_id", qkey: str | None = None,
-             ckey: str | None = None, q_block_rows: int = 2048, c_block_rows: int = 8192) -> DataFrame:
+             ckey: str | None = None, q_block_rows: int = 2048, c_block_rows: int = 8192,
+             n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
     """Exact k nearest corpus rows (squared L2) for every query, ties by id.
 
     Both sides are cut into hash blocks sized from their counts; every
@@ -101,9 +102,10 @@ def knn_join(queries: DataFrame, corpus: DataFrame, *, k: int = 4, vec: str = "e
     final ``row_number() <= k`` per query merges the blocks.  Per-task memory
     is bounded by the block sizes; nothing is broadcast.  When ``qkey`` and
     ``ckey`` are given, pairs with equal keys are excluded (leave-one-out).
+    Known sizes (``n_queries``, ``n_corpus``) skip the two counting jobs.
     """
-    nq = queries.count()
-    nc = corpus.count()
+    nq = queries.count() if n_queries is None else n_queries  # sizes only pick block counts
+    nc = corpus.count() if n_corpus is None else n_corpus
     bq = max(1, math.ceil(nq / q_block_rows))
     bc = max(1, math.ceil(nc / c_block_rows))
     excl = qkey is not None and ckey is not None
