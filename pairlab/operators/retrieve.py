@@ -35,7 +35,7 @@ def letter_counts(text) -> "F.Column":
 
 
 def encode_text(df: DataFrame, text: str, *, encoder: Callable[[list[str]], np.ndarray] | None = None,
-                out: str = "embedding", dim: int | None = None, batch: int = 256) -> DataFrame:
+                out: str = "embedding", batch: int = 256) -> DataFrame:
     """embed a text column.
 
     Default: ``letter_counts``.  With ``encoder`` (list of texts -> 2-D array,
