@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pairlab.functions.numeric import is_finite, py_strip, safe_divide
 from pairlab.functions.text import arith_hash, token_length
 from pairlab.operators.scan import dense_index, keep_first
+from pairlab.session import materialize
 
 # Outputs that mean the program did not run to completion, the
 # sentinel of a failed completion request and the token prices per 1000.
@@ -322,16 +323,24 @@ def sample_context_pairs(cands: DataFrame, pool: DataFrame, *, max_len: int, dra
     itself.  No accepted draw gives NULL partner columns.  An equi join on the
     drawn rank, never a theta join of candidates x pool.
     """
-    ranked = dense_index(pool.select(key, length, desc_length), [key], name="_rank")
-    n = pool.select(F.count(F.lit(1))).scalar()
-    tried = cands.select(F.col(key).alias("candidate_id"), F.col(length).alias("_clen"),
-                         F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    tried = tried.withColumn("_rank", F.pmod(arith_hash(F.col("candidate_id"), F.col("draw"), seed=seed), n))
+    # The pool is read by the range sampler, the size count and the join, and
+    # the candidates twice: write both narrow projections once instead of
+    # recomputing their (possibly text-heavy) lineage each time.
+    same = cands is pool
+    pool = materialize(pool.select(key, length, desc_length), "pairing_pool")
+    cands = (pool if same else materialize(cands.select(key, length), "pairing_candidates")).select(
+        F.col(key).alias("candidate_id"), F.col(length).alias("_clen"))
+    n = pool.count()
+    if n == 0:
+        return cands.select("candidate_id", F.lit(None).cast("int").alias("draw"),
+                            F.lit(None).cast("long").alias("partner_id"))
+    ranked = dense_index(pool, [key], name="_rank")
+    tried = cands.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    tried = tried.withColumn("_rank", F.pmod(arith_hash(F.col("candidate_id"), F.col("draw"), seed=seed), F.lit(n)))
     hit = (tried.join(ranked.withColumnRenamed(key, "partner_id"), "_rank")
            .filter((F.col("_clen") + F.col(length) <= max_len) & (F.col(desc_length) > 0)))
     first = keep_first(hit.select("candidate_id", "draw", "partner_id"), ["candidate_id"], ["draw"])
-    return (cands.select(F.col(key).alias("candidate_id"))
-            .join(first, "candidate_id", "left"))
+    return cands.select("candidate_id").join(first, "candidate_id", "left")
 
 
 def drop_failed_completions(df: DataFrame, *, code: str = "code",
