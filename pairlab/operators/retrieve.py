@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.functions.text import canonical_newlines
+from pairlab.functions.text import canonical_newlines, fill_template
 from pairlab.operators.scan import keep_first
 
-# Few-shot prompt framing (section headers and separators).
-SLOW_HEADER = "# slower version:\n\n"
-FAST_HEADER = "# optimized version of the same code:"
+# Few-shot prompt templates and the separator between examples.
+EXAMPLE_TEMPLATE = "# slower version:\n\n{src_code}\n\n\n# optimized version of the same code:\n\n{tgt_code}"
+QUERY_TEMPLATE = "{examples}\n\n\n\n\n# slower version:\n\n{src_code}\n\n# optimized version of the same code:"
 EXAMPLE_SEPARATOR = "\n\n\n\n\n"
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -135,8 +136,8 @@ def best_pair_per_source(pairs: DataFrame, *, code: str = "src_code", speedup: s
 
 def pair_prompt(src: str = "src_code", tgt: str = "tgt_code") -> "F.Column":
     """One worked example: slow program, then its optimized version (newline runs collapsed)."""
-    return F.concat(F.lit(SLOW_HEADER), canonical_newlines(F.col(src), 1), F.lit("\n\n\n" + FAST_HEADER + "\n\n"),
-                    canonical_newlines(F.col(tgt), 1))
+    return fill_template(EXAMPLE_TEMPLATE, {"src_code": canonical_newlines(F.col(src), 1),
+                                            "tgt_code": canonical_newlines(F.col(tgt), 1)})
 
 
 def lookup_best_pair(neighbours: DataFrame, best: DataFrame, *, cid: str = "neighbor_id",
@@ -158,8 +159,7 @@ def fewshot_prompt(neighbours: DataFrame, queries: DataFrame, *, qid: str = "que
     joined = F.array_join(F.transform("_ex", lambda x: x["prompt"]), EXAMPLE_SEPARATOR)
     return queries.join(per_q, qid).select(
         qid, "n_examples",
-        F.concat(joined, F.lit(EXAMPLE_SEPARATOR + SLOW_HEADER), F.col(code),
-                 F.lit("\n\n" + FAST_HEADER)).alias("input"))
+        fill_template(QUERY_TEMPLATE, {"examples": joined, "src_code": F.col(code)}).alias("input"))
 
 
 def retrieve_prompts(queries: DataFrame, pairs: DataFrame, *, k: int = 4, encoder=None,

@@ -377,7 +377,7 @@ def f15_projected_cost(spark, sf):
 
 
 def _f5_sql() -> str:
-    from pairlab.plans.q_retrieve import sql_str
+    from pairlab.plans.registry import sql_str
 
     def code(x, i):
         return f"replace(P, 'Code {i}: ...', 'Code {i}: ' || regexp_replace({x}, chr(10) || '+', chr(10), 'g') || chr(10) || chr(10))"

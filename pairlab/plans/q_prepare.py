@@ -13,8 +13,7 @@ from pairlab.operators import augment as au
 from pairlab.operators import prepare as pp
 from pairlab.operators import reshape as rs
 from pairlab.plans.fixtures import oracle_with, table, view
-from pairlab.plans.registry import fin, query
-from pairlab.plans.q_retrieve import sql_str
+from pairlab.plans.registry import fin, query, sql_str, template_sql
 from pairlab.session import checkpoint_dir
 from pairlab.sources import io
 
@@ -53,15 +52,7 @@ def _tagged_pairs(spark, sf):
 
 
 def _prompt_sql(template: str, slot_sql: dict[str, str], src: str = "src_code") -> str:
-    parts, pos = [], 0
-    import re
-    for m in re.finditer(r"\{(\w+)\}", template):
-        parts.append(sql_str(template[pos:m.start()]))
-        name = m.group(1)
-        parts.append(f"substr({src}, 1, 1500)" if name == "src_code" else slot_sql[name])
-        pos = m.end()
-    parts.append(sql_str(template[pos:]))
-    return " || ".join(f"({p})" for p in parts)
+    return template_sql(template, {"src_code": f"substr({src}, 1, 1500)", **slot_sql})
 
 
 _PCT = pp.TEMPLATES["code_opt_w_speedup_pctile"][0]
@@ -102,7 +93,7 @@ def f9_first_program(spark, sf):
 
 @query("f10_chat_examples", oracle_with(["v_pairs"], f"""
 SELECT src_id, {sql_str(pp.CHAT_SYSTEM)} AS system_content,
-  sha256({sql_str(pp.CHAT_USER_HEAD)} || src_code || {sql_str(pp.CHAT_USER_TAIL)}) AS user_hash,
+  sha256({template_sql(pp.CHAT_USER_TEMPLATE, {'src_code': 'src_code'})}) AS user_hash,
   CAST(length(tgt_code) AS BIGINT) AS assistant_length, CAST(3 AS BIGINT) AS n_messages FROM v_pairs"""))
 def f10_chat_examples(spark, sf):
     d = pp.chat_examples(view(spark, sf, "v_pairs"))

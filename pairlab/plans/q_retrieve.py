@@ -6,13 +6,7 @@ from pyspark.sql import functions as F
 
 from pairlab.operators import retrieve as rt
 from pairlab.plans.fixtures import oracle_with, table, view
-from pairlab.plans.registry import fin, query
-
-
-def sql_str(s: str) -> str:
-    """A Python string as a DuckDB expression (newlines via chr(10))."""
-    parts = [("'" + p.replace("'", "''") + "'") for p in s.split("\n")]
-    return " || chr(10) || ".join(parts)
+from pairlab.plans.registry import fin, query, sql_str, template_sql
 
 
 def letters_sql(t: str) -> str:
@@ -63,10 +57,12 @@ def a12_best_pair_per_source(spark, sf):
     return rt.best_pair_per_source(view(spark, sf, "v_pairs")).select("code_hash", "src_id", "speedup")
 
 
-_SLOW = sql_str(rt.SLOW_HEADER)
-_FAST_MID = sql_str("\n\n\n" + rt.FAST_HEADER + "\n\n")
+_NL1 = "chr(10) || '+'"
+_PROMPT = template_sql(rt.EXAMPLE_TEMPLATE, {
+    "src_code": f"regexp_replace(b.src_code, {_NL1}, chr(10), 'g')",
+    "tgt_code": f"regexp_replace(b.tgt_code, {_NL1}, chr(10), 'g')"})
 _SEP = sql_str(rt.EXAMPLE_SEPARATOR)
-_TAIL = sql_str("\n\n" + rt.FAST_HEADER)
+_INPUT = template_sql(rt.QUERY_TEMPLATE, {"examples": "f.ex", "src_code": "p.src_code"})
 
 _RETR = _BEST + f"""
 , cv AS (SELECT src_id AS neighbor_id, code_hash, {letters_sql('src_code')} AS v FROM b)
@@ -76,8 +72,7 @@ _RETR = _BEST + f"""
     FROM qv q JOIN cv c ON q.q_hash <> c.code_hash)
 , nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS rank FROM d QUALIFY rank <= 4)
 , pr AS (SELECT nn.query_id, nn.neighbor_id, nn.rank,
-    {_SLOW} || regexp_replace(b.src_code, chr(10) || '+', chr(10), 'g') || {_FAST_MID}
-      || regexp_replace(b.tgt_code, chr(10) || '+', chr(10), 'g') AS prompt
+    {_PROMPT} AS prompt
     FROM nn JOIN b ON b.src_id = nn.neighbor_id)
 """
 
@@ -102,7 +97,7 @@ def j10_lookup_best_pair(spark, sf):
 @query("f6_fewshot_prompt", oracle_with(["v_pairs"], _RETR + f"""
 , f AS (SELECT query_id, count(*) AS n_examples, string_agg(prompt, {_SEP} ORDER BY rank DESC) AS ex
         FROM pr GROUP BY query_id)
-, x AS (SELECT f.query_id, f.n_examples, f.ex || {_SEP} || {_SLOW} || p.src_code || {_TAIL} AS input
+, x AS (SELECT f.query_id, f.n_examples, {_INPUT} AS input
         FROM f JOIN v_pairs p ON p.src_id = f.query_id)
 SELECT query_id, CAST(n_examples AS BIGINT) AS n_examples, CAST(length(input) AS BIGINT) AS input_length,
   sha256(input) AS input_hash FROM x"""))

@@ -71,3 +71,21 @@ def floor1(expr: str, floor: float = 1.0) -> str:
 
 
 INF_SQL = "CAST('inf' AS DOUBLE)"
+
+
+def sql_str(s: str) -> str:
+    """A Python string as a DuckDB expression (newlines via chr(10))."""
+    parts = [("'" + p.replace("'", "''") + "'") for p in s.split("\n")]
+    return " || chr(10) || ".join(parts)
+
+
+def template_sql(template: str, values: dict[str, str]) -> str:
+    """SQL twin of ``fill_template``: literal pieces and slot expressions concatenated."""
+    import re
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        parts.append(sql_str(template[pos:m.start()]))
+        parts.append(values[m.group(1)])
+        pos = m.end()
+    parts.append(sql_str(template[pos:]))
+    return " || ".join(f"({x})" for x in parts)
