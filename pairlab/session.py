@@ -38,22 +38,21 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    A cluster names it; only when it is unset (local tests) do we create one.
+    A cluster names it.  Only a local master (tests, a laptop) may fall back to
+    a temporary folder; on a cluster an unset value is an error, because a
+    machine-local folder would not survive the loss of that machine.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
         path = tempfile.mkdtemp(prefix="pairlab-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 
 
-def stage_root(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint dir for written stage tables."""
-    return os.path.join(checkpoint_dir(spark), "stages", name)
-
-
 def materialize(df, name: str = "table"):
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     return the re-read table: one job, and the lineage is cut at the files
