@@ -123,7 +123,7 @@ def tokenize_and_mask(df: DataFrame, *, full: str = "full_prompt", user: str = "
         ids = F.slice(enc(c), 1, cutoff)
         if not eos:
             return ids
-        last = F.element_at(ids, -1)
+        last = F.try_element_at(ids, F.lit(-1))
         need = (F.size(ids) < cutoff) & F.coalesce(last != F.lit(eos_id), F.lit(True))
         return F.when(need, F.array_append(ids, F.lit(eos_id))).otherwise(ids)
 

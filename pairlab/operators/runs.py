@@ -185,9 +185,9 @@ def parse_run_stats(lines: DataFrame, *, key: str = "run_id", line: str = "line"
     skipped.  Non-numeric tokens become NULL.
     """
     raw = F.col(line)
-    body = F.trim(F.regexp_replace(raw, "#.*", ""))
-    toks = F.split(body, r"\s+")
-    d = (lines.filter(~(F.trim(raw) == "") & ~raw.contains("Begin") & ~raw.contains("End"))
+    body = py_strip(F.regexp_replace(raw, "#.*", ""))
+    toks = F.split(body, r"(?U)\s+")
+    d = (lines.filter(~(py_strip(raw) == "") & ~raw.contains("Begin") & ~raw.contains("End"))
          .select(key, toks.alias("_t")).filter(F.size("_t") >= 2))
 
     def value(tok):

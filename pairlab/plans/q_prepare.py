@@ -103,7 +103,21 @@ def f10_chat_examples(spark, sf):
                     F.length(m[2]["content"]).alias("assistant_length"), F.size(m).alias("n_messages"))
 
 
-@query("f11_tokenize_and_mask")
+_FULL = _prompt_sql(_PLAIN, {}) + " || CASE WHEN tgt_code IS NOT NULL AND tgt_code <> '' THEN substr(tgt_code, 1, 1500) ELSE '' END"
+
+
+def _f11_sql() -> str:
+    from pairlab.plans.q_augment import ntok
+    return oracle_with(["v_pairs"], f"""
+, x AS (SELECT src_id, {_FULL} AS fp, {_prompt_sql(_PLAIN, {})} AS up FROM v_pairs)
+, y AS (SELECT src_id, {ntok('fp')} AS tf, {ntok('up')} AS tu FROM x)
+, z AS (SELECT src_id, CASE WHEN tf < 256 THEN tf + 1 ELSE 256 END AS n_ids,
+          greatest(CASE WHEN tu < 256 THEN tu + 1 ELSE 256 END - 1, 0) AS n FROM y)
+SELECT src_id, CAST(n_ids AS BIGINT) AS n_ids, CAST(n AS BIGINT) AS n_masked,
+  CAST(n + greatest(n_ids - n, 0) AS BIGINT) AS n_labels FROM z""")
+
+
+@query("f11_tokenize_and_mask", _f11_sql())
 def f11_tokenize_and_mask(spark, sf):
     d = pp.build_training_set(view(spark, sf, "v_pairs"), form="tokens", seed=1, cutoff=256)
     return d.select("src_id", F.size("input_ids").alias("n_ids"),

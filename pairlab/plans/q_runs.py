@@ -152,7 +152,23 @@ def j9_pair_versions(spark, sf):
     return rn.pair_versions(r.filter("_early"), r.filter("NOT _early"))
 
 
-@query("s6_parse_run_stats")
+_NUMTOK = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_V1 = fin(f"CASE WHEN regexp_matches(v1, '^[+-]?(nan|inf)$', 'i') THEN NULL "
+          f"WHEN regexp_matches(v1, '{_NUMTOK}') THEN CAST(v1 AS DOUBLE) END")
+_SIM = fin("max(CASE WHEN stat = 'sim_ticks' THEN TRY_CAST(v1 AS DOUBLE) END) / "
+           "max(CASE WHEN stat = 'sim_freq' THEN TRY_CAST(v1 AS DOUBLE) END)")
+
+
+@query("s6_parse_run_stats", f"""
+WITH l AS (SELECT doc_id AS run_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+, f AS (SELECT run_id, line FROM l
+        WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '' AND NOT contains(line, 'Begin') AND NOT contains(line, 'End'))
+, t AS (SELECT run_id, string_split_regex(regexp_replace(regexp_replace(line, '#.*', ''), '^\\s+|\\s+$', '', 'g'), '\\s+') AS toks
+        FROM f)
+, p AS (SELECT run_id, toks[1] AS stat, len(toks) - 1 AS n_values, replace(toks[2], '%', '') AS v1 FROM t WHERE len(toks) >= 2)
+SELECT run_id, stat, CAST(n_values AS BIGINT) AS n_values, {_V1} AS first_value FROM p
+UNION ALL
+SELECT run_id, 'sim_seconds_precise', CAST(1 AS BIGINT), {_SIM} FROM p GROUP BY run_id""")
 def s6_parse_run_stats(spark, sf):
     docs = table(spark, sf, "documents")
     lines = docs.select(F.col("doc_id").alias("run_id"), F.explode(F.split("text", "\n")).alias("line"))
