@@ -15,7 +15,7 @@ from pairlab.functions.numeric import (
     differs, floored_speedup, inf, nan_to_null, reached, safe_divide,
 )
 from pairlab.operators.scan import keep_first, prefix_agg
-from pairlab.session import materialize
+from pyspark import StorageLevel
 
 # Speedup thresholds reported by the reference.
 SPEEDUP_THRESHOLDS = (1.1, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0)
@@ -96,11 +96,12 @@ def best_at_k_summary(best: DataFrame, *, key: str = "src_id",
     contrib = F.when(F.col("is_last"), F.array(real, carry)).otherwise(F.array(real))
     u = best.select(F.inline(contrib))
     g = u.groupBy("k").agg(*[F.sum(c).alias(c) for c in u.columns if c != "k"])
-    # One row per k, written once (the running sum below reads it more than
-    # once; recomputing would rerun the whole upstream).  Its row count is then
-    # cheap and proves whether one ordered window is safe; past the bound (k as
-    # large as a hot input's answer list) the blocked prefix scan is used.
-    g = materialize(g, "best_at_k_per_k")
+    # One row per k, kept once (MEMORY_AND_DISK) because the running sum below
+    # reads it more than once; recomputing would rerun the whole upstream, and
+    # a lost block is recomputed from lineage.  Its row count then proves
+    # whether one ordered window is safe; past the bound (k as large as a hot
+    # input's answer list) the blocked prefix scan is used.
+    g = g.persist(StorageLevel.MEMORY_AND_DISK)
     cols = [(f"c_{n}", "sum", f"b_{n}", True) for n in names]
     if g.count() <= single_task_rows:
         w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
