@@ -101,8 +101,7 @@ def j3_group_best_summary(spark, sf):
 SELECT CAST(count(*) AS BIGINT) AS n_inputs, {fin('avg(sp)')} AS mean_speedup, {_shares_sql('sp')} FROM x"""))
 def a7_reference_speedup(spark, sf):
     g = view(spark, sf, "v_generations")
-    return ev.reference_speedup(keep_first(g.select("src_id", "src_runtime", "tgt_runtime"),
-                                           ["src_id"], ["src_id"]))
+    return ev.reference_speedup(ev.input_runtimes(g))
 
 
 @query("j1_complete_with_missing", oracle_with(["v_generations", "v_inputs"], f"""
