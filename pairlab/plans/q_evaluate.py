@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlab.operators import evaluate as ev
-from pairlab.operators.scan import keep_first
 from pairlab.plans.fixtures import oracle_with, view
 from pairlab.plans.registry import INF_SQL, fin, floor1, query, sdiv
 
