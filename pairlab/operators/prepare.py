@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab.functions.text import TOKEN_PATTERN, arith_hash, fill_template
-from pairlab.operators.scan import keep_first
+from pairlab.operators.scan import dense_index, keep_first
 
 # The four prompt templates (prompt text and response marker).
 TEMPLATES = {
@@ -150,14 +150,36 @@ def first_n(df: DataFrame, n: int, *, ordinal: str) -> DataFrame:
 
 
 def performance_tag(subs: DataFrame, *, group: str = "problem_id", runtime: str = "agg_runtime",
-                    bins: int = 10, out: str = "pctile") -> DataFrame:
-    """1..bins tag of closeness to the best runtime of the problem:
-    max(1, ceil(bins * best / runtime)), as a string slot value."""
-    best = subs.groupBy(group).agg(F.min(runtime).alias("_best"))
-    score = F.col("_best") / F.col(runtime)
-    return (subs.join(best, group)
-            .withColumn(out, F.greatest(F.lit(1), F.ceil(F.lit(float(bins)) * score)).cast("string"))
-            .drop("_best"))
+                    bins: int = 10, out: str = "pctile", method: str = "ratio",
+                    order_key: str | None = None) -> DataFrame:
+    """1..bins tag of how close a submission is to the best of its problem.
+
+    ``ratio``: max(1, ceil(bins * best / runtime)).  ``ntile``: SQL NTILE(bins)
+    over the problem's submissions from slowest (1) to fastest (bins), ties by
+    ``order_key``.  The ntile positions come from one global range-partitioned
+    numbering (a hot problem is split across partitions) minus each problem's
+    first position; no per-problem window.  The tag is a string slot value.
+    """
+    if method == "ratio":
+        best = subs.groupBy(group).agg(F.min(runtime).alias("_best"))
+        score = F.col("_best") / F.col(runtime)
+        return (subs.join(best, group)
+                .withColumn(out, F.greatest(F.lit(1), F.ceil(F.lit(float(bins)) * score)).cast("string"))
+                .drop("_best"))
+    if method != "ntile":
+        raise ValueError(method)
+    if order_key is None:
+        raise ValueError("ntile needs order_key for a total order")
+    d = subs.withColumn("_neg", -F.col(runtime))
+    d = dense_index(d, [group, "_neg", order_key], name="_pos")
+    first = d.groupBy(group).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    d = d.join(first, group).withColumn("_i", F.col("_pos") - F.col("_start"))
+    q = F.floor(F.col("_n") / bins)
+    r = F.col("_n") - q * bins
+    big = r * (q + 1)
+    bucket = F.when(F.col("_i") < big, F.floor(F.col("_i") / (q + 1)) + 1).otherwise(
+        r + F.floor((F.col("_i") - big) / q) + 1)
+    return d.withColumn(out, bucket.cast("long").cast("string")).drop("_neg", "_pos", "_start", "_n", "_i")
 
 
 def latest_metrics(metrics: DataFrame, *, file: str = "file", step: str = "step") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlab.operators.scan import keep_first
+
 
 def clean_code_rows(df: DataFrame, code: str = "code") -> DataFrame:
     """Drop rows whose code is NULL or empty (whitespace-only code stays)."""
@@ -79,16 +81,27 @@ def unpivot_code(df: DataFrame, ids: Sequence[str], code_cols: Sequence[str]) ->
 
 
 def pivot_results(df: DataFrame, *, key: str, types: Sequence[str], values: Sequence[str],
-                  type_col: str = "code_type", order: str | None = None) -> DataFrame:
+                  type_col: str = "code_type", order: str | None = None,
+                  base_type: str | None = None, base_cols: Sequence[str] = (),
+                  value_types: Sequence[str] | None = None) -> DataFrame:
     """Long results -> one row per key with ``{type}_{value}`` columns.
 
     Explicit pivot values (no discovery job); several rows of one type: the
-    last by ``order`` wins.
+    last by ``order`` wins.  ``base_type`` / ``base_cols``: columns copied from
+    the row of that type (e.g. the slow program's row).  ``value_types``
+    limits which types get value columns (e.g. generations only unless the
+    slow and reference programs were re-measured).
     """
     packed = F.struct(*[F.col(v) for v in values])
     agg = F.max_by(packed, F.col(order)) if order else F.first(packed, ignorenulls=True)
     wide = df.groupBy(key).pivot(type_col, list(types)).agg(agg)
-    return wide.select(key, *[F.col(f"`{t}`")[v].alias(f"{t}_{v}") for t in types for v in values])
+    vt = list(types) if value_types is None else [t for t in types if t in value_types]
+    out = wide.select(key, *[F.col(f"`{t}`")[v].alias(f"{t}_{v}") for t in vt for v in values])
+    if base_type is not None and base_cols:
+        base = df.filter(F.col(type_col) == F.lit(base_type)).select(key, *base_cols)
+        order_cols = [F.col(order)] if order and order in base_cols else [F.col(key)]
+        out = out.join(keep_first(base, [key], order_cols), key, "left")
+    return out
 
 
 def select_report_columns(df: DataFrame, *, names: Sequence[str] = (), suffixes: Sequence[str] = (),

@@ -38,6 +38,18 @@ def w8_performance_tag(spark, sf):
     return pp.performance_tag(subs).select("submission_id", "problem_id", "pctile")
 
 
+@query("w8_performance_tag_ntile", oracle_with(["v_submissions"], """
+, acc AS (SELECT submission_id, problem_id, agg_runtime FROM v_submissions
+          WHERE status = 'Accepted' AND agg_runtime IS NOT NULL AND isfinite(agg_runtime))
+SELECT submission_id, problem_id,
+  CAST(ntile(10) OVER (PARTITION BY problem_id ORDER BY agg_runtime DESC, submission_id) AS VARCHAR) AS pctile
+FROM acc"""))
+def w8_performance_tag_ntile(spark, sf):
+    subs = au.accepted_finite(view(spark, sf, "v_submissions"))
+    return pp.performance_tag(subs, method="ntile", order_key="submission_id").select(
+        "submission_id", "problem_id", "pctile")
+
+
 _PAIRS_TAGGED = """
 , pt AS (SELECT *, CAST(length(tgt_code) AS DOUBLE) AS rt FROM v_pairs)
 , pb AS (SELECT problem_id, min(rt) AS best FROM pt GROUP BY problem_id)

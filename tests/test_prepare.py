@@ -93,3 +93,32 @@ def test_chat_examples(spark):
     assert [m["role"] for m in r["messages"]] == ["system", "user", "assistant"]
     assert r["messages"][1]["content"] == "// slower version::\n\nS\n\n// optimized version of the same code:\n\n"
     assert r["messages"][2]["content"] == "TT"
+
+
+def test_ntile_tag_equals_window_ntile(spark):
+    from pyspark.sql import Window
+    rows = [(g, i, float((i * 7) % 13)) for g, n in ((1, 3), (2, 10), (3, 23), (4, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "problem_id long, submission_id long, agg_runtime double")
+    got = {r["submission_id"] + 1000 * r["problem_id"]: r["pctile"]
+           for r in pp.performance_tag(df, method="ntile", order_key="submission_id").collect()}
+    w = Window.partitionBy("problem_id").orderBy(F.col("agg_runtime").desc(), "submission_id")
+    want = {r["k"]: str(r["t"]) for r in df.select((F.col("submission_id") + 1000 * F.col("problem_id")).alias("k"),
+                                                   F.ntile(10).over(w).alias("t")).collect()}
+    assert got == want
+
+
+def test_postprocess_only_for_code_opt(spark):
+    from pairlab.functions.text import postprocess_completion
+    df = spark.createDataFrame([("int main() { a; }\nint main() { b; }",)], "t string")
+    cut = df.select(postprocess_completion(F.col("t"), "code_opt")).first()[0]
+    kept = df.select(postprocess_completion(F.col("t"), "code_opt_w_speedup_desc")).first()[0]
+    assert cut == "int main() { a; }" and kept.endswith("b; }")
+
+
+def test_pivot_base_row_and_value_types(spark):
+    from pairlab.operators.reshape import pivot_results
+    df = spark.createDataFrame([(1, "src_code", "S", 1.0, "p1"), (1, "gen_0", "G", 0.5, "p1")],
+                               "src_id long, code_type string, code string, rt double, problem_id string")
+    w = pivot_results(df, key="src_id", types=["src_code", "gen_0"], values=["rt"],
+                      base_type="src_code", base_cols=["problem_id"], value_types=["gen_0"]).first()
+    assert w["gen_0_rt"] == 0.5 and w["problem_id"] == "p1" and "src_code_rt" not in w.asDict()
