@@ -74,9 +74,13 @@ def differs(a, b) -> Column:
     return F.coalesce(col(a) != col(b), F.lit(True))
 
 
+# Characters str.strip() removes, derived from Python's own str.isspace().
+PY_WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def py_strip(c) -> Column:
-    """str.strip(): remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """str.strip(): remove leading/trailing whitespace (native btrim, no regex)."""
+    return F.btrim(col(c), F.lit(PY_WHITESPACE))
 
 
 def round6(c) -> Column:

@@ -53,7 +53,9 @@ def output_accuracy(out, expected, tol: float = 1e-3) -> Column:
     general = F.when(n_exp == 0, F.lit(None).cast("double")).otherwise(hits / n_exp)
     # fast path, code-generated: both texts are a single line after strip
     o_s, e_s = py_strip(o_c), py_strip(e_c)
-    single = ~o_s.rlike(_BREAK_CLASS) & ~e_s.rlike(_BREAK_CLASS)
+    breaks = _BREAK_CLASS[1:-1]
+    single = ((F.length(F.translate(o_s, breaks, "")) == F.length(o_s))
+              & (F.length(F.translate(e_s, breaks, "")) == F.length(e_s)))
     fast = F.when(e_s == "", F.lit(None).cast("double")).otherwise(_line_ok(o_s, e_s, tol).cast("double"))
     return F.when(single, fast).otherwise(general)
 
