@@ -1,6 +1,6 @@
 """EVAL: score many model answers per input.
 
-Long layout throughout: one row per (input, answer).  The reference's wide
+Long layout throughout: one row per (input, answer).  The source's wide
 table with one column per answer only appears at a sink (``pivot_results``).
 """
 
@@ -17,7 +17,7 @@ from pairlab.functions.numeric import (
 from pairlab.operators.scan import keep_first, prefix_agg
 from pyspark import StorageLevel
 
-# Speedup thresholds reported by the reference.
+# Speedup thresholds of the report.
 SPEEDUP_THRESHOLDS = (1.1, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0)
 
 
@@ -211,7 +211,7 @@ def complete_with_missing(results: DataFrame, reference: DataFrame, *, key: Sequ
 
 def drop_identity_pairs(df: DataFrame, *, slow: str = "src_code", ref: str = "tgt_code",
                         stripped: str = "slower_program") -> DataFrame:
-    """Keep pairs whose slow program differs from the reference (missing = different).
+    """Keep pairs whose slow program differs from the reference program (missing = different).
 
     The stripped slow program goes to a new column; the comparison uses the raw text.
     """

@@ -164,7 +164,7 @@ def pair_versions(v0: DataFrame, v1: DataFrame, *, key: str = "submission_id",
 
     The two inputs are unioned with a ``version`` column and aggregated once;
     the pivot has explicit values, so no extra job discovers them.  A version
-    with no results is +inf (the reference summed an empty dict to 0 here).
+    with no results is +inf (the source summed an empty result to 0 here).
     """
     both = (v0.select(key, tc, success, time, F.lit("v0").alias("version"))
             .unionByName(v1.select(key, tc, success, time, F.lit("v1").alias("version"))))
