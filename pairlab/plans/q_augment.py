@@ -432,3 +432,17 @@ SELECT cluster_id AS program_id, 'generated_' || CAST(row_number() OVER (ORDER B
 def select_novel_survivors(spark, sf):
     from pairlab.plans.jobs import select_novel
     return select_novel(view(spark, sf, "v_outputs"))["survivors"].select("program_id", "gen_id", "n_equivalent")
+
+
+@query("mine_seeds_job", oracle_with(["v_submissions"], _SEEDS + """
+SELECT s.problem_id, s.submission_id, CAST(s.num_submissions AS BIGINT) AS num_submissions,
+  p.page_id IS NOT NULL AS has_description
+FROM seeds s LEFT JOIN pages p ON p.page_id = s.problem_id
+ORDER BY s.num_submissions DESC, s.problem_id LIMIT 10"""))
+def mine_seeds_job(spark, sf):
+    from pairlab.plans.jobs import mine_seeds
+    desc = table(spark, sf, "pages").select(F.col("page_id").alias("problem_id"),
+                                            F.lit(True).alias("has_description"))
+    out = mine_seeds(view(spark, sf, "v_submissions"), descriptions=desc, n=10, mode="top")
+    return out.select("problem_id", "submission_id", "num_submissions",
+                      F.coalesce("has_description", F.lit(False)).alias("has_description"))
