@@ -1,7 +1,7 @@
 """Benchmark headline queries; prints one JSON line.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEATS (default 3), BENCH_QUERIES (comma list, default the headline set).
+BENCH_REPEATS (default 3), BENCH_QUERIES (comma list or "all"; default the headline set).
 Each query runs once to warm up, then ``BENCH_REPEATS`` times through the
 ``noop`` sink (full execution, nothing collected); the median is reported.
 """
@@ -39,7 +39,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     reps = int(os.environ.get("BENCH_REPEATS", "3"))
-    names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
+    wanted = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE))
+    names = sorted(REGISTRY) if wanted == "all" else [n for n in wanted.split(",") if n]
     spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
                         conf={"spark.driver.memory": "16g"})
     times = {}
