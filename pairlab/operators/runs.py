@@ -193,12 +193,16 @@ def parse_run_stats(lines: DataFrame, *, key: str = "run_id", line: str = "line"
          .select(key, toks.alias("_t")).filter(F.size("_t") >= 2))
 
     def value(tok):
-        v = F.regexp_replace(tok, "%", "")
-        return F.when(v.rlike(r"(?i)^[+-]?(nan|inf)$"), F.lit(None).cast("double")).otherwise(
-            F.when(v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), v.try_cast("double")))
-
-    parsed = d.select(key, F.col("_t")[0].alias("stat"),
-                      F.transform(F.slice("_t", 2, 1 << 20), value).alias("values"))
+        # a number is a token made only of digits, sign, point and exponent
+        # characters that parses once '%' is dropped; nan/inf and other text
+        # -> NULL (no regex per token; the cast runs only on numeric-looking
+        # tokens, so failures that throw inside the cast stay rare)
+        v = F.replace(tok, F.lit("%"), F.lit(""))
+        only_numeric_chars = (F.length(F.translate(v, "0123456789+-.eE", "")) == 0) & (F.length(v) > 0)
+        return F.when(only_numeric_chars, v.try_cast("double"))
+
+    rest = F.slice("_t", F.lit(2), F.greatest(F.size("_t") - 1, F.lit(0)))
+    parsed = d.select(key, F.col("_t")[0].alias("stat"), F.transform(rest, value).alias("values"))
     ticks = parsed.groupBy(key).pivot("stat", ["sim_ticks", "sim_freq"]).agg(F.first(F.col("values")[0]))
     derived = ticks.select(key, F.lit("sim_seconds_precise").alias("stat"),
                            F.array(safe_divide(F.col("sim_ticks"), F.col("sim_freq"))).alias("values"))
