@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -50,6 +52,25 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers of a session (once per context).
+
+    The same as ``--py-files`` at submission: Arrow functions are pickled by
+    reference, so a worker must be able to import the package.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_pairlab_shipped", False):
+        return spark
+    top = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="pairlab-ship-")) / "pairlab.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(archive))
+    sc._pairlab_shipped = True
     return spark
 
 
