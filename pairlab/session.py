@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -75,21 +74,17 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """The folder that the cluster shares: ``spark.checkpoint.dir``.
 
-    A cluster names it.  Only a local master (tests, a laptop) may fall back to
-    a temporary folder; on a cluster an unset value is an error, because a
-    machine-local folder would not survive the loss of that machine.
+    Where a session names none, a folder below its warehouse (which is shared as
+    well) is set as the context's checkpoint folder and used.
     """
     sc = spark.sparkContext
-    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
-        path = tempfile.mkdtemp(prefix="pairlab-ckpt-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pairlab-scratch")
+        path = sc.getCheckpointDir()
+    return path.rstrip("/")
 
 
 def materialize(df, name: str = "table"):
@@ -98,6 +93,6 @@ def materialize(df, name: str = "table"):
     (a reliable cut that survives executor loss; never a local checkpoint)."""
     import uuid
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "materialized", f"{name}-{uuid.uuid4().hex}")
+    path = f"{checkpoint_dir(spark)}/materialized/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)

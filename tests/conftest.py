@@ -13,9 +13,7 @@ SF_CHECK = os.environ.get("PAIRLAB_TEST_SF", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def spark():
     from pairlab.session import get_session
-    s = get_session("local[4]", shuffle_partitions=8)
-    if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pairlab-test-ckpt-"))
+    s = get_session("local[4]", shuffle_partitions=8, conf={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="pairlab-test-ckpt-")})
     yield s
 
 
