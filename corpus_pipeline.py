@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import mix, quality, shard
+from pairlab.llm import decontaminate, mix, near_dup, quality, shard
 from pairlab.llm.base import table, word_count, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,6 +16,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.apply_policy(quality.quality_ledger(docs)).select(*COLUMNS)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dup.one_of_each(docs.select(*COLUMNS))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaks."""
+    docs = docs.select(*COLUMNS)
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+
+
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     weighted = mix.quality_weight(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
@@ -31,6 +43,8 @@ def shard_by_key(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality rules", keep_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("benchmark leaks", drop_leaks),
     ("mix", mix_to_targets),
     ("shards", shard_by_key),
 ]

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlab.session import checkpoint_dir
+
 #: a word, as a Java regular expression: ASCII white space splits, nothing else
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,11 +30,8 @@ def word_count(text: Column) -> Column:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all machines share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{root.rstrip('/')}/pairlab/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the one that all machines share (``spark.checkpoint.dir``)."""
+    return f"{checkpoint_dir(spark)}/pairlab/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,11 +43,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores before it until no column of ``df`` has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name

@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import hosts, mix, quality, shard
+from pairlab.llm import decontaminate, hosts, lm, mix, near_dup, pii, quality, shard, token_codec, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bootstrapped_pii": pii.op1_bootstrapped_pii,
+    "op2_backoff_automaton": lm.op2_backoff_automaton,
+    "op3_token_range_coder": token_codec.op3_token_range_coder,
+    "op4_cgk_leaks": decontaminate.op4_cgk_leaks,
+    "op5_bayes_minhash": near_dup.op5_bayes_minhash,
     "op6_weighted_mix": mix.op6_weighted_mix,
     "op7_jump_hash_shards": shard.op7_jump_hash_shards,
     "op8_rule_ledger": quality.op8_rule_ledger,
     "op9_host_reputation": hosts.op9_host_reputation,
+    "op10_seekable_warc": warc.op10_seekable_warc,
 }
 
 #: DuckDB SQL; the other queries are tested against brute-force versions
