@@ -252,7 +252,7 @@ def leaks_of(bench: Benchmark, texts: pa.Array) -> Iterator[tuple[int, int, int,
         new = np.ones(len(start), dtype=bool)
         new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > size[1:])
         begins = np.flatnonzero(new)
-        ends = np.concatenate([begins[1:], [len(start)]]) - 1
+        ends = np.concatenate([begins[1:], [len(start)]])[:len(begins)] - 1
         n, t, which = size[begins], text[begins], item[begins]
         k = (EDITS * n + 1e-9).astype(np.int64)
         a = np.maximum(first[t], start[begins] - 2 * k - 1)
