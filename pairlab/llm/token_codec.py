@@ -4,14 +4,14 @@ Texts are encoded by a public tokenizer, documents go to files in ascending
 doc_id order, and a file holds its ids in blocks of ``BLOCK`` ids that are coded
 and decoded independently: each starts from a fresh model and has a checksum.
 
-The coder is a 32-bit range coder.  An id is predicted at three orders:
+The coder is a range coder with a 48-bit interval.  An id is predicted at three orders:
 
 * order 2 and order 1: the id that last followed the two (one) ids before, with
   a confidence that grows with hits.  Adaptive hit rates by confidence are mixed
   with weights that follow how well each order predicted lately; the mix codes
   whether the id is the predicted one.
-* order 0: else the id's nibbles are coded by adaptive frequencies in a 16-ary
-  tree.
+* order 0: else the id's nibbles are coded by adaptive cumulative frequencies in
+  a 16-ary tree.
 
 All model arithmetic is on integers, so any machine decodes what another wrote.
 The blocks of a file advance in lockstep, one id a step, as numpy vectors over
@@ -34,16 +34,23 @@ from pairlab.llm import words as W
 from pairlab.llm.base import shared_path, table, written
 from pairlab.llm.files import new_file, open_in, open_out
 
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES = 4096, 2048
 END_ID = 1
 #: contexts that a block's prediction tables tell apart
 SLOTS = 4096
 _SLOT_BITS = 12
 _MAGIC = b"PLTOKEN1"
-_TOP, _LOW = 1 << 24, 1 << 16
-#: step of a frequency, and the total at which a node's frequencies are halved
-_STEP, _LIMIT = 24, 1 << 13
-_ONE = 1 << 12  # scale of hit rates
+#: scale of hit rates and of the cumulative frequencies of a node
+_BITS = 14
+_ONE = 1 << _BITS
+#: the coder's interval is kept at this width or more; it then gives out 16 bits
+_LEAST = 1 << 32
+#: how fast the frequencies of each level of the tree follow the ids
+_RATES = (5, 5, 4, 3)
+
+# cumulative frequencies 0..16 of a node before the first id, and what each nibble pulls them to
+_FRESH = (np.arange(17) * (_ONE // 16)).astype(np.int16)
+_PULL = np.array([[j if j <= s else _ONE - 16 + j for j in range(17)] for s in range(16)], dtype=np.int16)
 
 
 class _Model:
@@ -52,62 +59,65 @@ class _Model:
     def __init__(self, n: int, nibbles: int):
         self.n, self.nibbles = n, nibbles
         self.lane = np.arange(n)
-        self.guess = [np.zeros(n * SLOTS, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(n * SLOTS, np.uint8) for _ in range(2)]
-        self.rate = [np.tile(np.array([1 << 6, 1 << 10, 1 << 11, 3 << 10], np.int32), n) for _ in range(3)]
+        #: by context: the id that followed last, times 4, plus the confidence
+        self.said = [np.zeros(n * SLOTS, np.int32) for _ in range(2)]
+        self.slots = self.lane * SLOTS
+        self.rate = [np.tile(np.array([_ONE >> 6, _ONE >> 2, _ONE >> 1, _ONE * 3 >> 2], np.int32), n) for _ in range(3)]
+        self.cells = self.lane * 4
         self.weight = [np.full(n, _ONE // 2, np.int32) for _ in range(2)]
         nodes = [min(16 ** k, SLOTS) for k in range(nibbles)]
         self.base = np.concatenate([[0], np.cumsum(nodes)])
-        self.count = np.ones((n * int(self.base[-1]), 16), np.uint16)
-        self.last = np.zeros((2, n), np.int64)
+        self.table = np.tile(_FRESH, (n * int(self.base[-1]), 1))
+        self.one = np.zeros(n, np.int64)
+        self.two = np.zeros(n, np.int64)
 
     def predict(self) -> None:
-        one, two = self.last
-        key = (one + 1) * 0x9E3779B1 & 0xFFFFFFFF
-        keys = [(key * 0x85EBCA6B + (two + 1) * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - _SLOT_BITS), key >> (32 - _SLOT_BITS)]
-        self.at = [self.lane * SLOTS + k for k in keys]
-        self.said = [g[a] for g, a in zip(self.guess, self.at, strict=True)]
-        self.conf = [s[a] for s, a in zip(self.sure, self.at, strict=True)]
-        self.cell = [self.lane * 4 + c for c in self.conf]
+        key = (self.one + 1) * 0x9E3779B1 & 0xFFFFFFFF
+        self.at = [self.slots + ((key * 0x85EBCA6B + (self.two + 1) * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - _SLOT_BITS)), self.slots + (key >> (32 - _SLOT_BITS))]
+        said = [s.take(a) for s, a in zip(self.said, self.at, strict=True)]
+        self.guess = [s >> 2 for s in said]
+        self.conf = [s & 3 for s in said]
+        self.cell = [self.cells + c for c in self.conf]
+        rates = [self.rate[k].take(self.cell[k]) for k in range(2)]
+        self.rates = rates
         # the first guess: order 2 if it has one, else order 1
-        self.first = np.where(self.conf[0] > 0, self.said[0], self.said[1])
-        votes = [self.rate[0][self.cell[0]], self.rate[1][self.cell[1]]]
-        agree = self.said[1] == self.first
-        self.votes = [votes[0], np.where(agree, votes[1], _ONE - votes[1] >> 4)]
+        self.first = np.where(self.conf[0] > 0, self.guess[0], self.guess[1])
+        agree = self.guess[1] == self.first
+        self.votes = [rates[0], np.where(agree, rates[1], _ONE - rates[1] >> 4)]
         w0, w1 = self.weight
-        mixed = (w0 * self.votes[0] + w1 * self.votes[1]) // (w0 + w1)
-        self.p_first = np.clip(mixed, 16, _ONE - 16)
+        self.p_first = np.clip((w0 * self.votes[0] + w1 * self.votes[1]) // (w0 + w1), 32, _ONE - 32)
         self.again = ~agree & (self.conf[1] > 0)
-        self.p_again = np.clip(self.rate[2][self.cell[1]], 16, _ONE - 16)
+
+    def p_again(self, lanes: np.ndarray) -> np.ndarray:
+        return np.clip(self.rate[2].take(self.cell[1].take(lanes)), 32, _ONE - 32)
 
     def learn(self, ids: np.ndarray, hit: np.ndarray, tried: np.ndarray, hit_again: np.ndarray) -> None:
         for k in range(2):
             w = self.weight[k]
             w += (np.where(hit, self.votes[k], _ONE - self.votes[k]) - w) >> 4
-            np.maximum(w, 32, out=w)
-            right = self.said[k] == ids
-            known = self.conf[k] > 0
-            r = self.rate[k]
-            cell = self.cell[k]
-            now = r[cell]
-            r[cell] = np.where(known, now + ((right * _ONE - now) >> 5), now)
-            a = self.at[k]
-            self.sure[k][a] = np.where(right & known, np.minimum(self.conf[k] + 1, 3), 1)
-            self.guess[k][a] = ids
-        cell = self.cell[1][tried]
-        now = self.rate[2][cell]
-        self.rate[2][cell] = now + ((hit_again[tried] * _ONE - now) >> 5)
-        self.last[1] = self.last[0]
-        self.last[0] = ids
+            np.maximum(w, 64, out=w)
+            conf, now = self.conf[k], self.rates[k]
+            right = self.guess[k] == ids
+            known = conf > 0
+            self.rate[k][self.cell[k]] = now + known * ((right * np.int32(_ONE) - now) >> 5)
+            self.said[k][self.at[k]] = ids << 2 | np.where(right & known, np.minimum(conf + 1, 3), 1)
+        if len(tried):
+            cell = self.cell[1][tried]
+            now = self.rate[2][cell]
+            self.rate[2][cell] = now + ((hit_again[tried] * np.int32(_ONE) - now) >> 5)
+        self.two, self.one = self.one, ids
 
     def node(self, lanes: np.ndarray, level: int, prefix: np.ndarray) -> np.ndarray:
-        return lanes * int(self.base[-1]) + int(self.base[level]) + (prefix if 16 ** level <= SLOTS else (prefix * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _SLOT_BITS))
+        own = prefix if 16 ** level <= SLOTS else (prefix * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _SLOT_BITS)
+        return lanes * int(self.base[-1]) + int(self.base[level]) + own
 
-    def update(self, node: np.ndarray, nibble: np.ndarray, total: np.ndarray) -> None:
-        self.count[node, nibble] += _STEP
-        full = np.flatnonzero(total + _STEP > _LIMIT)
-        if len(full):
-            self.count[node[full]] = (self.count[node[full]] + 1) >> 1
+    def update(self, node: np.ndarray, rows: np.ndarray, nibble: np.ndarray, level: int) -> None:
+        """Pull the rows of the nodes to the nibbles seen (every frequency stays at least 1)."""
+        step = _PULL.take(nibble, axis=0)
+        step -= rows
+        step >>= _RATES[min(level, len(_RATES) - 1)]
+        rows += step
+        self.table[node] = rows
 
 
 def _nibbles(ids: np.ndarray) -> int:
@@ -126,24 +136,27 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     grid = np.ascontiguousarray(padded.reshape(n, BLOCK).T)
     k = _nibbles(ids)
     model = _Model(n, k)
-    low, width = np.zeros(n, np.int64), np.full(n, 0xFFFFFFFF, np.int64)
-    digits = np.zeros((n, BLOCK * (2 * k + 4) + 8), np.uint16)
-    used = np.ones(n, np.int64)  # digit 0 takes a carry out of the first byte
-
-    def shift(lanes: np.ndarray) -> None:
-        small = lanes[width[lanes] < _TOP]
-        while len(small):
-            digits[small, used[small]] = low[small] >> 24
-            used[small] += 1
-            low[small] = (low[small] & 0xFFFFFF) << 8
-            width[small] <<= 8
-            small = small[width[small] < _TOP]
+    low, width = np.zeros(n, np.int64), np.full(n, (1 << 48) - 1, np.int64)
+    digits = np.zeros((n, BLOCK * (k + 2) + 8), np.uint32)  # 16 bits each, and a carry until the end
+    used = np.ones(n, np.int64)  # digit 0 takes a carry out of the first
+
+    def shift(lanes: np.ndarray, lows: np.ndarray, widths: np.ndarray) -> None:
+        """Give out 16 bits where the interval has become narrow."""
+        small = np.flatnonzero(widths < _LEAST)
+        if len(small):
+            own = lanes[small]
+            digits[own, used[own]] = lows[small] >> 32
+            used[own] += 1
+            lows[small] = (lows[small] & 0xFFFFFFFF) << 16
+            widths[small] <<= 16
 
     def bit(lanes: np.ndarray, p: np.ndarray, value: np.ndarray) -> None:
-        part = (width[lanes] >> 12) * p
-        low[lanes] += np.where(value, 0, part)
-        width[lanes] = np.where(value, part, width[lanes] - part)
-        shift(lanes)
+        lows, widths = low[lanes], width[lanes]
+        part = (widths >> _BITS) * p
+        lows += np.where(value, 0, part)
+        widths = np.where(value, part, widths - part)
+        shift(lanes, lows, widths)
+        low[lanes], width[lanes] = lows, widths
 
     everyone = np.arange(n)
     for step in range(int(size.max())):
@@ -151,38 +164,37 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         x = grid[step]
         model.predict()
         hit = model.first == x
-        bit(live, model.p_first[live], hit[live])
-        tried = live[(model.again & ~hit)[live]]
-        hit_again = model.said[1] == x
+        bit(live, model.p_first[:len(live)], hit[:len(live)])
+        missed = live[~hit[:len(live)]]
+        tried = missed[model.again[missed]]
+        hit_again = model.guess[1] == x
         if len(tried):
-            bit(tried, model.p_again[tried], hit_again[tried])
-        rest = live[~(hit | (model.again & hit_again))[live]]
+            bit(tried, model.p_again(tried), hit_again[tried])
+        rest = missed[~(model.again & hit_again)[missed]]
         if len(rest):
-            v = x[rest]
+            v, lows, widths, i = x[rest], low[rest], width[rest], np.arange(len(rest))
             for level in range(k):
-                prefix, nibble = v >> 4 * (k - level), v >> 4 * (k - 1 - level) & 15
-                node = model.node(rest, level, prefix)
-                upto = np.cumsum(model.count[node], axis=1, dtype=np.int64)
-                total = upto[:, -1]
-                i = np.arange(len(rest))
-                freq = model.count[node, nibble].astype(np.int64)
-                unit = width[rest] // total
-                low[rest] += unit * (upto[i, nibble] - freq)
-                width[rest] = unit * freq
-                shift(rest)
-                model.update(node, nibble, total)
+                nibble = v >> 4 * (k - 1 - level) & 15
+                node = model.node(rest, level, v >> 4 * (k - level))
+                rows = model.table.take(node, axis=0)
+                below = rows[i, nibble]
+                unit = widths >> _BITS
+                lows += unit * below
+                widths = unit * (rows[i, nibble + 1] - below)
+                shift(rest, lows, widths)
+                model.update(node, rows, nibble, level)
+            low[rest], width[rest] = lows, widths
         model.learn(x, hit, tried, hit_again)
-    for _ in range(5):
-        digits[everyone, used] = low >> 24
+    for _ in range(3):
+        digits[everyone, used] = low >> 32
         used += 1
-        low = (low & 0xFFFFFF) << 8
-    while True:  # carries move up until none is left
-        carry = digits >> 8
-        if not carry.any():
-            break
-        digits &= 255
+        low = (low & 0xFFFFFFFF) << 16
+    digits = digits[:, :int(used.max())]
+    while (digits >> 16).any():  # carries move up until none is left
+        carry = digits >> 16
+        digits &= 0xFFFF
         digits[:, :-1] += carry[:, 1:]
-    return [digits[i, 1:used[i]].astype(np.uint8).tobytes() for i in range(n)]
+    return [digits[i, 1:used[i]].astype(">u2").tobytes() for i in range(n)]
 
 
 def decode_blocks(payloads: list[bytes], sizes: list[int], nibbles: int) -> np.ndarray:
@@ -191,61 +203,63 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], nibbles: int) -> np.n
     if not n:
         return np.zeros(0, np.int64)
     size = np.array(sizes)
-    length = np.array([len(p) for p in payloads])
-    start = np.cumsum(length + 8) - (length + 8)
-    source = np.frombuffer(b"".join(p + bytes(8) for p in payloads), np.uint8).astype(np.int64)
+    length = np.array([len(p) // 2 for p in payloads])
+    start = np.cumsum(length + 4) - (length + 4)
+    source = np.frombuffer(b"".join(p + bytes(8) for p in payloads), ">u2").astype(np.int64)
     model = _Model(n, k)
-    code, width, at = np.zeros(n, np.int64), np.full(n, 0xFFFFFFFF, np.int64), start.copy()
-    for _ in range(4):
-        code = code << 8 | source[at]
+    code, width, at = np.zeros(n, np.int64), np.full(n, (1 << 48) - 1, np.int64), start.copy()
+    for _ in range(3):
+        code = code << 16 | source[at]
         at += 1
     grid = np.zeros((int(size.max()), n), np.int64)
     everyone = np.arange(n)
-    stop = start + length + 7
+    stop = start + length + 3
 
-    def shift(lanes: np.ndarray) -> None:
-        small = lanes[width[lanes] < _TOP]
-        while len(small):
-            code[small] = code[small] << 8 | source[np.minimum(at[small], stop[small])]
-            at[small] += 1
-            width[small] <<= 8
-            small = small[width[small] < _TOP]
+    def shift(lanes: np.ndarray, codes: np.ndarray, widths: np.ndarray) -> None:
+        small = np.flatnonzero(widths < _LEAST)
+        if len(small):
+            own = lanes[small]
+            codes[small] = codes[small] << 16 | source[np.minimum(at[own], stop[own])]
+            at[own] += 1
+            widths[small] <<= 16
 
     def bit(lanes: np.ndarray, p: np.ndarray) -> np.ndarray:
-        part = (width[lanes] >> 12) * p
-        value = code[lanes] < part
-        code[lanes] -= np.where(value, 0, part)
-        width[lanes] = np.where(value, part, width[lanes] - part)
-        shift(lanes)
+        codes, widths = code[lanes], width[lanes]
+        part = (widths >> _BITS) * p
+        value = codes < part
+        codes -= np.where(value, 0, part)
+        widths = np.where(value, part, widths - part)
+        shift(lanes, codes, widths)
+        code[lanes], width[lanes] = codes, widths
         return value
 
     for step in range(len(grid)):
         live = everyone if step < size[-1] else everyone[:-1]
         model.predict()
         hit = np.zeros(n, dtype=bool)
-        hit[live] = bit(live, model.p_first[live])
+        hit[live] = bit(live, model.p_first[:len(live)])
+        missed = live[~hit[:len(live)]]
         hit_again = np.zeros(n, dtype=bool)
-        tried = live[(model.again & ~hit)[live]]
+        tried = missed[model.again[missed]]
         if len(tried):
-            hit_again[tried] = bit(tried, model.p_again[tried])
-        x = np.where(hit, model.first, model.said[1]).astype(np.int64)
-        rest = live[~(hit | hit_again)[live]]
+            hit_again[tried] = bit(tried, model.p_again(tried))
+        x = np.where(hit, model.first, model.guess[1]).astype(np.int64)
+        rest = missed[~hit_again[missed]]
         if len(rest):
-            v = np.zeros(len(rest), np.int64)
-            i = np.arange(len(rest))
+            v, codes, widths, i = np.zeros(len(rest), np.int64), code[rest], width[rest], np.arange(len(rest))
             for level in range(k):
                 node = model.node(rest, level, v)
-                upto = np.cumsum(model.count[node], axis=1, dtype=np.int64)
-                total = upto[:, -1]
-                unit = width[rest] // total
-                value = np.minimum(code[rest] // unit, total - 1)
-                nibble = (upto <= value[:, None]).sum(axis=1)
-                freq = model.count[node, nibble].astype(np.int64)
-                code[rest] -= unit * (upto[i, nibble] - freq)
-                width[rest] = unit * freq
-                shift(rest)
-                model.update(node, nibble, total)
+                rows = model.table.take(node, axis=0)
+                unit = widths >> _BITS
+                value = np.minimum(codes // unit, _ONE - 1).astype(np.int16)
+                nibble = (rows[:, 1:] <= value[:, None]).sum(axis=1)
+                below = rows[i, nibble]
+                codes -= unit * below
+                widths = unit * (rows[i, nibble + 1] - below)
+                shift(rest, codes, widths)
+                model.update(node, rows, nibble, level)
                 v = v << 4 | nibble
+            code[rest], width[rest] = codes, widths
             x[rest] = v
         grid[step] = x  # a lane past its end goes on alone, and is cut off below
         model.learn(x, hit, tried, hit_again)
