@@ -7,8 +7,8 @@
 2. Classes that share a band key are candidates.  A bucket is not expanded into
    pairs: its members are compared with one centre, members that became
    connected need no further comparison, and the next round takes another
-   centre.  Whatever is left after the star rounds is compared exactly, block
-   against block, inside tasks.
+   centre.  Whatever is left after the star rounds is compared block against
+   block inside tasks, which return only links that join what was apart.
 3. A candidate pair compares its signatures batch by batch.  With ``m`` of ``n``
    hashes equal and a uniform prior the similarity is Beta(m+1, n-m+1); a pair
    is dropped once its chance to reach the threshold is below ``MISS``.
@@ -42,7 +42,9 @@ BATCH, BATCHES = 16, 6
 HASHES = BATCH * BATCHES
 MISS = 1e-8
 #: star rounds before the rest is compared block against block; classes in a block
-STARS, BLOCK = 4, 256
+STARS, BLOCK = 2, 2048
+#: shingles of a block's sets, which bound it as well
+BLOCK_SHINGLES = 1 << 20
 #: shingles that travel to one copy of a centre's set
 GROUP_SHINGLES = 1 << 18
 
@@ -138,11 +140,14 @@ def _rows(a: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(a.to_pylist()), dtype=np.uint16).reshape(len(a), width)
 
 
+_LEAST = least_matches()
+
+
 def sequential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Indices of the rows of two signature tables that survive every batch."""
     alive = np.arange(len(a))
     matches = np.zeros(len(a), np.int64)
-    for i, least in enumerate(least_matches()):
+    for i, least in enumerate(_LEAST):
         cols = slice(BATCH * i, BATCH * (i + 1))
         matches = matches + (a[alive, cols] == b[alive, cols]).sum(axis=1)
         keep = matches >= least
@@ -162,53 +167,73 @@ def components(links: DataFrame, name: str = "near-dup-labels") -> DataFrame:
     """(node, root) for the nodes of ``links`` (a, b); the root is the least node reachable.
 
     Least-label propagation with pointer jumping; each round's labels are
-    written to the shared folder, and only a count of changes reaches the driver.
+    written to the shared folder, and only whether one changed reaches the driver.
     """
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), name)
     while True:
         heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("heard"))
-        least = labels.join(heard, labels.node == heard.a).select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
-        jump = labels.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
-        jumped = least.join(jump, least.root == jump["__n"]).select("node", F.least("root", "__r").alias("root"), "old")
-        step = written(jumped, name)
+        step = labels.join(heard, labels.node == heard.a).select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
+        for k in range(2):
+            jump = labels.select(F.col("node").alias(f"__n{k}"), F.col("root").alias(f"__r{k}"))
+            step = step.join(jump, F.col("root") == F.col(f"__n{k}")).select("node", "old", F.least("root", f"__r{k}").alias("root"))
+        step = written(step, name)
         labels = step.select("node", "root")
         if step.where("root <> old").isEmpty():
             return labels
 
 
-def _verify(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``roots`` after further links: only links between different components count."""
+    if roots is None:
+        return components(links)
+    at = lambda c: roots.select(F.col("node").alias(f"__{c}"), F.col("root").alias(f"__r{c}"))
+    between = (links.join(at("a"), F.col("a") == F.col("__a"), "left").join(at("b"), F.col("b") == F.col("__b"), "left")
+               .select(F.coalesce("__ra", "a").alias("a"), F.coalesce("__rb", "b").alias("b")).where("a <> b").distinct())
+    higher = components(between).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    moved = roots.join(higher, F.col("root") == F.col("__node"), "left").select("node", F.coalesce("__root", "root").alias("root"))
+    new = higher.join(roots, F.col("__node") == F.col("root"), "left_anti").select(F.col("__node").alias("node"), F.col("__root").alias("root"))
+    return written(moved.union(new), "near-dup-roots")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, owners: DataFrame) -> DataFrame:
+    """(node, hashes) of the given nodes, made again from the texts of their owners."""
+    owner = nodes.join(owners, "node").select("owner").distinct()
+    texts = docs.join(owner, docs.doc_id.eqNullSafe(owner.owner), "left_semi")
+    sets = texts.select(_shingled(F.col("text")).alias("s")).select("s.*").join(nodes, "node", "left_semi")
+    return written(sets.dropDuplicates(["node"]), "near-dup-sets")
+
+
+def _verify(pairs: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, c) whose full sets reach the threshold.
 
-    ``sizes`` has (node, n_shingles), ``owners`` (node, owner: a document with
-    this set).  The sets are made again from the texts of the owners needed.
+    ``sizes`` has (node, n_shingles), ``sets`` (node, hashes).  A centre with
+    many members is salted, so that what travels to one copy of its set is
+    bounded; copies of small ones share a group.
     """
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("c").alias("node"))).distinct()
-    owner = need.join(owners, "node").select("owner").distinct()
-    texts = docs.join(owner, docs.doc_id.eqNullSafe(owner.owner), "left_semi")
-    sets = texts.select(_shingled(F.col("text")).alias("s")).select("s.*").join(need, "node", "left_semi").dropDuplicates(["node"])
-    sets = written(sets, "near-dup-sets")
+    groups = 4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sized = pairs.join(sizes.select(F.col("node").alias("a"), "n_shingles"), "a")
     salts = sized.groupBy("c").agg(F.ceil(F.sum("n_shingles") / GROUP_SHINGLES).cast("int").alias("k"))
-    left = (sized.join(salts, "c").select("a", "c", F.pmod(F.xxhash64("a"), F.col("k")).cast("int").alias("salt"))
-            .join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a"))
-    right = (salts.select(F.col("c").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
+    salted = sized.join(salts, "c").select("a", "c", F.pmod(F.xxhash64("a"), F.col("k")).cast("int").alias("salt"))
+    group = lambda c: F.pmod(F.xxhash64(c, "salt"), F.lit(groups)).alias("group")
+    left = salted.select("a", "c", group("c")).join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a")
+    copies = salts.select(F.col("c").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
+    right = (copies.select("centre", group("centre").alias("part")).distinct()
              .join(sets.select(F.col("node").alias("centre"), F.col("hashes").alias("right")), "centre"))
 
-    def check(members: pa.Table, centre: pa.Table) -> pa.Table:
+    def check(members: pa.Table, centres: pa.Table) -> pa.Table:
+        centre = {c: np.frombuffer(h, np.uint64) for c, h in zip(centres.column("centre").to_pylist(), centres.column("right").to_pylist(), strict=True)}
         keep = []
-        if centre.num_rows:
-            c = np.frombuffer(centre.column("right")[0].as_py(), np.uint64)
-            for i, x in enumerate(members.column("left")):
-                s = np.frombuffer(x.as_py(), np.uint64)
-                at = np.searchsorted(c, s)
-                at[at == len(c)] = 0
-                common = int((c[at] == s).sum())
-                if 100 * common >= PERCENT * (len(c) + len(s) - common):
-                    keep.append(i)
+        for i, (c, x) in enumerate(zip(members.column("c").to_pylist(), members.column("left").to_pylist(), strict=True)):
+            whole, s = centre[c], np.frombuffer(x, np.uint64)
+            at = np.searchsorted(whole, s)
+            at[at == len(whole)] = 0
+            common = int((whole[at] == s).sum())
+            if 100 * common >= PERCENT * (len(whole) + len(s) - common):
+                keep.append(i)
         return members.select(["a", "c"]).take(pa.array(keep, pa.int64()))
 
-    return left.groupBy("c", "salt").cogroup(right.groupBy("centre", "part")).applyInArrow(check, "a binary, c binary").select(F.col("a"), F.col("c").alias("b"))
+    return left.groupBy("group").cogroup(right.groupBy("part")).applyInArrow(check, "a binary, c binary").select(F.col("a"), F.col("c").alias("b"))
 
 
 @F.arrow_udf(T.StructType([T.StructField("node", T.BinaryType()), T.StructField("hashes", T.BinaryType())]))
@@ -225,36 +250,66 @@ def _shingled(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Pairs that survive the sequential test among members (bucket, node, root, n_shingles, sign) of different roots.
+def _common(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with others (none empty)."""
+    flat = np.concatenate(many)
+    at = np.searchsorted(one, flat)
+    at[at == len(one)] = 0
+    starts = np.concatenate([[0], np.cumsum([len(m) for m in many[:-1]])]).astype(np.int64)
+    return np.add.reduceat((one[at] == flat).astype(np.int64), starts)
+
+
+def _links_between(band: int, x: np.ndarray, y: np.ndarray | None, root: np.ndarray, size: np.ndarray, sign: np.ndarray,
+                   bands: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Verified links among ``x`` (``y`` None) or between ``x`` and ``y`` that join what was apart.
 
-    A bucket of many members is cut into blocks; a task compares two blocks and
-    returns only what survives.
+    A pair belongs to the first band whose key it shares, so it is compared
+    once; what a link has joined is not compared again.  So at most one link
+    for each member comes out, however many are similar.
     """
-    counts = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    root = root.copy()
+    out = []
+    for k, one in enumerate(x):
+        many = x[k + 1:] if y is None else y
+        many = many[(root[many] != root[one]) & (100 * np.minimum(size[many], size[one]) >= PERCENT * np.maximum(size[many], size[one]))]
+        if len(many):
+            many = many[sequential(sign[many], np.broadcast_to(sign[one], (len(many), HASHES)))]
+        if len(many) and band:
+            many = many[~(bands[many, :band] == bands[one, :band]).any(axis=1)]
+        if not len(many):
+            continue
+        common = _common(sets[one], [sets[m] for m in many])
+        for m in many[100 * common >= PERCENT * (size[many] + size[one] - common)]:
+            if root[m] != root[one]:
+                out.append((int(one), int(m)))
+                root[root == root[m]] = root[one]
+    return out
+
+
+def _rest(members: DataFrame) -> DataFrame:
+    """Links (a, b) among members (bucket, band, node, root, n_shingles, sign, bands, hashes) of different roots.
+
+    A bucket of many (or long) members is cut into blocks; a task compares two
+    blocks on signatures and full sets and returns the links that join them.
+    """
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    counts = members.groupBy("bucket").agg(size.alias("k"))
     own = members.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n_shingles", "sign")
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "root", "n_shingles", "sign", "bands", "hashes")
 
     def compare(t: pa.Table) -> pa.Table:
-        sign = _rows(t.column("sign").combine_chunks(), HASHES)
-        block, i, j = t.column("block").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        size = t.column("n_shingles").to_numpy()
-        root = t.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
-        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found_a, found_b = [x[:0]], [x[:0]]
-        for k, one in enumerate(x):
-            many = x[k + 1:] if i == j else y
-            many = many[(root[many] != root[one]) & (100 * np.minimum(size[many], size[one]) >= PERCENT * np.maximum(size[many], size[one]))]
-            if len(many):
-                many = many[sequential(sign[many], np.broadcast_to(sign[one], (len(many), HASHES)))]
-                found_a.append(np.full(len(many), one))
-                found_b.append(many)
+        t = t.combine_chunks()
+        block, i, j, band = t.column("block").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("band")[0].as_py()
+        links = _links_between(
+            band, np.flatnonzero(block == i), None if i == j else np.flatnonzero(block == j), np.unique(t.column("root").to_pylist(), return_inverse=True)[1],
+            t.column("n_shingles").to_numpy(), _rows(t.column("sign"), HASHES), t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS),
+            [np.frombuffer(h, np.uint64) for h in t.column("hashes").to_pylist()])
         node = t.column("node").combine_chunks()
-        return pa.table({"a": node.take(pa.array(np.concatenate(found_a))), "c": node.take(pa.array(np.concatenate(found_b)))},
-                        schema=pa.schema([("a", pa.binary()), ("c", pa.binary())]))
+        at = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table([node.take(pa.array(at[:, 0])), node.take(pa.array(at[:, 1]))], schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
 
-    return spread.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, c binary").distinct()
+    return spread.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -275,15 +330,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rep = (full.join(classes, "node").where(F.col("doc_id").eqNullSafe(F.col("owner"))).select("node", "n_shingles", "bands", "sign").dropDuplicates(["node"]))
     rep = written(rep, "near-dup-representatives")
     signs = rep.select("node", "n_shingles", "sign")
-    member = rep.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    member = rep.select("node", F.posexplode("bands").alias("band", "key")).select("node", "band", F.xxhash64("band", "key").alias("bucket"))
     crowded = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     member = written(member.join(crowded, "bucket"), "near-dup-buckets")
+    crowd = member.select("node").distinct()
 
     roots: DataFrame | None = None  # (node, root) of the nodes with links
-    links: DataFrame | None = None
+    sets: DataFrame | None = None
     for star in range(STARS + 1):
         known = member if roots is None else member.join(roots, "node", "left")
-        known = known.select("bucket", "node", (F.col("node") if roots is None else F.coalesce("root", "node")).alias("root"))
+        known = known.select("bucket", "band", "node", (F.col("node") if roots is None else F.coalesce("root", "node")).alias("root"))
         mixed = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(star)), "node")).alias("c"))
         mixed = mixed.where("lo <> hi").select("bucket", F.col("c.node").alias("centre"))
         open_ = written(known.join(mixed, "bucket"), "near-dup-open")
@@ -297,15 +353,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                      .where(F.lit(100) * F.least("na", "nc") >= F.lit(PERCENT) * F.greatest("na", "nc"))
                      .where(plausible(F.col("sa"), F.col("sc"))).select("a", "c"))
             # the centre has met every member of its bucket
-            member = open_.where("node <> centre").select("bucket", "node")
-        else:
-            pairs = _blocks(open_.join(signs, "node"))
-        pairs = written(pairs, "near-dup-pairs")
-        if pairs.isEmpty():
-            continue
-        found = written(_verify(pairs, signs, docs, classes.select("node", "owner")), "near-dup-links")
-        links = found if links is None else links.union(found)
-        roots = components(links)
+            member = open_.where("node <> centre").select("bucket", "band", "node")
+            pairs = written(pairs, "near-dup-pairs")
+            if pairs.isEmpty():
+                continue
+        if sets is None:
+            sets = _sets(docs, crowd, classes.select("node", "owner"))
+        found = _verify(pairs, signs, sets) if star < STARS else _rest(open_.join(rep, "node").join(sets, "node"))
+        found = written(found, "near-dup-links")
+        if not found.isEmpty():
+            roots = _merged(roots, found)
 
     if roots is None:
         named = classes.select("node", F.col("owner").alias("component_id"), F.col("node").alias("root"))
