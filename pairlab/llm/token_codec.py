@@ -34,7 +34,7 @@ from pairlab.llm import words as W
 from pairlab.llm.base import shared_path, table, written
 from pairlab.llm.files import new_file, open_in, open_out
 
-BLOCK, LANES = 4096, 2048
+BLOCK, LANES = 4096, 1024
 END_ID = 1
 #: contexts that a block's prediction tables tell apart
 SLOTS = 4096
@@ -137,7 +137,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     k = _nibbles(ids)
     model = _Model(n, k)
     low, width = np.zeros(n, np.int64), np.full(n, (1 << 48) - 1, np.int64)
-    digits = np.zeros((n, BLOCK * (k + 2) + 8), np.uint32)  # 16 bits each, and a carry until the end
+    digits = np.zeros((n, BLOCK // 2), np.uint32)  # 16 bits each, and a carry until the end
     used = np.ones(n, np.int64)  # digit 0 takes a carry out of the first
 
     def shift(lanes: np.ndarray, lows: np.ndarray, widths: np.ndarray) -> None:
@@ -162,6 +162,8 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     for step in range(int(size.max())):
         live = everyone if step < size[-1] else everyone[:-1]
         x = grid[step]
+        if step % 64 == 0 and int(used.max()) + 64 * (k + 2) + 4 > digits.shape[1]:
+            digits = np.concatenate([digits, np.zeros((n, max(BLOCK // 2, 64 * (k + 2))), np.uint32)], axis=1)
         model.predict()
         hit = model.first == x
         bit(live, model.p_first[:len(live)], hit[:len(live)])
@@ -185,6 +187,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
                 model.update(node, rows, nibble, level)
             low[rest], width[rest] = lows, widths
         model.learn(x, hit, tried, hit_again)
+    digits = np.concatenate([digits, np.zeros((n, 4), np.uint32)], axis=1)
     for _ in range(3):
         digits[everyone, used] = low >> 32
         used += 1

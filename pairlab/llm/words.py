@@ -29,7 +29,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: bytes scanned at once; bounds the temporaries (a longer text is scanned alone)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
