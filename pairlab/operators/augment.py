@@ -9,13 +9,14 @@ agree, and no group is ever collected.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.functions.numeric import is_finite, py_strip, safe_divide
-from pairlab.functions.text import arith_hash, token_length
+from pairlab.functions.text import canonical_newlines, seeded_hash, token_length
 from pairlab.operators.scan import dense_index, keep_first
 from pairlab.session import materialize
 
@@ -36,13 +37,15 @@ def accepted_finite(df: DataFrame, *, runtime: str = "agg_runtime", status: str
     return df.filter(cond)
 
 
-def top_n_per_problem(subs: DataFrame, *, n: int = 10, group: str = "problem_id",
+def top_n_per_problem(subs: DataFrame, *, n: int | None = 10, group: str = "problem_id",
                       order: Sequence[str] = ("agg_runtime", "submission_id")) -> DataFrame:
-    """The n fastest submissions per problem (ties by id).
+    """The n fastest submissions per problem (ties by id); all of them, unranked, for n=None.
 
     ``row_number() <= n`` lets Spark insert a partial WindowGroupLimit before
     the shuffle, so a hot problem ships at most n rows per map task.
     """
+    if n is None:
+        return subs
     w = Window.partitionBy(group).orderBy(*order)
     return subs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
@@ -68,28 +71,34 @@ def all_tests_pass(outputs: DataFrame, expected: DataFrame, *, problem: str = "p
 
     Run failures always fail, a missing output fails, zero expected tests pass.
     """
-    ok = (~F.col(output).isin(*RUN_FAILURES)) & (py_strip(F.col(output)) == py_strip(F.col(truth)))
-    j = outputs.join(expected.select(problem, tc, truth), [problem, tc], "left")
+    # stripped once per (problem, test) and once per output, before they meet
+    want = expected.select(problem, tc, py_strip(F.col(truth)).alias("_want"))
+    have = outputs.select(problem, tc, program, F.when(~F.col(output).isin(*RUN_FAILURES), py_strip(F.col(output))).alias("_have"))
+    ok = F.col("_have") == F.col("_want")
+    j = have.join(want, [problem, tc], "left")
     per = j.groupBy(problem, program).agg(F.count_if(F.coalesce(ok, F.lit(False))).alias("n_match"))
     n_exp = expected.groupBy(problem).agg(F.count(F.lit(1)).alias("n_expected"))
     return per.join(n_exp, problem, "left").select(
         problem, program, (F.col("n_match") == F.coalesce(F.col("n_expected"), F.lit(0))).alias("passed"))
 
 
-def fastest_correct(subs: DataFrame, passed: DataFrame | None = None, *, top: int = 10,
+def fastest_correct(subs: DataFrame, passed: DataFrame | None = None, *, top: int | None = 10,
                     group: str = "problem_id", program: str = "program_id",
                     runtime: str = "agg_runtime") -> DataFrame:
     """Fastest submission per problem that passes every test.
 
-    Only the ``top`` fastest are examined and ``num_submissions`` counts them
-    (after the cut); with ``passed=None`` every submission counts as correct.
+    Only the ``top`` fastest are examined (None: all) and ``num_submissions``
+    counts them; ``n_accepted`` counts all before the cut.  With ``passed=None``
+    every submission counts as correct.
     """
     ranked = top_n_per_problem(subs, n=top, group=group, order=(runtime, program))
     ok = ranked
     if passed is not None:
         ok = ranked.join(passed.filter("passed").select(group, program), [group, program], "left_semi")
     best = keep_first(ok.drop("rank"), [group], [runtime, program])
-    num = ranked.groupBy(group).agg(F.count(F.lit(1)).alias("num_submissions"))
+    num = subs.groupBy(group).agg(F.count(F.lit(1)).alias("n_accepted"))
+    cut = F.col("n_accepted") if top is None else F.least(F.col("n_accepted"), F.lit(top))
+    num = num.withColumn("num_submissions", cut.cast("long"))
     return best.join(num, group)
 
 
@@ -114,12 +123,12 @@ def with_lengths(df: DataFrame, *, code: str = "code", description: str = "text_
 
 
 def sample_candidates(df: DataFrame, n: int, *, mode: str = "top", seed: int = 0,
-                      key: str = "problem_id", order: str = "num_submissions") -> DataFrame:
+                      key: str = "problem_id", order: str = "n_accepted") -> DataFrame:
     """O3: n problems, either the top by ``order`` or a seeded random sample."""
     if mode == "top":
         return df.orderBy(F.col(order).desc(), F.col(key)).limit(n)
     if mode == "random":
-        return df.orderBy(arith_hash(F.col(key), seed=seed), F.col(key)).limit(n)
+        return df.orderBy(seeded_hash(F.col(key), seed=seed), F.col(key)).limit(n)
     raise ValueError(f"unknown mode {mode}")
 
 
@@ -149,19 +158,24 @@ def output_groups(outputs: DataFrame, *, problem: str = "problem_id", tc: str =
                  F.max(program).alias("max_program")))
 
 
+#: the columns of a signature
+SIGNATURE = ("sig_a", "sig_b", "sig_c", "sig_n")
+
+
 def program_signatures(outputs: DataFrame, *, program: Sequence[str] = ("program_id",),
                        problem: str = "problem_id", tc: str = "tc_no",
                        output: str = "output") -> DataFrame:
     """Signature of each program over all its (problem, test, output) entries.
 
-    Two XORs of independent 64-bit hashes plus the entry count: order
-    independent, partially aggregated map-side, never a collected list.
-    Assumes a program has one output per (problem, test).
+    Sums of both halves of one 64-bit hash, the XOR of another and the entry
+    count: order independent, partially aggregated map-side, never a collected
+    list.  Sums do not cancel, so repeated entries count as often as they occur.
     """
     h = output_hash(output)
     return outputs.groupBy(*program).agg(
-        F.bit_xor(F.xxhash64(F.col(problem), F.col(tc), h)).alias("sig_a"),
-        F.bit_xor(F.xxhash64(F.lit("salt"), F.col(tc), F.col(problem), h)).alias("sig_b"),
+        F.sum(F.xxhash64(F.col(problem), F.col(tc), h).bitwiseAND(F.lit(0xFFFFFFFF))).alias("sig_a"),
+        F.sum(F.shiftrightunsigned(F.xxhash64(F.col(problem), F.col(tc), h), 32)).alias("sig_b"),
+        F.bit_xor(F.xxhash64(F.lit("salt"), F.col(tc), F.col(problem), h)).alias("sig_c"),
         F.count(F.lit(1)).alias("sig_n"))
 
 
@@ -172,24 +186,24 @@ def always_co_located(outputs: DataFrame, *, program: str = "program_id", **kw)
     Returns one row per member: (cluster_id = smallest member, program).
     """
     sigs = program_signatures(outputs, program=[program], **kw)
-    sets = sigs.groupBy("sig_a", "sig_b", "sig_n").agg(
+    sets = sigs.groupBy(*SIGNATURE).agg(
         F.count(F.lit(1)).alias("n_members"), F.min(program).alias("cluster_id")).filter("n_members > 1")
-    return sigs.join(sets, ["sig_a", "sig_b", "sig_n"]).select("cluster_id", program, "n_members")
+    return sigs.join(sets, list(SIGNATURE)).select("cluster_id", program, "n_members")
 
 
 def co_located_sets(outputs: DataFrame, *, program: str = "program_id", **kw) -> DataFrame:
     """A10 summary: one row per set (cluster id, size, largest member)."""
     sigs = program_signatures(outputs, program=[program], **kw)
-    return (sigs.groupBy("sig_a", "sig_b", "sig_n")
+    return (sigs.groupBy(*SIGNATURE)
             .agg(F.count(F.lit(1)).alias("n_members"), F.min(program).alias("cluster_id"),
                  F.max(program).alias("max_member"))
-            .filter("n_members > 1").drop("sig_a", "sig_b", "sig_n"))
+            .filter("n_members > 1").drop(*SIGNATURE))
 
 
 def unique_program_count(outputs: DataFrame, *, program: str = "program_id", **kw) -> DataFrame:
     """Total - members of co-located sets + number of sets, and the percentage."""
     sigs = program_signatures(outputs, program=[program], **kw)
-    per = sigs.groupBy("sig_a", "sig_b", "sig_n").agg(F.count(F.lit(1)).alias("m"))
+    per = sigs.groupBy(*SIGNATURE).agg(F.count(F.lit(1)).alias("m"))
     return per.agg(
         F.sum("m").alias("total_programs"),
         F.count_if(F.col("m") > 1).alias("n_sets"),
@@ -210,7 +224,7 @@ def keep_one_per_cluster(outputs: DataFrame, *, program: str = "program_id", **k
     """W6 on clusters: the surviving program of every equivalence class (its
     smallest id); programs in no shared set survive as themselves."""
     sigs = program_signatures(outputs, program=[program], **kw)
-    return sigs.groupBy("sig_a", "sig_b", "sig_n").agg(
+    return sigs.groupBy(*SIGNATURE).agg(
         F.min(program).alias(program), F.count(F.lit(1)).alias("n_equivalent"))
 
 
@@ -223,37 +237,67 @@ def assign_ids(df: DataFrame, *, order: Sequence[str], prefix: str = "generated_
 
 # ---- novelty -----------------------------------------------------------------
 
+def _on_tests(outputs: DataFrame, chosen: DataFrame, problem: str, tc: str, program: str, output: str) -> DataFrame:
+    """Signatures over the chosen tests of programs that have an output for every one of them."""
+    n = chosen.groupBy(problem).agg(F.count(F.lit(1)).alias("_n_chosen"))
+    kept = outputs.filter(F.col(output).isNotNull()).join(chosen, [problem, tc], "left_semi")
+    sigs = program_signatures(kept, program=[problem, program], problem=problem, tc=tc, output=output)
+    return sigs.join(n, problem).filter("sig_n = _n_chosen").drop("_n_chosen")
+
+
+def match_classes(cands: DataFrame, refs: DataFrame, tests: DataFrame, *,
+                  problem: str = "problem_id", tc: str = "tc_no", program: str = "program_id",
+                  output: str = "output") -> DataFrame:
+    """J8 in full: which references each candidate agrees with on all chosen tests.
+
+    Programs of one problem with equal outputs on every chosen test form a
+    class, named by its smallest reference.  One row per program of a class that
+    has a reference: (problem, class_id, is_reference, program); the references
+    of a candidate's class are its matches, without a row for every pair.
+    """
+    chosen = tests.select(problem, tc).distinct()
+    c = _on_tests(cands, chosen, problem, tc, program, output).withColumn("is_reference", F.lit(False))
+    r = _on_tests(refs, chosen, problem, tc, program, output).withColumn("is_reference", F.lit(True))
+    ids = r.groupBy(problem, *SIGNATURE).agg(F.min(program).alias("class_id"))
+    return c.unionByName(r).join(ids, [problem, *SIGNATURE]).select(problem, "class_id", "is_reference", program)
+
+
 def match_outputs(cands: DataFrame, refs: DataFrame, tests: DataFrame, *,
                   problem: str = "problem_id", tc: str = "tc_no", program: str = "program_id",
                   output: str = "output") -> DataFrame:
-    """How many reference programs agree with each candidate on *all*
-    chosen tests of its problem.
+    """How many reference programs agree with each candidate on *all* chosen tests of its problem.
 
-    Signatures restricted to the chosen tests replace the candidate x
-    reference join: candidates join the per-signature reference counts.
+    Only programs with an output for every chosen test can agree (a NULL output
+    is none).  Signatures over the chosen tests replace the candidate x
+    reference join; ``class_id`` leads to the matching references (``match_classes``).
     """
-    chosen = tests.select(problem, tc)
-    c = program_signatures(cands.join(chosen, [problem, tc], "left_semi"),
-                           program=[problem, program], problem=problem, tc=tc, output=output)
-    r = program_signatures(refs.join(chosen, [problem, tc], "left_semi"),
-                           program=[problem, program], problem=problem, tc=tc, output=output)
-    rc = r.groupBy(problem, "sig_a", "sig_b", "sig_n").agg(F.count(F.lit(1)).alias("n_matching"))
-    return (c.join(rc, [problem, "sig_a", "sig_b", "sig_n"], "left")
-            .select(problem, program, F.coalesce("n_matching", F.lit(0)).alias("n_matching")))
+    chosen = tests.select(problem, tc).distinct()
+    c = _on_tests(cands, chosen, problem, tc, program, output)
+    r = _on_tests(refs, chosen, problem, tc, program, output)
+    rc = r.groupBy(problem, *SIGNATURE).agg(F.count(F.lit(1)).alias("n_matching"), F.min(program).alias("class_id"))
+    found = c.join(rc, [problem, *SIGNATURE]).select(problem, program, "n_matching", "class_id")
+    return (cands.select(problem, program).distinct().join(found, [problem, program], "left")
+            .select(problem, program, F.coalesce("n_matching", F.lit(0)).alias("n_matching"), "class_id"))
 
 
 def novelty_filter(cands: DataFrame, refs: DataFrame, all_tests: DataFrame, *, last_n: int = 20,
                    problem: str = "problem_id", tc: str = "tc_no", program: str = "program_id",
                    output: str = "output") -> DataFrame:
-    """A candidate is novel when it ran on all tests (no timeout/error) and
-    no reference program agrees with it on all of the ``last_n`` highest tests."""
-    ran = cands.groupBy(problem, program).agg(
-        (F.count_if(F.col(output).isin(*RUN_FAILURES)) == 0).alias("runs_all"))
-    chosen = top_tests(all_tests.select(problem, tc).distinct(), n=last_n, group=problem, tc=tc)
+    """A candidate is novel when it ran on all tests of its problem and no
+    reference program agrees with it on all of the ``last_n`` highest tests.
+
+    A test without an output, with a NULL one or with a timeout/error was not run.
+    """
+    every = all_tests.select(problem, tc).distinct()
+    n_tests = every.groupBy(problem).agg(F.count(F.lit(1)).alias("_n_tests"))
+    done = F.when(F.col(output).isNotNull() & ~F.col(output).isin(*RUN_FAILURES), F.col(tc))
+    ran = cands.join(every, [problem, tc], "left_semi").groupBy(problem, program, tc).agg(F.count(done).alias("_done")).groupBy(
+        problem, program).agg(F.count_if(F.col("_done") > 0).alias("_n_run"))
+    chosen = top_tests(every, n=last_n, group=problem, tc=tc)
     m = match_outputs(cands, refs, chosen, problem=problem, tc=tc, program=program, output=output)
-    return ran.join(m, [problem, program], "left").select(
-        problem, program, "runs_all", F.coalesce("n_matching", F.lit(0)).alias("n_matching"),
-        (F.col("runs_all") & (F.coalesce("n_matching", F.lit(0)) == 0)).alias("is_different"))
+    runs_all = F.coalesce(F.col("_n_run") == F.col("_n_tests"), F.lit(False))
+    return (m.join(ran, [problem, program], "left").join(n_tests, problem, "left").select(
+        problem, program, runs_all.alias("runs_all"), "n_matching", (runs_all & (F.col("n_matching") == 0)).alias("is_different")))
 
 
 # ---- prompts, cost -----------------------------------------------------------
@@ -280,36 +324,35 @@ Now, can you generate a program that solves Description 3? Write it to be as nov
 Code 3:"""
 
 
-def paste_code(prompt: Column, code: Column, index: int) -> Column:
-    """Put a program (newline runs collapsed) into slot ``Code <index>``."""
-    body = F.regexp_replace(code, r"\n+", "\n")
-    return F.replace(prompt, F.lit(f"Code {index}: ..."), F.concat(F.lit(f"Code {index}: "), body, F.lit("\n\n")))
-
-
-def paste_description(prompt: Column, desc: Column, index: int) -> Column:
-    """Put a description (tags removed, 2+ newlines -> 2) into slot ``Description <index>``."""
-    body = F.regexp_replace(F.regexp_replace(desc, r"<[^>]*>", ""), r"\n{2,}", "\n\n")
-    return F.replace(prompt, F.lit(f"Description {index}: ..."),
-                     F.concat(F.lit(f"Description {index}: "), body, F.lit("\n\n")))
+# what a slot of each kind takes from its column: programs lose runs of
+# newlines, descriptions lose tags and longer runs; a missing one is empty
+_CLEAN = {
+    "Code": lambda c: canonical_newlines(c, 1),
+    "Description": lambda c: canonical_newlines(F.regexp_replace(c, r"<[^>]*>", ""), 2),
+}
+_NUMBERED_SLOT = re.compile(r"(Code|Description) (\d+): \.\.\.")
 
 
 def fill_prompt_slots(pairs: DataFrame, template: str = CODE_ONLY_TEMPLATE, *,
-                      cand_code: str = "cand_code", cand_desc: str = "cand_desc",
-                      partner_code: str = "partner_code", partner_desc: str = "partner_desc",
-                      out: str = "prompt") -> DataFrame:
-    """slot 2 gets the candidate, slot 1 its sampled partner (same order
-    of literal replacements as the source prompts)."""
-    p = F.lit(template)
-    p = paste_code(p, F.col(cand_code), 2)
-    p = paste_description(p, F.col(cand_desc), 2)
-    p = paste_code(p, F.col(partner_code), 1)
-    p = paste_description(p, F.col(partner_desc), 1)
-    return pairs.withColumn(out, p)
+                      slots: Mapping[str, str] | None = None, out: str = "prompt") -> DataFrame:
+    """every numbered slot of the template gets its cleaned column and a blank line.
 
-
-def append_section(prompt: Column, text: Column) -> Column:
-    """Append generated text and a blank line to a prompt."""
-    return F.concat(prompt, text, F.lit("\n\n"))
+    ``slots`` names the column of each slot (default: the candidate in slot 2,
+    its partner in slot 1); a slot without a column stays as it is, and a row
+    without a partner has no prompt (NULL).
+    """
+    columns = slots or {"Code 2": "cand_code", "Description 2": "cand_desc", "Code 1": "partner_code", "Description 1": "partner_desc"}
+    pieces, at = [], 0
+    for m in _NUMBERED_SLOT.finditer(template):
+        column = columns.get(f"{m[1]} {m[2]}")
+        if column is None:
+            continue
+        pieces += [F.lit(f"{template[at:m.start()]}{m[1]} {m[2]}: "), F.coalesce(_CLEAN[m[1]](F.col(column)), F.lit("")), F.lit("\n\n")]
+        at = m.end()
+    prompt = F.concat(*pieces, F.lit(template[at:]))
+    if "partner_id" in pairs.columns:
+        prompt = F.when(F.col("partner_id").isNotNull(), prompt)
+    return pairs.withColumn(out, prompt)
 
 
 def sample_context_pairs(cands: DataFrame, pool: DataFrame, *, max_len: int, draws: int = 25,
@@ -318,7 +361,7 @@ def sample_context_pairs(cands: DataFrame, pool: DataFrame, *, max_len: int, dra
     """A random partner for every candidate under a length budget.
 
     Draws d = 0..draws-1 pick the pool row ranked ``hash(seed, candidate, d) mod
-    |pool|``; the earliest accepted draw wins (total length within ``max_len``
+    |pool|`` (ids of any type); the earliest accepted draw wins (total length within ``max_len``
     and the partner has a description).  The partner may be the candidate
     itself.  No accepted draw gives NULL partner columns.  An equi join on the
     drawn rank, never a theta join of candidates x pool.
@@ -333,10 +376,10 @@ def sample_context_pairs(cands: DataFrame, pool: DataFrame, *, max_len: int, dra
     n = pool.count()
     if n == 0:
         return cands.select("candidate_id", F.lit(None).cast("int").alias("draw"),
-                            F.lit(None).cast("long").alias("partner_id"))
+                            F.lit(None).cast(pool.schema[key].dataType).alias("partner_id"))
     ranked = dense_index(pool, [key], name="_rank")
     tried = cands.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    tried = tried.withColumn("_rank", F.pmod(arith_hash(F.col("candidate_id"), F.col("draw"), seed=seed), F.lit(n)))
+    tried = tried.withColumn("_rank", F.pmod(seeded_hash(F.col("candidate_id"), F.col("draw"), seed=seed), F.lit(n)))
     hit = (tried.join(ranked.withColumnRenamed(key, "partner_id"), "_rank")
            .filter((F.col("_clen") + F.col(length) <= max_len) & (F.col(desc_length) > 0)))
     first = keep_first(hit.select("candidate_id", "draw", "partner_id"), ["candidate_id"], ["draw"])
@@ -387,11 +430,13 @@ def short_description_report(desc: DataFrame, *, text: str = "text_description",
     return desc.withColumn("n_tokens", n).withColumn("is_short", F.col("n_tokens") < min_tokens)
 
 
-def projected_cost(params: DataFrame) -> DataFrame:
-    """budget = calls x (template_len x prompt rate + code_len x completion
-    rate x samples) / 1000, per parameter row."""
-    return params.withColumn(
-        "projected_cost",
-        F.col("n_api_calls") * (F.col("average_template_len") * F.col("cost_per_1k_template")
-                                + F.col("average_code_len") * F.col("cost_per_1k_code")
-                                * F.col("samples_per_call")) / 1000.0)
+def projected_cost(params: DataFrame, *, calls: str = "n_calls", prompt_tokens: str = "prompt_tokens",
+                   answer_tokens: str = "answer_tokens", answers: str = "answers_per_call",
+                   prompt_rate: float = PROMPT_RATE_PER_1K, completion_rate: float = COMPLETION_RATE_PER_1K) -> DataFrame:
+    """the budget of each row of request parameters.
+
+    A call costs its prompt tokens once and the tokens of each of its answers,
+    both at their rate per 1000.
+    """
+    per_call = F.col(prompt_tokens) * F.lit(prompt_rate) + F.col(answer_tokens) * F.lit(completion_rate) * F.col(answers)
+    return params.withColumn("projected_cost", F.col(calls) * per_call / 1000.0)

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions.numeric import (
     differs, floored_speedup, inf, nan_to_null, reached, safe_divide,
 )
 from pairlab.operators.scan import keep_first, prefix_agg
-from pyspark import StorageLevel
+from pairlab.session import materialize
 
 # Speedup thresholds of the report.
 SPEEDUP_THRESHOLDS = (1.1, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0)
@@ -39,7 +39,8 @@ def best_at_k(gens: DataFrame, *, key: str = "src_id", order: str = "gen_idx",
     """Best runtime / accuracy over the first k answers of each input.
 
     One row per (input, k) with k = order + 1 for the answers that exist; inputs
-    with fewer answers are carried forward by ``best_at_k_summary`` rather than
+    with fewer answers, or with gaps between them (``next_k`` is the k of the next
+    existing answer), are carried forward by ``best_at_k_summary`` rather than
     densified here.  Running aggregates use the blocked prefix scan, so an input
     with a huge number of answers is split across tasks.
     """
@@ -49,9 +50,9 @@ def best_at_k(gens: DataFrame, *, key: str = "src_id", order: str = "gen_idx",
         nan_to_null(F.col(accuracy)).alias("_acc"))
     d = prefix_agg(d, [key], order, [("best_runtime", "min", "_adj", True),
                                      ("best_accuracy", "max", "_acc", True)],
-                   block_size=block_size, last_flag="is_last")
+                   block_size=block_size, last_flag="is_last", next_order="_next")
     return d.select(
-        key, *keep, base, (F.col(order) + 1).alias("k"), "is_last", "best_runtime", "best_accuracy",
+        key, *keep, base, (F.col(order) + 1).alias("k"), "is_last", (F.col("_next") + 1).alias("next_k"), "best_runtime", "best_accuracy",
         floored_speedup(F.col(base), F.col("best_runtime"), floor).alias("speedup"),
         F.coalesce(F.col("best_accuracy") == F.lit(threshold), F.lit(False)).alias("is_correct"))
 
@@ -76,15 +77,15 @@ def input_runtimes(gens: DataFrame, *, key: str = "src_id", src: str = "src_runt
 
 
 def best_at_k_summary(best: DataFrame, *, key: str = "src_id",
-                      thresholds: Sequence[float] = SPEEDUP_THRESHOLDS,
-                      single_task_rows: int = 100_000) -> DataFrame:
+                      thresholds: Sequence[float] = SPEEDUP_THRESHOLDS, block_size: int = 1 << 14) -> DataFrame:
     """A5 (+A6 shares): mean accuracy, correctness and speedup for every k.
 
-    An input with L answers counts at every k > L with its value at L (what the
-    wide form gives, since missing answers are +inf).  Instead of materialising
-    inputs x k, each row adds its statistics at k ("a_") and the last row of an
-    input also at k + 1 ("b_"); one aggregate by k, then a running sum of the
-    "b_" part over k (one row per k) carries finished inputs forward.
+    An input counts at every k from its first answer on, with its value at its
+    last answer up to k (what the wide form gives, since missing answers are
+    +inf).  Instead of materialising inputs x k, each row adds its statistics at
+    k ("a_"); the last row of an input adds them from k + 1 on ("b_"), a row
+    before a gap from k + 1 up to its next answer.  One aggregate by k, written
+    once (one row per k), then a running sum of the "b_" part over k.
     """
     names = ["n", "sp", "acc", "accn", "ok"] + [f"t{i}" for i in range(len(thresholds))]
     vals = {
@@ -100,21 +101,15 @@ def best_at_k_summary(best: DataFrame, *, key: str = "src_id",
                     *[zero[n].alias(f"b_{n}") for n in names])
     carry = F.struct((F.col("k") + 1).alias("k"), *[zero[n].alias(f"a_{n}") for n in names],
                      *[vals[n].alias(f"b_{n}") for n in names])
-    contrib = F.when(F.col("is_last"), F.array(real, carry)).otherwise(F.array(real))
+    until = F.struct(F.col("next_k").alias("k"), *[zero[n].alias(f"a_{n}") for n in names],
+                     *[(-vals[n]).alias(f"b_{n}") for n in names])
+    contrib = (F.when(F.col("is_last"), F.array(real, carry))
+               .when(F.col("next_k") > F.col("k") + 1, F.array(real, carry, until)).otherwise(F.array(real)))
     u = best.select(F.inline(contrib))
     g = u.groupBy("k").agg(*[F.sum(c).alias(c) for c in u.columns if c != "k"])
-    # One row per k, kept once (MEMORY_AND_DISK) because the running sum below
-    # reads it more than once; recomputing would rerun the whole upstream, and
-    # a lost block is recomputed from lineage.  Its row count then proves
-    # whether one ordered window is safe; past the bound (k as large as a hot
-    # input's answer list) the blocked prefix scan is used.
-    g = g.persist(StorageLevel.MEMORY_AND_DISK)
-    cols = [(f"c_{n}", "sum", f"b_{n}", True) for n in names]
-    if g.count() <= single_task_rows:
-        w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-        g = g.select("*", *[F.sum(f"b_{n}").over(w).alias(f"c_{n}") for n in names])
-    else:
-        g = prefix_agg(g.withColumn("_all", F.lit(0)), ["_all"], "k", cols)
+    g = materialize(g.withColumn("_all", F.lit(0)), "per_k")
+    # blocked running sum: its widest window has one row per block_size values of k
+    g = prefix_agg(g, ["_all"], "k", [(f"c_{n}", "sum", f"b_{n}", True) for n in names], block_size=block_size)
     g = g.filter(F.col("a_n") > 0).select(
         "k", *[(F.col(f"a_{n}") + F.coalesce(F.col(f"c_{n}"), F.lit(0))).alias(f"s_{n}") for n in names])
     tot = {n: F.col(f"s_{n}") for n in names}
@@ -180,14 +175,17 @@ def reference_speedup(df: DataFrame, *, src: str = "src_runtime", tgt: str = "tg
 
 def complete_with_missing(results: DataFrame, reference: DataFrame, *, key: Sequence[str],
                           fill: dict, order: Sequence[str] | None = None,
-                          expected_rows: int | None = None) -> DataFrame:
+                          expected_rows: int | None = None, identity: Sequence[str] | None = None) -> DataFrame:
     """Every reference item missing from the results is added as a failure.
 
-    Reference rows are deduplicated (first by ``order``), the missing ones found
+    ``identity`` names one result (such as input and answer index): of several
+    rows of one only the first by the filled columns stays.  Reference rows are deduplicated (first by ``order``), the missing ones found
     with a left anti join on the key (a tuple key, so no concatenation
     collisions), filled and unioned; ``is_filled`` marks them.
     """
     key = list(key)
+    if identity is not None:
+        results = keep_first(results, identity, [c for c in fill if c in results.columns and c not in identity])
     ref = keep_first(reference, key, list(order or key))
     # distinct keys first (map-side): the anti join's right side cannot be
     # split by AQE, so a key repeated across many result rows must collapse
@@ -229,7 +227,7 @@ def evaluate(gens: DataFrame, inputs: DataFrame | None = None, *, key: str = "sr
     """
     if inputs is not None:
         gens = complete_with_missing(
-            gens, inputs, key=[key],
+            gens, inputs, key=[key], identity=[key, "gen_idx"],
             fill={"gen_idx": 0, "accuracy": 0.0, "agg_runtime": float("inf"), "code": None})
     best = best_at_k(gens, key=key, threshold=threshold)
     grouped = group_best(input_best(gens, key=key, threshold=threshold, keep=[group]), group=group)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.functions.text import TOKEN_PATTERN, arith_hash, fill_template
+from pairlab.functions.numeric import safe_divide
+from pairlab.functions.text import TOKEN_PATTERN, fill_template, seeded_hash
 from pairlab.operators.scan import dense_index, keep_first
 
 # The four prompt templates (prompt text and response marker).
@@ -70,7 +71,7 @@ def training_prompt(df: DataFrame, template: str = "code_opt", *, cutoff: int =
         return fill_template(text, {"src_code": s, **({slot: value} if slot else {})})
 
     chain = F.when(_present(cols["speedup_desc"]) & _present(cols["speedup_bin"]),
-                   F.raise_error(F.lit("Both speedup_desc and speedup_bin can not be set.")).cast("string"))
+                   F.raise_error(F.lit("a pair may carry a speedup description or a speedup bin, not both")).cast("string"))
     chain = chain.when(_present(cols["speedup_desc"]), branch("speedup_desc", cols["speedup_desc"]))
     chain = chain.when(_present(cols["speedup_bin"]), branch("speedup_bin", cols["speedup_bin"]))
     chain = chain.when(_present(cols["pctile"]), branch("pctile", cols["pctile"]))
@@ -139,8 +140,8 @@ def tokenize_and_mask(df: DataFrame, *, full: str = "full_prompt", user: str = "
 
 
 def shuffle_head(df: DataFrame, n: int = -1, *, key: str, seed: int) -> DataFrame:
-    """O2: seeded shuffle, then the first n rows (-1 = all rows)."""
-    d = df.orderBy(arith_hash(F.col(key), seed=seed), F.col(key))
+    """O2: seeded shuffle by a hash of seed and key (any type), then the first n rows (-1 = all rows)."""
+    d = df.orderBy(seeded_hash(F.col(key), seed=seed), F.col(key))
     return d if n < 0 else d.limit(n)
 
 
@@ -154,7 +155,7 @@ def performance_tag(subs: DataFrame, *, group: str = "problem_id", runtime: str
                     order_key: str | None = None) -> DataFrame:
     """1..bins tag of how close a submission is to the best of its problem.
 
-    ``ratio``: max(1, ceil(bins * best / runtime)).  ``ntile``: SQL NTILE(bins)
+    ``ratio``: max(1, ceil(bins * best / runtime)), ``bins`` for a runtime of 0.  ``ntile``: SQL NTILE(bins)
     over the problem's submissions from slowest (1) to fastest (bins), ties by
     ``order_key``.  The ntile positions come from one global range-partitioned
     numbering (a hot problem is split across partitions) minus each problem's
@@ -162,7 +163,8 @@ def performance_tag(subs: DataFrame, *, group: str = "problem_id", runtime: str
     """
     if method == "ratio":
         best = subs.groupBy(group).agg(F.min(runtime).alias("_best"))
-        score = F.col("_best") / F.col(runtime)
+        # a runtime of 0 is the best there is
+        score = F.when(F.col(runtime) == 0, F.lit(1.0)).otherwise(safe_divide(F.col("_best"), F.col(runtime)))
         return (subs.join(best, group)
                 .withColumn(out, F.greatest(F.lit(1), F.ceil(F.lit(float(bins)) * score)).cast("string"))
                 .drop("_best"))
@@ -173,7 +175,8 @@ def performance_tag(subs: DataFrame, *, group: str = "problem_id", runtime: str
     d = subs.withColumn("_neg", -F.col(runtime))
     d = dense_index(d, [group, "_neg", order_key], name="_pos")
     first = d.groupBy(group).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    d = d.join(first, group).withColumn("_i", F.col("_pos") - F.col("_start"))
+    first = first.withColumnRenamed(group, "_g")
+    d = d.join(first, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").withColumn("_i", F.col("_pos") - F.col("_start"))
     q = F.floor(F.col("_n") / bins)
     r = F.col("_n") - q * bins
     big = r * (q + 1)

@@ -45,28 +45,23 @@ def looks_like_list(c: Column) -> Column:
 
 
 def parse_list_literal(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """List-looking strings -> array<string>.
+    """List-looking strings -> array<string>; any other text is one answer.
 
-    JSON (single quotes allowed) is parsed JVM-side; only rows it cannot
-    parse go through an Arrow UDF running ``ast.literal_eval`` (Python literal
-    forms such as ``None``).  Other values become NULL.
+    JSON (single quotes allowed) is parsed JVM-side; only texts it cannot parse
+    reach the Arrow UDF running ``ast.literal_eval`` (Python literal forms such
+    as ``None``), the others pass it as NULL.  A list-looking text that neither
+    can parse becomes NULL.
     """
-    d = df
+    out = {}
     for c in cols:
-        j = F.from_json(F.col(c), T.ArrayType(T.StringType()), {"allowSingleQuotes": "true"})
-        d = d.withColumn(f"_{c}_json", F.when(looks_like_list(F.col(c)), j))
-    need = F.lit(False)
+        text, listed = F.col(c), looks_like_list(F.col(c))
+        out[f"_{c}_json"] = F.when(listed, F.from_json(text, T.ArrayType(T.StringType()), {"allowSingleQuotes": "true"}))
+    d = df.withColumns(out)
     for c in cols:
-        need = need | (looks_like_list(F.col(c)) & F.col(f"_{c}_json").isNull())
-    d = d.withColumn("_need_py", need)
-    fast = d.filter(~F.col("_need_py"))
-    slow = d.filter(F.col("_need_py"))
-    for c in cols:
-        fast = fast.withColumn(c, F.col(f"_{c}_json"))
-        slow = slow.withColumn(c, F.coalesce(F.col(f"_{c}_json"),
-                                             F.when(looks_like_list(F.col(c)), _literal_eval_list(F.col(c)))))
-    drop = [f"_{c}_json" for c in cols] + ["_need_py"]
-    return fast.drop(*drop).unionByName(slow.drop(*drop))
+        text, listed, parsed = F.col(c), looks_like_list(F.col(c)), F.col(f"_{c}_json")
+        literal = _literal_eval_list(F.when(listed & parsed.isNull(), text))
+        d = d.withColumn(c, F.when(text.isNull(), F.lit(None)).when(~listed, F.array(text)).otherwise(F.coalesce(parsed, literal)))
+    return d.drop(*out)
 
 
 def explode_generations(df: DataFrame, col: str = "generated_answers", *, keys: Sequence[str],
@@ -88,7 +83,7 @@ def pivot_results(df: DataFrame, *, key: str, types: Sequence[str], values: Sequ
 
     Explicit pivot values (no discovery job); several rows of one type: the
     last by ``order`` wins.  ``base_type`` / ``base_cols``: columns copied from
-    the row of that type (e.g. the slow program's row).  ``value_types``
+    the first row of that type by ``order`` (e.g. the slow program's row).  ``value_types``
     limits which types get value columns (e.g. generations only unless the
     slow and reference programs were re-measured).
     """
@@ -98,9 +93,8 @@ def pivot_results(df: DataFrame, *, key: str, types: Sequence[str], values: Sequ
     vt = list(types) if value_types is None else [t for t in types if t in value_types]
     out = wide.select(key, *[F.col(f"`{t}`")[v].alias(f"{t}_{v}") for t in vt for v in values])
     if base_type is not None and base_cols:
-        base = df.filter(F.col(type_col) == F.lit(base_type)).select(key, *base_cols)
-        order_cols = [F.col(order)] if order and order in base_cols else [F.col(key)]
-        out = out.join(keep_first(base, [key], order_cols), key, "left")
+        base = keep_first(df.filter(F.col(type_col) == F.lit(base_type)), [key], [order or key])
+        out = out.join(base.select(key, *base_cols), key, "left")
     return out
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import types as T
 
 from pairlab.functions.text import canonical_newlines, fill_template
 from pairlab.operators.scan import keep_first
+from pairlab.session import materialize
 
 # Few-shot prompt templates and the separator between examples.
 EXAMPLE_TEMPLATE = "# slower version:\n\n{src_code}\n\n\n# optimized version of the same code:\n\n{tgt_code}"
@@ -59,67 +59,77 @@ def encode_text(df: DataFrame, text: str, *, encoder: Callable[[list[str]], np.n
     return df.withColumn("_h", F.sha2(F.col(text), 256)).join(emb, "_h").drop("_h")
 
 
-def _block_topk(k: int, exclude_equal: bool):
-    def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                                 "neighbor_id": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        Q = np.stack(q["vec"].to_numpy()).astype("float64")
-        C = np.stack(c["vec"].to_numpy()).astype("float64")
-        cid = c["cid"].to_numpy()
-        qkey, ckey = q["qkey"].to_numpy(), c["ckey"].to_numpy()
-        D = (Q * Q).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * (Q @ C.T)
-        np.maximum(D, 0.0, out=D)
-        if exclude_equal:
-            D[qkey[:, None] == ckey[None, :]] = np.inf
-        kk = min(k, D.shape[1])
-        thr = np.partition(D, kk - 1, axis=1)[:, kk - 1]
-        rows_q, rows_c, rows_d = [], [], []
-        for i, qid in enumerate(q["qid"].to_numpy()):
-            idx = np.nonzero(D[i] <= thr[i])[0]
-            idx = idx[np.isfinite(D[i, idx])]
-            order = np.lexsort((cid[idx], D[i, idx]))[:kk]
-            sel = idx[order]
-            rows_q.append(np.full(len(sel), qid))
-            rows_c.append(cid[sel])
-            rows_d.append(D[i, sel])
-        return pd.DataFrame({"query_id": np.concatenate(rows_q).astype("int64"),
-                             "neighbor_id": np.concatenate(rows_c).astype("int64"),
-                             "dist": np.concatenate(rows_d)})
-    return fn
+def _nearest(q: np.ndarray, c: np.ndarray, cid: np.ndarray, qkey: np.ndarray, ckey: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, corpus row, distance) of each query's k nearest corpus rows, ties by id."""
+    dist = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * (q @ c.T)
+    np.maximum(dist, 0.0, out=dist)
+    dist[qkey[:, None] == ckey[None, :]] = np.inf
+    kk = min(k, dist.shape[1])
+    limit = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk]
+    row, col = np.nonzero((dist <= limit) & np.isfinite(dist))
+    value = dist[row, col]
+    order = np.lexsort((cid[col], value, row))
+    row, col, value = row[order], col[order], value[order]
+    first = np.searchsorted(row, row, side="left")
+    keep = np.arange(len(row)) - first < kk
+    return row[keep], col[keep], value[keep]
+
+
+def _vectors(batch, column: str) -> np.ndarray:
+    return np.stack(batch.column(column).to_numpy(zero_copy_only=False)).astype("float64")
+
+
+def _ids(batch, column: str) -> np.ndarray:
+    a = batch.column(column).to_numpy(zero_copy_only=False)
+    return a.astype(str) if a.dtype == object else a
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, *, k: int = 4, vec: str = "embedding",
              qid: str = "query_id", cid: str = "neighbor_id", qkey: str | None = None,
-             ckey: str | None = None, q_block_rows: int = 2048, c_block_rows: int = 8192,
-             n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
+             ckey: str | None = None, q_block_rows: int = 2048, corpus_partitions: int | None = None) -> DataFrame:
     """Exact k nearest corpus rows (squared L2) for every query, ties by id.
 
-    Both sides are cut into hash blocks sized from their counts; every
-    (query block, corpus block) pair meets in one cogroup task (queries are
-    replicated per corpus block and corpus rows per query block), which
-    computes the distance matrix with numpy and keeps a per-block top k.  A
-    final ``row_number() <= k`` per query merges the blocks.  Per-task memory
-    is bounded by the block sizes; nothing is broadcast.  When ``qkey`` and
-    ``ckey`` are given, pairs with equal keys are excluded (leave-one-out).
-    Known sizes (``n_queries``, ``n_corpus``) skip the two counting jobs.
+    The corpus stays where it is: each task holds its partition (sized by
+    ``corpus_partitions``; as it comes by default) and reads the queries, written
+    once to the shared folder, in blocks of ``q_block_rows``.  It returns its k
+    nearest for each query, and ``row_number() <= k`` merges the partitions.  So
+    neither side's vectors are copied in a shuffle; what is shuffled is k narrow
+    rows per query and partition.  The work is queries x corpus by nature.
+
+    Ids may be of any type.  When ``qkey`` and ``ckey`` are given, pairs with
+    equal keys are excluded (leave-one-out).  Rows without a vector have no
+    neighbours and are none.
     """
-    nq = queries.count() if n_queries is None else n_queries  # sizes only pick block counts
-    nc = corpus.count() if n_corpus is None else n_corpus
-    bq = max(1, math.ceil(nq / q_block_rows))
-    bc = max(1, math.ceil(nc / c_block_rows))
     excl = qkey is not None and ckey is not None
-    q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(vec).alias("vec"),
-                       (F.col(qkey) if excl else F.lit(0)).cast("string").alias("qkey"))
-    c = corpus.select(F.col(cid).cast("long").alias("cid"), F.col(vec).alias("vec"),
-                      (F.col(ckey) if excl else F.lit(1)).cast("string").alias("ckey"))
-    q = (q.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(bq)))
-         .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)).cast("array<long>"))))
-    c = (c.withColumn("_cb", F.pmod(F.xxhash64("cid"), F.lit(bc)))
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<long>"))))
-    part = (q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb"))
-            .applyInPandas(_block_topk(k, excl), schema="query_id long, neighbor_id long, dist double"))
+    q_type, c_type = queries.schema[qid].dataType, corpus.schema[cid].dataType
+    q = queries.filter(F.col(vec).isNotNull()).select(
+        F.col(qid).alias("qid"), F.col(vec).cast("array<double>").alias("vec"), (F.col(qkey) if excl else F.lit("q")).cast("string").alias("qkey"))
+    q = materialize(q, "knn_queries")
+    files = sorted(q.inputFiles())
+    c = corpus.filter(F.col(vec).isNotNull()).select(
+        F.col(cid).alias("cid"), F.col(vec).cast("array<double>").alias("vec"), (F.col(ckey) if excl else F.lit("c")).cast("string").alias("ckey"))
+    if corpus_partitions:
+        c = c.repartition(corpus_partitions, "cid")
+
+    def search(batches):
+        import pyarrow as pa
+        from pyarrow import fs, parquet
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        mine = table.to_batches()[0]
+        vectors, ids, keys = _vectors(mine, "vec"), _ids(mine, "cid"), _ids(mine, "ckey")
+        for path in files:
+            store, place = fs.FileSystem.from_uri(path)
+            with store.open_input_file(place) as f:
+                for block in parquet.ParquetFile(f).iter_batches(batch_size=q_block_rows):
+                    row, col, dist = _nearest(_vectors(block, "vec"), vectors, ids, _ids(block, "qkey"), keys, k)
+                    yield pa.RecordBatch.from_arrays([block.column("qid").take(pa.array(row)), mine.column("cid").take(pa.array(col)), pa.array(dist)],
+                                                     names=["query_id", "neighbor_id", "dist"])
+
+    schema = T.StructType([T.StructField("query_id", q_type), T.StructField("neighbor_id", c_type), T.StructField("dist", T.DoubleType())])
+    part = c.mapInArrow(search, schema)
     w = Window.partitionBy("query_id").orderBy("dist", "neighbor_id")
     out = part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return out.withColumnRenamed("query_id", qid).withColumnRenamed("neighbor_id", cid)

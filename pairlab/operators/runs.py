@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions.numeric import INF, inf, nan_to_null, py_strip, safe_divide
-from pairlab.operators.scan import prefix_agg
+from pairlab.operators.scan import keep_first, prefix_agg
 
 # Message of a test skipped after an earlier failure.
 SKIPPED_MESSAGE = "Previous testcase was incorrect or timed out, so skipping this testcase"
@@ -31,10 +31,34 @@ def text_lines(c) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, _LINE_BREAK))
 
 
-def _line_ok(a: Column, b: Column, tol: float) -> Column:
-    num = a.rlike(_NUMERIC) & b.rlike(_NUMERIC)
-    close = F.abs(a.try_cast("double") - b.try_cast("double")) < F.lit(tol)
-    return F.coalesce((a == b) | (num & close), F.lit(False))
+def _number(line: Column) -> Column:
+    return F.when(line.rlike(_NUMERIC), line.try_cast("double"))
+
+
+def comparable_text(c) -> Column:
+    """What ``output_accuracy`` needs of a text: stripped, its number if it is one
+    numeric line, its lines if there are several.  Computed once per text, so an
+    expected output shared by many programs is prepared before it is joined."""
+    s = py_strip(F.col(c) if isinstance(c, str) else c)
+    single = F.length(F.translate(s, _BREAK_CLASS[1:-1], "")) == F.length(s)
+    return F.struct(s.alias("text"), F.when(single, _number(s)).alias("number"),
+                    F.when(~single, F.split(s, _LINE_BREAK)).alias("lines"))
+
+
+def _same(a: Column, b: Column, x: Column, y: Column, tol: float) -> Column:
+    return F.coalesce((a == b) | (F.abs(x - y) < F.lit(tol)), F.lit(False))
+
+
+def accuracy_of(out: Column, expected: Column, tol: float = 1e-3) -> Column:
+    """F1 over two ``comparable_text`` columns."""
+    lines = lambda t: F.when(t["lines"].isNotNull(), t["lines"]).when(t["text"] == "", F.array().cast("array<string>")).otherwise(F.array(t["text"]))
+    # equal lines first; only unequal ones are tried as numbers
+    hit = lambda a, b: F.coalesce((a == b) | (F.abs(_number(a) - _number(b)) < F.lit(tol)), F.lit(False)).cast("int")
+    hits = F.aggregate(F.zip_with(lines(out), lines(expected), hit), F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
+    one = F.when(_same(out["text"], expected["text"], out["number"], expected["number"], tol), F.lit(1.0)).otherwise(F.lit(0.0))
+    single = out["lines"].isNull() & expected["lines"].isNull()
+    return (F.when(out["text"].isNull() | expected["text"].isNull() | (expected["text"] == ""), F.lit(None).cast("double"))
+            .when(single, one).otherwise(hits / F.size(lines(expected))))
 
 
 def output_accuracy(out, expected, tol: float = 1e-3) -> Column:
@@ -44,20 +68,7 @@ def output_accuracy(out, expected, tol: float = 1e-3) -> Column:
     wrong); a pair matches when equal or both numeric within ``tol``.  An empty
     expected text gives NULL.
     """
-    o_c = F.col(out) if isinstance(out, str) else out
-    e_c = F.col(expected) if isinstance(expected, str) else expected
-    o, e = text_lines(o_c), text_lines(e_c)
-    hits = F.aggregate(F.zip_with(o, e, lambda a, b: _line_ok(a, b, tol).cast("int")),
-                       F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
-    n_exp = F.size(e)
-    general = F.when(n_exp == 0, F.lit(None).cast("double")).otherwise(hits / n_exp)
-    # fast path, code-generated: both texts are a single line after strip
-    o_s, e_s = py_strip(o_c), py_strip(e_c)
-    breaks = _BREAK_CLASS[1:-1]
-    single = ((F.length(F.translate(o_s, breaks, "")) == F.length(o_s))
-              & (F.length(F.translate(e_s, breaks, "")) == F.length(e_s)))
-    fast = F.when(e_s == "", F.lit(None).cast("double")).otherwise(_line_ok(o_s, e_s, tol).cast("double"))
-    return F.when(single, fast).otherwise(general)
+    return accuracy_of(comparable_text(out), comparable_text(expected), tol)
 
 
 def mean_accuracy(tests: DataFrame, *, key: Sequence[str] = ("submission_id",),
@@ -72,13 +83,14 @@ def mean_accuracy(tests: DataFrame, *, key: Sequence[str] = ("submission_id",),
 def total_runtime(tests: DataFrame, *, key: Sequence[str] = ("submission_id",),
                   tc: str = "tc_no", success: str = "success", time: str = "t",
                   with_maps: bool = False) -> DataFrame:
-    """A2: sum of test times where a failed test costs +inf (no results: +inf).
+    """A2: sum of test times where a failed test, or one without a time, costs +inf
+    (no results: +inf).
 
     ``with_maps`` adds the per-test maps ``tc2time`` / ``tc2success``; only ask
     for them when a submission's rows are bounded by its test suite, since a
     map is one collected group.
     """
-    t = F.when(F.col(success), nan_to_null(F.col(time))).otherwise(inf())
+    t = F.coalesce(F.when(F.col(success), nan_to_null(F.col(time))), inf())
     aggs = [F.coalesce(F.sum(t), inf()).alias("agg_runtime"),
             F.count(F.lit(1)).alias("n_tests"),
             F.count_if(F.col(success)).alias("n_success"),
@@ -150,8 +162,14 @@ def aligned_repeat_stats(repeats: DataFrame, *, key: str = "submission_id", tc:
 
 
 def repeat_stability(repeats: DataFrame, *, key: Sequence[str] = ("submission_id", "tc"),
-                     t: str = "t", bound: float = 0.05) -> DataFrame:
-    """Coefficient of variation (population std / mean) of repeated runs < bound."""
+                     t: str = "t", bound: float = 0.05, run: str | None = None) -> DataFrame:
+    """Coefficient of variation (population std / mean) of repeated runs < bound.
+
+    With ``run`` (a run's repeats of one test) the mean of each run is taken
+    first and the variation is between runs.
+    """
+    if run is not None:
+        repeats = repeats.groupBy(*key, run).agg(F.avg(t).alias(t))
     agg = repeats.groupBy(*key).agg(F.count(t).alias("n_runs"), F.avg(t).alias("mean"),
                                     F.stddev_pop(t).alias("std"))
     cv = safe_divide(F.col("std"), F.col("mean"))
@@ -160,7 +178,7 @@ def repeat_stability(repeats: DataFrame, *, key: Sequence[str] = ("submission_id
 
 def pair_versions(v0: DataFrame, v1: DataFrame, *, key: str = "submission_id",
                   tc: str = "tc", success: str = "success", time: str = "t") -> DataFrame:
-    """Totals of both versions side by side and the speedup v0 / v1.
+    """Totals, tests and passed tests of both versions side by side and the speedup v0 / v1.
 
     The two inputs are unioned with a ``version`` column and aggregated once;
     the pivot has explicit values, so no extra job discovers them.  A version
@@ -169,28 +187,34 @@ def pair_versions(v0: DataFrame, v1: DataFrame, *, key: str = "submission_id",
     both = (v0.select(key, tc, success, time, F.lit("v0").alias("version"))
             .unionByName(v1.select(key, tc, success, time, F.lit("v1").alias("version"))))
     tot = both.groupBy(key, "version").agg(
-        F.sum(F.when(F.col(success), nan_to_null(F.col(time))).otherwise(inf())).alias("rt"))
-    wide = tot.groupBy(key).pivot("version", ["v0", "v1"]).agg(F.first("rt"))
-    wide = (wide.withColumn("agg_runtime_v0", F.coalesce(F.col("v0"), inf()))
-            .withColumn("agg_runtime_v1", F.coalesce(F.col("v1"), inf())).drop("v0", "v1"))
+        F.sum(F.coalesce(F.when(F.col(success), nan_to_null(F.col(time))), inf())).alias("rt"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(success)).alias("ok"))
+    wide = tot.groupBy(key).pivot("version", ["v0", "v1"]).agg(F.first("rt").alias("rt"), F.first("n").alias("n"), F.first("ok").alias("ok"))
+    wide = wide.select(key, *[F.coalesce(F.col(f"{v}_rt"), inf()).alias(f"agg_runtime_{v}") for v in ("v0", "v1")],
+                       *[F.coalesce(F.col(f"{v}_n"), F.lit(0)).alias(f"n_tests_{v}") for v in ("v0", "v1")],
+                       *[F.coalesce(F.col(f"{v}_ok"), F.lit(0)).alias(f"n_success_{v}") for v in ("v0", "v1")])
     return wide.withColumn("speedup", safe_divide(F.col("agg_runtime_v0"), F.col("agg_runtime_v1")))
 
 
 # ---- S6: simulator stats text ---------------------------------------------
 
-def parse_run_stats(lines: DataFrame, *, key: str = "run_id", line: str = "line") -> DataFrame:
-    """Stats lines -> (run, key, values array<double>) plus the derived
-    ``sim_seconds_precise = sim_ticks / sim_freq`` per run.
+def parse_run_stats(lines: DataFrame, *, key: str = "run_id", line: str = "line", ordinal: str | None = None) -> DataFrame:
+    """Stats lines -> (run, stat, values array<double>, texts array<string>) plus
+    the derived ``sim_seconds_precise = sim_ticks / sim_freq`` per run.
 
-    Blank lines and Begin/End markers are dropped, ``#`` comments removed,
-    ``%`` stripped, nan/inf become NULL, lines with fewer than two tokens are
-    skipped.  Non-numeric tokens become NULL.
+    Blank lines and Begin/End markers are dropped, ``#`` comments removed, lines
+    with fewer than two tokens skipped.  ``texts`` keeps the tokens; ``values``
+    has their numbers (without ``%``), NULL for other text, nan and inf.  With
+    ``ordinal`` (the line's number) a stat that a run repeats keeps its last line.
     """
     raw = F.col(line)
     body = py_strip(F.regexp_replace(raw, "#.*", ""))
     toks = F.split(body, r"(?U)\s+")
     d = (lines.filter(~(py_strip(raw) == "") & ~raw.contains("Begin") & ~raw.contains("End"))
-         .select(key, toks.alias("_t")).filter(F.size("_t") >= 2))
+         .select(key, *([F.col(ordinal).alias("_at")] if ordinal else []), toks.alias("_t")).filter(F.size("_t") >= 2)
+         .withColumn("stat", F.get("_t", F.lit(0))))
+    if ordinal:
+        d = keep_first(d, [key, "stat"], [-F.col("_at")])
 
     def value(tok):
         # a number is a token made only of digits, sign, point and exponent
@@ -202,27 +226,45 @@ def parse_run_stats(lines: DataFrame, *, key: str = "run_id", line: str = "line"
         return F.when(only_numeric_chars, v.try_cast("double"))
 
     rest = F.slice("_t", F.lit(2), F.greatest(F.size("_t") - 1, F.lit(0)))
-    parsed = d.select(key, F.col("_t")[0].alias("stat"), F.transform(rest, value).alias("values"))
-    ticks = parsed.groupBy(key).pivot("stat", ["sim_ticks", "sim_freq"]).agg(F.first(F.col("values")[0]))
-    derived = ticks.select(key, F.lit("sim_seconds_precise").alias("stat"),
-                           F.array(safe_divide(F.col("sim_ticks"), F.col("sim_freq"))).alias("values"))
+    parsed = d.select(key, "stat", F.transform(rest, value).alias("values"), rest.alias("texts"))
+    first = lambda name: F.max(F.when(F.col("stat") == name, F.get("values", F.lit(0))))
+    ticks = parsed.groupBy(key).agg(first("sim_ticks").alias("ticks"), first("sim_freq").alias("freq"))
+    seconds = safe_divide(F.col("ticks"), F.col("freq"))
+    derived = ticks.select(key, F.lit("sim_seconds_precise").alias("stat"), F.array(seconds).alias("values"), F.array(seconds.cast("string")).alias("texts"))
     return parsed.unionByName(derived)
 
 
 def summarise_runs(tests: DataFrame, expected_tests: DataFrame | None = None, *,
-                   key: str = "submission_id", tc: str = "tc_no", seq: str = "seq",
+                   repeats: DataFrame | None = None, key: str = "submission_id", tc: str = "tc_no", seq: str = "seq",
+                   output: str | None = None, expected: str | None = None, compiled: str | None = None,
                    threshold: float = 0.95, fail_fast_enabled: bool = True) -> DataFrame:
-    """Composed RUNS job: J4 -> W2 -> A1 -> A4 -> A2, one row per submission.
-
-    ``tests`` has (submission, tc, seq, success, t, accuracy).
+    """Composed RUNS job: J4 -> F1 -> W2 -> A1 -> A4 -> A2 -> A3, one row per submission.
+
+    ``tests`` has (submission, tc, seq, success, t, accuracy); with ``output``
+    and ``expected`` the accuracy comes from the texts (F1).  ``compiled`` names
+    the flag of a submission's compilation: without it every test counts 0 and
+    the run costs +inf.  ``repeats`` (submission, tc, rep, t) are timings of the
+    real program: their aligned mean and deviation come as the ``_binary`` twins
+    (+inf for a submission without any).
     """
     if expected_tests is not None:
         tests = restore_missing_tests(tests, expected_tests, key=[key, tc]).withColumn(
             "success", F.coalesce(F.col("success"), F.lit(False)))
+    if output is not None and expected is not None:
+        tests = tests.withColumn("accuracy", F.coalesce(output_accuracy(output, expected), F.lit(0.0)))
     tests = fail_fast(tests, key=key, seq=seq, enabled=fail_fast_enabled)
-    acc = mean_accuracy(tests, key=[key])
+    if compiled is not None:
+        tests = tests.withColumn("success", F.col("success") & F.coalesce(F.col(compiled), F.lit(False)))
+    acc = mean_accuracy(tests, key=[key], compiled=compiled)
     rt = total_runtime(tests, key=[key], tc=tc)
-    return accuracy_gate(acc.join(rt.drop("n_tests"), key), threshold=threshold)
+    out = accuracy_gate(acc.join(rt.drop("n_tests"), key), threshold=threshold)
+    if compiled is not None:
+        out = out.join(tests.groupBy(key).agg(F.coalesce(F.bool_or(compiled), F.lit(False)).alias("compilation")), key)
+    if repeats is not None:
+        real = aligned_repeat_stats(repeats, key=key, tc=tc).select(
+            key, F.col("agg_runtime").alias("agg_runtime_binary"), F.col("agg_stdev").alias("agg_stdev_binary"))
+        out = out.join(real, key, "left").withColumns({c: F.coalesce(c, inf()) for c in ("agg_runtime_binary", "agg_stdev_binary")})
+    return out
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["INF"]

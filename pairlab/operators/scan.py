@@ -2,10 +2,9 @@
 
 * ``prefix_agg``  - running min/max/sum per key in a fixed order, computed in
   blocks so a key holding a third of all rows is spread over many tasks.
-* ``keep_first``  - first row per key under an explicit order, as a partial
-  (map-side) ``min(struct)`` aggregate instead of a window over a hot key.
-* ``dense_index`` - 0..n-1 numbering in a global order without a window
-  that has no PARTITION BY (per-partition counts plus offsets).
+* ``keep_first``  - first row per key under an explicit order, pruned map-side.
+* ``dense_index`` - 0..n-1 numbering in a global order without a window over
+  all rows (range partitions written once, their counts and offsets).
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.session import materialize
+
 _AGG = {"min": F.min, "max": F.max, "sum": F.sum}
 _COMBINE = {"min": F.least, "max": F.greatest}
 
@@ -28,13 +29,14 @@ def _combine(fn: str, a: Column, b: Column) -> Column:
 
 def prefix_agg(df: DataFrame, key: Sequence[str], order: str,
                specs: Sequence[tuple[str, str, Column | str, bool]],
-               block_size: int = 1 << 14, last_flag: str | None = None) -> DataFrame:
+               block_size: int = 1 << 14, last_flag: str | None = None, next_order: str | None = None) -> DataFrame:
     """Add running aggregates over rows of ``key`` ordered by ``order``.
 
     ``order`` must be an integer ordinal (dense or not).  ``specs`` entries are
     ``(out, fn, expr, inclusive)`` with fn in min/max/sum; ``inclusive=False``
     aggregates only the rows strictly before the current one.  ``last_flag``
-    names an optional boolean column marking the last row of each key.
+    names an optional boolean column marking the last row of each key;
+    ``next_order`` one with the ordinal of the key's next row (NULL for the last).
 
     Rows are cut into blocks of ``block_size`` ordinals: a window runs inside
     each (key, block) and the exclusive prefix over earlier blocks comes from
@@ -48,18 +50,22 @@ def prefix_agg(df: DataFrame, key: Sequence[str], order: str,
     local = [_AGG[fn](f"_v{i}").over(
         w_in.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)).alias(f"_l{i}")
         for i, (_, fn, _, inclusive) in enumerate(specs)]
+    if next_order:
+        local.append(F.lead(order).over(w_in).alias("_ln"))
     d_local = d.select("*", *local)
 
-    blocks = d.groupBy(*key, "_blk").agg(F.max(order).alias("_mx"),
+    blocks = d.groupBy(*key, "_blk").agg(F.max(order).alias("_mx"), F.min(order).alias("_mn"),
                                          *[_AGG[fn](f"_v{i}").alias(f"_t{i}")
                                            for i, (_, fn, _, _) in enumerate(specs)])
     w_blk = Window.partitionBy(*key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*key)
-    blocks = blocks.select(*key, "_blk", F.max("_mx").over(w_all).alias("_kmx"),
+    after = [F.lead("_mn").over(Window.partitionBy(*key).orderBy("_blk")).alias("_bn")] if next_order else []
+    blocks = blocks.select(*key, "_blk", F.max("_mx").over(w_all).alias("_kmx"), *after,
                            *[_AGG[fn](f"_t{i}").over(w_blk).alias(f"_p{i}")
                              for i, (_, fn, _, _) in enumerate(specs)])
     out = d_local.join(blocks, on=[*key, "_blk"], how="left")
     extra = [(F.col(order) == F.col("_kmx")).alias(last_flag)] if last_flag else []
+    extra += [F.coalesce("_ln", "_bn").alias(next_order)] if next_order else []
     combined = [_combine(fn, F.col(f"_l{i}"), F.col(f"_p{i}")).alias(name)
                 for i, (name, fn, _, _) in enumerate(specs)]
     keep = [F.col(c) for c in df.columns]
@@ -69,39 +75,35 @@ def prefix_agg(df: DataFrame, key: Sequence[str], order: str,
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per ``keys``: the first under ``order`` (ascending, NULLs last).
 
-    Implemented as ``min(struct(order..., row...))`` so Spark combines it map-side
-    before the shuffle; a hot key never lands in one task as raw rows.  For a
-    descending numeric order pass ``-F.col(x)``.
+    ``row_number() = 1``: Spark puts a WindowGroupLimit before the shuffle, so a
+    map task ships one row per key it has seen, and a hot key never lands in one
+    task as raw rows.  The row itself (texts, maps) is carried, never compared.
+    For a descending numeric order pass ``-F.col(x)``.
     """
-    keys = list(keys)
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    parts = []
-    for i, o in enumerate(order_cols):
-        parts += [o.isNull().alias(f"_n{i}"), o.alias(f"_o{i}")]
-    payload = [c for c in df.columns if c not in keys]
-    packed = F.struct(*parts, *[F.col(c) for c in payload])
-    agg = df.groupBy(*keys).agg(F.min(packed).alias("_first"))
-    return agg.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in payload])
+    by = [(F.col(o) if isinstance(o, str) else o).asc_nulls_last() for o in order]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    return df.withColumn("_first", first).filter("_first = 1").drop("_first")
 
 
 def dense_index(df: DataFrame, order: Sequence[str], name: str = "idx",
                 num_partitions: int | None = None) -> DataFrame:
     """Number rows 0..n-1 in ``order`` (a total order).
 
-    Range-partition and sort within partitions, then
-    ``monotonically_increasing_id`` gives (partition, local position); the
-    offset of each partition comes from a table with one row per partition,
-    which is the only thing broadcast.
+    The rows are range-partitioned, sorted and written once with their place in
+    their partition.  Everything after reads those files, so partition, place
+    and partition sizes come from the same rows, however the plan above is
+    pruned or recomputed.  The offsets (one row per partition, the only thing
+    broadcast) turn places into numbers.
     """
     order = list(order)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    d = d.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
-        "_loc", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .withColumn("_mid", F.monotonically_increasing_id()))
+    d = materialize(placed.select("*", F.shiftright("_mid", 33).alias("_pid"),
+                                  F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_loc")).drop("_mid"), "numbered")
     counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
     # one row per partition: bounded by the partition count, safe to broadcast
     out = d.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_off") + F.col("_loc"))
-    return out.drop("_mid", "_pid", "_loc", "_off")
+    return out.drop("_pid", "_loc", "_off")

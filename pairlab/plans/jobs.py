@@ -15,14 +15,15 @@ from pairlab.operators.runs import summarise_runs
 def mine_seeds(subs: DataFrame, *, outputs: DataFrame | None = None, expected: DataFrame | None = None,
                descriptions: DataFrame | None = None, tests: DataFrame | None = None,
                program: str = "submission_id", code: str | None = None, n: int = 10,
-               mode: str = "top", seed: int = 0, min_tests: int = 20) -> DataFrame:
+               mode: str = "top", seed: int = 0, min_tests: int = 20, top: int | None = 10) -> DataFrame:
     """P3 -> (A14) -> W3/A13 -> J2 -> F3 -> A15 -> O3: seed problems with their
-    fastest correct program."""
+    fastest correct program.  ``top`` submissions per problem are examined (None:
+    all); problems rank by all their accepted submissions."""
     acc = au.accepted_finite(subs)
     passed = None
     if outputs is not None and expected is not None:
         passed = au.all_tests_pass(outputs, expected, program=program)
-    seeds = au.fastest_correct(acc, passed, program=program)
+    seeds = au.fastest_correct(acc, passed, program=program, top=top)
     if descriptions is not None:
         seeds = au.attach_descriptions(seeds, descriptions)
         if code is not None:
@@ -38,8 +39,8 @@ def select_novel(outputs: DataFrame, *, kind: str = "kind", last_n: int = 20) ->
     cands = outputs.filter(F.col(kind) == "candidate")
     refs = outputs.filter(F.col(kind) == "reference")
     verdict = au.novelty_filter(cands, refs, outputs.select("problem_id", "tc_no"), last_n=last_n)
-    novel = cands.join(verdict.filter("is_different").select("problem_id", "program_id").distinct()
-                       .select("program_id"), "program_id", "left_semi")
+    # a program that is novel for one problem may not be for another
+    novel = cands.join(verdict.filter("is_different").select("problem_id", "program_id"), ["problem_id", "program_id"], "left_semi")
     survivors = au.assign_ids(au.keep_one_per_cluster(novel), order=["program_id"])
     return {"verdict": verdict, "survivors": survivors, "counts": au.unique_program_count(novel),
             "groups": au.output_groups(novel)}

@@ -57,8 +57,10 @@ def w3_top_n_per_problem(spark, sf):
 
 
 _SEEDS = _TOP + """
+, total AS (SELECT problem_id, count(*) AS n_accepted FROM acc GROUP BY problem_id)
 , seeds AS (SELECT problem_id, arg_min(submission_id, (agg_runtime, submission_id)) AS submission_id,
-    min(agg_runtime) AS agg_runtime, count(*) AS num_submissions FROM top GROUP BY problem_id)
+    min(agg_runtime) AS agg_runtime, count(*) AS num_submissions, any_value(n_accepted) AS n_accepted
+    FROM top JOIN total USING (problem_id) GROUP BY problem_id)
 """
 
 
@@ -89,11 +91,33 @@ def j2_attach_descriptions(spark, sf):
                           tx.token_length(F.col("text_description"))).alias("text_description_length"))
 
 
+@query("a13_fastest_of_all", oracle_with(["v_submissions"], _SEEDS + f"""
+SELECT problem_id, submission_id, {fin('agg_runtime')} AS agg_runtime,
+  CAST(n_accepted AS BIGINT) AS num_submissions, CAST(n_accepted AS BIGINT) AS n_accepted FROM seeds"""))
+def a13_fastest_of_all(spark, sf):
+    """No cut: every accepted submission is examined and counted."""
+    return au.fastest_correct(_accepted(spark, sf), program="submission_id", top=None).select(
+        "problem_id", "submission_id", "agg_runtime", "num_submissions", "n_accepted")
+
+
 @query("o3_sample_candidates", oracle_with(["v_submissions"], _SEEDS + """
-SELECT problem_id, CAST(num_submissions AS BIGINT) AS num_submissions FROM seeds
-ORDER BY num_submissions DESC, problem_id LIMIT 10"""))
+SELECT problem_id, CAST(n_accepted AS BIGINT) AS n_accepted FROM seeds
+ORDER BY n_accepted DESC, problem_id LIMIT 10"""))
 def o3_sample_candidates(spark, sf):
-    return au.sample_candidates(_seeds(spark, sf), 10, mode="top").select("problem_id", "num_submissions")
+    return au.sample_candidates(_seeds(spark, sf), 10, mode="top").select("problem_id", "n_accepted")
+
+
+def _o3_random_sql(seed: int) -> str:
+    from pairlab.functions.text import seeded_hash_sql
+    return oracle_with(["v_submissions"], _SEEDS + f"""
+SELECT 'p' || problem_id AS problem_id FROM seeds ORDER BY {seeded_hash_sql("'p' || problem_id", seed=seed)}, 1 LIMIT 20""")
+
+
+@query("o3_sample_candidates_random", _o3_random_sql(5))
+def o3_sample_candidates_random(spark, sf):
+    """A seeded sample over string ids."""
+    seeds = _seeds(spark, sf).withColumn("problem_id", F.concat(F.lit("p"), F.col("problem_id").cast("string")))
+    return au.sample_candidates(seeds, 20, mode="random", seed=5).select("problem_id")
 
 
 @query("o5_replicate_seeds", oracle_with(["v_submissions"], _SEEDS + """
@@ -215,6 +239,17 @@ def w7_assign_ids(spark, sf):
     return au.assign_ids(survivors, order=["program_id"])
 
 
+@query("w7_assign_ids_lineitem", f"""
+SELECT l_orderkey, l_linenumber, {fin('l_extendedprice')} AS price,
+  'generated_' || CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS VARCHAR) AS gen_id
+FROM lineitem""")
+def w7_assign_ids_lineitem(spark, sf):
+    """Every line item numbered, with a column that is not part of the order."""
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    out = au.assign_ids(d, order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"])
+    return out.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"), "gen_id")
+
+
 # ---- novelty -----------------------------------------------------------------
 
 _TOP20 = """
@@ -240,7 +275,7 @@ FROM cands LEFT JOIN nm ON nm.problem_id = cands.problem_id AND nm.cand = cands.
 def j8_match_outputs(spark, sf):
     o = view(spark, sf, "v_outputs")
     chosen = au.top_tests(o.select("problem_id", "tc_no").distinct())
-    return au.match_outputs(o.filter("kind = 'candidate'"), o.filter("kind = 'reference'"), chosen)
+    return au.match_outputs(o.filter("kind = 'candidate'"), o.filter("kind = 'reference'"), chosen).drop("class_id")
 
 
 @query("a8_novelty_filter", oracle_with(["v_outputs"], _TOP20 + """
@@ -254,6 +289,74 @@ def a8_novelty_filter(spark, sf):
                              o.select("problem_id", "tc_no"))
 
 
+# outputs with holes: candidates that skipped tests, NULL outputs, and (below)
+# programs that are novel for one problem only
+_GAPS = """
+, gaps AS (SELECT problem_id, tc_no, program_id, kind,
+    CASE WHEN program_id % 11 = 0 AND tc_no = 3 THEN NULL
+         WHEN kind = 'candidate' AND program_id % 3 = 0 AND problem_id = 2 THEN 'own ' || program_id
+         ELSE output END AS output
+  FROM v_outputs WHERE NOT (program_id % 13 = 0 AND tc_no % 5 = 1))
+, every AS (SELECT DISTINCT problem_id, tc_no FROM gaps)
+, n_every AS (SELECT problem_id, count(*) AS n FROM every GROUP BY problem_id)
+, chosen AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY tc_no DESC) <= 20)
+, nch AS (SELECT problem_id, count(*) AS n FROM chosen GROUP BY problem_id)
+, c AS (SELECT o.* FROM gaps o JOIN chosen USING (problem_id, tc_no) WHERE kind = 'candidate')
+, r AS (SELECT o.* FROM gaps o JOIN chosen USING (problem_id, tc_no) WHERE kind = 'reference')
+, agree AS (SELECT c.problem_id, c.program_id AS cand, r.program_id AS ref, count(*) AS k
+            FROM c JOIN r ON c.problem_id = r.problem_id AND c.tc_no = r.tc_no AND c.output = r.output GROUP BY ALL)
+, matches AS (SELECT a.problem_id, a.cand, a.ref FROM agree a JOIN nch USING (problem_id) WHERE a.k = nch.n)
+, nm AS (SELECT problem_id, cand, count(*) AS n_matching FROM matches GROUP BY ALL)
+, ran AS (SELECT problem_id, program_id, count(DISTINCT CASE WHEN output IS NOT NULL AND output NOT IN ('timeout', 'error') THEN tc_no END) AS n_run
+          FROM gaps WHERE kind = 'candidate' GROUP BY ALL)
+, verdict AS (SELECT ran.problem_id, ran.program_id, n_run = n AS runs_all, coalesce(n_matching, 0) AS n_matching
+  FROM ran JOIN n_every USING (problem_id) LEFT JOIN nm ON nm.problem_id = ran.problem_id AND nm.cand = ran.program_id)
+"""
+
+
+def _gaps(spark, sf):
+    p, t = F.col("program_id"), F.col("tc_no")
+    out = (F.when((p % 11 == 0) & (t == 3), F.lit(None).cast("string"))
+           .when((F.col("kind") == "candidate") & (p % 3 == 0) & (F.col("problem_id") == 2), F.concat(F.lit("own "), p.cast("string")))
+           .otherwise(F.col("output")))
+    return view(spark, sf, "v_outputs").filter(~((p % 13 == 0) & (t % 5 == 1))).withColumn("output", out)
+
+
+@query("a8_novelty_filter_gaps", oracle_with(["v_outputs"], _GAPS + """
+SELECT CAST(problem_id AS BIGINT) AS problem_id, program_id, runs_all, CAST(n_matching AS BIGINT) AS n_matching,
+  runs_all AND n_matching = 0 AS is_different FROM verdict"""))
+def a8_novelty_filter_gaps(spark, sf):
+    o = _gaps(spark, sf)
+    return au.novelty_filter(o.filter("kind = 'candidate'"), o.filter("kind = 'reference'"), o.select("problem_id", "tc_no"))
+
+
+@query("j8_match_classes", oracle_with(["v_outputs"], _GAPS + """
+, cls AS (SELECT problem_id, cand, min(ref) AS class_id FROM matches GROUP BY ALL)
+SELECT CAST(problem_id AS BIGINT) AS problem_id, class_id, false AS is_reference, cand AS program_id FROM cls
+UNION ALL
+SELECT DISTINCT CAST(m.problem_id AS BIGINT), cls.class_id, true, m.ref FROM matches m JOIN cls USING (problem_id, cand)"""))
+def j8_match_classes(spark, sf):
+    """Classes with a candidate: the candidates and the references they match."""
+    o = _gaps(spark, sf)
+    chosen = au.top_tests(o.select("problem_id", "tc_no").distinct())
+    m = au.match_classes(o.filter("kind = 'candidate'"), o.filter("kind = 'reference'"), chosen)
+    with_candidate = m.filter("NOT is_reference").select("problem_id", "class_id").distinct()
+    return m.join(with_candidate, ["problem_id", "class_id"], "left_semi").select("problem_id", "class_id", "is_reference", "program_id")
+
+
+@query("select_novel_gaps", oracle_with(["v_outputs"], _GAPS + """
+, novel AS (SELECT problem_id, program_id FROM verdict WHERE runs_all AND n_matching = 0)
+, nov_out AS (SELECT g.* FROM gaps g JOIN novel USING (problem_id, program_id) WHERE kind = 'candidate')
+, sig AS (SELECT program_id, string_agg(problem_id || ':' || tc_no || ':' || output, '|' ORDER BY problem_id, tc_no) AS s
+          FROM nov_out GROUP BY program_id)
+, grp AS (SELECT s, count(*) AS m, min(program_id) AS cluster_id FROM sig GROUP BY s)
+SELECT cluster_id AS program_id, 'generated_' || CAST(row_number() OVER (ORDER BY cluster_id) - 1 AS VARCHAR) AS gen_id,
+  CAST(m AS BIGINT) AS n_equivalent FROM grp"""))
+def select_novel_gaps(spark, sf):
+    from pairlab.plans.jobs import select_novel
+    return select_novel(_gaps(spark, sf))["survivors"].select("program_id", "gen_id", "n_equivalent")
+
+
 # ---- descriptions, prompts, cost -------------------------------------------
 
 def _problems(spark, sf):
@@ -308,12 +411,12 @@ def a18_short_description_report(spark, sf):
 
 
 def _j6_sql(seed: int, max_len: int, draws: int) -> str:
-    from pairlab.functions.text import arith_hash_sql
+    from pairlab.functions.text import seeded_hash_sql
     return _PROB + f"""
 , ranked AS (SELECT *, row_number() OVER (ORDER BY problem_id) - 1 AS rk FROM prob2)
 , n AS (SELECT count(*) AS n FROM prob2)
 , tried AS (SELECT p.problem_id AS candidate_id, p.total_length AS clen, d AS draw,
-    {arith_hash_sql('p.problem_id', 'd', seed=seed)} % (SELECT n FROM n) AS rk
+    {seeded_hash_sql('p.problem_id', 'd', seed=seed)} % (SELECT n FROM n) AS rk
     FROM prob2 p, unnest(range(0, {draws})) AS u(d))
 , hit AS (SELECT t.candidate_id, t.draw, r.problem_id AS partner_id FROM tried t JOIN ranked r USING (rk)
           WHERE t.clen + r.total_length <= {max_len} AND r.text_description_length > 0)
@@ -322,6 +425,27 @@ SELECT p.problem_id AS candidate_id, CAST(f.draw AS BIGINT) AS draw, f.partner_i
 FROM prob2 p LEFT JOIN first f ON f.candidate_id = p.problem_id"""
 
 
+def _j6_orders_sql(seed: int, draws: int) -> str:
+    from pairlab.functions.text import seeded_hash_sql
+    return f"""
+WITH p AS (SELECT 'o' || o_orderkey AS id, CAST(o_totalprice AS BIGINT) % 400 AS len, o_custkey % 3 AS dlen FROM orders)
+, ranked AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS rk FROM p)
+, tried AS (SELECT p.id AS candidate_id, p.len AS clen, d AS draw,
+    {seeded_hash_sql('p.id', 'd', seed=seed)} % (SELECT count(*) FROM p) AS rk FROM p, unnest(range(0, {draws})) AS u(d))
+, hit AS (SELECT t.candidate_id, t.draw, r.id AS partner_id FROM tried t JOIN ranked r USING (rk) WHERE t.clen + r.len <= 500 AND r.dlen > 0)
+, first AS (SELECT candidate_id, arg_min(partner_id, draw) AS partner_id, min(draw) AS draw FROM hit GROUP BY ALL)
+SELECT p.id AS candidate_id, CAST(f.draw AS BIGINT) AS draw, f.partner_id FROM p LEFT JOIN first f ON f.candidate_id = p.id"""
+
+
+@query("j6_sample_context_pairs_orders", _j6_orders_sql(seed=3, draws=5))
+def j6_sample_context_pairs_orders(spark, sf):
+    """A pool of all orders with string ids."""
+    p = table(spark, sf, "orders").select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("problem_id"),
+        (F.round("o_totalprice").cast("bigint") % 400).alias("total_length"), (F.col("o_custkey") % 3).alias("text_description_length"))
+    return au.sample_context_pairs(p, p, max_len=500, draws=5, seed=3)
+
+
 @query("j6_sample_context_pairs", _j6_sql(seed=7, max_len=700, draws=25))
 def j6_sample_context_pairs(spark, sf):
     p = _problems(spark, sf)
@@ -339,7 +463,7 @@ def j6_sample_context_pairs(spark, sf):
     CASE WHEN comp.code IS NULL OR comp.code = 'Openai timed out' THEN 0 ELSE {ntok('comp.code')} END AS generation_len
     FROM comp JOIN req USING (conv_id))
 SELECT conv_id, turn, template_len, generation_len,
-  {fin('CASE WHEN failed THEN 0.0 ELSE CAST(generation_len AS DOUBLE) * CAST(0.004 AS DOUBLE) / 1000.0 + CASE WHEN n_ok > 0 THEN (CAST(template_len AS DOUBLE) * CAST(0.003 AS DOUBLE) / 1000.0) / n_ok ELSE 0.0 END END')} AS total_cost
+  {fin(f'CASE WHEN failed THEN 0.0 ELSE CAST(generation_len AS DOUBLE) * CAST({au.COMPLETION_RATE_PER_1K} AS DOUBLE) / 1000.0 + CASE WHEN n_ok > 0 THEN (CAST(template_len AS DOUBLE) * CAST({au.PROMPT_RATE_PER_1K} AS DOUBLE) / 1000.0) / n_ok ELSE 0.0 END END')} AS total_cost
 FROM x""")
 def a16_cost_report(spark, sf):
     conv = table(spark, sf, "conversations")
@@ -358,7 +482,7 @@ def a16_cost_report(spark, sf):
 , req AS (SELECT conv_id, count(*) AS n_ok FROM comp GROUP BY conv_id)
 , x AS (SELECT {ntok('template')} AS template_len, {ntok('code')} AS generation_len, n_ok
         FROM comp JOIN req USING (conv_id))
-SELECT {fin('sum(generation_len * 0.004 / 1000.0 + template_len * 0.003 / 1000.0 / n_ok)')} AS total_cost,
+SELECT {fin(f'sum(generation_len * {au.COMPLETION_RATE_PER_1K} / 1000.0 + template_len * {au.PROMPT_RATE_PER_1K} / 1000.0 / n_ok)')} AS total_cost,
   {fin('avg(template_len)')} AS avg_template_len, {fin('avg(generation_len)')} AS avg_generation_len FROM x""")
 def a16_cost_summary(spark, sf):
     return au.cost_summary(a16_cost_report(spark, sf))
@@ -372,58 +496,57 @@ def f14_drop_failed_completions(spark, sf):
 
 
 @query("f15_projected_cost", f"""
-, d AS (SELECT lang, count(*) AS n_api_calls, avg({ntok('text')}) AS average_template_len,
-        avg(n_chars) AS average_code_len FROM documents GROUP BY lang)
-SELECT lang, CAST(n_api_calls AS BIGINT) AS n_api_calls,
-  {fin('n_api_calls * (average_template_len * 0.003 + average_code_len * 0.004 * 5) / 1000.0')} AS projected_cost FROM d""")
+, d AS (SELECT lang, count(*) AS n, avg({ntok('text')}) AS p, avg(n_chars) AS a FROM documents GROUP BY lang)
+SELECT lang, CAST(n AS BIGINT) AS n_calls,
+  {fin(f'n * (p * {au.PROMPT_RATE_PER_1K} + a * {au.COMPLETION_RATE_PER_1K} * 5) / 1000.0')} AS projected_cost FROM d""")
 def f15_projected_cost(spark, sf):
     d = table(spark, sf, "documents").groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n_api_calls"),
-        F.avg(tx.token_length(F.col("text"))).alias("average_template_len"),
-        F.avg("n_chars").alias("average_code_len"))
-    params = (d.withColumn("cost_per_1k_template", F.lit(au.PROMPT_RATE_PER_1K))
-              .withColumn("cost_per_1k_code", F.lit(au.COMPLETION_RATE_PER_1K))
-              .withColumn("samples_per_call", F.lit(5)))
-    return au.projected_cost(params).select("lang", "n_api_calls", "projected_cost")
+        F.count(F.lit(1)).alias("n_calls"),
+        F.avg(tx.token_length(F.col("text"))).alias("prompt_tokens"),
+        F.avg("n_chars").alias("answer_tokens"))
+    return au.projected_cost(d.withColumn("answers_per_call", F.lit(5))).select("lang", "n_calls", "projected_cost")
 
 
 def _f5_sql() -> str:
     from pairlab.plans.registry import sql_str
-
-    def code(x, i):
-        return f"replace(P, 'Code {i}: ...', 'Code {i}: ' || regexp_replace({x}, chr(10) || '+', chr(10), 'g') || chr(10) || chr(10))"
-
-    def desc(x, i):
-        body = f"regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), chr(10) || '{{2,}}', chr(10) || chr(10), 'g')"
-        return f"replace(P, 'Description {i}: ...', 'Description {i}: ' || {body} || chr(10) || chr(10))"
-    p = sql_str(au.CODE_ONLY_TEMPLATE)
-    for step in (code("c.url", 2), desc("c.html", 2), code("q.url", 1), desc("q.html", 1)):
-        p = step.replace("P", f"({p})", 1)
-    return _j6_sql(seed=7, max_len=700, draws=25) .replace(
+    newline = "chr(10) || '+'"
+
+    def code(x):
+        return f"coalesce(regexp_replace({x}, {newline}, chr(10), 'g'), '')"
+
+    def desc(x):
+        return f"coalesce(regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), chr(10) || '{{2,}}', chr(10) || chr(10), 'g'), '')"
+    cut, pieces = au.CODE_ONLY_TEMPLATE, []
+    for slot, value in (("Description 1", desc("q.html")), ("Code 1", code("q.url")), ("Description 2", desc("c.html")), ("Code 2", code("c.url"))):
+        before, cut = cut.split(f"{slot}: ...", 1)
+        pieces += [sql_str(f"{before}{slot}: "), value, "chr(10) || chr(10)"]
+    prompt = " || ".join([*pieces, sql_str(cut)])
+    return _j6_sql(seed=7, max_len=700, draws=25).replace(
         "SELECT p.problem_id AS candidate_id, CAST(f.draw AS BIGINT) AS draw, f.partner_id\nFROM prob2 p LEFT JOIN first f ON f.candidate_id = p.problem_id",
-        f"""SELECT f.candidate_id, f.partner_id, CAST(length(x) AS BIGINT) AS prompt_length, sha256(x) AS prompt_hash
-FROM (SELECT f.*, {p} AS x FROM first f JOIN pages c ON c.page_id = f.candidate_id
-      JOIN pages q ON q.page_id = f.partner_id) f""")
+        f"""SELECT candidate_id, partner_id, CAST(length(x) AS BIGINT) AS prompt_length, sha256(x) AS prompt_hash
+FROM (SELECT c.page_id AS candidate_id, f.partner_id, CASE WHEN f.partner_id IS NOT NULL THEN {prompt} END AS x
+      FROM pages c LEFT JOIN first f ON f.candidate_id = c.page_id LEFT JOIN pages q ON q.page_id = f.partner_id)""")
 
 
 @query("f5_fill_prompt_slots", _f5_sql())
 def f5_fill_prompt_slots(spark, sf):
+    """Every candidate; one without a partner has no prompt."""
     p = _problems(spark, sf)
-    pairs = au.sample_context_pairs(p, p, max_len=700, draws=25, seed=7).filter(F.col("partner_id").isNotNull())
+    pairs = au.sample_context_pairs(p, p, max_len=700, draws=25, seed=7)
     pages = table(spark, sf, "pages")
     c = pages.select(F.col("page_id").alias("candidate_id"), F.col("url").alias("cand_code"),
                      F.col("html").alias("cand_desc"))
     q = pages.select(F.col("page_id").alias("partner_id"), F.col("url").alias("partner_code"),
                      F.col("html").alias("partner_desc"))
-    d = au.fill_prompt_slots(pairs.join(c, "candidate_id").join(q, "partner_id"))
+    d = au.fill_prompt_slots(pairs.join(c, "candidate_id").join(q, "partner_id", "left"))
     return d.select("candidate_id", "partner_id", F.length("prompt").alias("prompt_length"),
                     F.sha2("prompt", 256).alias("prompt_hash"))
 
 
 @query("select_novel_survivors", oracle_with(["v_outputs"], _TOP20 + """
-, novel AS (SELECT cands.program_id FROM cands LEFT JOIN nm ON nm.problem_id = cands.problem_id AND nm.cand = cands.program_id
+, novel AS (SELECT cands.problem_id, cands.program_id FROM cands LEFT JOIN nm ON nm.problem_id = cands.problem_id AND nm.cand = cands.program_id
             WHERE runs_all AND coalesce(nm.n_matching, 0) = 0)
-, nov_out AS (SELECT * FROM v_outputs WHERE kind = 'candidate' AND program_id IN (SELECT program_id FROM novel))
+, nov_out AS (SELECT o.* FROM v_outputs o JOIN novel USING (problem_id, program_id) WHERE kind = 'candidate')
 , sig AS (SELECT program_id, string_agg(problem_id || ':' || tc_no || ':' || output, '|' ORDER BY problem_id, tc_no) AS s
           FROM nov_out GROUP BY program_id)
 , grp AS (SELECT s, count(*) AS m, min(program_id) AS cluster_id FROM sig GROUP BY s)
@@ -438,7 +561,7 @@ def select_novel_survivors(spark, sf):
 SELECT s.problem_id, s.submission_id, CAST(s.num_submissions AS BIGINT) AS num_submissions,
   p.page_id IS NOT NULL AS has_description
 FROM seeds s LEFT JOIN pages p ON p.page_id = s.problem_id
-ORDER BY s.num_submissions DESC, s.problem_id LIMIT 10"""))
+ORDER BY s.n_accepted DESC, s.problem_id LIMIT 10"""))
 def mine_seeds_job(spark, sf):
     from pairlab.plans.jobs import mine_seeds
     desc = table(spark, sf, "pages").select(F.col("page_id").alias("problem_id"),

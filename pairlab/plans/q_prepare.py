@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.functions.text import arith_hash_sql, first_program, extract_response
+from pairlab.functions.text import extract_response, first_program, seeded_hash_sql
 from pairlab.operators import augment as au
 from pairlab.operators import prepare as pp
 from pairlab.operators import reshape as rs
@@ -50,6 +50,23 @@ def w8_performance_tag_ntile(spark, sf):
         "submission_id", "problem_id", "pctile")
 
 
+@query("w8_performance_tag_ntile_payload", oracle_with(["v_submissions"], """
+, acc AS (SELECT * FROM v_submissions WHERE status = 'Accepted' AND agg_runtime IS NOT NULL AND isfinite(agg_runtime))
+SELECT submission_id, problem_id, src_id, CAST(gen_idx AS BIGINT) AS gen_idx,
+  CAST(ntile(10) OVER (PARTITION BY problem_id ORDER BY agg_runtime DESC, submission_id) AS VARCHAR) AS pctile FROM acc"""))
+def w8_performance_tag_ntile_payload(spark, sf):
+    """The same tag with columns that are no part of the order."""
+    subs = au.accepted_finite(view(spark, sf, "v_submissions"))
+    return pp.performance_tag(subs, method="ntile", order_key="submission_id").select("submission_id", "problem_id", "src_id", "gen_idx", "pctile")
+
+
+@query("o2_shuffle_head_string_ids", f"""
+SELECT 'p' || doc_id AS doc_id FROM documents ORDER BY {seeded_hash_sql("'p' || doc_id", seed=7)}, 1 LIMIT 50""")
+def o2_shuffle_head_string_ids(spark, sf):
+    d = table(spark, sf, "documents").select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("doc_id"))
+    return pp.shuffle_head(d, 50, key="doc_id", seed=7)
+
+
 _PAIRS_TAGGED = """
 , pt AS (SELECT *, CAST(length(tgt_code) AS DOUBLE) AS rt FROM v_pairs)
 , pb AS (SELECT problem_id, min(rt) AS best FROM pt GROUP BY problem_id)
@@ -96,11 +113,39 @@ def f8_extract_response(spark, sf):
     return d.select("src_id", F.sha2(extract_response(F.col("prompt"), _MARK), 256).alias("response_hash"))
 
 
-@query("f9_first_program")
+# completions with programs: balanced, nested, unclosed, with stray braces, and without main
+_PROGRAMS = """
+, prog AS (SELECT src_id, CASE src_id % 5
+    WHEN 0 THEN 'int main() { ' || substr(tgt_code, 1, 20) || ' } trailing { }'
+    WHEN 1 THEN 'struct s { int a; }; int  main(int c) { if (c) { x(); } else { y(); } } int f() { }'
+    WHEN 2 THEN 'void main { { ' || substr(tgt_code, 1, 10)
+    WHEN 3 THEN 'main } } { a } { b } ' || substr(tgt_code, 1, 30)
+    ELSE tgt_code END AS code FROM v_pairs)
+"""
+
+
+def _programs(spark, sf):
+    t, k = F.col("tgt_code"), F.col("src_id") % 5
+    code = (F.when(k == 0, F.concat(F.lit("int main() { "), F.substring(t, 1, 20), F.lit(" } trailing { }")))
+            .when(k == 1, F.lit("struct s { int a; }; int  main(int c) { if (c) { x(); } else { y(); } } int f() { }"))
+            .when(k == 2, F.concat(F.lit("void main { { "), F.substring(t, 1, 10)))
+            .when(k == 3, F.concat(F.lit("main } } { a } { b } "), F.substring(t, 1, 30))).otherwise(t))
+    return view(spark, sf, "v_pairs").select("src_id", code.alias("code"))
+
+
+@query("f9_first_program", oracle_with(["v_pairs"], _PROGRAMS + r"""
+, m AS (SELECT src_id, code, regexp_extract(code, '\b(?:int\s+)?main\b') AS hit FROM prog)
+, tail AS (SELECT src_id, code, CASE WHEN hit <> '' THEN strpos(code, hit) + length(hit) - 1 END AS cut FROM m)
+, ch AS (SELECT src_id, cut, i, substr(code, cut + i, 1) AS c FROM tail, unnest(range(1, length(code) - cut + 1)) AS u(i) WHERE cut IS NOT NULL)
+, st AS (SELECT src_id, cut, i, c, sum(CASE c WHEN '{' THEN 1 ELSE -1 END) OVER w AS depth, max(CASE c WHEN '{' THEN 1 ELSE 0 END) OVER w AS opened
+         FROM ch WHERE c IN ('{', '}') WINDOW w AS (PARTITION BY src_id ORDER BY i))
+, e AS (SELECT src_id, min(cut + i) AS stop FROM st WHERE c = '}' AND depth = 0 AND opened = 1 GROUP BY src_id)
+SELECT prog.src_id, sha256(CASE WHEN stop IS NULL THEN code ELSE substr(code, 1, stop) END) AS kept_hash,
+  stop IS NOT NULL AND stop < length(code) AS was_cut
+FROM prog LEFT JOIN e USING (src_id)"""))
 def f9_first_program(spark, sf):
-    d = view(spark, sf, "v_pairs")
-    return d.select("src_id", F.length(first_program(F.col("tgt_code"))).alias("kept_length"),
-                    F.length("tgt_code").alias("length"))
+    d = _programs(spark, sf).withColumn("kept", first_program(F.col("code")))
+    return d.select("src_id", F.sha2("kept", 256).alias("kept_hash"), (F.length("kept") < F.length("code")).alias("was_cut"))
 
 
 @query("f10_chat_examples", oracle_with(["v_pairs"], f"""
@@ -138,7 +183,7 @@ def f11_tokenize_and_mask(spark, sf):
 
 
 @query("o2_shuffle_head", f"""
-SELECT doc_id FROM documents ORDER BY {arith_hash_sql('doc_id', seed=42)}, doc_id LIMIT 50""")
+SELECT doc_id FROM documents ORDER BY {seeded_hash_sql('doc_id', seed=42)}, doc_id LIMIT 50""")
 def o2_shuffle_head(spark, sf):
     return pp.shuffle_head(table(spark, sf, "documents"), 50, key="doc_id", seed=42).select("doc_id")
 
@@ -186,6 +231,14 @@ def p4_parse_list_literal(spark, sf):
                     F.array_join(F.transform(a, lambda x: F.coalesce(x, F.lit("<null>"))), ",").alias("items"))
 
 
+@query("p4_parse_list_literal_plain", oracle_with(["v_generations"], """
+SELECT src_id, CAST(gen_idx AS BIGINT) AS gen_idx, CAST(CASE WHEN code IS NOT NULL THEN 1 END AS BIGINT) AS n_items, code AS first_item FROM v_generations"""))
+def p4_parse_list_literal_plain(spark, sf):
+    """Single answers, not written as lists."""
+    d = rs.parse_list_literal(view(spark, sf, "v_generations").select("src_id", "gen_idx", "code"), ["code"])
+    return d.select("src_id", "gen_idx", F.when(F.col("code").isNotNull(), F.size("code")).alias("n_items"), F.get("code", F.lit(0)).alias("first_item"))
+
+
 @query("p5_explode_generations", oracle_with(["v_generations"], """
 SELECT src_id, CAST(gen_idx AS BIGINT) AS gen_idx, code FROM v_generations"""))
 def p5_explode_generations(spark, sf):
@@ -221,6 +274,18 @@ def p7_pivot_results(spark, sf):
     return _wide(spark, sf)
 
 
+@query("p7_pivot_results_base", oracle_with(["v_pairs"], """
+SELECT src_id, CAST(length(tgt_code) AS BIGINT) + CASE WHEN src_id % 3 = 0 THEN 1000 ELSE 0 END AS tgt_code_len,
+  CAST(length(src_code) AS BIGINT) AS base_len, CAST(0 AS BIGINT) AS seq FROM v_pairs"""))
+def p7_pivot_results_base(spark, sf):
+    """Some rows were measured twice: the last measurement counts, the base row is the first."""
+    once = _long(spark, sf).withColumn("len", F.length("code").cast("bigint")).withColumn("seq", F.lit(0))
+    again = once.filter("src_id % 3 = 0").withColumn("len", F.col("len") + 1000).withColumn("seq", F.lit(1))
+    both = again.unionByName(once).withColumn("base_len", F.col("len"))
+    return rs.pivot_results(both, key="src_id", types=["src_code", "tgt_code"], values=["len"], order="seq", base_type="src_code",
+                            base_cols=["base_len", "seq"], value_types=["tgt_code"])
+
+
 @query("p8_select_report_columns", oracle_with(["v_pairs"], """
 SELECT src_id, CAST(length(src_code) AS BIGINT) AS src_code_len, CAST(length(tgt_code) AS BIGINT) AS tgt_code_len
 FROM v_pairs"""))
@@ -269,13 +334,17 @@ def u3_array_set_algebra(spark, sf):
                     F.size(rs.array_set_algebra("a", "b", "union")).alias("n_union"))
 
 
-@query("u4_partition_check", """
-SELECT CAST(NULL AS BIGINT) AS submission_id, CAST(NULL AS VARCHAR) AS side WHERE false""")
+@query("u4_partition_check", oracle_with(["v_submissions"], """
+SELECT submission_id, 'missing' AS side FROM v_submissions WHERE submission_id % 50 = 7
+UNION ALL SELECT submission_id, 'extra' FROM v_submissions WHERE submission_id % 50 = 9"""))
 def u4_partition_check(spark, sf):
+    """A split whose second part lost some rows and doubled others."""
     subs = view(spark, sf, "v_submissions")
     acc = au.accepted_finite(subs)
     rest = subs.join(acc.select("submission_id"), "submission_id", "left_anti")
-    return rs.partition_check(subs, rs.union_by_name(acc, rest)).select("submission_id", "side")
+    whole = rs.union_by_name(acc, rest)
+    parts = rs.union_by_name(whole.filter("submission_id % 50 <> 7"), whole.filter("submission_id % 50 = 9"))
+    return rs.partition_check(subs, parts).select("submission_id", "side")
 
 
 @query("o4_order_work", oracle_with(["v_generations"], """
@@ -310,7 +379,7 @@ FROM v_pairs""")
 
 @query("s1_read_records", _PAIRS_OUT)
 def s1_read_records(spark, sf):
-    path = os.path.join(checkpoint_dir(spark), "records", uuid.uuid4().hex)
+    path = "/".join((checkpoint_dir(spark), "records", uuid.uuid4().hex))
     io.write_records(view(spark, sf, "v_pairs"), path)
     back = io.read_records(spark, path, PAIR_SCHEMA, required=["src_id", "src_code"])
     return back.select("src_id", "problem_id", F.sha2("src_code", 256).alias("src_hash"), "speedup")
@@ -318,7 +387,7 @@ def s1_read_records(spark, sf):
 
 @query("s10_stage", _PAIRS_OUT)
 def s10_stage(spark, sf):
-    path = os.path.join(checkpoint_dir(spark), "stages", uuid.uuid4().hex)
+    path = "/".join((checkpoint_dir(spark), "stages", uuid.uuid4().hex))
     build = lambda: view(spark, sf, "v_pairs").select(
         "src_id", "problem_id", F.sha2("src_code", 256).alias("src_hash"), "speedup")
     io.stage(spark, path, build)  # computes and writes
@@ -337,7 +406,7 @@ EVENT_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructFi
 SELECT event_id, user_id, event_type, {fin('value')} AS value, false AS bad FROM events""")
 def s3_read_csv_metrics(spark, sf):
     """Events written as CSV files with a header, read back; no row is malformed."""
-    path = os.path.join(checkpoint_dir(spark), "csv", uuid.uuid4().hex)
+    path = "/".join((checkpoint_dir(spark), "csv", uuid.uuid4().hex))
     table(spark, sf, "events").select(*EVENT_SCHEMA.fieldNames()).write.option("header", "true").csv(path)
     good, bad = io.read_csv_metrics(spark, path, EVENT_SCHEMA)
     nb = F.lit(False)
@@ -354,7 +423,7 @@ def s3_read_csv_metrics(spark, sf):
 SELECT unique_programs, total_programs, e AS experiment FROM one, (VALUES ('first'), ('second')) AS x(e)"""))
 def s9_write_summary(spark, sf):
     """The unique-program report appended twice as CSV; both experiments stay."""
-    path = os.path.join(checkpoint_dir(spark), "summary", uuid.uuid4().hex)
+    path = "/".join((checkpoint_dir(spark), "summary", uuid.uuid4().hex))
     rep = au.unique_program_count(view(spark, sf, "v_outputs")).select("unique_programs", "total_programs")
     io.write_summary(rep, path, experiment="first")
     io.write_summary(rep, path, experiment="second")
@@ -366,7 +435,7 @@ def s9_write_summary(spark, sf):
 SELECT src_id, {fin('speedup')} AS speedup, v AS version FROM v_pairs, (VALUES ('v=a'), ('v=b')) AS x(v)"""))
 def s11_versioned_write(spark, sf):
     """Two runs write side by side; the earlier copy is never overwritten."""
-    root = os.path.join(checkpoint_dir(spark), "versions", uuid.uuid4().hex)
+    root = "/".join((checkpoint_dir(spark), "versions", uuid.uuid4().hex))
     d = view(spark, sf, "v_pairs").select("src_id", "speedup")
     io.versioned_write(d, root, "a")
     io.versioned_write(d, root, "b")
@@ -382,10 +451,81 @@ TURN_SCHEMA = T.StructType([T.StructField("conv_id", T.LongType()), T.StructFiel
 SELECT conv_id, turn, sha256(text) AS text_hash, role AS split FROM conversations""")
 def s2_read_splits(spark, sf):
     """Each role written as its own JSON-lines split, read back tagged."""
-    root = os.path.join(checkpoint_dir(spark), "splits", uuid.uuid4().hex)
+    root = "/".join((checkpoint_dir(spark), "splits", uuid.uuid4().hex))
     conv = table(spark, sf, "conversations")
     roles = ("system", "user", "assistant")
     for role in roles:
         io.write_records(conv.filter(F.col("role") == role).select(*TURN_SCHEMA.fieldNames()), f"{root}/{role}")
     d = io.read_splits(spark, {r: f"{root}/{r}" for r in roles}, TURN_SCHEMA)
     return d.select("conv_id", "turn", F.sha2("text", 256).alias("text_hash"), "split")
+
+
+# ---- sources of named files ---------------------------------------------------
+
+@query("s4_read_keyed_documents", r"""
+SELECT 'p' || page_id AS key, sha256(regexp_replace(html, '^\s+|\s+$', '', 'g')) AS text_hash FROM pages""")
+def s4_read_keyed_documents(spark, sf):
+    """Every page written as a file of its own, read back by its name."""
+    root = f"{checkpoint_dir(spark)}/named/{uuid.uuid4().hex}"
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".v1.html")).alias("name"),
+                                             F.concat(F.lit(" \n"), F.col("html"), F.lit("\n")).alias("text"))
+    io.write_named_texts(pages, root)
+    return io.read_keyed_documents(spark, f"{root}/*.html").select("key", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("s5_read_testcases", """
+SELECT 'c' || conv_id AS problem_id, CAST(turn AS BIGINT) AS tc_no, sha256(text) AS input_hash, sha256(role) AS expected_hash FROM conversations
+WHERE turn <> 1""")
+def s5_read_testcases(spark, sf):
+    """Every turn as a test: input.N.txt and output.N.txt, one file of another name, and an allow-list as text."""
+    root = f"{checkpoint_dir(spark)}/named/{uuid.uuid4().hex}"
+    conv = table(spark, sf, "conversations")
+    place = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"))
+    name = lambda kind: F.concat(place, F.lit(f"{kind}."), F.col("turn").cast("string"), F.lit(".txt"))
+    odd = conv.filter("turn = 0").select(F.concat(place, F.lit("input.big.txt")).alias("name"), F.col("text"))
+    io.write_named_texts(conv.select(name("input").alias("name"), "text").unionByName(conv.select(name("output").alias("name"), F.col("role").alias("text"))).unionByName(odd), root)
+    allow = conv.filter("turn <> 1").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("problem_id"), F.col("turn").cast("string").alias("tc_no"))
+    d = io.read_testcases(spark, root, allow)
+    return d.select("problem_id", "tc_no", F.sha2("input", 256).alias("input_hash"), F.sha2("expected", 256).alias("expected_hash"))
+
+
+@query("s7_read_timing_json", f"""
+SELECT user_id AS submission_id, event_id AS tc_no, {fin('value')} AS mean, CAST(2 AS BIGINT) AS n_times FROM events WHERE event_id % 10 <> 4""")
+def s7_read_timing_json(spark, sf):
+    """A file of timings per submission; one command in ten names no input, and one more file is broken."""
+    root = f"{checkpoint_dir(spark)}/named/{uuid.uuid4().hex}"
+    e = F.col("event_id")
+    command = F.concat(F.lit("./a.out < "), F.when(e % 10 == 4, F.lit("other.txt")).otherwise(F.concat(F.lit("input_"), e.cast("string"), F.lit(".txt"))))
+    runs = table(spark, sf, "events").groupBy("user_id").agg(  # a user's own events
+        F.to_json(F.struct(F.collect_list(F.struct(command.alias("command"), F.col("value").alias("mean"), F.array("value", "value").alias("times"))).alias("results"))).alias("text"))
+    files = runs.select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".json")).alias("name"), "text")
+    broken = files.limit(1).select(F.lit("broken.json").alias("name"), F.lit("{broken").alias("text"))
+    io.write_named_texts(files.unionByName(broken), root)
+    d = io.read_timing_json(spark, root)
+    return d.select(F.regexp_extract("file", r"u(\d+)\.json$", 1).cast("long").alias("submission_id"), "tc_no", "mean", F.size("times").alias("n_times"))
+
+
+@query("s12_normalise_keyed_json", oracle_with(["v_outputs"], """
+SELECT CAST(problem_id AS BIGINT) AS problem_id, CAST(tc_no AS BIGINT) AS tc_no, output, 'p' || program_id AS program_id FROM v_outputs"""))
+def s12_normalise_keyed_json(spark, sf):
+    """Outputs nested as {test: {output: [programs]}} per problem and block of programs, then flattened."""
+    o = view(spark, sf, "v_outputs").withColumn("block", F.floor(F.col("program_id") / 64))
+    ids = o.groupBy("problem_id", "block", "tc_no", "output").agg(F.collect_list(F.concat(F.lit("p"), F.col("program_id").cast("string"))).alias("ids"))
+    per_test = ids.groupBy("problem_id", "block", "tc_no").agg(F.map_from_entries(F.collect_list(F.struct("output", "ids"))).alias("m"))
+    nested = per_test.groupBy("problem_id", "block").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("tc_no").cast("string"), "m")))).alias("j"))
+    return io.normalise_keyed_json(nested.drop("block"), "j").select("problem_id", "tc_no", "output", "program_id")
+
+
+@query("s3_read_csv_metrics_headers", f"""
+SELECT event_id, user_id, event_type, {fin('value')} AS value, false AS bad FROM events
+UNION ALL SELECT event_id, NULL, NULL, NULL, true FROM events WHERE event_id % 20 = 3""")
+def s3_read_csv_metrics_headers(spark, sf):
+    """Half the files have their columns in another order, and some rows are malformed."""
+    path = f"{checkpoint_dir(spark)}/csv/{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").select(*EVENT_SCHEMA.fieldNames())
+    e.filter("event_id % 2 = 0").write.option("header", "true").csv(f"{path}/a")
+    e.filter("event_id % 2 = 1").select("value", "event_type", "event_id", "user_id").write.option("header", "true").csv(f"{path}/b")
+    e.filter("event_id % 20 = 3").select(F.concat(F.lit("x"), F.col("event_id").cast("string"), F.lit(",y,z"))).write.text(f"{path}/c")
+    good, bad = io.read_csv_metrics(spark, f"{path}/*", EVENT_SCHEMA)
+    return rs.union_by_name(good.drop("file").withColumn("bad", F.lit(False)),
+                            bad.select(F.regexp_extract("raw", r"^x(\d+),", 1).cast("long").alias("event_id"), F.lit(True).alias("bad")))

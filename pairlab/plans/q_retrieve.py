@@ -44,6 +44,21 @@ def j7_knn_join(spark, sf):
         "query_id", "neighbor_id", "rank", "dist")
 
 
+@query("j7_knn_join_string_ids", f"""
+WITH e AS (SELECT 'v' || vec_id AS id, CASE WHEN vec_id % 10 <> 3 THEN CAST(embedding AS DOUBLE[]) END AS v FROM embeddings)
+, d AS (SELECT a.id AS query_id, b.id AS neighbor_id,
+    list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) AS dist
+  FROM e a JOIN e b ON a.id <> b.id WHERE a.v IS NOT NULL AND b.v IS NOT NULL)
+SELECT query_id, neighbor_id, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS rank FROM d) WHERE rank <= 2""")
+def j7_knn_join_string_ids(spark, sf):
+    """String ids; every tenth row has no vector."""
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"),
+                                              F.when(F.col("vec_id") % 10 != 3, F.col("embedding")).alias("embedding"))
+    return rt.knn_join(e.withColumnRenamed("id", "query_id"), e.withColumnRenamed("id", "neighbor_id"), k=2, qkey="query_id", ckey="neighbor_id",
+                       corpus_partitions=3).select("query_id", "neighbor_id", "rank")
+
+
 _BEST = """
 , bestid AS (SELECT sha256(src_code) AS code_hash, arg_min(src_id, (-speedup, src_id)) AS src_id
              FROM v_pairs GROUP BY sha256(src_code))

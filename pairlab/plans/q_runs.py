@@ -30,10 +30,35 @@ _F1 = f"""
 
 
 def _f1(spark, sf):
-    out, exp = view(spark, sf, "v_outputs"), view(spark, sf, "v_expected")
+    out = view(spark, sf, "v_outputs").select("problem_id", "tc_no", "program_id", rn.comparable_text("output").alias("o"))
+    exp = view(spark, sf, "v_expected").select("problem_id", "tc_no", rn.comparable_text("expected").alias("e"))
     return out.join(exp, ["problem_id", "tc_no"]).select(
-        "problem_id", "tc_no", "program_id",
-        rn.output_accuracy(F.col("output"), F.col("expected")).alias("accuracy"))
+        "problem_id", "tc_no", "program_id", rn.accuracy_of(F.col("o"), F.col("e")).alias("accuracy"))
+
+
+# outputs of several lines: exact, near-equal numbers, missing and extra lines, padding
+_LINES = """
+, lo AS (SELECT problem_id, tc_no, program_id, CASE program_id % 5
+    WHEN 0 THEN output || chr(10) || '2.0004' || chr(10) || 'end'
+    WHEN 1 THEN '  ' || output || chr(13) || chr(10) || '2' || chr(10)
+    WHEN 2 THEN output || chr(10) || '2.01' || chr(10) || 'end' || chr(10) || 'more'
+    WHEN 3 THEN output ELSE '' END AS output FROM v_outputs)
+, le AS (SELECT problem_id, tc_no, expected || chr(10) || '2.0' || chr(10) || 'end' AS expected FROM v_expected)
+"""
+
+
+@query("f1_output_accuracy_lines", oracle_with(["v_outputs", "v_expected"], _LINES + f"""
+SELECT CAST(o.problem_id AS BIGINT) AS problem_id, CAST(o.tc_no AS BIGINT) AS tc_no, program_id,
+  {fin(_f1_sql('o.output', 'e.expected'))} AS accuracy
+FROM lo o JOIN le e ON o.problem_id = e.problem_id AND o.tc_no = e.tc_no"""))
+def f1_output_accuracy_lines(spark, sf):
+    o, k = F.col("output"), F.col("program_id") % 5
+    text = (F.when(k == 0, F.concat(o, F.lit("\n2.0004\nend"))).when(k == 1, F.concat(F.lit("  "), o, F.lit("\r\n2\n")))
+            .when(k == 2, F.concat(o, F.lit("\n2.01\nend\nmore"))).when(k == 3, o).otherwise(F.lit("")))
+    out = view(spark, sf, "v_outputs").select("problem_id", "tc_no", "program_id", rn.comparable_text(text).alias("o"))
+    exp = view(spark, sf, "v_expected").select("problem_id", "tc_no", rn.comparable_text(F.concat("expected", F.lit("\n2.0\nend"))).alias("e"))
+    return out.join(exp, ["problem_id", "tc_no"]).select(
+        "problem_id", "tc_no", "program_id", rn.accuracy_of(F.col("o"), F.col("e")).alias("accuracy"))
 
 
 @query("f1_output_accuracy", oracle_with(["v_outputs", "v_expected"], _F1 + f"""
@@ -81,7 +106,7 @@ def w2_fail_fast(spark, sf):
 
 
 @query("a2_total_runtime", oracle_with(["v_test_runs"], _FF + f"""
-SELECT submission_id, {fin(f'coalesce(sum(CASE WHEN success THEN t ELSE {INF_SQL} END), {INF_SQL})')} AS agg_runtime,
+SELECT submission_id, {fin(f'coalesce(sum(CASE WHEN success AND t IS NOT NULL THEN t ELSE {INF_SQL} END), {INF_SQL})')} AS agg_runtime,
   CAST(count(*) AS BIGINT) AS n_tests, CAST(count(*) FILTER (WHERE success) AS BIGINT) AS n_success,
   {fin(f'sum(CASE WHEN success THEN t END)')} AS passed_time
 FROM ff2 GROUP BY submission_id"""))
@@ -109,6 +134,38 @@ def a3_aligned_repeat_stats(spark, sf):
     return rn.aligned_repeat_stats(view(spark, sf, "v_repeats"))
 
 
+_A3_NULLS = f"""
+, rr AS (SELECT submission_id, tc, rep, CASE WHEN submission_id % 9 = 4 AND rep = 0 AND tc = 'click' THEN NULL ELSE t END AS t FROM v_repeats)
+, pt AS (SELECT submission_id, tc, count(t) AS n, count(*) FILTER (WHERE t IS NULL) AS nulls FROM rr GROUP BY submission_id, tc)
+, ps AS (SELECT submission_id, min(n) AS shortest, count(*) AS n_tests, max(nulls) AS nulls FROM pt GROUP BY submission_id)
+, sums AS (SELECT r.submission_id, r.rep, sum(r.t) AS tot FROM rr r JOIN ps USING (submission_id) WHERE r.rep < ps.shortest GROUP BY r.submission_id, r.rep)
+, st AS (SELECT submission_id, avg(tot) AS m, stddev_pop(tot) AS s FROM sums GROUP BY submission_id)
+"""
+
+
+def _null_repeats(spark, sf):
+    return view(spark, sf, "v_repeats").withColumn("t", F.when(~((F.col("submission_id") % 9 == 4) & (F.col("rep") == 0) & (F.col("tc") == "click")), F.col("t")))
+
+
+@query("a3_aligned_repeat_stats_nulls", oracle_with(["v_repeats"], _A3_NULLS + f"""
+SELECT submission_id, nulls > 0 OR shortest = 0 AS is_broken,
+  {fin(f'CASE WHEN nulls > 0 OR shortest = 0 THEN {INF_SQL} ELSE m END')} AS agg_runtime FROM ps LEFT JOIN st USING (submission_id)"""))
+def a3_aligned_repeat_stats_nulls(spark, sf):
+    """Some tests have a repeat without a time."""
+    d = rn.aligned_repeat_stats(_null_repeats(spark, sf))
+    return d.select("submission_id", F.coalesce(F.col("agg_runtime") == F.lit(float("inf")), F.lit(False)).alias("is_broken"), "agg_runtime")
+
+
+@query("a17_repeat_stability_runs", oracle_with(["v_repeats"], f"""
+, m AS (SELECT submission_id, rep % 3 AS run, tc, avg(t) AS t FROM v_repeats GROUP BY ALL)
+, a AS (SELECT submission_id, tc, count(t) AS n_runs, avg(t) AS m, stddev_pop(t) AS s FROM m GROUP BY submission_id, tc)
+SELECT submission_id, tc, CAST(n_runs AS BIGINT) AS n_runs, {fin('m')} AS mean, {fin('s')} AS std,
+  {fin(sdiv('s', 'm'))} AS cv, coalesce({sdiv('s', 'm')} < 0.05, false) AS stable FROM a"""))
+def a17_repeat_stability_runs(spark, sf):
+    """Three runs of every test: the mean of each run first."""
+    return rn.repeat_stability(view(spark, sf, "v_repeats").withColumn("run", F.col("rep") % 3), run="run")
+
+
 @query("a17_repeat_stability", oracle_with(["v_repeats"], f"""
 , a AS (SELECT submission_id, tc, count(t) AS n_runs, avg(t) AS m, stddev_pop(t) AS s
         FROM v_repeats GROUP BY submission_id, tc)
@@ -142,8 +199,12 @@ def j4_restore_missing_tests(spark, sf):
         FROM r GROUP BY submission_id, version)
 , w AS (SELECT submission_id, coalesce(max(rt) FILTER (WHERE version = 0), {INF_SQL}) AS v0,
           coalesce(max(rt) FILTER (WHERE version = 1), {INF_SQL}) AS v1 FROM b GROUP BY submission_id)
-SELECT submission_id, {fin('v0')} AS agg_runtime_v0, {fin('v1')} AS agg_runtime_v1,
-  {fin(sdiv('v0', 'v1'))} AS speedup FROM w"""))
+, n AS (SELECT submission_id, version, count(*) AS n, count(*) FILTER (WHERE tc <> 'error') AS ok FROM r GROUP BY ALL)
+, nw AS (SELECT submission_id, coalesce(max(n) FILTER (WHERE version = 0), 0) AS n0, coalesce(max(n) FILTER (WHERE version = 1), 0) AS n1,
+   coalesce(max(ok) FILTER (WHERE version = 0), 0) AS ok0, coalesce(max(ok) FILTER (WHERE version = 1), 0) AS ok1 FROM n GROUP BY submission_id)
+SELECT submission_id, {fin('v0')} AS agg_runtime_v0, {fin('v1')} AS agg_runtime_v1, {fin(sdiv('v0', 'v1'))} AS speedup,
+  CAST(n0 AS BIGINT) AS n_tests_v0, CAST(n1 AS BIGINT) AS n_tests_v1, CAST(ok0 AS BIGINT) AS n_success_v0, CAST(ok1 AS BIGINT) AS n_success_v1
+FROM w JOIN nw USING (submission_id)"""))
 def j9_pair_versions(spark, sf):
     """Early half of every test's repeats as version 0, late half as version 1."""
     r = view(spark, sf, "v_repeats").withColumn("success", F.col("tc") != "error")
@@ -159,26 +220,32 @@ _SIM = fin("max(CASE WHEN stat = 'sim_ticks' THEN TRY_CAST(v1 AS DOUBLE) END) /
            "max(CASE WHEN stat = 'sim_freq' THEN TRY_CAST(v1 AS DOUBLE) END)")
 
 
-@query("s6_parse_run_stats", f"""
-WITH l AS (SELECT doc_id AS run_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-, f AS (SELECT run_id, line FROM l
+_STATS = """
+WITH l AS (SELECT doc_id AS run_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+, f AS (SELECT run_id, pos, line FROM l
         WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '' AND NOT contains(line, 'Begin') AND NOT contains(line, 'End'))
-, t AS (SELECT run_id, string_split_regex(regexp_replace(regexp_replace(line, '#.*', ''), '^\\s+|\\s+$', '', 'g'), '\\s+') AS toks
-        FROM f)
-, p AS (SELECT run_id, toks[1] AS stat, len(toks) - 1 AS n_values, replace(toks[2], '%', '') AS v1 FROM t WHERE len(toks) >= 2)
-SELECT run_id, stat, CAST(n_values AS BIGINT) AS n_values, {_V1} AS first_value FROM p
+, t AS (SELECT run_id, pos, string_split_regex(regexp_replace(regexp_replace(line, '#.*', ''), '^\\s+|\\s+$', '', 'g'), '\\s+') AS toks FROM f)
+, p AS (SELECT run_id, toks[1] AS stat, len(toks) - 1 AS n_values, replace(toks[2], '%', '') AS v1, toks[2] AS text1 FROM t WHERE len(toks) >= 2
+        QUALIFY row_number() OVER (PARTITION BY run_id, toks[1] ORDER BY pos DESC) = 1)
+"""
+
+
+@query("s6_parse_run_stats", _STATS + f"""
+SELECT run_id, stat, CAST(n_values AS BIGINT) AS n_values, {_V1} AS first_value, sha256(text1) AS first_text FROM p
 UNION ALL
-SELECT run_id, 'sim_seconds_precise', CAST(1 AS BIGINT), {_SIM} FROM p GROUP BY run_id""")
+SELECT run_id, 'sim_seconds_precise', CAST(1 AS BIGINT), {_SIM}, NULL FROM p GROUP BY run_id""")
 def s6_parse_run_stats(spark, sf):
+    """Every text read as a stats file; a repeated key keeps its last line."""
     docs = table(spark, sf, "documents")
-    lines = docs.select(F.col("doc_id").alias("run_id"), F.explode(F.split("text", "\n")).alias("line"))
-    return rn.parse_run_stats(lines).select("run_id", "stat", F.size("values").alias("n_values"),
-                                            F.col("values")[0].alias("first_value"))
+    lines = docs.select(F.col("doc_id").alias("run_id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    d = rn.parse_run_stats(lines, ordinal="at")
+    return d.select("run_id", "stat", F.size("values").alias("n_values"), F.get("values", F.lit(0)).alias("first_value"),
+                    F.when(F.col("stat") != "sim_seconds_precise", F.sha2(F.get("texts", F.lit(0)), 256)).alias("first_text"))
 
 
 @query("summarise_runs_job", oracle_with(["v_test_runs"], _FF + f"""
 , m AS (SELECT submission_id, avg(CASE WHEN success THEN 1.0 ELSE 0.0 END) AS mean_acc,
-          coalesce(sum(CASE WHEN success THEN t ELSE {INF_SQL} END), {INF_SQL}) AS rt,
+          coalesce(sum(CASE WHEN success AND t IS NOT NULL THEN t ELSE {INF_SQL} END), {INF_SQL}) AS rt,
           count(*) FILTER (WHERE success) AS n_success FROM ff2 GROUP BY submission_id)
 SELECT submission_id, {fin('mean_acc')} AS mean_acc, coalesce(mean_acc < 0.95, true) AS gated,
   {fin(f'CASE WHEN coalesce(mean_acc < 0.95, true) THEN {INF_SQL} ELSE rt END')} AS agg_runtime,
@@ -188,3 +255,36 @@ def summarise_runs_job(spark, sf):
     tests = rn.fail_fast(tests).withColumn("accuracy", F.when(F.col("success"), 1.0).otherwise(0.0))
     out = rn.summarise_runs(tests.drop("skipped", "error"), fail_fast_enabled=False)
     return out.select("submission_id", "mean_acc", "gated", "agg_runtime", "n_success")
+
+
+@query("summarise_runs_full", oracle_with(["v_test_runs", "v_repeats"], f"""
+, ts AS (SELECT *, 'v' || CAST(seq % 5 AS VARCHAR) AS expected, CASE WHEN seq % 7 = 3 THEN 'wrong' ELSE ' v' || CAST(seq % 5 AS VARCHAR) END AS output,
+    submission_id % 8 <> 3 AS compiled FROM v_test_runs WHERE NOT (submission_id % 5 = 1 AND seq = 2))
+, want AS (SELECT submission_id, seq FROM v_test_runs)
+, full_ AS (SELECT want.submission_id, want.seq, coalesce(ts.success, false) AS success, ts.t, coalesce(ts.compiled, want.submission_id % 8 <> 3) AS compiled,
+    CASE WHEN trim(ts.output) = ts.expected THEN 1.0 ELSE 0.0 END AS accuracy FROM want LEFT JOIN ts USING (submission_id, seq))
+, ff AS (SELECT *, coalesce(max(CASE WHEN success THEN 0 ELSE 1 END) OVER (PARTITION BY submission_id ORDER BY seq
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS skipped FROM full_)
+, f2 AS (SELECT submission_id, accuracy, compiled, success AND NOT skipped AND compiled AS success, CASE WHEN skipped THEN NULL ELSE t END AS t FROM ff)
+, m AS (SELECT submission_id, avg(CASE WHEN compiled THEN accuracy ELSE 0.0 END) AS mean_acc, bool_or(compiled) AS compilation,
+    coalesce(sum(CASE WHEN success AND t IS NOT NULL THEN t ELSE {INF_SQL} END), {INF_SQL}) AS rt, count(*) FILTER (WHERE success) AS n_success
+  FROM f2 GROUP BY submission_id)
+, pt AS (SELECT submission_id, tc, count(t) AS n, count(*) FILTER (WHERE t IS NULL) AS nulls FROM v_repeats WHERE submission_id % 4 <> 2 GROUP BY ALL)
+, ps AS (SELECT submission_id, min(n) AS shortest, max(nulls) AS nulls FROM pt GROUP BY ALL)
+, sums AS (SELECT r.submission_id, r.rep, sum(r.t) AS tot FROM v_repeats r JOIN ps USING (submission_id) WHERE r.rep < ps.shortest GROUP BY ALL)
+, st AS (SELECT submission_id, avg(tot) AS bm, stddev_pop(tot) AS bs FROM sums GROUP BY ALL)
+SELECT submission_id, compilation, {fin('mean_acc')} AS mean_acc, coalesce(mean_acc < 0.95, true) AS gated,
+  {fin(f'CASE WHEN coalesce(mean_acc < 0.95, true) THEN {INF_SQL} ELSE rt END')} AS agg_runtime, CAST(n_success AS BIGINT) AS n_success,
+  {fin('bm')} AS agg_runtime_binary, {fin('bs')} AS agg_stdev_binary
+FROM m LEFT JOIN st USING (submission_id)"""))
+def summarise_runs_full(spark, sf):
+    """Outputs compared with expected texts, tests that were lost, programs that do not compile, and real timings."""
+    runs = view(spark, sf, "v_test_runs")
+    want = runs.select("submission_id", F.col("seq").alias("tc_no"), (F.col("submission_id") % 8 != 3).alias("compiled"), F.col("seq"),
+                       F.concat(F.lit("v"), (F.col("seq") % 5).cast("string")).alias("expected"))
+    have = runs.filter("NOT (submission_id % 5 = 1 AND seq = 2)").select(
+        "submission_id", F.col("seq").alias("tc_no"), "success", "t",
+        F.when(F.col("seq") % 7 == 3, F.lit("wrong")).otherwise(F.concat(F.lit(" v"), (F.col("seq") % 5).cast("string"))).alias("output"))
+    out = rn.summarise_runs(have, want, repeats=view(spark, sf, "v_repeats").filter("submission_id % 4 <> 2").withColumnRenamed("tc", "tc_no"),
+                            output="output", expected="expected", compiled="compiled")
+    return out.select("submission_id", "compilation", "mean_acc", "gated", "agg_runtime", "n_success", "agg_runtime_binary", "agg_stdev_binary")

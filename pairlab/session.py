@@ -22,18 +22,16 @@ DEFAULT_CONF = {
 }
 
 
-def scale_conf(shuffle_bytes: int, cores: int, *, target_partition_bytes: int = 256 << 20,
-               max_partitions: int = 100_000) -> dict:
+def scale_conf(shuffle_bytes: int, cores: int, *, target_partition_bytes: int = 256 << 20) -> dict:
     """Shuffle and scan sizing for a cluster run.
 
     About ``target_partition_bytes`` of shuffle data per reduce task (so a task
     fits executor memory without heavy spilling), at least three waves over
-    ``cores``, capped to keep map-output metadata manageable; AQE then
-    coalesces small partitions and splits skewed ones at run time.
+    ``cores``; AQE then coalesces small partitions and splits skewed ones at run time.
     """
     n = max(cores * 3, -(-shuffle_bytes // target_partition_bytes))
     return {
-        "spark.sql.shuffle.partitions": str(min(n, max_partitions)),
+        "spark.sql.shuffle.partitions": str(n),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes // 2),

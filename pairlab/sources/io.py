@@ -6,7 +6,8 @@ import os
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,10 +16,20 @@ from pairlab.functions.numeric import finite_or_null, py_strip
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType,
                  required: Sequence[str] = ()) -> DataFrame:
-    """JSON-lines scan with a fixed schema; a malformed line fails the job."""
+    """JSON-lines scan with a fixed schema; a malformed line fails the job.
+
+    ``required`` columns must be in the schema and in the records of every file
+    (one aggregate over the keys of the lines): a file without one raises.
+    """
     missing = [c for c in required if c not in schema.fieldNames()]
     if missing:
         raise ValueError(f"required columns missing from schema: {missing}")
+    if required:
+        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.json_object_keys("value").alias("keys"))
+        has = [F.coalesce(F.bool_or(F.array_contains("keys", c)), F.lit(False)).alias(f"has_{i}") for i, c in enumerate(required)]
+        bad = lines.groupBy("file").agg(*has).filter(" OR ".join(f"NOT has_{i}" for i in range(len(required)))).first()
+        if bad is not None:
+            raise ValueError(f"{bad['file']} lacks {[c for i, c in enumerate(required) if not bad[f'has_{i}']]}")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
@@ -35,20 +46,30 @@ def read_csv_metrics(spark: SparkSession, path: str, schema: T.StructType):
     """S3: CSV files with a header line; unparsable rows go to an error table
     instead of failing the job.
 
-    Lines are read as text and parsed with ``from_csv`` (PERMISSIVE, corrupt
-    record column), so the error table needs no cached copy of the input.
+    A file's header (the line that has exactly the schema's names) says in which
+    order its columns come; a file without one has the schema's order.  A row
+    with too few or many values, or one that is not of its column's type, is bad.
     Returns (good, bad); bad rows keep the raw line and their file.
     """
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", _corrupt STRING"
-    header = ",".join(schema.fieldNames())
-    lines = (spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
-             .filter(F.col("value") != F.lit(header)))
-    parsed = lines.select("file", F.col("value").alias("raw"),
-                          F.from_csv("value", ddl, {"mode": "PERMISSIVE",
-                                                    "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    good = parsed.filter(F.col("r._corrupt").isNull()).select(*[F.col(f"r.{n}").alias(n) for n in schema.fieldNames()], "file")
-    bad = parsed.filter(F.col("r._corrupt").isNotNull()).select("file", "raw")
-    return good, bad
+    names = schema.fieldNames()
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
+    fields = F.transform(F.split("raw", ","), lambda x: F.trim(x))
+    lines = lines.withColumn("is_header", F.array_sort(fields) == F.array(*[F.lit(n) for n in sorted(names)]))
+    # one row a file
+    headers = lines.filter("is_header").groupBy("file").agg(F.max(F.transform(F.split("raw", ","), lambda x: F.trim(x))).alias("header"))
+    ddl = ", ".join(f"c{i} STRING" for i in range(len(names))) + ", _corrupt STRING"
+    rows = (lines.filter("NOT is_header").join(headers, "file", "left")
+            .withColumn("header", F.coalesce("header", F.array(*[F.lit(n) for n in names])))
+            .withColumn("r", F.from_csv("raw", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})))
+    cells = F.array(*[F.col(f"r.c{i}") for i in range(len(names))])
+    text = {n: F.get(cells, F.array_position("header", n).cast("int") - 1) for n in names}
+    typed = rows.select("file", "raw", F.col("r._corrupt").isNotNull().alias("_bad"),
+                        *[text[f.name].try_cast(f.dataType).alias(f.name) for f in schema.fields],
+                        *[text[n].isNotNull().alias(f"_has_{n}") for n in names])
+    wrong = F.col("_bad")
+    for n in names:
+        wrong = wrong | (F.col(f"_has_{n}") & F.col(n).isNull())
+    return typed.filter(~wrong).select(*names, "file"), typed.filter(wrong).select("file", "raw")
 
 
 def read_keyed_documents(spark: SparkSession, pattern: str, *, key_regex: str = r"([^/.]+)\.[^/]*$") -> DataFrame:
@@ -61,13 +82,13 @@ def read_keyed_documents(spark: SparkSession, pattern: str, *, key_regex: str =
 def read_testcases(spark: SparkSession, root: str, allow: DataFrame | None = None) -> DataFrame:
     """``root/<problem>/input.N.txt`` and ``output.N.txt`` paired by
     (problem_id, tc_no); ``allow`` (problem_id, tc_no) keeps listed tests only
-    (ids given as int or text both match)."""
+    (ids given as int or text both match); a name without a number is no test."""
     def scan(kind):
         d = spark.read.text(os.path.join(root, "*", f"{kind}.*.txt"), wholetext=True)
         p = F.col("_metadata.file_path")
         return d.select(F.regexp_extract(p, r"([^/]+)/[^/]+$", 1).alias("problem_id"),
-                        F.regexp_extract(p, kind + r"\.(\d+)\.txt$", 1).cast("int").alias("tc_no"),
-                        F.col("value").alias(kind))
+                        F.regexp_extract(p, kind + r"\.(\d+)\.txt$", 1).try_cast("int").alias("tc_no"),
+                        F.col("value").alias(kind)).filter("tc_no IS NOT NULL")
     out = scan("input").join(scan("output").withColumnRenamed("output", "expected"),
                              ["problem_id", "tc_no"], "left")
     if allow is not None:
@@ -82,28 +103,62 @@ TIMING_SCHEMA = T.StructType([T.StructField("results", T.ArrayType(T.StructType(
 
 
 def read_timing_json(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark JSON files -> (file, tc_no, mean, times); a bad file gives no rows."""
+    """Benchmark JSON files -> (file, tc_no, mean, times); a bad file, or a
+    command without an input number, gives no rows."""
     d = (spark.read.schema(TIMING_SCHEMA).option("multiLine", "true").option("mode", "PERMISSIVE")
          .json(path).withColumn("file", F.col("_metadata.file_path")))
     r = d.select("file", F.explode("results").alias("r"))
-    return r.select("file", F.regexp_extract("r.command", r"input_(\d+)", 1).cast("int").alias("tc_no"),
-                    F.col("r.mean").alias("mean"), F.col("r.times").alias("times"))
+    return r.select("file", F.regexp_extract("r.command", r"input_(\d+)", 1).try_cast("int").alias("tc_no"),
+                    F.col("r.mean").alias("mean"), F.col("r.times").alias("times")).filter("tc_no IS NOT NULL")
+
+
+def _finite(c: Column, t: T.DataType) -> Column:
+    """``c`` with NaN and infinities as NULL, at any depth."""
+    if isinstance(t, (T.DoubleType, T.FloatType)):
+        return finite_or_null(c)
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _finite(x, t.elementType))
+    if isinstance(t, T.MapType):
+        return F.transform_values(c, lambda _, v: _finite(v, t.valueType))
+    if isinstance(t, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_finite(c[f.name], f.dataType).alias(f.name) for f in t.fields]))
+    return c
 
 
 def write_records(df: DataFrame, path: str, *, inf_as_null: bool = False, mode: str = "errorifexists") -> None:
-    """JSON-lines sink (a folder of part files); optionally NaN/inf -> null."""
+    """JSON-lines sink (a folder of part files); optionally NaN/inf -> null (nested ones too)."""
     if inf_as_null:
-        df = df.select(*[finite_or_null(F.col(f.name)).alias(f.name)
-                         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
-                         for f in df.schema.fields])
+        df = df.select(*[_finite(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
     df.write.mode(mode).json(path)
 
 
+def write_named_texts(df: DataFrame, root: str) -> int:
+    """One file for every row of ``df`` (name, text) below ``root``; returns how many.
+
+    Tasks write through Arrow's file systems (``file:``, ``hdfs:``, ``s3:``, ``gs:``);
+    a name is written whole, so a task that runs again writes the same files.
+    """
+    def write(batches):
+        from pyarrow import fs
+        uri = root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root
+        store, base = fs.FileSystem.from_uri(uri)
+        for pdf in batches:
+            for name, text in zip(pdf["name"], pdf["text"], strict=True):
+                store.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{name}", compression=None) as f:
+                    f.write((text or "").encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+    return df.select("name", "text").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_summary(df: DataFrame, path: str, *, experiment: str | None = None) -> None:
-    """Small report rows appended as CSV with header; earlier experiments stay."""
+    """Small report rows appended as CSV with header; earlier experiments stay.
+
+    The report meets in one file after its own job ran in parallel.
+    """
     if experiment is not None:
         df = df.withColumn("experiment", F.lit(experiment))
-    df.coalesce(1).write.mode("append").option("header", "true").csv(path)
+    df.repartition(1).write.mode("append").option("header", "true").csv(path)
 
 
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:

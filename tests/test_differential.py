@@ -127,7 +127,7 @@ def test_hot_input_holding_a_third_of_rows(spark):
             acc = rnd.choice([1.0, 1.0, 0.5])
             rows.append((s, s % 5, 50.0, 1.0, g, "c", acc, rnd.uniform(1, 100)))
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r["k"]: r for r in ev.best_at_k_summary(ev.best_at_k(df, block_size=64), single_task_rows=0).collect()}
+    got = {r["k"]: r for r in ev.best_at_k_summary(ev.best_at_k(df, block_size=64), block_size=32).collect()}
     # plain Python: running best per input, carried forward past its last answer
     running = {}
     for r in sorted(rows, key=lambda r: (r[0], r[4])):

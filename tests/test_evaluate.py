@@ -76,10 +76,10 @@ def test_drop_identity_pairs(spark):
     assert out == {2: "a", 3: None}
 
 
-def test_summary_blocked_path_equals_window_path(spark):
+def test_summary_blocks_equal_one_block(spark):
     best = ev.best_at_k(gens(spark))
     a = sorted(tuple(r) for r in ev.best_at_k_summary(best).collect())
-    b = sorted(tuple(r) for r in ev.best_at_k_summary(best, single_task_rows=0).collect())
+    b = sorted(tuple(r) for r in ev.best_at_k_summary(best, block_size=1).collect())
     assert a == b
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pairlab.functions.text import _first_program, extract_response, html_to_text
+from pairlab.functions.text import cut_after_main, extract_response, html_to_text
 from pairlab.operators import prepare as pp
 
 
@@ -61,7 +61,7 @@ def test_extract_response(spark):
     ('int main() { puts("}"); }', 'int main() { puts("}'),
 ])
 def test_first_program(text, want):
-    assert _first_program(text) == want
+    assert cut_after_main(text) == want
 
 
 def test_html_parser_form(spark):

@@ -20,7 +20,7 @@ def test_blocked_knn_equals_brute_force(spark):
         "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     q = e.withColumnRenamed("vec_id", "query_id")
     c = e.withColumnRenamed("vec_id", "neighbor_id")
-    got = rt.knn_join(q, c, k=4, qkey="query_id", ckey="neighbor_id", q_block_rows=90, c_block_rows=150)
+    got = rt.knn_join(q, c, k=4, qkey="query_id", ckey="neighbor_id", q_block_rows=90, corpus_partitions=3)
     res = {}
     for r in got.collect():
         res.setdefault(r["query_id"], []).append((r["rank"], r["neighbor_id"]))
