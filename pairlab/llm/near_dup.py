@@ -198,7 +198,9 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, nodes: DataFrame, owners: DataFrame) -> DataFrame:
     """(node, hashes) of the given nodes, made again from the texts of their owners."""
-    owner = nodes.join(owners, "node").select("owner").distinct()
+    # a merge join at every size: the owners grow with the corpus, and a plan that
+    # broadcasts them while they are few would cost more than it promises later
+    owner = nodes.join(owners, "node").select("owner").distinct().hint("merge")
     texts = docs.join(owner, docs.doc_id.eqNullSafe(owner.owner), "left_semi")
     sets = texts.select(_shingled(F.col("text")).alias("s")).select("s.*").join(nodes, "node", "left_semi")
     return written(sets.dropDuplicates(["node"]), "near-dup-sets")
