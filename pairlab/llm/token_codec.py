@@ -11,7 +11,7 @@ The coder is a range coder with a 48-bit interval.  An id is predicted at three
   with weights that follow how well each order predicted lately; the mix codes
   whether the id is the predicted one.
 * order 0: else the id's nibbles are coded by adaptive cumulative frequencies in
-  a 16-ary tree.
+  a 16-ary tree (its last levels share ``NODES`` nodes by hash).
 
 All model arithmetic is on integers, so any machine decodes what another wrote.
 The blocks of a file advance in lockstep, one id a step, as numpy vectors over
@@ -34,11 +34,11 @@ from pairlab.llm import words as W
 from pairlab.llm.base import shared_path, table, written
 from pairlab.llm.files import new_file, open_in, open_out
 
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES = 4096, 1536
 END_ID = 1
-#: contexts that a block's prediction tables tell apart
-SLOTS = 4096
-_SLOT_BITS = 12
+#: contexts that a block's prediction tables tell apart, and nodes of a tree level
+SLOTS, NODES = 2048, 512
+_SLOT_BITS, _NODE_BITS = 11, 9
 _MAGIC = b"PLTOKEN1"
 #: scale of hit rates and of the cumulative frequencies of a node
 _BITS = 14
@@ -65,7 +65,7 @@ class _Model:
         self.rate = [np.tile(np.array([_ONE >> 6, _ONE >> 2, _ONE >> 1, _ONE * 3 >> 2], np.int32), n) for _ in range(3)]
         self.cells = self.lane * 4
         self.weight = [np.full(n, _ONE // 2, np.int32) for _ in range(2)]
-        nodes = [min(16 ** k, SLOTS) for k in range(nibbles)]
+        nodes = [min(16 ** k, NODES) for k in range(nibbles)]
         self.base = np.concatenate([[0], np.cumsum(nodes)])
         self.table = np.tile(_FRESH, (n * int(self.base[-1]), 1))
         self.one = np.zeros(n, np.int64)
@@ -108,7 +108,7 @@ class _Model:
         self.two, self.one = self.one, ids
 
     def node(self, lanes: np.ndarray, level: int, prefix: np.ndarray) -> np.ndarray:
-        own = prefix if 16 ** level <= SLOTS else (prefix * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _SLOT_BITS)
+        own = prefix if 16 ** level <= NODES else (prefix * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _NODE_BITS)
         return lanes * int(self.base[-1]) + int(self.base[level]) + own
 
     def update(self, node: np.ndarray, rows: np.ndarray, nibble: np.ndarray, level: int) -> None:
@@ -131,7 +131,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         return []
     size = np.full(n, BLOCK)
     size[-1] = len(ids) - BLOCK * (n - 1)
-    padded = np.zeros(n * BLOCK, np.int64)
+    padded = np.zeros(n * BLOCK, np.int32)
     padded[:len(ids)] = ids
     grid = np.ascontiguousarray(padded.reshape(n, BLOCK).T)
     k = _nibbles(ids)
@@ -161,7 +161,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     everyone = np.arange(n)
     for step in range(int(size.max())):
         live = everyone if step < size[-1] else everyone[:-1]
-        x = grid[step]
+        x = grid[step].astype(np.int64)
         if step % 64 == 0 and int(used.max()) + 64 * (k + 2) + 4 > digits.shape[1]:
             digits = np.concatenate([digits, np.zeros((n, max(BLOCK // 2, 64 * (k + 2))), np.uint32)], axis=1)
         model.predict()
@@ -214,7 +214,7 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], nibbles: int) -> np.n
     for _ in range(3):
         code = code << 16 | source[at]
         at += 1
-    grid = np.zeros((int(size.max()), n), np.int64)
+    grid = np.zeros((int(size.max()), n), np.int32)
     everyone = np.arange(n)
     stop = start + length + 3
 
@@ -266,7 +266,7 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], nibbles: int) -> np.n
             x[rest] = v
         grid[step] = x  # a lane past its end goes on alone, and is cut off below
         model.learn(x, hit, tried, hit_again)
-    return np.concatenate([grid[:size[i], i] for i in range(n)])
+    return np.concatenate([grid[:size[i], i] for i in range(n)]).astype(np.int64)
 
 
 class TokenWriter:
