@@ -29,10 +29,19 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    weighted = mix.quality_weight(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    mixed = mix.mix_sources(weighted, word_count(F.col("text")), F.col("__quality"))
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Each document as often as the mix takes it (rows equal in id, text and source equally often).
+
+    The mix works on ids, sizes and sources; texts move once, to the join with
+    what it decided.
+    """
+    key = [F.col("doc_id"), F.xxhash64("text"), F.col("source")]
+    narrow = docs.select(F.col("doc_id"), "source", F.xxhash64("text").alias("__hash"), word_count(F.col("text")).alias("__words"))
+    weighted = mix.quality_weight(narrow, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    mixed = mix.mix_sources(weighted, F.col("__words"), F.col("__quality")).where("copies > 0")
+    taken = mixed.groupBy("doc_id", "__hash", "source").agg(F.max("copies").alias("__copies")).toDF("__id", "__hash", "__source", "__copies")
+    same = key[0].eqNullSafe(F.col("__id")) & (key[1] == F.col("__hash")) & key[2].eqNullSafe(F.col("__source"))
+    joined = docs.select(*COLUMNS).join(taken.hint("merge"), same)
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*COLUMNS)
 
 
 def shard_by_key(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
