@@ -104,7 +104,7 @@ def base_spans(t):
 def test_base_patterns_on_random_strings():
     rng = random.Random(5)
     texts = ["".join(rng.choice("aé._%+-@ 0123456789.-()4\n") for _ in range(rng.randrange(70))) for _ in range(4000)]
-    texts += [None, "", "4111 1111-1111 1111", "x4111111111111111y 1.2.3.4.5.6.7.8 +1 (212) 555-0100", "a@b.c.d@e.f_g@h.i", "1" * 50000, "a" * 60000 + "@", "000000255.1.1.1 256.1.1.1"]
+    texts += [None, "", "4111 1111-1111 1111", "x4111111111111111y 1.2.3.4.5.6.7.8 +1 (212) 555-0100", "a@b.c.d@e.f_g@h.i", "1" * 9000, "a" * 9000 + "@", "000000255.1.1.1 256.1.1.1"]
     kinds = list(PATTERNS)
     for t, ms in zip(texts, pii.mentions_of(pa.array(texts)), strict=True):
         got = [f"{kinds[m['kind']]}:{m['start']}:{m['end']}" for m in sorted(ms, key=lambda m: (m["kind"], m["start"])) if m["seed"]]
