@@ -192,38 +192,42 @@ def _mentions(texts: pa.Array) -> pa.Array:
 
 
 def bootstrap(mentions: DataFrame, support: int = SUPPORT, precision: float = PRECISION, score: float = SCORE, rounds: int = ROUNDS) -> DataFrame:
-    """Trusted (instance, score) beyond the seeds, from mention rows (seed, instance, patterns).
+    """Trusted (instance, score, seed) from mention rows (seed, instance, patterns).
 
     A pattern's precision is trusted / (all + 1) over its distinct instances.
+    ``seed`` marks the seeds, whose score is 1; the noisy-or of a found instance
+    with many good patterns rounds to 1 as well.
     """
     edges = written(mentions.select("instance", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
-    trusted = written(mentions.where("seed").select("instance", F.lit(1.0).alias("score")).distinct(), "pii-trusted")
+    trusted = written(mentions.where("seed").select("instance", F.lit(1.0).alias("score"), F.lit(True).alias("seed")).distinct(), "pii-trusted")
     for _ in range(rounds):
-        known = edges.join(trusted, "instance", "left")
+        known = edges.join(trusted.select("instance", "score"), "instance", "left")
         patterns = known.groupBy("pattern").agg(F.count("score").alias("trusted"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("mass"))
         patterns = patterns.select("pattern", "trusted", (F.col("mass") / (F.col("n") + 1)).alias("precision")).where(
             (F.col("trusted") >= support) & (F.col("precision") >= precision))
         new = (known.where("score IS NULL").select("instance", "pattern").join(patterns, "pattern").groupBy("instance")
                .agg((1 - F.exp(F.sum(F.log(1 - F.col("precision"))))).alias("score")).where(F.col("score") >= score))
-        new = written(new, "pii-new")
+        new = written(new.withColumn("seed", F.lit(False)), "pii-new")
         if new.isEmpty():
             break
         trusted = written(trusted.union(new), "pii-trusted")
-    return trusted.where("score < 1")
+    return trusted
 
 
 def extract_pii(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id and ``spans``, an array of (kind, start, end, seed, score).
 
     ``kind`` indexes KINDS, offsets are code points (end exclusive), ``seed``
-    marks the base spans; spans are sorted by kind and start.  Null and empty
-    texts have none.  Repeated rows have rows each but count as one as evidence.
+    marks the base spans; spans are sorted by kind and start.  A mention outside
+    the base spans of an instance that is a seed elsewhere (a phone without its
+    ``+``) is a span with score 1 and without the mark.  Null and empty texts
+    have none.  Repeated rows have rows each but count as one as evidence.
     Other columns are not read.
     """
     rows = docs.select("doc_id", _mentions(F.col("text")).alias("mentions")).withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "pii-mentions")
     each = rows.select("row", F.inline("mentions"))
-    found = bootstrap(each.select("seed", "instance", "patterns"))
+    found = bootstrap(each.select("seed", "instance", "patterns")).select("instance", "score")
     added = (each.where("NOT seed").join(found, "instance").groupBy("row")
              .agg(F.collect_list(F.struct("kind", "start", "end", "seed", "score")).alias("added")))  # at most a document's own mentions
     base = F.transform(F.filter("mentions", lambda m: m.seed), lambda m: F.struct(m.kind.alias("kind"), m.start.alias("start"), m.end.alias("end"), m.seed.alias("seed"), F.lit(1.0).alias("score")))

@@ -135,6 +135,20 @@ def test_bootstrapping_finds_identifiers_by_context(spark):
     assert pii.extract_pii(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_instances_with_many_good_patterns_and_other_mentions_of_seeds(spark):
+    schema = "seed boolean, instance long, patterns array<long>"
+    edges = [(True, 1000 + i, list(range(50))) for i in range(4)] + [(False, 7, list(range(50))), (False, 8, [99])]
+    got = {r.instance: (r.score, r.seed) for r in pii.bootstrap(spark.createDataFrame(edges, schema)).collect()}
+    assert got[7] == (1.0, False) and 8 not in got  # 50 patterns of precision 4/6: the noisy-or is 1 in double precision
+    assert {i for i, (_, seed) in got.items() if seed} == {1000, 1001, 1002, 1003}
+    rows = [(100 * k + i, f"please topic{chr(97 + k // 8)}{chr(97 + k % 8)} contact +1 (212) 555-01{i:02d} today") for k in range(50) for i in range(4)]
+    rows += [(10000 + k, f"please topic{chr(97 + k // 8)}{chr(97 + k % 8)} contact 212-555-0199 today") for k in range(50)]
+    rows += [(20000, "number 1 212 555 0101 in a list"), (20001, "number 1 212 555 0177 in a list")]
+    out = {r.doc_id: [(s.kind, s.seed, s.score) for s in r.spans] for r in pii.extract_pii(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(out[10000 + k] == [(3, False, 1.0)] for k in range(50))
+    assert out[20000] == [(3, False, 1.0)] and out[20001] == []  # a seed written without + is the same number
+
+
 def brute_scores(docs, held, order, strength):
     toks = [WORD.findall(lower(t)) + ["</s>"] for t in docs]
     count = collections.Counter()
