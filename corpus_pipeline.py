@@ -9,6 +9,8 @@ from pairlab.llm import decontaminate, mix, near_dup, quality, shard
 from pairlab.llm.base import table, word_count, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: near-duplicates share so many hundredths of their shingles; op5 alone has 85
+NEAR_PERCENT = 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near_dup.one_of_each(docs.select(*COLUMNS))
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    return near_dup.one_of_each(docs.select(*COLUMNS), NEAR_PERCENT)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@
    in salted groups of bounded size.  Verified links go into connected components.
 
 Bands miss a pair at the threshold with probability
-``(1 - T**ROWS)**BANDS`` (4e-7), the pruning with less than ``BATCHES * MISS``.
+``(1 - T**ROWS)**BANDS`` (4e-7 at 0.85, 3e-5 at 0.8), the pruning with less than ``BATCHES * MISS``.
 Small tables between rounds are written to the shared folder.
 """
 
@@ -35,7 +35,7 @@ from pairlab.llm import words as W
 from pairlab.llm.base import table, written
 
 SHINGLE = 5
-#: link when 100 * intersection >= PERCENT * union
+#: link when 100 * intersection >= PERCENT * union, where a caller names no other threshold
 PERCENT = 85
 BANDS, ROWS = 20, 4
 BATCH, BATCHES = 16, 6
@@ -143,11 +143,11 @@ def _rows(a: pa.Array, width: int) -> np.ndarray:
 _LEAST = least_matches()
 
 
-def sequential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Indices of the rows of two signature tables that survive every batch."""
+def sequential(a: np.ndarray, b: np.ndarray, least_of: list[int] = _LEAST) -> np.ndarray:
+    """Indices of the rows of two signature tables that survive every batch (``least_of``: of the threshold)."""
     alive = np.arange(len(a))
     matches = np.zeros(len(a), np.int64)
-    for i, least in enumerate(_LEAST):
+    for i, least in enumerate(least_of):
         cols = slice(BATCH * i, BATCH * (i + 1))
         matches = matches + (a[alive, cols] == b[alive, cols]).sum(axis=1)
         keep = matches >= least
@@ -155,12 +155,18 @@ def sequential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return alive
 
 
-@F.arrow_udf(T.BooleanType())
-def plausible(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = np.zeros(len(a), dtype=bool)
-    if len(a):
-        out[sequential(_rows(a, HASHES), _rows(b, HASHES))] = True
-    return pa.array(out)
+def plausible(a: F.Column, b: F.Column, percent: int = PERCENT) -> F.Column:
+    """Whether the signatures of a pair survive every batch."""
+    least_of = least_matches(percent / 100)
+
+    @F.arrow_udf(T.BooleanType())
+    def check(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = np.zeros(len(a), dtype=bool)
+        if len(a):
+            out[sequential(_rows(a, HASHES), _rows(b, HASHES), least_of)] = True
+        return pa.array(out)
+
+    return check(a, b)
 
 
 def components(links: DataFrame, name: str = "near-dup-labels") -> DataFrame:
@@ -206,8 +212,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, owners: DataFrame) -> DataFrame:
     return written(sets.dropDuplicates(["node"]), "near-dup-sets")
 
 
-def _verify(pairs: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, c) whose full sets reach the threshold.
+def _verify(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, c) whose full sets reach ``percent``.
 
     ``sizes`` has (node, n_shingles), ``sets`` (node, hashes).  A centre with
     many members is salted, so that what travels to one copy of its set is
@@ -231,7 +237,7 @@ def _verify(pairs: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
             at = np.searchsorted(whole, s)
             at[at == len(whole)] = 0
             common = int((whole[at] == s).sum())
-            if 100 * common >= PERCENT * (len(whole) + len(s) - common):
+            if 100 * common >= percent * (len(whole) + len(s) - common):
                 keep.append(i)
         return members.select(["a", "c"]).take(pa.array(keep, pa.int64()))
 
@@ -262,7 +268,7 @@ def _common(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
 
 
 def _links_between(band: int, x: np.ndarray, y: np.ndarray | None, root: np.ndarray, size: np.ndarray, sign: np.ndarray,
-                   bands: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+                   bands: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Verified links among ``x`` (``y`` None) or between ``x`` and ``y`` that join what was apart.
 
     A pair belongs to the first band whose key it shares, so it is compared
@@ -270,25 +276,26 @@ def _links_between(band: int, x: np.ndarray, y: np.ndarray | None, root: np.ndar
     for each member comes out, however many are similar.
     """
     root = root.copy()
+    least_of = least_matches(percent / 100)
     out = []
     for k, one in enumerate(x):
         many = x[k + 1:] if y is None else y
-        many = many[(root[many] != root[one]) & (100 * np.minimum(size[many], size[one]) >= PERCENT * np.maximum(size[many], size[one]))]
+        many = many[(root[many] != root[one]) & (100 * np.minimum(size[many], size[one]) >= percent * np.maximum(size[many], size[one]))]
         if len(many):
-            many = many[sequential(sign[many], np.broadcast_to(sign[one], (len(many), HASHES)))]
+            many = many[sequential(sign[many], np.broadcast_to(sign[one], (len(many), HASHES)), least_of)]
         if len(many) and band:
             many = many[~(bands[many, :band] == bands[one, :band]).any(axis=1)]
         if not len(many):
             continue
         common = _common(sets[one], [sets[m] for m in many])
-        for m in many[100 * common >= PERCENT * (size[many] + size[one] - common)]:
+        for m in many[100 * common >= percent * (size[many] + size[one] - common)]:
             if root[m] != root[one]:
                 out.append((int(one), int(m)))
                 root[root == root[m]] = root[one]
     return out
 
 
-def _rest(members: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among members (bucket, band, node, root, n_shingles, sign, bands, hashes) of different roots.
 
     A bucket of many (or long) members is cut into blocks; a task compares two
@@ -306,7 +313,7 @@ def _rest(members: DataFrame) -> DataFrame:
         links = _links_between(
             band, np.flatnonzero(block == i), None if i == j else np.flatnonzero(block == j), np.unique(t.column("root").to_pylist(), return_inverse=True)[1],
             t.column("n_shingles").to_numpy(), _rows(t.column("sign"), HASHES), t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS),
-            [np.frombuffer(h, np.uint64) for h in t.column("hashes").to_pylist()])
+            [np.frombuffer(h, np.uint64) for h in t.column("hashes").to_pylist()], percent)
         node = t.column("node").combine_chunks()
         at = np.array(links, np.int64).reshape(-1, 2)
         return pa.table([node.take(pa.array(at[:, 0])), node.take(pa.array(at[:, 1]))], schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
@@ -314,10 +321,10 @@ def _rest(members: DataFrame) -> DataFrame:
     return spread.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, text_hash, n_shingles, component_id, kept, root.
 
-    Texts with equal sets, and sets of similarity ``PERCENT`` or more, are
+    Texts with equal sets, and sets of similarity ``percent`` / 100 or more, are
     linked; component_id is the least doc_id reachable and ``kept`` marks it.
     Null and empty texts have no set and are linked with nothing.  A null doc_id
     never is a component's least unless all are null; repeated rows share a
@@ -352,8 +359,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             pairs = open_.join(centre_root, "bucket").where("root <> centre_root").select(F.least("node", "centre").alias("c"), F.greatest("node", "centre").alias("a")).distinct()
             pairs = (pairs.join(signs.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sign").alias("sa")), "a")
                      .join(signs.select(F.col("node").alias("c"), F.col("n_shingles").alias("nc"), F.col("sign").alias("sc")), "c")
-                     .where(F.lit(100) * F.least("na", "nc") >= F.lit(PERCENT) * F.greatest("na", "nc"))
-                     .where(plausible(F.col("sa"), F.col("sc"))).select("a", "c"))
+                     .where(F.lit(100) * F.least("na", "nc") >= F.lit(percent) * F.greatest("na", "nc"))
+                     .where(plausible(F.col("sa"), F.col("sc"), percent)).select("a", "c"))
             # the centre has met every member of its bucket
             member = open_.where("node <> centre").select("bucket", "band", "node")
             pairs = written(pairs, "near-dup-pairs")
@@ -361,7 +368,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 continue
         if sets is None:
             sets = _sets(docs, crowd, classes.select("node", "owner"))
-        found = _verify(pairs, signs, sets) if star < STARS else _rest(open_.join(rep, "node").join(sets, "node"))
+        found = _verify(pairs, signs, sets, percent) if star < STARS else _rest(open_.join(rep, "node").join(sets, "node"), percent)
         found = written(found, "near-dup-links")
         if not found.isEmpty():
             roots = _merged(roots, found)
@@ -377,13 +384,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "root")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component: the one with the least doc_id.
 
     Rows that share that id count as one document (the least text_hash stays).
     All columns are kept.
     """
-    kept = near_duplicates(docs).where("kept").groupBy("root", "doc_id").agg(F.min("text_hash").alias("__hash")).select(F.col("doc_id").alias("__id"), "__hash").distinct()
+    kept = near_duplicates(docs, percent).where("kept").groupBy("root", "doc_id").agg(F.min("text_hash").alias("__hash")).select(F.col("doc_id").alias("__id"), "__hash").distinct()
     cols = [F.col(f"`{c}`") for c in docs.columns]
     hashed = docs.select(*cols, F.xxhash64("text").alias("__text_hash"))
     joined = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")

@@ -228,6 +228,25 @@ def test_one_of_each_group(spark):
     assert got == collections.Counter([rows[2], rows[3], rows[4], rows[5], rows[6]])
 
 
+@pytest.mark.parametrize("stars", [0, near_dup.STARS])
+def test_pipeline_drops_copies_of_similarity_80_to_85(spark, stars, monkeypatch):
+    monkeypatch.setattr(near_dup, "STARS", stars)
+    rng = random.Random(4)
+    rows, low = [], set()
+    for k in range(12):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        edited = [x if i not in (20, 60, 100, 140) else "zz" for i, x in enumerate(w)]  # 4 edits take 20 of 200 shingles: 180 of 220 are common
+        far = [x if i not in (20, 50, 80, 110, 140) else "yy" for i, x in enumerate(w)]  # 175 of 225
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(edited if k % 2 else far))]
+        low |= {10 * k + 1} if k % 2 == 0 else set()
+        n = len(shingles(rows[-1][1]) & shingles(rows[-2][1]))
+        assert (80 <= 100 * n / (400 - n) < 85) == bool(k % 2)
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs, SF_SMALL).collect()}
+    assert got == {10 * k for k in range(12)} | low
+    assert near_dup.near_duplicates(docs).where("kept").count() == len(rows)  # op5 keeps its 0.85
+
+
 def test_pipeline(spark):
     from pairlab.llm import decontaminate, mix
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
