@@ -29,8 +29,8 @@ from pairlab.llm import words as W
 from pairlab.llm.base import table, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: trusted instances that a pattern needs, its least precision, an instance's least score, rounds
-SUPPORT, PRECISION, SCORE, ROUNDS = 3, 0.6, 0.65, 4
+#: trusted instances that a pattern needs, its least precision, an instance's least score
+SUPPORT, PRECISION, SCORE = 3, 0.6, 0.65
 
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(rb"[0-9]+(?:\.[0-9]+){3}")
@@ -90,18 +90,20 @@ def _base(data: bytes, lo: int, hi: int, ats: np.ndarray, pluses: np.ndarray, ru
                     yield kind, p, last
 
 
-def _shape(token: bytes) -> int | None:
-    """The kind whose shape a string has (without meeting the kind's own checks)."""
+def _shapes(token: bytes) -> tuple[int, ...]:
+    """The kinds whose shape a string has (without meeting the kinds' own checks).
+
+    13 to 15 digits may be a card or a phone; the patterns of each kind decide.
+    """
     if b"@" in token:
-        return 0 if _CANDIDATE_EMAIL.fullmatch(token) else None
+        return (0,) if _CANDIDATE_EMAIL.fullmatch(token) else ()
     if _CANDIDATE_IP.fullmatch(token):
-        return 1
+        return (1,)
     d = _digits(token)
     if not _NUMERIC.fullmatch(token.replace(b" ", b"")):
-        return None
-    if 13 <= len(d) <= 19 and not set(token) & set(b"()+."):
-        return 2
-    return 3 if 7 <= len(d) <= 12 and len(d) < len(token) else None
+        return ()
+    card = 13 <= len(d) <= 19 and not set(token) & set(b"()+.")
+    return (2,) * card + (3,) * (7 <= len(d) <= 15)
 
 
 def _candidates(data: bytes, words: list[tuple[int, int]], marked: list[int], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
@@ -121,9 +123,9 @@ def _candidates(data: bytes, words: list[tuple[int, int]], marked: list[int], ta
             continue
         s += len(token) - len(token.lstrip(_EDGE.replace(b"(", b"") if token[:1] == b"(" and b")" in token else _EDGE))
         e -= len(token) - len(token.rstrip(_EDGE))
-        kind = _shape(data[s:e])
-        if kind is not None and not any(s < b and a < e for a, b in taken):
-            yield kind, s, e
+        if not any(s < b and a < e for a, b in taken):
+            for kind in _shapes(data[s:e]):
+                yield kind, s, e
 
 
 def _key(*parts: bytes | int) -> int:
@@ -191,16 +193,16 @@ def _mentions(texts: pa.Array) -> pa.Array:
     return pa.array(mentions_of(texts), _ARROW)
 
 
-def bootstrap(mentions: DataFrame, support: int = SUPPORT, precision: float = PRECISION, score: float = SCORE, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(mentions: DataFrame, support: int = SUPPORT, precision: float = PRECISION, score: float = SCORE) -> DataFrame:
     """Trusted (instance, score, seed) from mention rows (seed, instance, patterns).
 
     A pattern's precision is trusted / (all + 1) over its distinct instances.
     ``seed`` marks the seeds, whose score is 1; the noisy-or of a found instance
-    with many good patterns rounds to 1 as well.
+    with many good patterns rounds to 1 as well.  Ends with a round that finds nothing.
     """
     edges = written(mentions.select("instance", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
     trusted = written(mentions.where("seed").select("instance", F.lit(1.0).alias("score"), F.lit(True).alias("seed")).distinct(), "pii-trusted")
-    for _ in range(rounds):
+    while True:
         known = edges.join(trusted.select("instance", "score"), "instance", "left")
         patterns = known.groupBy("pattern").agg(F.count("score").alias("trusted"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("mass"))
         patterns = patterns.select("pattern", "trusted", (F.col("mass") / (F.col("n") + 1)).alias("precision")).where(
@@ -209,9 +211,8 @@ def bootstrap(mentions: DataFrame, support: int = SUPPORT, precision: float = PR
                .agg((1 - F.exp(F.sum(F.log(1 - F.col("precision"))))).alias("score")).where(F.col("score") >= score))
         new = written(new.withColumn("seed", F.lit(False)), "pii-new")
         if new.isEmpty():
-            break
+            return trusted
         trusted = written(trusted.union(new), "pii-trusted")
-    return trusted
 
 
 def extract_pii(docs: DataFrame) -> DataFrame:

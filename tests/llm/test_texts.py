@@ -149,6 +149,17 @@ def test_instances_with_many_good_patterns_and_other_mentions_of_seeds(spark):
     assert out[20000] == [(3, False, 1.0)] and out[20001] == []  # a seed written without + is the same number
 
 
+def test_plain_digits_and_long_chains(spark):
+    link = lambda k: [3 * k, 3 * k + 1, 3 * k + 2]  # noqa: E731  three patterns that groups k - 1 and k share
+    chain = [(k == 0, 10 * k + i, link(k) + link(k + 1)) for k in range(7) for i in range(5)]
+    found = pii.bootstrap(spark.createDataFrame(chain, "seed boolean, instance long, patterns array<long>"), precision=0.3, score=0.65).collect()
+    assert {r.instance for r in found} == {r[1] for r in chain}  # six rounds
+    rows = [(i, f"word{i} please call me at +1 (212) 555-01{i:02d} today") for i in range(12)]
+    rows += [(100, "just call me at 2125550199 today"), (101, "just call me at 212555019912345 today"), (102, "order 3125550199 of it")]
+    out = {r.doc_id: [(s.kind, s.seed, rows[12][1][s.start:s.end]) for s in r.spans] for r in pii.extract_pii(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out[100] == [(3, False, "2125550199")] and [k for k, _, _ in out[101]] == [3] and out[102] == []
+
+
 def brute_scores(docs, held, order, strength):
     toks = [WORD.findall(lower(t)) + ["</s>"] for t in docs]
     count = collections.Counter()
