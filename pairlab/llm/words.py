@@ -95,13 +95,12 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.count)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and first index per text of the runs outside ``space``."""
-    n = len(data)
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and first index per text of the runs of bytes where ``inside`` is true."""
+    n = len(inside)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    inside = ~space[data]
     before = np.empty(n, dtype=bool)
     before[0] = False
     before[1:] = inside[:-1]
@@ -116,6 +115,11 @@ def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
     return start, end, np.searchsorted(start, offsets)
 
 
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and first index per text of the runs outside ``space``."""
+    return runs(~space[data], offsets)
+
+
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     """64-bit hash of each byte span."""
     power, inverse = _powers(len(data) + 1)
