@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import decontaminate, hosts, lm, mix, near_dup, pii, quality, shard, spelling, token_codec, warc
+from pairlab.llm import decontaminate, hosts, lm, mix, near_dup, pii, quality, repeats, shard, spelling, token_codec, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bootstrapped_pii": pii.op1_bootstrapped_pii,
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rule_ledger": quality.op8_rule_ledger,
     "op9_host_reputation": hosts.op9_host_reputation,
     "op10_seekable_warc": warc.op10_seekable_warc,
+    "op11_double_array_trie": trie.op11_double_array_trie,
     "op12_reduced_alphabet": spelling.op12_reduced_alphabet,
+    "op13_run_length_index": repeats.op13_run_length_index,
 }
 
 #: DuckDB SQL; the other queries are tested against brute-force versions
