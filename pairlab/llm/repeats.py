@@ -40,9 +40,9 @@ from pairlab.llm.files import new_file, open_in, open_out
 
 LENGTH, ANCHOR = 400, 128
 #: bytes of text in a block (a longer document is a block of its own)
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: contexts of a shard on average, and of one anchor; an anchor that has more is compared by hashes of windows
-SHARD, CAP = 20_000, 20_000
+SHARD, CAP = 8_000, 8_000
 
 _BITS = 20
 _STEP = 1 << _BITS
@@ -114,11 +114,13 @@ class Block:
 
     def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of each context's anchor, and two hashes of the whole context and its place in it."""
-        one, two = _Hashes(self.data, W._VALUES), _Hashes(self.data, _VALUES2)
         end = self.start + self.windows + self.length - 1
+        hashes = _Hashes(self.data, W._VALUES)
+        anchors, first = hashes.of(self.at, self.at + self.anchor), hashes.of(self.start, end)
+        hashes = _Hashes(self.data, _VALUES2)  # one after the other: each holds 8 bytes a byte
+        second = hashes.of(self.start, end)
         shape = W.mix64((self.at - self.start).astype(np.uint64) << np.uint64(32) | self.windows.astype(np.uint64))
-        mixed = W.mix64(one.of(self.at, self.at + self.anchor))
-        return mixed.view(np.int64), W.mix64(one.of(self.start, end) ^ shape).view(np.int64), W.mix64(two.of(self.start, end) + shape).view(np.int64)
+        return W.mix64(anchors).view(np.int64), W.mix64(first ^ shape).view(np.int64), W.mix64(second + shape).view(np.int64)
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<QQQ", len(self.data), len(self.offsets), len(self.start))
@@ -229,10 +231,8 @@ def _ship_contexts(length: int, anchor: int):
         found, which = _find(c1, c2, asked.column("c1").to_numpy(), asked.column("c2").to_numpy())
         hits = np.flatnonzero(found)
         hits = hits[np.unique(which[hits], return_index=True)[1]]  # one occurrence of each
-        size = b.windows[hits] + length - 1
-        upto = np.concatenate([[0], np.cumsum(size)])
-        flat = b.data[np.repeat(b.start[hits] - upto[:-1], size) + np.arange(upto[-1])]
-        text = pa.Array.from_buffers(pa.binary(), len(hits), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+        end = b.start[hits] + b.windows[hits] + length - 1
+        text = pa.array([b.data[i:j].tobytes() for i, j in zip(b.start[hits].tolist(), end.tolist(), strict=True)], pa.binary())
         asked_at = pa.array(which[hits])
         return pa.table([pa.array(c1[hits]), pa.array(c2[hits]), pa.array(ah[hits]), pa.array((b.at - b.start)[hits].astype(np.int32)), pa.array(b.windows[hits].astype(np.int32)),
                          asked.column("n").take(asked_at), asked.column("hot").take(asked_at), text], schema=schema)
@@ -254,10 +254,13 @@ class RunIndex:
         width = self.wide + int(self.right.max(initial=0))
         # a column per place; 0 is no byte
         self.columns = np.zeros((width, len(texts)), np.uint16)
-        flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + np.uint16(1)
-        row = np.repeat(np.arange(len(texts)), size)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.wide - left, size)
-        self.columns[place, row] = flat
+        for lo in range(0, len(texts), 512):  # a few rows at a time, then turned
+            part = np.zeros((min(512, len(texts) - lo), width), np.uint16)
+            for i, t in enumerate(texts[lo:lo + 512]):
+                at = self.wide - int(left[lo + i])
+                part[i, at:at + len(t)] = np.frombuffer(t, np.uint8)
+                part[i, at:at + len(t)] += np.uint16(1)
+            self.columns[:, lo:lo + len(part)] = part.T
 
     def _aligned(self) -> tuple[np.ndarray, np.ndarray]:
         """The order of the texts from the aligned place on, and the common prefixes of neighbours."""
@@ -387,8 +390,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     kept_sha256, all of the text's UTF-8 bytes.  A null text is empty; equal rows and
     equal or null ids are texts of their own, so both lose what they share; other
     columns are not read.  An anchor with more than ``cap`` different contexts is
-    compared window by window through hashes, with the same result.  One number
-    reaches the driver.
+    compared window by window through hashes, with the same result.  Two numbers
+    reach the driver.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -402,21 +405,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     anchors = anchors.where("times > 1").withColumn("single", F.expr("low = high AND low2 = high2"))
     known = written(contexts.join(anchors.select("ah", "single", (F.col("kinds") > cap).alias("hot")), "ah"), "repeated-anchors")
     asked = written(known.where("NOT single").select("block", "c1", "c2", "n", "hot"), "asked")
-    sent = blocks.select("block", "file", "offset", "size").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_ship_contexts(length, anchor), _CONTEXT)
-
-    shards = max(1, -(-asked.where("NOT hot").count() // shard))
-    sent = written(sent, "sent") if asked.where("hot").limit(1).count() else sent
-    indexed = sent.where("NOT hot").groupBy(F.pmod("ah", F.lit(shards)).alias("shard")).applyInArrow(_shard_marks(length), _MARKS)
-    found = sent.where("hot").mapInArrow(_window_rows(length), "c1 long, c2 long, window long, w1 long, w2 long")
-    pairs = found.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    by_hash = found.join(pairs, ["w1", "w2"]).groupBy("c1", "c2").applyInArrow(_window_bits, _MARKS)
+    places = blocks.select("block", "file", "offset", "size").repartition(parts, "block")
+    sent = places.groupBy("block").cogroup(asked.repartition(parts, "block").groupBy("block")).applyInArrow(_ship_contexts(length, anchor), _CONTEXT)
+    sizes = asked.agg(F.count_if(~F.col("hot")).alias("shared"), F.count_if("hot").alias("hot")).first()
+    by_shard = F.pmod("ah", F.lit(max(1, -(-sizes.shared // shard)))).alias("shard")
+    if sizes.hot:  # both kinds read what was sent
+        sent = written(sent, "sent")
+    partly = sent.where("NOT hot").withColumn("shard", by_shard).repartition(parts, "shard").groupBy("shard").applyInArrow(_shard_marks(length), _MARKS)
+    if sizes.hot:
+        found = sent.where("hot").mapInArrow(_window_rows(length), "c1 long, c2 long, window long, w1 long, w2 long")
+        pairs = found.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+        partly = partly.unionByName(found.join(pairs, ["w1", "w2"]).groupBy("c1", "c2").applyInArrow(_window_bits, _MARKS))
     every = known.where("n > 1").select("c1", "c2", F.lit(b"").alias("bits"))
-    partly = indexed.unionByName(by_hash)
     once = known.where("n = 1").select("c1", "c2")
     marks = written(every.unionByName(partly.join(once, ["c1", "c2"])), "marks")
 
     told = names.select("block", "c1", "c2").join(marks, ["c1", "c2"])
-    return blocks.select("block", "file", "offset", "size", "doc_ids").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut(length, anchor), _RESULT)
+    places = blocks.select("block", "file", "offset", "size", "doc_ids").repartition(parts, "block")
+    return places.groupBy("block").cogroup(told.repartition(parts, "block").groupBy("block")).applyInArrow(_cut(length, anchor), _RESULT)
 
 
 def op13_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
