@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Default token pattern: a run of letters/digits/underscore, or one other
-# non-space character.  BPE vocabularies are not available offline, so this
-# is the default length measure; any tokenizer can be plugged in instead.
+# non-space character.  It needs no vocabulary file and any SQL engine can repeat
+# it; a tokenizer (``functions/tokenizers.py``, any callable) can be plugged in.
 TOKEN_PATTERN = r"[\pL\pN_]+|[^\pL\pN_\s]"
 
 
@@ -63,7 +64,6 @@ def html_to_text_regex(html, fallback: int = 25) -> Column:
 def _html_text(html: str | None, fallback: int) -> str | None:
     if html is None:
         return None
-    from html.parser import HTMLParser
 
     class _P(HTMLParser):
         def __init__(self):
@@ -100,6 +100,95 @@ def html_to_text(html, fallback: int = 25) -> Column:
     return _conv(_c(html))
 
 
+# Elements that end a block (a blank line around them), those that end
+# a line, and those whose content is no text.
+_BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table section article header footer nav main aside form fieldset hr body".split())
+_LINES = frozenset("br li tr dt dd caption".split())
+_CELLS = frozenset(("td", "th"))
+_NO_TEXT = frozenset(("script", "style", "head", "title", "template"))
+
+
+class _BlockText(HTMLParser):
+    """Text by blocks: white space runs are one blank outside ``pre``."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.lines: list[str] = [""]
+        self.breaks, self.hidden, self.pre = 0, 0, 0
+
+    def _end(self, breaks: int) -> None:
+        self.breaks = max(self.breaks, breaks)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _NO_TEXT:
+            self.hidden += 1
+        elif tag in _BLOCKS:
+            self._end(2)
+        elif tag in _LINES:
+            self._end(1)
+        elif tag in _CELLS:
+            self._put(" ")
+        self.pre += tag == "pre"
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in _NO_TEXT:
+            self.handle_starttag(tag, attrs)
+            self.pre -= tag == "pre"
+
+    def handle_endtag(self, tag):
+        if tag in _NO_TEXT:
+            self.hidden = max(0, self.hidden - 1)
+        elif tag in _BLOCKS:
+            self._end(2)
+        elif tag in _LINES and tag != "br":
+            self._end(1)
+        if tag == "pre":
+            self.pre = max(0, self.pre - 1)
+
+    def _put(self, text: str) -> None:
+        if self.breaks and (self.pre or text.strip(" ")):
+            if any(self.lines):
+                self.lines += [""] * self.breaks
+            self.breaks = 0
+        if self.breaks or not (self.pre or text.strip(" ") or self.lines[-1]):
+            return  # blanks between blocks, or at the start of a line
+        if not self.pre and (not self.lines[-1] or self.lines[-1].endswith(" ")):
+            text = text.lstrip(" ")
+        self.lines[-1] += text
+
+    def handle_data(self, data):
+        if self.hidden:
+            return
+        if not self.pre:
+            self._put(re.sub("[ \t\n\r\f]+", " ", data))
+            return
+        for i, line in enumerate(data.split("\n")):
+            if i:
+                self.lines.append("")
+            self._put(line)
+
+    def text(self) -> str:
+        return "\n".join(x.rstrip(" ") for x in self.lines).strip("\n")
+
+
+def block_text(html: str | None, fallback: int = 25) -> str | None:
+    """F2 by blocks: the text of an HTML page with a blank line between blocks
+    (paragraphs, headings, lists, tables, ``pre``) and a line per list item, table row
+    or ``br``.
+
+    Links and emphasis leave their text, images and anchors nothing; table cells
+    are set apart by a blank; scripts, styles and the head are no text.  Shorter
+    than ``fallback`` characters, the result is the raw HTML.
+    """
+    if html is None:
+        return None
+    p = _BlockText()
+    p.feed(html)
+    p.close()
+    text = p.text()
+    return html if len(text) < fallback else text
+
+
 def extract_response(text, marker: str) -> Column:
     """F8: the text after the first ``marker``, stripped; NULL without marker."""
     from pairlab.functions.numeric import py_strip

@@ -215,6 +215,73 @@ def unique_program_count(outputs: DataFrame, *, program: str = "program_id", **k
         "n_sets")
 
 
+# ---- equivalence when programs miss tests or have several outputs of one -----
+
+def _entries(outputs: DataFrame, program: str, problem: str, tc: str, output: str) -> DataFrame:
+    return outputs.select(F.col(program).alias("program"), F.xxhash64(F.col(problem), F.col(tc), output_hash(output)).alias("g1"),
+                          F.xxhash64(F.lit(7), output_hash(output), F.col(tc), F.col(problem)).alias("g2")).distinct()
+
+
+def co_location(outputs: DataFrame, *, program: str = "program_id", problem: str = "problem_id", tc: str = "tc_no",
+                output: str = "output") -> dict[str, DataFrame]:
+    """A10 in general: for each program, the programs that are in every output group it is in.
+
+    A program may miss tests or have several outputs of one.  Programs with the
+    same groups are one class; class B belongs to the set of class A if B's groups
+    include all of A's.  A class probes only its rarest group for classes with
+    more groups than it has, and counts of common groups decide; programs with
+    the same number of groups meet in no pair at all.
+
+    Returns ``members`` (class_id = smallest program, program, n_members),
+    ``links`` (class_id, other_id, n_other: B's id and size for every A, itself not
+    included) and ``sets`` (class_id, n_programs, n_classes) with more than one program.
+    """
+    entries = materialize(_entries(outputs, program, problem, tc, output), "entries")
+    sigs = entries.groupBy("program").agg(F.sum(F.col("g1").bitwiseAND(F.lit(0xFFFFFFFF))).alias("a"), F.sum(F.shiftrightunsigned("g1", 32)).alias("b"),
+                                          F.bit_xor("g2").alias("c"), F.count(F.lit(1)).alias("n_groups"))
+    same = ["a", "b", "c", "n_groups"]
+    classes = sigs.groupBy(*same).agg(F.min("program").alias("class_id"), F.count(F.lit(1)).alias("n_members"))
+    members = materialize(sigs.join(classes, same).select("class_id", "program", "n_members", "n_groups"), "co_members")
+    classes = members.filter("program = class_id").select("class_id", "n_members", "n_groups")
+    held = materialize(entries.join(classes.withColumnRenamed("class_id", "program"), "program").withColumnRenamed("program", "class_id"), "class_entries")
+    size = held.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n_in"), F.max("n_groups").alias("_most"))
+    # only a group with a class of more groups can lead anywhere
+    rarest = held.join(size, ["g1", "g2"]).groupBy("class_id", "n_groups").agg(
+        F.min(F.struct("n_in", "g1", "g2")).alias("r"), F.min("_most").alias("_most")).filter("_most > n_groups")
+    probe = rarest.select("class_id", F.col("n_groups").alias("_n"), F.col("r.g1").alias("g1"), F.col("r.g2").alias("g2"))
+    found = probe.join(held.select("g1", "g2", F.col("class_id").alias("other_id"), F.col("n_members").alias("n_other"), F.col("n_groups").alias("_m")),
+                       ["g1", "g2"]).filter("_m > _n").select("class_id", "_n", "other_id", "n_other")
+    common = found.join(held.select("class_id", "g1", "g2"), "class_id").join(
+        held.select(F.col("class_id").alias("other_id"), "g1", "g2"), ["other_id", "g1", "g2"])
+    links = common.groupBy("class_id", "other_id", "n_other", "_n").agg(F.count(F.lit(1)).alias("_common")).filter("_common = _n")
+    links = materialize(links.select("class_id", "other_id", "n_other"), "co_links")
+    more = links.groupBy("class_id").agg(F.sum("n_other").alias("_others"), F.count(F.lit(1)).alias("_n_others"))
+    sets = classes.join(more, "class_id", "left").select(
+        "class_id", (F.col("n_members") + F.coalesce("_others", F.lit(0))).alias("n_programs"), (F.coalesce("_n_others", F.lit(0)) + 1).alias("n_classes"))
+    return {"members": members.drop("n_groups").withColumnRenamed("program", program), "links": links, "sets": sets.filter("n_programs > 1")}
+
+
+def unique_program_count_general(outputs: DataFrame, **kw) -> DataFrame:
+    """A11 over ``co_location``: total - programs in any set of several + number of such sets."""
+    found = co_location(outputs, **kw)
+    sets, links = found["sets"].select("class_id"), found["links"]
+    inside = sets.unionByName(links.select(F.col("other_id").alias("class_id"))).distinct()
+    sizes = found["members"].groupBy("class_id").agg(F.max("n_members").alias("m"))
+    total = sizes.join(inside.withColumn("inside", F.lit(True)), "class_id", "left").agg(
+        F.coalesce(F.sum("m"), F.lit(0)).alias("total_programs"), F.coalesce(F.sum(F.when(F.col("inside"), F.col("m"))), F.lit(0)).alias("_in_sets"))
+    both = side_by_side(total, sets.agg(F.count(F.lit(1)).alias("n_sets")))
+    unique = F.col("total_programs") - F.col("_in_sets") + F.col("n_sets")
+    return both.select(unique.alias("unique_programs"), "total_programs", safe_divide(100.0 * unique, F.col("total_programs")).alias("percent_unique"), "n_sets")
+
+
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One-row tables with different columns as one row."""
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.unionByName(f, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def dedupe_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """First row per key under an explicit order (not dropDuplicates)."""
     return keep_first(df, keys, order)
@@ -333,6 +400,22 @@ _CLEAN = {
 _NUMBERED_SLOT = re.compile(r"(Code|Description) (\d+): \.\.\.")
 
 
+def continue_prompts(prompts: DataFrame, completions: DataFrame, *, key: str = "request_id", prompt: str = "prompt",
+                     completion: str = "description", end: str = CODE_DESCRIPTION_PAIR_END_TEMPLATE, sentinel: str = FAILED_COMPLETION,
+                     out: str = "next_prompt") -> DataFrame:
+    """F5, second step: a prompt, the completion it got, and the end template as the next prompt.
+
+    Completions are joined back by key (J5).  Each part is followed by a blank
+    line.  A failed first step (no completion, NULL or the sentinel) ends the chain:
+    ``failed`` is true and there is no next prompt; neither is there one for a row
+    without a prompt.
+    """
+    d = prompts.join(completions.select(key, completion), key, "left")
+    failed = F.col(completion).isNull() | (F.col(completion) == F.lit(sentinel))
+    step = F.concat(F.col(prompt), F.col(completion), F.lit("\n\n"), F.lit(end), F.lit("\n\n"))
+    return d.withColumn("failed", failed).withColumn(out, F.when(~F.col("failed"), step))
+
+
 def fill_prompt_slots(pairs: DataFrame, template: str = CODE_ONLY_TEMPLATE, *,
                       slots: Mapping[str, str] | None = None, out: str = "prompt") -> DataFrame:
     """every numbered slot of the template gets its cleaned column and a blank line.

@@ -15,7 +15,6 @@ from pairlab.functions.numeric import (
     differs, floored_speedup, inf, nan_to_null, reached, safe_divide,
 )
 from pairlab.operators.scan import keep_first, prefix_agg
-from pairlab.session import materialize
 
 # Speedup thresholds of the report.
 SPEEDUP_THRESHOLDS = (1.1, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0)
@@ -82,44 +81,44 @@ def best_at_k_summary(best: DataFrame, *, key: str = "src_id",
 
     An input counts at every k from its first answer on, with its value at its
     last answer up to k (what the wide form gives, since missing answers are
-    +inf).  Instead of materialising inputs x k, each row adds its statistics at
-    k ("a_"); the last row of an input adds them from k + 1 on ("b_"), a row
-    before a gap from k + 1 up to its next answer.  One aggregate by k, written
-    once (one row per k), then a running sum of the "b_" part over k.
+    +inf).  Instead of materialising inputs x k, each row marks where its statistics
+    count: at k, for the last row of an input also from k + 1 on, for a row before
+    a gap from k + 1 up to its next answer.  One aggregate by (k, kind of mark), then
+    statistics as rows (stat, k) and one running sum over k per statistic.
+    Infinite speedups are counted apart, so they end where their input does.
     """
-    names = ["n", "sp", "acc", "accn", "ok"] + [f"t{i}" for i in range(len(thresholds))]
+    endless = F.coalesce(F.col("speedup") == inf(), F.lit(False))
     vals = {
         "n": F.lit(1).cast("long"),
-        "sp": F.col("speedup"),
+        "sp": F.when(endless, F.lit(0.0)).otherwise(F.col("speedup")),
+        "endless": endless.cast("long"),
         "acc": F.col("best_accuracy"),
         "accn": F.col("best_accuracy").isNotNull().cast("long"),
         "ok": F.col("is_correct").cast("long"),
         **{f"t{i}": reached(F.col("speedup"), t).cast("long") for i, t in enumerate(thresholds)},
     }
-    zero = {n: (F.lit(0.0) if n in ("sp", "acc") else F.lit(0).cast("long")) for n in names}
-    real = F.struct(F.col("k").alias("k"), *[vals[n].alias(f"a_{n}") for n in names],
-                    *[zero[n].alias(f"b_{n}") for n in names])
-    carry = F.struct((F.col("k") + 1).alias("k"), *[zero[n].alias(f"a_{n}") for n in names],
-                     *[vals[n].alias(f"b_{n}") for n in names])
-    until = F.struct(F.col("next_k").alias("k"), *[zero[n].alias(f"a_{n}") for n in names],
-                     *[(-vals[n]).alias(f"b_{n}") for n in names])
-    contrib = (F.when(F.col("is_last"), F.array(real, carry))
-               .when(F.col("next_k") > F.col("k") + 1, F.array(real, carry, until)).otherwise(F.array(real)))
-    u = best.select(F.inline(contrib))
-    g = u.groupBy("k").agg(*[F.sum(c).alias(c) for c in u.columns if c != "k"])
-    g = materialize(g.withColumn("_all", F.lit(0)), "per_k")
+    k, mark = F.col("k").cast("long"), lambda at, kind: F.struct(at.cast("long").alias("at"), F.lit(kind).alias("kind"))
+    marks = (F.when(F.col("is_last"), F.array(mark(k, 0), mark(k + 1, 1)))
+             .when(F.col("next_k") > k + 1, F.array(mark(k, 0), mark(k + 1, 1), mark(F.col("next_k"), 2))).otherwise(F.array(mark(k, 0))))
+    marked = best.select(F.inline(marks), *[v.alias(n) for n, v in vals.items()])
+    sums = marked.groupBy("at", "kind").agg(*[F.sum(n).cast("double").alias(n) for n in vals])
+    rows = sums.unpivot(["at", "kind"], list(vals), "stat", "value")
+    kind, value = F.col("kind"), F.col("value")
+    per_stat = rows.groupBy("stat", "at").agg(F.coalesce(F.sum(F.when(kind == 0, value)), F.lit(0.0)).alias("here"),
+                                              F.sum(F.when(kind == 1, value).when(kind == 2, -value)).alias("carried"))
     # blocked running sum: its widest window has one row per block_size values of k
-    g = prefix_agg(g, ["_all"], "k", [(f"c_{n}", "sum", f"b_{n}", True) for n in names], block_size=block_size)
-    g = g.filter(F.col("a_n") > 0).select(
-        "k", *[(F.col(f"a_{n}") + F.coalesce(F.col(f"c_{n}"), F.lit(0))).alias(f"s_{n}") for n in names])
-    tot = {n: F.col(f"s_{n}") for n in names}
+    running = prefix_agg(per_stat, ["stat"], "at", [("before", "sum", "carried", True)], block_size=block_size)
+    total = F.col("here") + F.coalesce(F.col("before"), F.lit(0.0))
+    of = lambda n, c: F.max(F.when(F.col("stat") == n, c))
+    g = running.groupBy(F.col("at").alias("k")).agg(*[of(n, total).alias(n) for n in vals], of("n", F.col("here")).alias("_here")).filter("_here > 0")
+    n = F.col("n")
     return g.select(
         "k",
-        tot["n"].alias("n_inputs"),
-        safe_divide(tot["acc"], tot["accn"]).alias("mean_accuracy"),
-        safe_divide(tot["ok"], tot["n"]).alias("share_correct"),
-        safe_divide(tot["sp"], tot["n"]).alias("mean_speedup"),
-        *[safe_divide(tot[f"t{i}"], tot["n"]).alias(share_name(t)) for i, t in enumerate(thresholds)])
+        n.cast("long").alias("n_inputs"),
+        safe_divide(F.col("acc"), F.col("accn")).alias("mean_accuracy"),
+        safe_divide(F.col("ok"), n).alias("share_correct"),
+        F.when(F.col("endless") > 0, inf()).otherwise(safe_divide(F.col("sp"), n)).alias("mean_speedup"),
+        *[safe_divide(F.col(f"t{i}"), n).alias(share_name(t)) for i, t in enumerate(thresholds)])
 
 
 def shares_long(df: DataFrame, ids: Sequence[str],

@@ -5,14 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pairlab.functions.numeric import safe_divide
 from pairlab.functions.text import TOKEN_PATTERN, fill_template, seeded_hash
 from pairlab.operators.scan import dense_index, keep_first
+from pairlab.operators.texts import encode_ids
 
 # The four prompt templates (prompt text and response marker).
 TEMPLATES = {
@@ -103,22 +102,31 @@ def hashed_token_ids(text: Column, vocab: int = 32000, offset: int = 3) -> Colum
     return F.transform(toks, lambda t: (F.pmod(F.xxhash64(t), F.lit(vocab - offset)) + offset).cast("int"))
 
 
+def md5_token_ids(text: Column, vocab: int = 32000, offset: int = 3) -> Column:
+    """The same with ids from MD5, which any SQL engine can repeat."""
+    toks = F.regexp_extract_all(text, F.lit(f"({TOKEN_PATTERN})"), 1)
+    number = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint")
+    return F.transform(toks, lambda t: (number(t) % F.lit(vocab - offset) + offset).cast("int"))
+
+
 def tokenize_and_mask(df: DataFrame, *, full: str = "full_prompt", user: str = "user_prompt",
                       cutoff: int = 512, train_on_inputs: bool = False, add_eos: bool = True,
-                      eos_id: int = 2, tokenizer: Callable[[str], list[int]] | None = None) -> DataFrame:
+                      eos_id: int = 2, tokenizer=None, token_ids: Callable[[Column], Column] = hashed_token_ids) -> DataFrame:
     """input_ids, attention_mask and labels; prompt tokens masked with -100.
 
     Cut at ``cutoff``; EOS appended only when the cut sequence is shorter and
     does not already end in EOS.  The mask covers the user prompt's token count
-    minus one when EOS is requested (even if none was added).
+    minus one when EOS is requested (even if none was added).  Ids come from the
+    column function ``token_ids``, or from ``tokenizer`` (a ``SubwordTokenizer`` or a
+    callable of one text), which encodes every distinct text once; a NULL text has
+    no ids.
     """
     if tokenizer is None:
-        enc = lambda c: hashed_token_ids(F.col(c))
+        enc = lambda c: token_ids(F.col(c))
     else:
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def _enc(s: pd.Series) -> pd.Series:
-            return s.map(lambda x: [] if x is None else [int(i) for i in tokenizer(x)])
-        enc = lambda c: _enc(F.col(c))
+        df = encode_ids(df, full, tokenizer, out="_ids_full").rows
+        df = encode_ids(df, user, tokenizer, out="_ids_user").rows if not train_on_inputs else df
+        enc = lambda c: F.coalesce(F.col("_ids_full" if c == full else "_ids_user"), F.array().cast("array<int>"))
 
     def tok(c: str, eos: bool) -> Column:
         ids = F.slice(enc(c), 1, cutoff)
@@ -131,12 +139,12 @@ def tokenize_and_mask(df: DataFrame, *, full: str = "full_prompt", user: str = "
     d = df.withColumn("input_ids", tok(full, True))
     d = d.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
     if train_on_inputs:
-        return d.withColumn("labels", F.col("input_ids"))
+        return d.withColumn("labels", F.col("input_ids")).drop("_ids_full")
     n_user = F.size(tok(user, add_eos)) - (1 if add_eos else 0)
     d = d.withColumn("_n", F.greatest(n_user, F.lit(0)))
     labels = F.concat(F.array_repeat(F.lit(-100), F.col("_n")),
                       F.slice(F.col("input_ids"), F.col("_n") + 1, F.lit(1 << 30)))
-    return d.withColumn("labels", labels).drop("_n")
+    return d.withColumn("labels", labels).drop("_n", "_ids_full", "_ids_user")
 
 
 def shuffle_head(df: DataFrame, n: int = -1, *, key: str, seed: int) -> DataFrame:

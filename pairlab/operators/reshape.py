@@ -5,12 +5,12 @@ from __future__ import annotations
 import ast
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab.operators.scan import keep_first
+from pairlab.operators.texts import per_text, transform_texts
 
 
 def clean_code_rows(df: DataFrame, code: str = "code") -> DataFrame:
@@ -23,23 +23,13 @@ def dropped_rows(df: DataFrame, code: str = "code") -> DataFrame:
     return df.agg(F.count_if(F.col(code).isNull() | (F.length(F.col(code)) == 0)).alias("n_dropped"))
 
 
-def _literal_list(x):
-    if x is None:
-        return None
-    try:
-        v = ast.literal_eval(x)
-    except (ValueError, SyntaxError):
-        return None
+def _literal_list(x: str) -> list[str | None]:
+    v = ast.literal_eval(x)
     if not isinstance(v, (list, tuple)):
-        return None
+        raise ValueError("not a list")
     return [None if e is None else str(e) for e in v]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _literal_eval_list(s: pd.Series) -> pd.Series:
-    return s.map(_literal_list)
-
-
 def looks_like_list(c: Column) -> Column:
     return (F.length(c) > 1) & c.startswith("[") & c.endswith("]")
 
@@ -47,21 +37,27 @@ def looks_like_list(c: Column) -> Column:
 def parse_list_literal(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """List-looking strings -> array<string>; any other text is one answer.
 
-    JSON (single quotes allowed) is parsed JVM-side; only texts it cannot parse
-    reach the Arrow UDF running ``ast.literal_eval`` (Python literal forms such
-    as ``None``), the others pass it as NULL.  A list-looking text that neither
-    can parse becomes NULL.
+    JSON (single quotes allowed) is parsed JVM-side; the texts it cannot parse
+    (Python literal forms such as ``None``) go through ``ast.literal_eval`` as a text
+    job, each distinct text once.  A list-looking text that neither can parse
+    becomes NULL.
     """
-    out = {}
+    return parse_list_job(df, cols)[0]
+
+
+def parse_list_job(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """``parse_list_literal`` and, per column, the report of the texts that were no JSON."""
+    order, reports = df.columns, {}
+    lists = T.ArrayType(T.StringType())
     for c in cols:
         text, listed = F.col(c), looks_like_list(F.col(c))
-        out[f"_{c}_json"] = F.when(listed, F.from_json(text, T.ArrayType(T.StringType()), {"allowSingleQuotes": "true"}))
-    d = df.withColumns(out)
-    for c in cols:
-        text, listed, parsed = F.col(c), looks_like_list(F.col(c)), F.col(f"_{c}_json")
-        literal = _literal_eval_list(F.when(listed & parsed.isNull(), text))
-        d = d.withColumn(c, F.when(text.isNull(), F.lit(None)).when(~listed, F.array(text)).otherwise(F.coalesce(parsed, literal)))
-    return d.drop(*out)
+        d = df.withColumn("_json", F.when(listed, F.from_json(text, lists, {"allowSingleQuotes": "true"})))
+        d = d.withColumn("_literal", F.when(listed & F.col("_json").isNull(), text))
+        job = transform_texts(d, "_literal", per_text(_literal_list), out="_parsed", to=lists)
+        reports[c] = job.report()
+        listed = looks_like_list(F.col(c))
+        df = job.rows.withColumn(c, F.when(F.col(c).isNull(), F.lit(None)).when(~listed, F.array(F.col(c))).otherwise(F.coalesce("_json", "_parsed"))).select(*order)
+    return df, reports
 
 
 def explode_generations(df: DataFrame, col: str = "generated_answers", *, keys: Sequence[str],

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab.functions.text import canonical_newlines, fill_template
 from pairlab.operators.scan import keep_first
+from pairlab.operators.texts import transform_texts
 from pairlab.session import materialize
 
 # Few-shot prompt templates and the separator between examples.
@@ -35,39 +35,62 @@ def letter_counts(text) -> "F.Column":
                      for ch in LETTERS])
 
 
+def hashed_ngrams(df: DataFrame, text: str, *, n: int = 3, dims: int = 64, out: str = "embedding") -> DataFrame:
+    """F12 default of the source's kind: signed feature hashing of character n-grams.
+
+    Every run of ``n`` characters of the lower-cased text adds +1 or -1 to one of
+    ``dims`` buckets, both taken from its MD5 (so any SQL engine can repeat it).  A
+    text shorter than ``n`` is the zero vector, a NULL text has none.  Distinct texts
+    are encoded once; grams are rows and add up in a partial aggregate, so a long
+    text is not one task's array.
+    """
+    hashed = df.withColumn("_h", F.sha2(F.col(text), 256))
+    uniq = hashed.filter(F.col(text).isNotNull()).groupBy("_h").agg(F.lower(F.first(text)).alias("_t"))
+    last = F.length("_t") - (n - 1)
+    grams = uniq.filter(last > 0).select("_h", "_t", F.explode(F.sequence(F.lit(1), last)).alias("_i")).select("_h", F.md5(F.substr("_t", F.col("_i"), F.lit(n))).alias("_g"))
+    number = F.conv(F.substring("_g", 1, 8), 16, 10).cast("bigint")
+    signed = grams.select("_h", (number % dims).cast("int").alias("_b"), F.when(F.floor(number / dims) % 2 == 0, 1.0).otherwise(-1.0).alias("_s"))
+    sums = signed.groupBy("_h", "_b").agg(F.sum("_s").alias("_s"))
+    # a map of at most ``dims`` entries
+    maps = sums.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("_b", "_s"))).alias("_m"))
+    cell = lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))
+    vectors = uniq.select("_h").join(maps, "_h", "left").select("_h", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), cell).alias(out))
+    return hashed.join(vectors, "_h", "left").drop("_h")
+
+
 def encode_text(df: DataFrame, text: str, *, encoder: Callable[[list[str]], np.ndarray] | None = None,
-                out: str = "embedding", batch: int = 256) -> DataFrame:
+                out: str = "embedding", batch: int = 256, method: str = "letters") -> DataFrame:
     """embed a text column.
 
-    Default: ``letter_counts``.  With ``encoder`` (list of texts -> 2-D array,
-    loaded once per worker) distinct texts are encoded in Arrow batches by
-    ``mapInPandas`` and joined back by hash.
+    Without ``encoder``: ``letter_counts``, or ``hashed_ngrams`` for ``method="ngrams"``.
+    With ``encoder`` (list of texts -> 2-D array, loaded once per worker) every
+    distinct text is encoded once in Arrow batches and joined back by hash; a NULL
+    text has no vector.
     """
     if encoder is None:
-        return df.withColumn(out, letter_counts(text))
-    uniq = df.select(F.sha2(F.col(text), 256).alias("_h"), F.col(text).alias("_t")).dropDuplicates(["_h"])
+        return hashed_ngrams(df, text, out=out) if method == "ngrams" else df.withColumn(out, letter_counts(text))
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        parts = [np.asarray(encoder(texts[i:i + batch]), dtype="float64") for i in range(0, len(texts), batch)]
+        return [row.tolist() for part in parts for row in part]
 
-    def run(batches):
-        for pdf in batches:
-            for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i:i + batch]
-                vecs = np.asarray(encoder(part["_t"].tolist()), dtype="float64")
-                yield pd.DataFrame({"_h": part["_h"].values, out: list(vecs)})
+    return transform_texts(df, text, encode, out=out, to=T.ArrayType(T.DoubleType())).rows
 
-    emb = uniq.mapInPandas(run, schema=T.StructType([T.StructField("_h", T.StringType()),
-                                                      T.StructField(out, T.ArrayType(T.DoubleType()))]))
-    return df.withColumn("_h", F.sha2(F.col(text), 256)).join(emb, "_h").drop("_h")
 
+def nearest_rows(q: np.ndarray, c: np.ndarray, cid: np.ndarray, qkey: np.ndarray, ckey: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, corpus row, distance) of each query's k nearest corpus rows, ties by id.
 
-def _nearest(q: np.ndarray, c: np.ndarray, cid: np.ndarray, qkey: np.ndarray, ckey: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, corpus row, distance) of each query's k nearest corpus rows, ties by id."""
-    dist = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * (q @ c.T)
-    np.maximum(dist, 0.0, out=dist)
+    The matrix product finds the candidates (with a margin for its rounding, which
+    depends on the shapes); their distances are then taken by differences, so
+    equal vectors have equal distances wherever they lie.
+    """
+    long_q, long_c = (q * q).sum(1), (c * c).sum(1)
+    dist = long_q[:, None] + long_c[None, :] - 2.0 * (q @ c.T)
     dist[qkey[:, None] == ckey[None, :]] = np.inf
     kk = min(k, dist.shape[1])
-    limit = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk]
+    limit = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk] + 1e-12 * (long_q + long_c.max())[:, None]
     row, col = np.nonzero((dist <= limit) & np.isfinite(dist))
-    value = dist[row, col]
+    value = ((q[row] - c[col]) ** 2).sum(axis=1)
     order = np.lexsort((cid[col], value, row))
     row, col, value = row[order], col[order], value[order]
     first = np.searchsorted(row, row, side="left")
@@ -124,7 +147,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, *, k: int = 4, vec: str = "e
             store, place = fs.FileSystem.from_uri(path)
             with store.open_input_file(place) as f:
                 for block in parquet.ParquetFile(f).iter_batches(batch_size=q_block_rows):
-                    row, col, dist = _nearest(_vectors(block, "vec"), vectors, ids, _ids(block, "qkey"), keys, k)
+                    row, col, dist = nearest_rows(_vectors(block, "vec"), vectors, ids, _ids(block, "qkey"), keys, k)
                     yield pa.RecordBatch.from_arrays([block.column("qid").take(pa.array(row)), mine.column("cid").take(pa.array(col)), pa.array(dist)],
                                                      names=["query_id", "neighbor_id", "dist"])
 

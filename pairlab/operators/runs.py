@@ -82,23 +82,22 @@ def mean_accuracy(tests: DataFrame, *, key: Sequence[str] = ("submission_id",),
 
 def total_runtime(tests: DataFrame, *, key: Sequence[str] = ("submission_id",),
                   tc: str = "tc_no", success: str = "success", time: str = "t",
-                  with_maps: bool = False) -> DataFrame:
+                  map_limit: int | None = None) -> DataFrame:
     """A2: sum of test times where a failed test, or one without a time, costs +inf
     (no results: +inf).
 
-    ``with_maps`` adds the per-test maps ``tc2time`` / ``tc2success``; only ask
-    for them when a submission's rows are bounded by its test suite, since a
-    map is one collected group.
+    ``map_limit`` adds the per-test maps ``tc2time`` / ``tc2success``; a submission
+    with more tests than that raises, since a map is one collected group.
     """
     t = F.coalesce(F.when(F.col(success), nan_to_null(F.col(time))), inf())
     aggs = [F.coalesce(F.sum(t), inf()).alias("agg_runtime"),
             F.count(F.lit(1)).alias("n_tests"),
             F.count_if(F.col(success)).alias("n_success"),
             F.lit(0.0).alias("agg_stdev")]
-    if with_maps:
-        aggs += [F.map_from_entries(F.collect_list(F.struct(F.col(tc), t))).alias("tc2time"),
-                 F.map_from_entries(F.collect_list(F.struct(F.col(tc), F.col(success)))).alias("tc2success")]
-    return tests.groupBy(*key).agg(*aggs)
+    totals = tests.groupBy(*key).agg(*aggs)
+    if map_limit is None:
+        return totals
+    return totals.join(per_test_maps(tests, key=key, tc=tc, limit=map_limit, values={"tc2time": t, "tc2success": F.col(success)}), list(key))
 
 
 def fail_fast(tests: DataFrame, *, key: str = "submission_id", seq: str = "seq",
@@ -176,6 +175,10 @@ def repeat_stability(repeats: DataFrame, *, key: Sequence[str] = ("submission_id
     return agg.withColumn("cv", cv).withColumn("stable", F.coalesce(F.col("cv") < F.lit(bound), F.lit(False)))
 
 
+def _sum_runtime(success: Column, time: Column) -> Column:
+    return F.sum(F.coalesce(F.when(success, nan_to_null(time)), inf()))
+
+
 def pair_versions(v0: DataFrame, v1: DataFrame, *, key: str = "submission_id",
                   tc: str = "tc", success: str = "success", time: str = "t") -> DataFrame:
     """Totals, tests and passed tests of both versions side by side and the speedup v0 / v1.
@@ -187,7 +190,7 @@ def pair_versions(v0: DataFrame, v1: DataFrame, *, key: str = "submission_id",
     both = (v0.select(key, tc, success, time, F.lit("v0").alias("version"))
             .unionByName(v1.select(key, tc, success, time, F.lit("v1").alias("version"))))
     tot = both.groupBy(key, "version").agg(
-        F.sum(F.coalesce(F.when(F.col(success), nan_to_null(F.col(time))), inf())).alias("rt"),
+        _sum_runtime(F.col(success), F.col(time)).alias("rt"),
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(success)).alias("ok"))
     wide = tot.groupBy(key).pivot("version", ["v0", "v1"]).agg(F.first("rt").alias("rt"), F.first("n").alias("n"), F.first("ok").alias("ok"))
     wide = wide.select(key, *[F.coalesce(F.col(f"{v}_rt"), inf()).alias(f"agg_runtime_{v}") for v in ("v0", "v1")],
@@ -196,6 +199,99 @@ def pair_versions(v0: DataFrame, v1: DataFrame, *, key: str = "submission_id",
     return wide.withColumn("speedup", safe_divide(F.col("agg_runtime_v0"), F.col("agg_runtime_v1")))
 
 
+def per_test_maps(tests: DataFrame, *, key: Sequence[str] = ("submission_id",), tc: str = "tc_no", limit: int,
+              values: dict[str, Column]) -> DataFrame:
+    """Per-test results of a submission as maps test -> value.
+
+    A map is one collected group, so it has a bound: a submission with more than
+    ``limit`` tests raises (none is ever cut), and so does a test that occurs twice.
+    """
+    # checked on counts, before any map is built
+    counted = tests.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    many = F.raise_error(F.concat(F.lit(f"more than {limit} tests: "), F.col("_n").cast("string"))).cast("boolean")
+    bounded = tests.join(counted.filter(F.when(F.col("_n") <= limit, F.lit(True)).otherwise(many)).select(*key), list(key))
+    maps = [F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(tc), c.alias("value"))))).alias(name) for name, c in values.items()]
+    return bounded.groupBy(*key).agg(*maps)
+
+
+def compare_versions(runs: DataFrame | None = None, *, repeats: DataFrame | None = None, accuracy: DataFrame | None = None, compilation: DataFrame | None = None,
+                     key: str = "submission_id", version: str = "version", versions: Sequence[str] = ("v0", "v1"), tc: str = "tc_no",
+                     together: bool = False, threshold: float | None = None, map_limit: int | None = None) -> DataFrame:
+    """J9 in full: all results of two versions of a submission in one row, columns ``{name}_{version}``.
+
+    Long inputs with a ``version`` column, each aggregated once: ``runs`` (key,
+    version, tc, success, t) of simulated tests give ``agg_runtime``, ``agg_stdev``
+    (0), ``n_tests`` and ``n_success``; ``repeats`` (key, version, tc, rep, t) give the
+    aligned ``agg_runtime_binary`` and ``agg_stdev_binary`` (a NULL time makes both
+    +inf; with ``together`` both versions are cut to the shortest of all their
+    tests, so equal numbers of repeats are compared); ``accuracy`` (key, version,
+    tc, accuracy) gives ``mean_acc``; ``compilation`` (key, version, compiled)
+    gives ``compilation``: a version that does not compile has accuracy 0 and +inf
+    runtimes.  ``threshold`` gates as A4 does.  ``map_limit`` adds the maps
+    ``tc2time``, ``tc2success`` and ``accs``, raising beyond that many tests.
+    A version without results is +inf.  ``speedup`` (and ``speedup_binary``) is the first
+    version's runtime over the second's.
+    """
+    ids = [key, version]
+    parts: list[DataFrame] = []
+    names: dict[str, Column | None] = {}  # name -> what a version without results has
+    if runs is not None:
+        t = F.coalesce(F.when(F.col("success"), nan_to_null(F.col("t"))), inf())
+        parts.append(runs.groupBy(*ids).agg(F.sum(t).alias("agg_runtime"), F.lit(0.0).alias("agg_stdev"), F.count(F.lit(1)).alias("n_tests"),
+                                            F.count_if(F.col("success")).alias("n_success")))
+        names |= {"agg_runtime": inf(), "agg_stdev": F.lit(0.0), "n_tests": F.lit(0), "n_success": F.lit(0)}
+        if map_limit is not None:
+            parts.append(per_test_maps(runs, key=ids, tc=tc, limit=map_limit, values={"tc2time": t, "tc2success": F.col("success")}))
+            names |= {"tc2time": None, "tc2success": None}
+    if repeats is not None:
+        per_test = repeats.groupBy(*ids, tc).agg(F.count("t").alias("_n"), F.count_if(F.col("t").isNull()).alias("_nulls"))
+        own = per_test.groupBy(*ids).agg(F.min("_n").alias("_own"), F.max("_nulls").alias("_nulls"))
+        every = own.groupBy(key).agg(F.min("_own").alias("_every"))
+        cut = own.join(every, key).withColumn("_short", F.col("_every") if together else F.col("_own"))
+        sums = repeats.join(cut.select(*ids, "_short"), ids).filter(F.col("rep") < F.col("_short")).groupBy(*ids, "rep").agg(F.sum("t").alias("_t"))
+        stats = sums.groupBy(*ids).agg(F.avg("_t").alias("_mean"), F.stddev_pop("_t").alias("_std"))
+        broken = (F.col("_nulls") > 0) | (F.col("_short") == 0)
+        parts.append(cut.join(stats, ids, "left").select(*ids, F.when(broken, inf()).otherwise(F.col("_mean")).alias("agg_runtime_binary"),
+                                                         F.when(broken, inf()).otherwise(F.col("_std")).alias("agg_stdev_binary")))
+        names |= {"agg_runtime_binary": inf(), "agg_stdev_binary": inf()}
+    if accuracy is not None:
+        parts.append(mean_accuracy(accuracy, key=ids).drop("n_tests"))
+        names["mean_acc"] = None
+        if map_limit is not None:
+            parts.append(per_test_maps(accuracy, key=ids, tc=tc, limit=map_limit, values={"accs": F.col("accuracy")}))
+            names["accs"] = None
+    if compilation is not None:
+        parts.append(compilation.groupBy(*ids).agg(F.bool_and(F.col("compiled")).alias("compilation")))
+        names["compilation"] = F.lit(False)
+    if not parts:
+        raise ValueError("nothing to compare")
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.join(p, ids, "full")
+    runtimes = [c for c in ("agg_runtime", "agg_stdev", "agg_runtime_binary", "agg_stdev_binary") if c in names]
+    long = long.withColumns({n: F.coalesce(F.col(n), d) for n, d in names.items() if d is not None})
+    if compilation is not None:
+        ok = F.col("compilation")
+        long = long.withColumns({c: F.when(ok, F.col(c)).otherwise(inf()) for c in runtimes})
+        if accuracy is not None:
+            long = long.withColumn("mean_acc", F.when(ok, F.col("mean_acc")).otherwise(F.lit(0.0)))
+    if threshold is not None:
+        gated = F.coalesce(nan_to_null(F.col("mean_acc")) < F.lit(threshold), F.lit(True))
+        long = long.withColumn("gated", gated).withColumns({c: F.when(F.col("gated"), inf()).otherwise(F.col(c)) for c in runtimes})
+        names["gated"] = F.lit(True)
+    packed = F.struct(*names)
+    wide = long.groupBy(key).pivot(version, list(versions)).agg(F.first(packed))
+    # a version that has no row at all
+    lost = {n: inf() if n in runtimes else d for n, d in names.items()}
+    value = lambda v, n: F.col(f"`{v}`")[n] if lost[n] is None else F.coalesce(F.col(f"`{v}`")[n], lost[n])
+    out = wide.select(key, *[value(v, n).alias(f"{n}_{v}") for v in versions for n in names])
+    a, b = versions
+    for c, name in (("agg_runtime", "speedup"), ("agg_runtime_binary", "speedup_binary")):
+        if c in names:
+            out = out.withColumn(name, safe_divide(F.col(f"{c}_{a}"), F.col(f"{c}_{b}")))
+    return out
+
+
 # ---- S6: simulator stats text ---------------------------------------------
 
 def parse_run_stats(lines: DataFrame, *, key: str = "run_id", line: str = "line", ordinal: str | None = None) -> DataFrame:

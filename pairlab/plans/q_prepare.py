@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.functions.text import extract_response, first_program, seeded_hash_sql
+from pairlab.functions.text import extract_response, seeded_hash_sql
+from pairlab.functions.tokenizers import SubwordTokenizer
 from pairlab.operators import augment as au
 from pairlab.operators import prepare as pp
 from pairlab.operators import reshape as rs
+from pairlab.operators import texts
 from pairlab.plans.fixtures import oracle_with, table, view
 from pairlab.plans.registry import fin, query, sql_str, template_sql
 from pairlab.session import checkpoint_dir
@@ -116,38 +118,70 @@ def f8_extract_response(spark, sf):
 # completions with programs: balanced, nested, unclosed, with stray braces, and without main
 _PROGRAMS = """
 , prog AS (SELECT src_id, CASE src_id % 5
-    WHEN 0 THEN 'int main() { ' || substr(tgt_code, 1, 20) || ' } trailing { }'
-    WHEN 1 THEN 'struct s { int a; }; int  main(int c) { if (c) { x(); } else { y(); } } int f() { }'
-    WHEN 2 THEN 'void main { { ' || substr(tgt_code, 1, 10)
-    WHEN 3 THEN 'main } } { a } { b } ' || substr(tgt_code, 1, 30)
+    WHEN 0 THEN 'int main() { ' || tgt_code || ' } trailing { ' || tgt_code || ' }'
+    WHEN 1 THEN tgt_code || ' struct s { int a; }; int  main(int c) { if (c) { x(); } else { y(); } } int f() { }'
+    WHEN 2 THEN 'void main { { ' || tgt_code
+    WHEN 3 THEN 'main } } { a } { b } ' || tgt_code
     ELSE tgt_code END AS code FROM v_pairs)
 """
 
 
 def _programs(spark, sf):
     t, k = F.col("tgt_code"), F.col("src_id") % 5
-    code = (F.when(k == 0, F.concat(F.lit("int main() { "), F.substring(t, 1, 20), F.lit(" } trailing { }")))
-            .when(k == 1, F.lit("struct s { int a; }; int  main(int c) { if (c) { x(); } else { y(); } } int f() { }"))
-            .when(k == 2, F.concat(F.lit("void main { { "), F.substring(t, 1, 10)))
-            .when(k == 3, F.concat(F.lit("main } } { a } { b } "), F.substring(t, 1, 30))).otherwise(t))
+    code = (F.when(k == 0, F.concat(F.lit("int main() { "), t, F.lit(" } trailing { "), t, F.lit(" }")))
+            .when(k == 1, F.concat(t, F.lit(" struct s { int a; }; int  main(int c) { if (c) { x(); } else { y(); } } int f() { }")))
+            .when(k == 2, F.concat(F.lit("void main { { "), t))
+            .when(k == 3, F.concat(F.lit("main } } { a } { b } "), t)).otherwise(t))
     return view(spark, sf, "v_pairs").select("src_id", code.alias("code"))
 
 
-@query("f9_first_program", oracle_with(["v_pairs"], _PROGRAMS + r"""
+_FIRST = _PROGRAMS + r"""
 , m AS (SELECT src_id, code, regexp_extract(code, '\b(?:int\s+)?main\b') AS hit FROM prog)
 , tail AS (SELECT src_id, code, CASE WHEN hit <> '' THEN strpos(code, hit) + length(hit) - 1 END AS cut FROM m)
 , ch AS (SELECT src_id, cut, i, substr(code, cut + i, 1) AS c FROM tail, unnest(range(1, length(code) - cut + 1)) AS u(i) WHERE cut IS NOT NULL)
 , st AS (SELECT src_id, cut, i, c, sum(CASE c WHEN '{' THEN 1 ELSE -1 END) OVER w AS depth, max(CASE c WHEN '{' THEN 1 ELSE 0 END) OVER w AS opened
          FROM ch WHERE c IN ('{', '}') WINDOW w AS (PARTITION BY src_id ORDER BY i))
 , e AS (SELECT src_id, min(cut + i) AS stop FROM st WHERE c = '}' AND depth = 0 AND opened = 1 GROUP BY src_id)
-SELECT prog.src_id, sha256(CASE WHEN stop IS NULL THEN code ELSE substr(code, 1, stop) END) AS kept_hash,
-  stop IS NOT NULL AND stop < length(code) AS was_cut
-FROM prog LEFT JOIN e USING (src_id)"""))
+, kept AS (SELECT prog.src_id, code, CASE WHEN stop IS NULL THEN code ELSE substr(code, 1, stop) END AS kept FROM prog LEFT JOIN e USING (src_id))
+"""
+
+
+@query("f9_first_program", oracle_with(["v_pairs"], _FIRST + """
+SELECT src_id, sha256(kept) AS kept_hash, length(kept) < length(code) AS was_cut FROM kept"""))
 def f9_first_program(spark, sf):
-    d = _programs(spark, sf).withColumn("kept", first_program(F.col("code")))
+    d = texts.first_programs(_programs(spark, sf), "code", out="kept").rows
     return d.select("src_id", F.sha2("kept", 256).alias("kept_hash"), (F.length("kept") < F.length("code")).alias("was_cut"))
 
 
+_REPORT = """CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE t IS NULL) AS BIGINT) AS n_null_rows, CAST(count(DISTINCT t) AS BIGINT) AS n_texts,
+  CAST(count(*) FILTER (WHERE NOT bad AND r <> t) AS BIGINT) AS n_changed_rows, CAST(count(DISTINCT CASE WHEN NOT bad AND r <> t THEN t END) AS BIGINT) AS n_changed_texts,
+  CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS n_failed_rows, CAST(count(DISTINCT CASE WHEN bad THEN t END) AS BIGINT) AS n_failed_texts"""
+
+
+@query("f9_first_program_report", oracle_with(["v_pairs"], _FIRST + f"""
+, three AS (SELECT code AS t, kept AS r, false AS bad FROM kept UNION ALL SELECT code, kept, false FROM kept
+            UNION ALL SELECT CASE WHEN src_id % 2 = 0 THEN 'int main() {{ }} x' END, CASE WHEN src_id % 2 = 0 THEN 'int main() {{ }}' END, false FROM kept)
+SELECT {_REPORT} FROM three"""))
+def f9_first_program_report(spark, sf):
+    """Every program twice, one program in a sixth of all rows, and nulls: what the job did."""
+    d = _programs(spark, sf)
+    hot = d.select("src_id", F.when(F.col("src_id") % 2 == 0, F.lit("int main() { } x")).alias("code"))
+    return texts.first_programs(d.unionByName(d).unionByName(hot)).report()
+
+
+@query("p4_parse_list_report", oracle_with(["v_pairs"], f"""
+, l AS (SELECT CASE src_id % 4 WHEN 0 THEN '[None, ' || src_id % 7 || ']' WHEN 1 THEN '[broken ' || src_id || ']' END AS t, src_id % 4 = 1 AS bad FROM v_pairs)
+, x AS (SELECT t, t AS r, bad FROM l)
+SELECT {_REPORT} FROM x"""))
+def p4_parse_list_report(spark, sf):
+    """Lists that are no JSON: some are Python literals, some nothing; the rest never reaches Python."""
+    k = F.col("src_id") % 4
+    text = (F.when(k == 0, F.concat(F.lit("[None, "), (F.col("src_id") % 7).cast("string"), F.lit("]")))
+            .when(k == 1, F.concat(F.lit("[broken "), F.col("src_id").cast("string"), F.lit("]")))
+            .when(k == 2, F.lit("['a', 'b']")).otherwise(F.col("tgt_code")))
+    return rs.parse_list_job(view(spark, sf, "v_pairs").select("src_id", text.alias("a")), ["a"])[1]["a"]
+
+
 @query("f10_chat_examples", oracle_with(["v_pairs"], f"""
 SELECT src_id, {sql_str(pp.CHAT_SYSTEM)} AS system_content,
   sha256({template_sql(pp.CHAT_USER_TEMPLATE, {'src_code': 'src_code'})}) AS user_hash,
@@ -182,6 +216,78 @@ def f11_tokenize_and_mask(spark, sf):
                     F.size("labels").alias("n_labels"))
 
 
+def _f11_ids_sql(cutoff: int) -> str:
+    from pairlab.plans.q_augment import TOKEN_SQL
+
+    def ids(x: str) -> str:
+        return f"list_transform(regexp_extract_all({x}, '{TOKEN_SQL}'), lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 31997 + 3)[1:{cutoff}]"
+
+    def end(x: str) -> str:
+        return f"CASE WHEN len({x}) < {cutoff} THEN list_append({x}, CAST(2 AS BIGINT)) ELSE {x} END"
+
+    def text(x: str) -> str:
+        return f"sha256(array_to_string({x}, ','))"
+    return oracle_with(["v_pairs"], f"""
+, x AS (SELECT src_id, {ids('(' + _FULL + ')')} AS f, {ids('(' + _prompt_sql(_PLAIN, {}) + ')')} AS u FROM v_pairs)
+, y AS (SELECT src_id, {end('f')} AS f, len({end('u')}) - 1 AS n FROM x)
+, z AS (SELECT src_id, f, list_concat(list_transform(range(n), lambda i: CAST(-100 AS BIGINT)), f[n + 1:]) AS l FROM y)
+SELECT src_id, CAST(len(f) AS BIGINT) AS n_ids, {text('f')} AS ids_hash, {text('list_transform(f, lambda i: 1)')} AS attention_hash, {text('l')} AS labels_hash FROM z""")
+
+
+def _joined(c: str):
+    return F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
+
+
+@query("f11_tokenize_and_mask_ids", _f11_ids_sql(256))
+def f11_tokenize_and_mask_ids(spark, sf):
+    """Ids, attention and labels of every pair, element by element."""
+    d = pp.build_training_set(view(spark, sf, "v_pairs"), form="tokens", seed=1, cutoff=256, token_ids=pp.md5_token_ids)
+    return d.select("src_id", F.size("input_ids").alias("n_ids"), _joined("input_ids").alias("ids_hash"), _joined("attention_mask").alias("attention_hash"),
+                    _joined("labels").alias("labels_hash"))
+
+
+def vocabulary(name: str) -> SubwordTokenizer:
+    """A public vocabulary of this machine, by the name of its file."""
+    import public_tokenizers
+    return SubwordTokenizer(public_tokenizers.path(name))
+
+
+@query("f11_tokenize_and_mask_bpe", oracle_with(["v_pairs"], f"""
+, x AS (SELECT src_id, {_FULL} AS fp FROM v_pairs)
+SELECT src_id, sha256(fp) AS text_hash, true AS ends_with_eos, true AS all_attended, true AS labels_follow FROM x"""))
+def f11_tokenize_and_mask_bpe(spark, sf):
+    """A byte-level subword vocabulary: the ids of every prompt, taken back to text."""
+    bpe, eos = vocabulary("byte_bpe_50k.json"), 50256
+    d = pp.build_training_set(view(spark, sf, "v_pairs"), form="tokens", seed=1, cutoff=1 << 20, tokenizer=bpe, eos_id=eos)
+    n = F.size("input_ids")
+    follow = F.zip_with("labels", "input_ids", lambda label, i: (label == i) | (label == -100))
+    out = d.select("src_id", F.slice("input_ids", 1, n - 1).alias("ids"), (F.element_at("input_ids", -1) == eos).alias("ends_with_eos"),
+                   (F.size(F.filter("attention_mask", lambda x: x == 1)) == n).alias("all_attended"), F.forall(follow, lambda x: x).alias("labels_follow"))
+    back = texts.decode_ids(out, "ids", bpe, out="text")
+    return back.select("src_id", F.sha2("text", 256).alias("text_hash"), "ends_with_eos", "all_attended", "labels_follow")
+
+
+@query("f3_token_length_bpe")
+def f3_token_length_bpe(spark, sf):
+    """Subword tokens of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return texts.count_tokens(docs, "text", vocabulary("byte_bpe_50k.json")).rows.select("doc_id", "n_tokens")
+
+
+@query("f3_token_round_trip", """
+SELECT vocabulary, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE text IS NULL) AS BIGINT) AS n_null_rows, CAST(count(DISTINCT text) AS BIGINT) AS n_texts,
+  CAST(0 AS BIGINT) AS n_changed_rows, CAST(0 AS BIGINT) AS n_changed_texts, CAST(0 AS BIGINT) AS n_failed_rows, CAST(0 AS BIGINT) AS n_failed_texts
+FROM documents, (VALUES ('byte_bpe_50k.json'), ('byte_bpe_50k.tiktoken')) AS v(vocabulary) GROUP BY vocabulary""")
+def f3_token_round_trip(spark, sf):
+    """Every document to ids and back by two readers of a byte-level vocabulary: no text is changed."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    reports = []
+    for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"):
+        bpe = vocabulary(name)
+        reports.append(texts.transform_texts(docs, "text", lambda t, bpe=bpe: bpe.decode(bpe.encode(t))).report().withColumn("vocabulary", F.lit(name)))
+    return reports[0].unionByName(reports[1])
+
+
 @query("o2_shuffle_head", f"""
 SELECT doc_id FROM documents ORDER BY {seeded_hash_sql('doc_id', seed=42)}, doc_id LIMIT 50""")
 def o2_shuffle_head(spark, sf):

@@ -88,5 +88,5 @@ def test_parse_run_stats(spark):
 def test_total_runtime_maps_on_request(spark):
     df = spark.createDataFrame([(1, 0, True, 1.0), (1, 1, False, None)],
                                "submission_id long, tc_no int, success boolean, t double")
-    r = rn.total_runtime(df, with_maps=True).first()
+    r = rn.total_runtime(df, map_limit=10).first()
     assert r["tc2time"] == {0: 1.0, 1: float("inf")} and r["tc2success"] == {0: True, 1: False}
