@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm.base import lower_ascii, table
+from pairlab.llm.base import lower_ascii, table, written
 
 #: production rules: (verdict, host and path prefix)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -81,8 +81,12 @@ FROM (SELECT g.*, (SELECT 1 / least({hi}D, greatest({lo}D, coalesce(
 
 
 def _shrink(spark: SparkSession, groups: DataFrame, out: str) -> DataFrame:
-    """Shrink each group's bad rate towards its ``prior`` (strength fitted over all groups)."""
-    return spark.sql(_SHRINK.format(out=out, lo=RHO_MIN, hi=RHO_MAX), g=groups)
+    """Shrink each group's bad rate towards its ``prior`` (strength fitted over all groups).
+
+    The groups are written first: the strength and the groups read the same table,
+    not the levels below once more.
+    """
+    return spark.sql(_SHRINK.format(out=out, lo=RHO_MIN, hi=RHO_MAX), g=written(groups, f"hosts-{out}"))
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
@@ -94,9 +98,10 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     spark = outcomes.sparkSession
     hosts = (outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0)).alias("n_bad"))
              .select("host", host_domain(F.col("host")).alias("domain"), host_suffix(F.col("host")).alias("suffix"), "n", "n_bad"))
+    hosts = written(hosts, "host-counts")
     count = [F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")]
-    domains = hosts.groupBy("domain", "suffix").agg(*count)
-    suffixes = domains.groupBy("suffix").agg(*count)
+    domains = written(hosts.groupBy("domain", "suffix").agg(*count), "domain-counts")
+    suffixes = written(domains.groupBy("suffix").agg(*count), "suffix-counts")
     suffixes = spark.sql("SELECT s.*, (SELECT (sum(n_bad) + 0.5D) / (sum(n) + 1D) FROM {s}) AS prior FROM {s} s", s=suffixes)
     suffixes = _shrink(spark, suffixes, "suffix_mean")
     domains = _shrink(spark, domains.join(suffixes.select("suffix", F.col("suffix_mean").alias("prior")), "suffix"), "domain_mean")
