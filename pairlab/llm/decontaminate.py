@@ -18,16 +18,17 @@ of the text is within ``EDITS`` of the item's length in word edits.
 * Candidates are verified by the exact edit distance of the whole item against
   the stretch around the window.
 
-Texts are never shuffled.  The benchmark is a stated query set: it goes through
-in blocks of at most ``BLOCK_BYTES`` of text, each broadcast and held against all
-rows, so what is broadcast is bounded whatever the benchmark's size.
+Texts are never shuffled, and scanned once.  The benchmark is a stated query set: a
+Spark job compiles it in blocks of about ``BLOCK_BYTES`` of text to files in the
+shared folder; a task holds its texts, batch by batch, against one block after
+another.  The driver sees the names of the files only.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from math import ceil, log
 
 import numpy as np
@@ -36,7 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlab.llm import words as W
-from pairlab.llm.base import table
+from pairlab.llm.base import shared_path, table, written
+from pairlab.llm.files import new_file, open_in, open_out
 
 #: word edits allowed, as a share of the item's words
 EDITS = 0.2
@@ -278,18 +280,45 @@ def leaks_of(bench: Benchmark, texts: pa.Array) -> Iterator[tuple[int, int, int,
 _LEAKS = "doc_id long, text_hash long, item_id long, item_words long, distance long, start long, end long"
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str | None]]]:
-    """The items in blocks of bounded size."""
-    ids, texts, size = [], [], 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        ids.append(-1 if r.item_id is None else r.item_id)
-        texts.append(r.text)
-        size += len(r.text or "") + 64
-        if size >= BLOCK_BYTES:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+_COMPILED = "file string, n_items int"
+
+
+def _compile(folder: str):
+    """Items to compiled blocks of bounded size, each a file of its own."""
+    def compile_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        texts: list[str | None] = []
+        size = 0
+
+        def put() -> pa.RecordBatch:
+            path = new_file(folder, ".items")
+            with open_out(path) as f:
+                f.write(pickle.dumps(compile_benchmark(ids, texts)))
+            return pa.RecordBatch.from_pydict({"file": [path], "n_items": pa.array([len(ids)], pa.int32())})
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids.append(-1 if i is None else i)
+                texts.append(t)
+                size += len(t or "") + 64
+                if size >= BLOCK_BYTES:
+                    yield put()
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield put()
+    return compile_items
+
+
+#: the block that a worker read last
+_HELD: dict[str, Benchmark] = {}
+
+
+def _block(path: str) -> Benchmark:
+    if path not in _HELD:
+        _HELD.clear()
+        with open_in(path) as f:
+            _HELD[path] = pickle.loads(f.read())
+    return _HELD[path]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -303,21 +332,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-
-    def found(block: tuple[list[int], list[str | None]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(compile_benchmark(*block))
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench = sent.value
-            for b in batches:
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    blocks = written(items.mapInArrow(_compile(shared_path(spark, "benchmark")), _COMPILED), "benchmark-blocks")
+    paths = sorted(r.file for r in blocks.collect())  # names, one per block
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in paths:
+                bench = _block(path)
                 rows = list(leaks_of(bench, b.column(1)))
                 if rows:
                     t, i, d, s, e = map(np.array, zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), b.column(2).take(pa.array(t)), *[pa.array(x) for x in (
                         bench.ids[i], np.array([len(bench.items[k]) for k in i]), d, s, e)]], names=["doc_id", "text_hash", "item_id", "item_words", "distance", "start", "end"])
-        return texts.mapInArrow(search, _LEAKS)
 
-    return reduce(DataFrame.unionAll, [found(b) for b in _blocks(benchmark)] or [found(([], []))])
+    return texts.mapInArrow(search, _LEAKS)
 
 
 def op4_cgk_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
