@@ -38,8 +38,8 @@ from pairlab.llm.base import shared_path, table
 ORDER = 2
 #: prior strength of a context, in observations
 STRENGTH = 100.0
-#: bytes of text in a block
-BLOCK_BYTES = 16 << 20
+#: bytes of text in a block; n-grams of a bucket that are merged at once
+BLOCK_BYTES, MERGED = 8 << 20, 1 << 18
 
 _START, _END = W.mix64(np.array([0x5354415254, 0x454E44], dtype=np.uint64))
 
@@ -99,6 +99,7 @@ class _Stream:
         symbol[inner] = local
         symbol[self.first[:-1]] = len(word) - 2
         symbol[self.first[1:] - 1] = len(word) - 1
+        self.symbol = symbol
         self.hash = word[symbol]
         self.place = np.arange(len(symbol)) - np.repeat(self.first[:-1], n + 2)
         self.train = np.repeat(np.array(train, dtype=bool), n + 2)
@@ -144,32 +145,116 @@ def _unplanes(b: bytes) -> np.ndarray:
 
 
 def _answer(t: pa.Table) -> pa.Table:
-    """All requests of a bucket to answers: the training count of each n-gram asked."""
+    """All requests of a bucket to answers: the training count of each n-gram asked.
+
+    Requests are sorted arrays; they are merged a part of the bucket's range at a
+    time, so beside requests and answers only one part is held.
+    """
     level = t.column("level").to_numpy()
     bucket = t.column("bucket")[0].as_py()
     rows = {"bucket": [], "block": [], "level": [], "counts": [], "n_words": [], "n_tokens": []}
     for k in np.unique(level):
         part = t.filter(pa.array(level == k))
         asked = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("grams")]
-        grams, index = np.unique(np.concatenate(asked), return_inverse=True)
-        seen = np.concatenate([_unplanes(x.as_py()) for x in part.column("seen")])
-        total = np.zeros(len(grams), np.int64)
-        np.add.at(total, index, seen.astype(np.int64))
-        at = 0
-        # the start is a context, never a word
-        word = grams != W.mix64(np.array([_START]))[0] if k == 1 else np.zeros(len(grams), dtype=bool)
-        for i, (block, a) in enumerate(zip(part.column("block").to_pylist(), asked, strict=True)):
+        seen = [_unplanes(x.as_py()).astype(np.uint32) for x in part.column("seen")]
+        size = sum(map(len, asked))
+        least, most = min(int(a[0]) for a in asked), max(int(a[-1]) for a in asked)
+        parts = -(-size // MERGED)
+        bounds = np.array([least + (most - least) * i // parts for i in range(1, parts)], dtype=np.uint64)
+        cuts = [np.concatenate([[0], np.searchsorted(a, bounds), [len(a)]]) for a in asked]
+        counts = [np.zeros(len(a), np.uint32) for a in asked]
+        n_words = n_tokens = 0
+        start = W.mix64(np.array([_START]))[0]  # a context, never a word
+        for i in range(parts):
+            pieces = [a[c[i]:c[i + 1]] for a, c in zip(asked, cuts, strict=True)]
+            grams, index = np.unique(np.concatenate(pieces), return_inverse=True)
+            total = np.bincount(index, weights=np.concatenate([s[c[i]:c[i + 1]] for s, c in zip(seen, cuts, strict=True)]), minlength=len(grams)).astype(np.uint32)
+            if k == 1:
+                words = total[grams != start]
+                n_words, n_tokens = n_words + int((words > 0).sum()), n_tokens + int(words.sum(dtype=np.int64))
+            at = 0
+            for c, out in zip(cuts, counts, strict=True):
+                n = c[i + 1] - c[i]
+                out[c[i]:c[i + 1]] = total[index[at:at + n]]
+                at += n
+        for i, (block, c) in enumerate(zip(part.column("block").to_pylist(), counts, strict=True)):
             rows["bucket"].append(bucket)
             rows["block"].append(block)
             rows["level"].append(int(k))
-            rows["counts"].append(_planes(total[index[at:at + len(a)]]))
-            rows["n_words"].append(int((total[word] > 0).sum()) if i == 0 else 0)
-            rows["n_tokens"].append(int(total[word].sum()) if i == 0 else 0)
-            at += len(a)
+            rows["counts"].append(_planes(c))
+            rows["n_words"].append(n_words if i == 0 else 0)
+            rows["n_tokens"].append(n_tokens if i == 0 else 0)
     return pa.table(rows, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("level", pa.int32()), ("counts", pa.binary()),
                                             ("n_words", pa.int64()), ("n_tokens", pa.int64())]))
 
 
+class Automaton:
+    """The part of the backoff automaton that the documents of a block can reach.
+
+    States are contexts of 0 to ``order - 1`` symbols, numbered by length (state 0 is
+    the root).  ``arc`` holds state and symbol of every arc in ascending order,
+    ``weight`` its log10 probability and ``target`` the state it leads to; ``fail`` and
+    ``fail_weight`` are a state's failure arc.  At the root every symbol has an arc.
+    """
+
+    def __init__(self, s: _Stream, counts: list[np.ndarray], order: int, strength: float, tokens: int, words: int):
+        n, self.symbols = len(s.hash), int(s.symbol.max(initial=0)) + 1
+        chance = (counts[0] + 0.5) / (tokens + 0.5 * (words + 1))
+        # per position: the state (and the count) of the context of each length that ends there
+        state = [np.zeros(n, np.int64)]
+        seen_at = [np.zeros(n)]
+        first, fails, weights = 1, [np.zeros(1, np.int64)], [np.zeros(1)]
+        arcs, arc_weights, targets = [], [], []
+        probability = np.zeros(n)
+        for k in range(1, order + 1):
+            grams, at, index = s.grams(k)
+            c = np.zeros(n)
+            c[at] = counts[k - 1][index]
+            if k == 1:
+                probability = chance[index]
+                has = at
+            else:
+                before = at - 1
+                probability = probability.copy()
+                probability[at] = (c[at] + strength * probability[at]) / (seen_at[k - 1][before] + strength)
+                has = at[c[at] > 0]
+            arcs.append(state[k - 1][has - 1] * self.symbols + s.symbol[has] if k > 1 else s.symbol[has])
+            arc_weights.append(np.log10(probability[has]))
+            if k < order:
+                own = np.full(n, -1, np.int64)
+                own[at] = first + index
+                spot = np.zeros(len(grams), np.int64)
+                spot[index] = at
+                fails.append(state[k - 1][spot])
+                weights.append(np.log10(strength / (counts[k - 1] + strength)))
+                state.append(np.where(own >= 0, own, state[k - 1]))
+                seen_at.append(c)
+                first += len(grams)
+            # to the context that the symbol makes with its own: longer ones were never seen, and would fail at no cost
+            targets.append(state[min(k, order - 1)][has])
+        self.fail, self.fail_weight = np.concatenate(fails), np.concatenate(weights)
+        every, where = np.unique(np.concatenate(arcs), return_index=True)
+        self.arc, self.weight, self.target = every, np.concatenate(arc_weights)[where], np.concatenate(targets)[where]
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, log10 probabilities): failure arcs until there is an arc."""
+        weight = np.zeros(len(state))
+        key = state * self.symbols + symbol
+        at = np.searchsorted(self.arc, key)
+        at[at == len(self.arc)] = 0
+        lost = np.flatnonzero(self.arc[at] != key)
+        state = state.copy()
+        while len(lost):
+            weight[lost] += self.fail_weight[state[lost]]
+            state[lost] = self.fail[state[lost]]
+            key = state[lost] * self.symbols + symbol[lost]
+            found = np.searchsorted(self.arc, key)
+            found[found == len(self.arc)] = 0
+            at[lost] = found
+            lost = lost[self.arc[found] != key]
+        return self.target[at], weight + self.weight[at]
+
+
 _SCORES = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -178,30 +263,31 @@ def _traverse(order: int, strength: float, tokens: int, words: int):
         r = block.to_pylist()[0]
         s = _Stream(r["ids"], r["words"], r["lengths"], r["train"])
         level, bucket = answers.column("level").to_numpy(), answers.column("bucket").to_numpy()
-        n = len(s.hash)
-        real = s.place > 0  # the start is a state, not a token
-        seen = [np.zeros(0)] * (order + 1)
-        probability = np.zeros(n)
-        known = base = probability
+        counts = []
         for k in range(1, order + 1):
             rows = np.flatnonzero(level == k)
-            counts = np.concatenate([_unplanes(answers.column("counts")[int(i)].as_py()) for i in rows[np.argsort(bucket[rows])]])
-            _, at, index = s.grams(k)
-            seen[k] = np.zeros(n)
-            seen[k][at] = counts[index]
-            if k == 1:
-                known = seen[1] > 0
-                probability = (seen[1] + 0.5) / (tokens + 0.5 * (words + 1))
-                base = np.log10(probability)
-            else:
-                state = seen[k - 1][at - 1]  # how often the context was met: its state, or a failure at no cost
-                probability[at] = (seen[k][at] + strength * probability[at]) / (state + strength)
-        score = np.log10(probability)
-        starts = s.first[:-1]
-        total = lambda x: np.add.reduceat(np.where(real, x, 0), starts) if len(starts) else np.zeros(0)
-        return pa.table({"doc_id": pa.array(r["doc_ids"], pa.int64()), "train": pa.array(r["train"], pa.bool_()), "n_tokens": pa.array(total(real).astype(np.int64)),
-                         "n_known": pa.array(total(known).astype(np.int64)), "base_score": pa.array(total(base), pa.float64()),
-                         "score": pa.array(total(score), pa.float64())})
+            counts.append(np.concatenate([_unplanes(answers.column("counts")[int(i)].as_py()) for i in rows[np.argsort(bucket[rows])]]).astype(np.float64))
+        automaton = Automaton(s, counts, order, strength, tokens, words)
+        # all documents of the block at once, from left to right; a document carries its state
+        size = np.diff(s.first)
+        n = len(size)
+        unigram = (counts[0] + 0.5) / (tokens + 0.5 * (words + 1))
+        grams, at, index = s.grams(1)
+        real = s.place > 0  # the start is a state, not a token
+        base = np.where(real, np.log10(unigram)[index], 0.0)
+        known = np.where(real, counts[0][index] > 0, False)
+        total = lambda x: np.add.reduceat(x, s.first[:-1]) if n else np.zeros(0)
+        state, score = np.zeros(n, np.int64), np.zeros(n)
+        order_by_size = np.argsort(-size, kind="stable")
+        left = size[order_by_size]
+        for step in range(int(size.max(initial=0))):
+            live = order_by_size[:int(np.searchsorted(-left, -step))]
+            state[live], weight = automaton.step(state[live], s.symbol[s.first[live] + step])
+            if step:
+                score[live] += weight
+        return pa.table({"doc_id": pa.array(r["doc_ids"], pa.int64()), "train": pa.array(r["train"], pa.bool_()), "n_tokens": pa.array(total(real.astype(np.int64))),
+                         "n_known": pa.array(total(known.astype(np.int64))), "base_score": pa.array(total(base), pa.float64()),
+                         "score": pa.array(score, pa.float64())})
     return traverse
 
 
@@ -225,11 +311,13 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, strength: fl
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text")
     blocks = kept(rows.mapInArrow(_blocks, _BLOCKS), "blocks", _BLOCKS)
-    asked = blocks.mapInArrow(_ask(order, buckets), _ASK)
+    asked = blocks.mapInArrow(_ask(order, buckets), _ASK).repartition(buckets, "bucket")
     answers = kept(asked.groupBy("bucket").applyInArrow(_answer, _ANSWER), "answers", _ANSWER)
     n = answers.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words")).first()
     tokens, words = n.tokens or 0, n.words or 0
-    scored = blocks.groupBy("block").cogroup(answers.select("bucket", "block", "level", "counts").groupBy("block")).applyInArrow(
+    parts = buckets // 4
+    told = answers.select("bucket", "block", "level", "counts").repartition(parts, "block")
+    scored = blocks.repartition(parts, "block").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
         _traverse(order, strength, tokens, words), _SCORES)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("bigint"))
 
