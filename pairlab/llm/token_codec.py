@@ -6,15 +6,17 @@ and decoded independently: each starts from a fresh model and has a checksum.
 
 The coder is a range coder with a 48-bit interval.  An id is predicted at three orders:
 
-* order 2 and order 1: the id that last followed the two (one) ids before, with
-  a confidence that grows with hits.  Adaptive hit rates by confidence are mixed
-  with weights that follow how well each order predicted lately; the mix codes
-  whether the id is the predicted one.
-* order 0: else the id's nibbles are coded by adaptive cumulative frequencies in
-  a 16-ary tree (its last levels share ``NODES`` nodes by hash).
+* order 2 and order 1: the id that last followed the two (one) ids before, with a
+  confidence that grows with hits, and adaptive hit rates by confidence;
+* order 0: classes of ids of like frequency, named in the head of a group of blocks.
+
+What the three say of the likeliest id is mixed with adaptive weights that follow how
+well each order did lately; the mix codes whether the id is that one.  Any other id is
+coded by order 0: its class by frequencies that a block adapts, then its number in
+the class.  Weights, rates, tables and class frequencies start anew in every block.
 
 All model arithmetic is on integers, so any machine decodes what another wrote.
-The blocks of a file advance in lockstep, one id a step, as numpy vectors over
+The blocks of a group advance in lockstep, one id a step, as numpy vectors over
 up to ``LANES`` blocks.
 """
 
@@ -34,108 +36,127 @@ from pairlab.llm import words as W
 from pairlab.llm.base import shared_path, table, written
 from pairlab.llm.files import new_file, open_in, open_out
 
-BLOCK, LANES = 4096, 1536
+BLOCK, LANES = 4096, 2048
 END_ID = 1
-#: contexts that a block's prediction tables tell apart, and nodes of a tree level
-SLOTS, NODES = 2048, 512
-_SLOT_BITS, _NODE_BITS = 11, 9
-_MAGIC = b"PLTOKEN1"
-#: scale of hit rates and of the cumulative frequencies of a node
+#: contexts that a block's prediction tables tell apart
+_SLOT_BITS = 11
+SLOTS = 1 << _SLOT_BITS
+_MAGIC = b"PLTOKEN2"
+#: scale of hit rates and class frequencies
 _BITS = 14
 _ONE = 1 << _BITS
 #: the coder's interval is kept at this width or more; it then gives out 16 bits
 _LEAST = 1 << 32
-#: how fast the frequencies of each level of the tree follow the ids
-_RATES = (5, 5, 4, 3)
+#: classes of order 0, how fast a block's frequencies of them (and the weights of the
+#: orders) follow its ids, and at each how many ids they do
+CLASSES, _RATE, _EVERY = 16, 4, 4
+#: a class of more ids than this numbers them in two steps, the lower of so many bits
+_WIDE, _LOW = 1 << 15, 12
+
+# cumulative class frequencies before the first id, and what each class pulls them to
+_FRESH = (np.arange(17) * (_ONE // 16)).astype(np.int32)
+_SURER = np.array([1, 2, 3, 3])
+_PULL = np.array([[j if j <= s else _ONE - 16 + j for j in range(17)] for s in range(16)], dtype=np.int32)
+
+
+class Classes:
+    """Order 0 of a group of blocks: its ids by classes of like frequency (factors of two).
+
+    ``of[id]`` is the class of an id (255: not in the group), ``chance[id]`` its share
+    of the group's ids; inside a class ids are numbered in ascending order.
+    """
+
+    def __init__(self, of: np.ndarray):
+        self.of = of
+        self.order = np.argsort(of, kind="stable")[:int((of < CLASSES).sum())]
+        self.size = np.bincount(of[self.order], minlength=CLASSES)
+        self.first = np.cumsum(self.size) - self.size
+        self.place = np.zeros(len(of), np.int64)
+        self.place[self.order] = np.arange(len(self.order)) - np.repeat(self.first, self.size)
+        self.chance = np.maximum(_ONE >> 2 >> np.minimum(of, CLASSES).astype(np.int64), 1)
+
+    @classmethod
+    def count(cls, ids: np.ndarray) -> Classes:
+        n = np.bincount(ids)
+        of = np.full(len(n), 255, np.uint8)
+        seen = np.flatnonzero(n)
+        if len(seen):
+            of[seen] = np.minimum(np.log2(n.max() / n[seen]), CLASSES - 1).astype(np.uint8)
+        return cls(of)
+
+    def to_bytes(self) -> bytes:
+        return zlib.compress(self.of.tobytes(), 6)
 
-# cumulative frequencies 0..16 of a node before the first id, and what each nibble pulls them to
-_FRESH = (np.arange(17) * (_ONE // 16)).astype(np.int16)
-_PULL = np.array([[j if j <= s else _ONE - 16 + j for j in range(17)] for s in range(16)], dtype=np.int16)
+    @classmethod
+    def from_bytes(cls, b: bytes) -> Classes:
+        return cls(np.frombuffer(zlib.decompress(b), np.uint8))
 
 
 class _Model:
     """The adaptive state of ``n`` blocks, and the steps that encoder and decoder share."""
 
-    def __init__(self, n: int, nibbles: int):
-        self.n, self.nibbles = n, nibbles
-        self.lane = np.arange(n)
+    def __init__(self, n: int, classes: Classes):
+        self.n, self.classes = n, classes
+        lane = np.arange(n)
         #: by context: the id that followed last, times 4, plus the confidence
         self.said = [np.zeros(n * SLOTS, np.int32) for _ in range(2)]
-        self.slots = self.lane * SLOTS
-        self.rate = [np.tile(np.array([_ONE >> 6, _ONE >> 2, _ONE >> 1, _ONE * 3 >> 2], np.int32), n) for _ in range(3)]
-        self.cells = self.lane * 4
-        self.weight = [np.full(n, _ONE // 2, np.int32) for _ in range(2)]
-        nodes = [min(16 ** k, NODES) for k in range(nibbles)]
-        self.base = np.concatenate([[0], np.cumsum(nodes)])
-        self.table = np.tile(_FRESH, (n * int(self.base[-1]), 1))
+        self.slots = lane * SLOTS
+        self.rate = [np.tile(np.array([_ONE >> 6, _ONE >> 2, _ONE >> 1, _ONE * 3 >> 2], np.int64), n) for _ in range(2)]
+        self.cells = lane * 4
+        self.weight = [np.full(n, _ONE // 2, np.int64), np.full(n, _ONE // 2, np.int64), np.full(n, _ONE // 16, np.int64)]
+        self.rows = np.tile(_FRESH, (n, 1))
+        self.row = lane * 17
+        #: the id before, and the key of the one before that
         self.one = np.zeros(n, np.int64)
         self.two = np.zeros(n, np.int64)
 
     def predict(self) -> None:
+        """The likeliest id of each block and its probability, mixed from what orders 2, 1 and 0 say of it."""
         key = (self.one + 1) * 0x9E3779B1 & 0xFFFFFFFF
-        self.at = [self.slots + ((key * 0x85EBCA6B + (self.two + 1) * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - _SLOT_BITS)), self.slots + (key >> (32 - _SLOT_BITS))]
-        said = [s.take(a) for s, a in zip(self.said, self.at, strict=True)]
-        self.guess = [s >> 2 for s in said]
-        self.conf = [s & 3 for s in said]
-        self.cell = [self.cells + c for c in self.conf]
-        rates = [self.rate[k].take(self.cell[k]) for k in range(2)]
-        self.rates = rates
-        # the first guess: order 2 if it has one, else order 1
+        both = key * 0x85EBCA6B + self.two & 0xFFFFFFFF  # `two` is the key before
+        self.at = self.slots + (both >> (32 - _SLOT_BITS)), self.slots + (key >> (32 - _SLOT_BITS))
+        self.key = key
+        said = self.said[0].take(self.at[0]), self.said[1].take(self.at[1])
+        self.guess = said[0] >> 2, said[1] >> 2
+        self.conf = said[0] & 3, said[1] & 3
+        self.cell = self.cells + self.conf[0], self.cells + self.conf[1]
+        self.rates = self.rate[0].take(self.cell[0]), self.rate[1].take(self.cell[1])
         self.first = np.where(self.conf[0] > 0, self.guess[0], self.guess[1])
         agree = self.guess[1] == self.first
-        self.votes = [rates[0], np.where(agree, rates[1], _ONE - rates[1] >> 4)]
-        w0, w1 = self.weight
-        self.p_first = np.clip((w0 * self.votes[0] + w1 * self.votes[1]) // (w0 + w1), 32, _ONE - 32)
-        self.again = ~agree & (self.conf[1] > 0)
+        self.votes = self.rates[0], np.where(agree, self.rates[1], _ONE - self.rates[1] >> 4), self.classes.chance.take(self.first, mode="clip")
+        w, v = self.weight, self.votes
+        self.p_first = np.clip((w[0] * v[0] + w[1] * v[1] + w[2] * v[2]) // (w[0] + w[1] + w[2]), 32, _ONE - 32)
 
-    def p_again(self, lanes: np.ndarray) -> np.ndarray:
-        return np.clip(self.rate[2].take(self.cell[1].take(lanes)), 32, _ONE - 32)
-
-    def learn(self, ids: np.ndarray, hit: np.ndarray, tried: np.ndarray, hit_again: np.ndarray) -> None:
+    def learn(self, step: int, ids: np.ndarray, hit: np.ndarray, missed: np.ndarray, of: np.ndarray) -> None:
+        """``missed``: the blocks whose id was coded by order 0, ``of`` its class."""
         for k in range(2):
-            w = self.weight[k]
-            w += (np.where(hit, self.votes[k], _ONE - self.votes[k]) - w) >> 4
-            np.maximum(w, 64, out=w)
-            conf, now = self.conf[k], self.rates[k]
-            right = self.guess[k] == ids
-            known = conf > 0
-            self.rate[k][self.cell[k]] = now + known * ((right * np.int32(_ONE) - now) >> 5)
-            self.said[k][self.at[k]] = ids << 2 | np.where(right & known, np.minimum(conf + 1, 3), 1)
-        if len(tried):
-            cell = self.cell[1][tried]
-            now = self.rate[2][cell]
-            self.rate[2][cell] = now + ((hit_again[tried] * np.int32(_ONE) - now) >> 5)
-        self.two, self.one = self.one, ids
-
-    def node(self, lanes: np.ndarray, level: int, prefix: np.ndarray) -> np.ndarray:
-        own = prefix if 16 ** level <= NODES else (prefix * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _NODE_BITS)
-        return lanes * int(self.base[-1]) + int(self.base[level]) + own
-
-    def update(self, node: np.ndarray, rows: np.ndarray, nibble: np.ndarray, level: int) -> None:
-        """Pull the rows of the nodes to the nibbles seen (every frequency stays at least 1)."""
-        step = _PULL.take(nibble, axis=0)
-        step -= rows
-        step >>= _RATES[min(level, len(_RATES) - 1)]
-        rows += step
-        self.table[node] = rows
-
-
-def _nibbles(ids: np.ndarray) -> int:
-    return max(1, (int(ids.max(initial=0)).bit_length() + 3) // 4)
-
-
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
+            right = (self.guess[k] == ids) & (self.conf[k] > 0)
+            self.said[k][self.at[k]] = ids << 2 | np.where(right, _SURER.take(self.conf[k]), 1)
+            if step % _EVERY == k:  # the rate of a context that said nothing is never asked for
+                self.rate[k][self.cell[k]] = self.rates[k] + ((right * _ONE - self.rates[k]) >> 4)
+        if step % _EVERY == 2:
+            for k in range(3):
+                w = self.weight[k]
+                w += (np.where(hit, self.votes[k], _ONE - self.votes[k]) - w) >> 3
+                np.maximum(w, 64, out=w)
+        if step % _EVERY == 3 and len(missed):
+            rows = self.rows[missed]
+            rows += (_PULL.take(of, axis=0) - rows) >> _RATE
+            self.rows[missed] = rows
+        self.two, self.one = self.key, ids
+
+
+def encode_blocks(ids: np.ndarray, classes: Classes) -> list[bytes]:
     """``ids`` cut into blocks, each coded on its own (lane ``i`` codes block ``i``)."""
     n = -(-len(ids) // BLOCK)
     if not n:
         return []
     size = np.full(n, BLOCK)
     size[-1] = len(ids) - BLOCK * (n - 1)
-    padded = np.zeros(n * BLOCK, np.int32)
+    padded = np.full(n * BLOCK, classes.order[0], np.int32)
     padded[:len(ids)] = ids
     grid = np.ascontiguousarray(padded.reshape(n, BLOCK).T)
-    k = _nibbles(ids)
-    model = _Model(n, k)
+    model = _Model(n, classes)
     low, width = np.zeros(n, np.int64), np.full(n, (1 << 48) - 1, np.int64)
     digits = np.zeros((n, BLOCK // 2), np.uint32)  # 16 bits each, and a carry until the end
     used = np.ones(n, np.int64)  # digit 0 takes a carry out of the first
@@ -150,43 +171,47 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
             lows[small] = (lows[small] & 0xFFFFFFFF) << 16
             widths[small] <<= 16
 
-    def bit(lanes: np.ndarray, p: np.ndarray, value: np.ndarray) -> None:
-        lows, widths = low[lanes], width[lanes]
-        part = (widths >> _BITS) * p
-        lows += np.where(value, 0, part)
-        widths = np.where(value, part, widths - part)
+    def uniform(lanes: np.ndarray, lows: np.ndarray, widths: np.ndarray, value: np.ndarray, of: np.ndarray) -> None:
+        widths //= of
+        lows += widths * value
         shift(lanes, lows, widths)
-        low[lanes], width[lanes] = lows, widths
 
     everyone = np.arange(n)
+    most = 6  # digits that an id can give out
     for step in range(int(size.max())):
         live = everyone if step < size[-1] else everyone[:-1]
         x = grid[step].astype(np.int64)
-        if step % 64 == 0 and int(used.max()) + 64 * (k + 2) + 4 > digits.shape[1]:
-            digits = np.concatenate([digits, np.zeros((n, max(BLOCK // 2, 64 * (k + 2))), np.uint32)], axis=1)
+        if step % 64 == 0 and int(used.max()) + 64 * most + 4 > digits.shape[1]:
+            digits = np.concatenate([digits, np.zeros((n, max(BLOCK // 2, 64 * most)), np.uint32)], axis=1)
         model.predict()
         hit = model.first == x
-        bit(live, model.p_first[:len(live)], hit[:len(live)])
+        part = (width >> _BITS) * model.p_first
+        lows, widths = np.where(hit, low, low + part), np.where(hit, part, width - part)
+        if len(live) < n:  # the last block has ended
+            lows[-1], widths[-1] = low[-1], width[-1]
+        shift(everyone, lows, widths)
+        low, width = lows, widths
         missed = live[~hit[:len(live)]]
-        tried = missed[model.again[missed]]
-        hit_again = model.guess[1] == x
-        if len(tried):
-            bit(tried, model.p_again(tried), hit_again[tried])
-        rest = missed[~(model.again & hit_again)[missed]]
-        if len(rest):
-            v, lows, widths, i = x[rest], low[rest], width[rest], np.arange(len(rest))
-            for level in range(k):
-                nibble = v >> 4 * (k - 1 - level) & 15
-                node = model.node(rest, level, v >> 4 * (k - level))
-                rows = model.table.take(node, axis=0)
-                below = rows[i, nibble]
-                unit = widths >> _BITS
-                lows += unit * below
-                widths = unit * (rows[i, nibble + 1] - below)
-                shift(rest, lows, widths)
-                model.update(node, rows, nibble, level)
-            low[rest], width[rest] = lows, widths
-        model.learn(x, hit, tried, hit_again)
+        of = classes.of.take(x[missed])
+        if len(missed):
+            at = model.row[missed] + of
+            below = model.rows.take(at)
+            lows, widths = low[missed], width[missed]
+            unit = widths >> _BITS
+            lows += unit * below
+            widths = unit * (model.rows.take(at + 1) - below)
+            shift(missed, lows, widths)
+            place, many = classes.place.take(x[missed]), classes.size.take(of)
+            big = np.flatnonzero(many > _WIDE)
+            if len(big):  # a class of many ids: the upper part of the number first
+                l, w = lows[big], widths[big]
+                uniform(missed[big], l, w, place[big] >> _LOW, (many[big] - 1 >> _LOW) + 1)
+                lows[big], widths[big] = l, w
+                place[big] &= (1 << _LOW) - 1
+                many[big] = 1 << _LOW
+            uniform(missed, lows, widths, place, many)
+            low[missed], width[missed] = lows, widths
+        model.learn(step, x, hit, missed, of)
     digits = np.concatenate([digits, np.zeros((n, 4), np.uint32)], axis=1)
     for _ in range(3):
         digits[everyone, used] = low >> 32
@@ -200,16 +225,16 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     return [digits[i, 1:used[i]].astype(">u2").tobytes() for i in range(n)]
 
 
-def decode_blocks(payloads: list[bytes], sizes: list[int], nibbles: int) -> np.ndarray:
+def decode_blocks(payloads: list[bytes], sizes: list[int], classes: Classes) -> np.ndarray:
     """The ids of blocks; all but the last must be full."""
-    n, k = len(payloads), nibbles
+    n = len(payloads)
     if not n:
         return np.zeros(0, np.int64)
     size = np.array(sizes)
     length = np.array([len(p) // 2 for p in payloads])
     start = np.cumsum(length + 4) - (length + 4)
-    source = np.frombuffer(b"".join(p + bytes(8) for p in payloads), ">u2").astype(np.int64)
-    model = _Model(n, k)
+    source = np.frombuffer(b"".join(p + bytes(8) for p in payloads), ">u2").astype(np.uint16)
+    model = _Model(n, classes)
     code, width, at = np.zeros(n, np.int64), np.full(n, (1 << 48) - 1, np.int64), start.copy()
     for _ in range(3):
         code = code << 16 | source[at]
@@ -226,46 +251,48 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], nibbles: int) -> np.n
             at[own] += 1
             widths[small] <<= 16
 
-    def bit(lanes: np.ndarray, p: np.ndarray) -> np.ndarray:
-        codes, widths = code[lanes], width[lanes]
-        part = (widths >> _BITS) * p
-        value = codes < part
-        codes -= np.where(value, 0, part)
-        widths = np.where(value, part, widths - part)
+    def uniform(lanes: np.ndarray, codes: np.ndarray, widths: np.ndarray, of: np.ndarray) -> np.ndarray:
+        widths //= of
+        value = np.minimum(codes // widths, of - 1)
+        codes -= widths * value
         shift(lanes, codes, widths)
-        code[lanes], width[lanes] = codes, widths
         return value
 
     for step in range(len(grid)):
         live = everyone if step < size[-1] else everyone[:-1]
         model.predict()
-        hit = np.zeros(n, dtype=bool)
-        hit[live] = bit(live, model.p_first[:len(live)])
+        part = (width >> _BITS) * model.p_first
+        hit = code < part
+        codes, widths = np.where(hit, code, code - part), np.where(hit, part, width - part)
+        shift(everyone, codes, widths)  # a lane past its end goes on alone, and is cut off below
+        code, width = codes, widths
         missed = live[~hit[:len(live)]]
-        hit_again = np.zeros(n, dtype=bool)
-        tried = missed[model.again[missed]]
-        if len(tried):
-            hit_again[tried] = bit(tried, model.p_again(tried))
-        x = np.where(hit, model.first, model.guess[1]).astype(np.int64)
-        rest = missed[~hit_again[missed]]
-        if len(rest):
-            v, codes, widths, i = np.zeros(len(rest), np.int64), code[rest], width[rest], np.arange(len(rest))
-            for level in range(k):
-                node = model.node(rest, level, v)
-                rows = model.table.take(node, axis=0)
-                unit = widths >> _BITS
-                value = np.minimum(codes // unit, _ONE - 1).astype(np.int16)
-                nibble = (rows[:, 1:] <= value[:, None]).sum(axis=1)
-                below = rows[i, nibble]
-                codes -= unit * below
-                widths = unit * (rows[i, nibble + 1] - below)
-                shift(rest, codes, widths)
-                model.update(node, rows, nibble, level)
-                v = v << 4 | nibble
-            code[rest], width[rest] = codes, widths
-            x[rest] = v
-        grid[step] = x  # a lane past its end goes on alone, and is cut off below
-        model.learn(x, hit, tried, hit_again)
+        x = model.first.astype(np.int64)
+        of = np.zeros(0, np.int64)
+        if len(missed):
+            codes, widths = code[missed], width[missed]
+            unit = widths >> _BITS
+            value = np.minimum(codes // unit, _ONE - 1)
+            of = (model.rows[missed, 1:] <= value[:, None]).sum(axis=1)
+            cell = model.row[missed] + of
+            below = model.rows.take(cell)
+            codes -= unit * below
+            widths = unit * (model.rows.take(cell + 1) - below)
+            shift(missed, codes, widths)
+            many = classes.size.take(of)
+            np.maximum(many, 1, out=many)  # an empty class comes only from damaged bytes, which the checksum finds
+            place = np.zeros(len(missed), np.int64)
+            big = np.flatnonzero(many > _WIDE)
+            if len(big):
+                c, w = codes[big], widths[big]
+                place[big] = uniform(missed[big], c, w, (many[big] - 1 >> _LOW) + 1) << _LOW
+                codes[big], widths[big] = c, w
+                many[big] = 1 << _LOW
+            place += uniform(missed, codes, widths, many)
+            code[missed], width[missed] = codes, widths
+            x[missed] = classes.order.take(classes.first.take(of) + place, mode="clip")
+        grid[step] = x
+        model.learn(step, x, hit, missed, of)
     return np.concatenate([grid[:size[i], i] for i in range(n)]).astype(np.int64)
 
 
@@ -291,9 +318,10 @@ class TokenWriter:
             self.held, self.n_held = [flat[whole:]], len(flat) - whole
 
     def _group(self, ids: np.ndarray) -> None:
-        blocks = encode_blocks(ids)
+        classes = Classes.count(ids)
+        blocks, order = encode_blocks(ids, classes), classes.to_bytes()
         parts = [ids[i:i + BLOCK] for i in range(0, len(ids), BLOCK)]
-        head = struct.pack("<II", len(blocks), _nibbles(ids)) + b"".join(
+        head = struct.pack("<III", len(blocks), len(order), zlib.crc32(order)) + order + b"".join(
             struct.pack("<III", len(p), len(b), zlib.crc32(p.astype("<u4").tobytes())) for p, b in zip(parts, blocks, strict=True))
         self.at += self.out.write(head + b"".join(blocks))
 
@@ -337,9 +365,12 @@ def read_tokens(path: str) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 def _read_group(source, path: str) -> np.ndarray:
-    n, nibbles = struct.unpack("<II", source.read(8))
+    n, size, crc = struct.unpack("<III", source.read(12))
+    order = source.read(size)
+    if zlib.crc32(order) != crc:
+        raise ValueError(f"{path}: damaged head of a group")
     head = list(struct.iter_unpack("<III", source.read(12 * n)))
-    ids = decode_blocks([source.read(h[1]) for h in head], [h[0] for h in head], nibbles)
+    ids = decode_blocks([source.read(h[1]) for h in head], [h[0] for h in head], Classes.from_bytes(order))
     at = 0
     for size, _, crc in head:
         if zlib.crc32(ids[at:at + size].astype("<u4").tobytes()) != crc:
@@ -351,11 +382,12 @@ def _read_group(source, path: str) -> np.ndarray:
 class WordEncoder:
     """Ids of texts by a tokenizer whose tokens never span ASCII white space.
 
-    A distinct word is encoded once and kept (up to ``KEEP`` words), so the cost
-    follows the vocabulary, not the length of the corpus.
+    A distinct word is encoded once and kept (up to ``KEEP`` words, as arrays sorted by
+    hash; fresh ones apart until there are many), so the cost follows the vocabulary,
+    not the length of the corpus.
     """
 
-    KEEP = 400_000
+    KEEP, FRESH = 2_000_000, 1 << 16
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -363,53 +395,77 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.flat, self.starts, self.sizes, self.n = [], [], [], 0
-        self.arrays = (np.zeros(0, np.int64),) * 3
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self.slot[h] = len(self.starts)
-            self.starts.append(self.n)
-            self.sizes.append(len(e.ids))
-            self.flat.append(e.ids)
-            self.n += len(e.ids)
-        old = self.arrays
-        fresh = [i for ids in self.flat for i in ids]
-        self.flat = []
-        self.arrays = (np.concatenate([old[0], np.array(fresh, np.int64)]), np.array(self.starts, np.int64), np.array(self.sizes, np.int64))
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.known, self.fresh = none, none  # hashes, where their ids start, how many
+        self.ids, self.n = np.zeros(1 << 16, np.int32), 0
+
+    @staticmethod
+    def _merge(a: tuple, b: tuple) -> tuple:
+        at = np.searchsorted(a[0], b[0])
+        return tuple(np.insert(x, at, y) for x, y in zip(a, b, strict=True))
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.array([len(x) for x in found], np.int32)
+        flat = np.array([i for x in found for i in x], np.int32)
+        if self.n + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.n], np.zeros(max(len(flat), len(self.ids)), np.int32)])
+        self.ids[self.n:self.n + len(flat)] = flat
+        self.fresh = self._merge(self.fresh, (hashes, self.n + np.cumsum(size, dtype=np.int64) - size, size))
+        self.n += len(flat)
+        if len(self.fresh[0]) > self.FRESH:
+            self.known, self.fresh = self._merge(self.known, self.fresh), (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of words start (-1: not known) and how many they are."""
+        start, size = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int32)
+        for keys, starts, sizes in (self.known, self.fresh):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[at] == h
+                start[hit], size[hit] = starts[at[hit]], sizes[at[hit]]
+        return start, size
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text (null: none)."""
         for w in W.scan(texts, lower=False):
-            if len(self.slot) > self.KEEP:
+            if len(self.known[0]) + len(self.fresh[0]) > self.KEEP:
                 self._forget()
             h, where, back = np.unique(w.hash, return_index=True, return_inverse=True)
-            keys = h.tolist()
-            new = [i for i, x in enumerate(keys) if x not in self.slot]
-            if new:
+            start, size = self._find(h)
+            new = np.flatnonzero(start < 0)
+            if len(new):
                 data = w.data.tobytes()
                 s, e = w.start[where[new]].tolist(), w.end[where[new]].tolist()
-                self._learn([keys[i] for i in new], [data[a:b].decode() for a, b in zip(s, e, strict=True)])
-            flat, starts, sizes = self.arrays
-            slots = np.array([self.slot[x] for x in keys], np.int64)[back]
-            count = sizes[slots]
-            upto = np.concatenate([[0], np.cumsum(count)])
-            ids = flat[np.repeat(starts[slots] - upto[:-1], count) + np.arange(upto[-1])] if len(slots) else flat[:0]
+                self._learn(h[new], [data[a:b].decode() for a, b in zip(s, e, strict=True)])
+                start[new], size[new] = self._find(h[new])
+            count = size[back]
+            upto = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+            ids = self.ids[np.repeat(start[back] - upto[:-1], count) + np.arange(upto[-1])].astype(np.int64)
             cut = upto[w.first]
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 yield ids[a:b]
 
 
+#: one per vocabulary and worker, so words learnt in a task serve the next
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 _FILE = "file string, part int, n_ids long"
-_READ = "doc_id long, file string, offset long, ids binary"
+_READ = "doc_id long, file string, start long, offset long, ids binary"
 
 
 def _write(folder: str, tokenizer: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, out, n = None, None, 0
         for b in batches:
-            encoder = encoder or WordEncoder(tokenizer)
+            encoder = encoder or word_encoder(tokenizer)
             out = out or TokenWriter(new_file(folder, ".tok"))
             for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1)), strict=True):
                 out.add(doc_id, np.append(ids, END_ID))
@@ -434,16 +490,24 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """Documents of token files: doc_id, file, offset (in the file) and ids (little-endian unsigned 32-bit)."""
+    """Documents of token files: doc_id, file, start (ids before it in all files), offset (in its file) and ids (little-endian unsigned 32-bit).
+
+    ``files`` (file, part, n_ids) come in order of ``part``; a document with a null id
+    has a null id, one without ids an empty binary, equal documents come as often
+    as they were written.  Columns besides these three are not read.
+    """
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one row a file; each task knows what comes before its files
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    named = files.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("bigint").alias("start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("ids", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
         for b in batches:
-            for path in b.column(0).to_pylist():
+            for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows, held, at = [], 0, 0
                 for doc_id, ids in read_tokens(path):
-                    rows.append({"doc_id": doc_id, "file": path, "offset": at, "ids": ids.astype("<u4").tobytes()})
+                    rows.append({"doc_id": doc_id, "file": path, "start": start + at, "offset": at, "ids": ids.astype("<u4").tobytes()})
                     at += len(ids)
                     held += 4 * len(ids)
                     if held >= 8 << 20:
@@ -451,16 +515,11 @@ def read_token_files(files: DataFrame) -> DataFrame:
                         rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
-    return files.select("file").repartition(n, "file").mapInArrow(read, _READ)
+    return named.repartition(n, "file").mapInArrow(read, _READ)
 
 
 def op3_token_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All whole ``documents`` encoded, written as token files to the shared folder and read back."""
     import public_tokenizers
     files = write_token_files(table(spark, sf_dir, "documents"), shared_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"))
-    # one row a file
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
-    docs = read_token_files(files).select("doc_id", "file", "offset", F.length("ids").alias("n"), F.crc32("ids").alias("crc"))
-    return docs.join(offsets, "file").select("doc_id", (F.col("before") + F.col("offset")).cast("bigint").alias("start"),
-                                             (F.col("n") / 4).cast("bigint").alias("n_tokens"), F.col("crc").cast("bigint").alias("ids_crc32"))
+    return read_token_files(files).select("doc_id", "start", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").cast("bigint").alias("ids_crc32"))

@@ -24,29 +24,36 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 ODD = [None, "", " \n", "a\x0bb", "<|endoftext|> x<|startoftext|>y", "É́ é", "́abc x́", "ΑΣ ΣΑΣ. don't we'll 12 3", "x\x1cy\x85z  q", "\U0001F600 ok İstanbul", "w " * 9000]
 
 
-@pytest.mark.parametrize("ids", [[], [0], [1, 2, 3], [5] * 9000, [2**20 - 1, 0, 7] * 50, list(range(5000)), [0, 65535] * 2049])
+def coded(ids):
+    """Blocks, and the ids that come back from them and from the written classes."""
+    classes = token_codec.Classes.count(ids)
+    blocks = token_codec.encode_blocks(ids, classes)
+    sizes = [min(token_codec.BLOCK, len(ids) - i) for i in range(0, len(ids), token_codec.BLOCK)]
+    return blocks, token_codec.decode_blocks(blocks, sizes, token_codec.Classes.from_bytes(classes.to_bytes()))
+
+
+@pytest.mark.parametrize("ids", [[], [0], [1, 2, 3], [5] * 9000, [2**20 - 1, 0, 7] * 50, list(range(5000)), [0, 65535] * 2049, [0] * 70000 + list(range(40000))])
 def test_blocks_round_trip(ids):
     ids = np.array(ids, np.int64)
-    blocks = token_codec.encode_blocks(ids)
-    sizes = [min(token_codec.BLOCK, len(ids) - i) for i in range(0, len(ids), token_codec.BLOCK)]
-    assert (token_codec.decode_blocks(blocks, sizes, token_codec._nibbles(ids)) == ids).all()
+    assert (coded(ids)[1] == ids).all()
 
 
 def test_random_ids_round_trip_and_predictable_ones_shrink():
     rng = np.random.default_rng(4)
-    for n, high in ((token_codec.BLOCK * 3, 50000), (token_codec.BLOCK + 1, 3), (777, 2**16)):
+    for n, high in ((token_codec.BLOCK * 3, 50000), (token_codec.BLOCK + 1, 3), (777, 2**16), (token_codec.BLOCK * 20, 2**17)):
         ids = rng.integers(0, high, n)
-        blocks = token_codec.encode_blocks(ids)
-        sizes = [min(token_codec.BLOCK, n - i) for i in range(0, n, token_codec.BLOCK)]
-        assert (token_codec.decode_blocks(blocks, sizes, token_codec._nibbles(ids)) == ids).all()
+        assert (coded(ids)[1] == ids).all()
     phrase = rng.integers(0, 50000, 40)
-    assert sum(map(len, token_codec.encode_blocks(np.tile(phrase, 300)))) * 8 < 2 * 40 * 300
+    assert sum(map(len, coded(np.tile(phrase, 300))[0])) * 8 < 2 * 40 * 300
+    skewed = np.minimum(rng.geometric(0.05, token_codec.BLOCK * 4), 60)  # 5.8 bits an id
+    assert sum(map(len, coded(skewed)[0])) * 8 < 6.6 * len(skewed)
 
 
 def test_a_block_stands_alone():
     ids = np.random.default_rng(1).integers(0, 999, token_codec.BLOCK * 3)
-    blocks = token_codec.encode_blocks(ids)
-    assert (token_codec.decode_blocks(blocks[1:2], [token_codec.BLOCK], token_codec._nibbles(ids)) == ids[token_codec.BLOCK:2 * token_codec.BLOCK]).all()
+    classes = token_codec.Classes.count(ids)
+    blocks = token_codec.encode_blocks(ids, classes)
+    assert (token_codec.decode_blocks(blocks[1:2], [token_codec.BLOCK], classes) == ids[token_codec.BLOCK:2 * token_codec.BLOCK]).all()
 
 
 def test_word_encoder_equals_the_tokenizer():
@@ -157,7 +164,7 @@ def shingles(t):
     return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -167,9 +174,9 @@ def brute_components(rows):
         return x
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and min(len(sets[i]), len(sets[j])) * 100 >= 85 * max(len(sets[i]), len(sets[j])):
+            if sets[i] and sets[j] and min(len(sets[i]), len(sets[j])) * 100 >= percent * max(len(sets[i]), len(sets[j])):
                 n = len(sets[i] & sets[j])
-                if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+                if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
                     parent[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -247,6 +254,17 @@ def test_pipeline_drops_copies_of_similarity_80_to_85(spark, stars, monkeypatch)
     assert near_dup.near_duplicates(docs).where("kept").count() == len(rows)  # op5 keeps its 0.85
 
 
+def test_near_duplicate_query_equals_all_pairs(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.op5_bayes_minhash(spark, SF_SMALL).collect()}
+    assert got == {d: (n, c, d == c) for d, n, c in brute_components(docs)}
+
+
+def test_read_back_joins_nothing(spark):
+    plan = token_codec.read_token_files(spark.createDataFrame([], "file string, part int, n_ids long"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
 def test_pipeline(spark):
     from pairlab.llm import decontaminate, mix
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
@@ -263,7 +281,7 @@ def test_pipeline(spark):
             good = {r.doc_id for r in quality.op8_rule_ledger(spark, SF_SMALL).where("kept").collect()}
             assert ids == collections.Counter(good)
         if name == "near duplicates":
-            want = brute_components([(r.doc_id, r.text) for r in before.values()])
+            want = brute_components([(r.doc_id, r.text) for r in before.values()], corpus_pipeline.NEAR_PERCENT)
             assert ids == collections.Counter({c if n else d for d, n, c in want})
         if name == "benchmark leaks":
             leaked = {r.doc_id for r in decontaminate.find_leaks(kept, spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")).collect()}

@@ -252,6 +252,62 @@ def test_leaks_with_edits_are_found_and_others_are_not():
     assert set(got) <= want and len(got) >= 0.99 * len(want) > 100
 
 
+def test_blocks_of_items_equal_one_block(spark, monkeypatch):
+    docs, bench = spark.read.parquet(f"{SF_SMALL}/documents.parquet"), spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
+    rows = lambda: collections.Counter(tuple(r) for r in decontaminate.find_leaks(docs, bench.repartition(3)).collect())
+    one = rows()
+    compiled = decontaminate._compile
+    monkeypatch.setattr(decontaminate, "_compile", lambda folder: _small_blocks(compiled, folder))
+    assert one and rows() == one
+
+
+def _small_blocks(compiled, folder):
+    """The same in blocks of a few items."""
+    def few(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 4):
+                yield from compiled(folder)(iter([b.slice(i, 4)]))
+    return few
+
+
+def test_leak_query_equals_exact_distances(spark):
+    def words_of(t):
+        return np.concatenate([np.zeros(0, np.uint64), *[h for _, h, _ in decontaminate._words(pa.array([t or ""]))]])
+
+    docs = {r.doc_id: words_of(r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+    items = {r.item_id: words_of(r.text) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()}
+    want = set()
+    for i, item in items.items():
+        for d, text in docs.items():
+            if len(item) and len(np.intersect1d(item, text)) >= len(np.unique(item)) - 2 * decontaminate.edits(len(item)):
+                distance = decontaminate.edit_distance(item, text)[0]
+                if distance <= (decontaminate.edits(len(item)) if len(item) >= decontaminate.SHORT else 0):
+                    want.add((d, i, distance))
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.op4_cgk_leaks(spark, SF_SMALL).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and want
+
+
+def test_automaton_walks_failure_arcs():
+    # training: "a b" twice, "c" once; states: the root, the start, a, b, c and contexts of two
+    ids = np.array([0, 1, 0, 1, 2, 0, 2], np.uint32)
+    stream = lm._Stream(ids.tobytes(), np.array([11, 22, 33], np.uint64).tobytes(), np.array([2, 2, 1, 2], np.int64).tobytes(), [True, True, True, False])
+    counts = []
+    for k in (1, 2, 3):
+        grams, at, index = stream.grams(k)
+        counts.append(np.bincount(index[stream.train[at]], minlength=len(grams)).astype(float))
+    m = lm.Automaton(stream, counts, 3, 2.0, 8, 4)
+    assert len(m.fail) == len(m.fail_weight) and m.fail[0] == 0 and (m.fail[1:] < np.arange(1, len(m.fail))).all()
+    state, weight = np.zeros(1, np.int64), []
+    for symbol in stream.symbol[stream.first[3]:stream.first[4]]:  # start a c end: "a c" was never seen
+        state, w = m.step(state, np.array([symbol]))
+        weight.append(float(w[0]))
+    p = {"a": 2.5 / 10.5, "b": 2.5 / 10.5, "c": 1.5 / 10.5, "end": 3.5 / 10.5}
+    start_a = (2 + 2 * p["a"]) / 5  # three starts, two of them before a
+    a_c = 2 / 4 * p["c"]  # a twice; "start a" twice as well
+    assert weight[1:3] == pytest.approx([math.log10(start_a), math.log10(2 / 4 * a_c)])
+    assert weight[3] == pytest.approx(math.log10((1 + 2 * p["end"]) / 3))  # "c end" after a failure to c
+
+
 def test_edit_distance_span():
     a = np.array([1, 2, 3, 4, 5], np.uint64)
     b = np.array([9, 1, 2, 7, 4, 5, 9], np.uint64)
