@@ -180,7 +180,10 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
 def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     """Write ``pages`` (page_id, url, html, refers_to) as bundles in ``folder``; returns the index (page_id, bundle, frame, offset, length).
 
-    The index is a written table: only the bundles it names count.
+    The index is a written table: only the bundles it names count.  A null html
+    is an empty payload, a null url has no target, a null page_id is kept as null;
+    repeated rows are records of their own; an empty table writes no bundle and
+    gives an empty index; other columns are not read.
     """
     return written(pages.select("page_id", "url", "html", "refers_to").mapInArrow(_write(folder), _INDEX), "warc-index")
 
@@ -230,14 +233,23 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(index: DataFrame) -> DataFrame:
-    """Every record of the bundles that ``index`` names, frame by frame (one task reads whole bundles)."""
+    """Every record of the bundles that ``index`` names, frame by frame (one task reads whole bundles).
+
+    A bundle is read once however often the index names it; an empty index gives
+    no rows; a payload that does not match its digest raises.  A revisit has a null
+    payload, a record of a null page a null page_id.
+    """
     spark = index.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return index.select("bundle").distinct().repartition(n, "bundle").mapInArrow(_scan, _RECORD)
 
 
 def fetch_records(entries: DataFrame) -> DataFrame:
-    """Only the records of the given rows of an index: one range read for each frame they are in."""
+    """Only the records of the given rows of an index: one range read for each frame they are in.
+
+    A row that is given twice is fetched twice; no rows give none.  Null ids and
+    payloads are as in ``read_warc``.
+    """
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return entries.repartition(n, "bundle", "frame").mapInArrow(_fetch, _RECORD)
 
