@@ -14,17 +14,32 @@ NEAR_PERCENT = 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the production policy of the rule ledger keeps."""
+    """Documents that the production policy of the rule ledger keeps.
+
+    A null or empty text fails the rules and goes; equal rows are judged alike and
+    each kept or dropped; null ids, languages and sources do not matter; an empty
+    table stays empty; columns besides those of documents are not passed on.
+    """
     return quality.apply_policy(quality.quality_ledger(docs)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more).
+
+    The smallest id of a group stays (of equal ids one row; a null id only if no row of the
+    group has one).  Texts without words are linked with nothing and stay; an empty
+    table stays empty; other columns are not passed on.
+    """
     return near_dup.one_of_each(docs.select(*COLUMNS), NEAR_PERCENT)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
+    """Documents into which no benchmark item leaks.
+
+    A row goes if its own id and text hold a leak, so equal ids with other texts and
+    null ids are judged by their texts; null and empty texts hold none and stay;
+    with an empty benchmark all stay; other columns are not passed on.
+    """
     docs = docs.select(*COLUMNS)
     leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
@@ -47,7 +62,12 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def shard_by_key(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot; all copies of a document share its shard."""
+    """Documents with their shard and slot; all copies of a document share its shard.
+
+    A null id has a shard as any other; rows of equal id are ordered by a checksum of
+    the text (null: that of no text); each row keeps its own slot; an empty table
+    stays empty; other columns are not passed on.
+    """
     sharded = shard.assign_shards(docs.select(*COLUMNS))
     return shard.number_slots(sharded, shard.text_crc32(F.col("text"))).select(*COLUMNS, "shard", "slot", "grown_shard")
 
