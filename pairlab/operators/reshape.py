@@ -137,9 +137,10 @@ def partition_check(whole: DataFrame, parts: DataFrame) -> DataFrame:
             .unionByName(parts.exceptAll(whole).withColumn("side", F.lit("extra"))))
 
 
-def order_work(df: DataFrame, *, length: str, tests: str) -> DataFrame:
-    """Longest first, test ids of each row in descending order."""
-    return df.withColumn(tests, F.sort_array(F.col(tests), asc=False)).orderBy(F.col(length).desc())
+def order_work(df: DataFrame, *, length: str, tests: str, key: str | None = None) -> DataFrame:
+    """Longest first (ties by ``key``), test ids of each row in descending order."""
+    by = [F.col(length).desc(), *([F.col(key)] if key else [])]
+    return df.withColumn(tests, F.sort_array(F.col(tests), asc=False)).orderBy(*by)
 
 
 def merge_completions(inputs: DataFrame, completions: DataFrame, *, key: str = "src_id",

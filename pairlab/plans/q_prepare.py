@@ -459,7 +459,7 @@ SELECT src_id, CAST(count(*) AS BIGINT) AS n_tests,
 def o4_order_work(spark, sf):
     g = view(spark, sf, "v_generations").groupBy("src_id").agg(
         F.count(F.lit(1)).alias("n_tests"), F.collect_list("gen_idx").alias("tests"))
-    d = rs.order_work(g, length="n_tests", tests="tests")
+    d = rs.order_work(g, length="n_tests", tests="tests", key="src_id")
     return d.select("src_id", "n_tests", F.array_join(F.col("tests").cast("array<string>"), ",").alias("tests"))
 
 
@@ -635,3 +635,17 @@ def s3_read_csv_metrics_headers(spark, sf):
     good, bad = io.read_csv_metrics(spark, f"{path}/*", EVENT_SCHEMA)
     return rs.union_by_name(good.drop("file").withColumn("bad", F.lit(False)),
                             bad.select(F.regexp_extract("raw", r"^x(\d+),", 1).cast("long").alias("event_id"), F.lit(True).alias("bad")))
+
+
+@query("s3_read_csv_metrics_breaks", """
+SELECT conv_id, turn, sha256(text) AS text_hash, false AS bad FROM conversations
+UNION ALL SELECT conv_id, NULL, NULL, true FROM conversations WHERE turn = 1""")
+def s3_read_csv_metrics_breaks(spark, sf):
+    """Texts with line breaks and quotes as CSV values, and some broken rows."""
+    path = f"{checkpoint_dir(spark)}/csv/{uuid.uuid4().hex}"
+    conv = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    conv.write.option("header", "true").option("escape", '"').option("quoteAll", "true").csv(f"{path}/a")
+    conv.filter("turn = 1").select(F.concat(F.lit("x"), F.col("conv_id").cast("string"), F.lit(",1,a,b"))).write.text(f"{path}/b")
+    good, bad = io.read_csv_metrics(spark, f"{path}/*/*.csv,{path}/*/*.txt".split(","), TURN_SCHEMA, multiline=True)
+    return rs.union_by_name(good.select("conv_id", "turn", F.sha2("text", 256).alias("text_hash"), F.lit(False).alias("bad")),
+                            bad.select(F.regexp_extract("raw", r"^x(\d+),", 1).cast("long").alias("conv_id"), F.lit(True).alias("bad")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab.functions.numeric import finite_or_null, py_strip
+from pairlab.operators.scan import prefix_agg
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType,
@@ -42,25 +43,45 @@ def read_splits(spark: SparkSession, paths: dict[str, str], schema: T.StructType
     return out
 
 
-def read_csv_metrics(spark: SparkSession, path: str, schema: T.StructType):
+def _records_with_breaks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, raw) of records that may hold line breaks in quotes: a record ends at a
+    line break after an even number of quotes (a running count per file, in blocks)."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "raw"))
+    quotes = F.length("raw") - F.length(F.replace(F.col("raw"), F.lit('"'), F.lit("")))
+    lines = prefix_agg(whole.withColumn("_q", quotes), ["file"], "at", [("_before", "sum", "_q", False)])
+    starts = (F.coalesce("_before", F.lit(0)) % 2 == 0).cast("int")
+    numbered = prefix_agg(lines.withColumn("_starts", starts), ["file"], "at", [("record", "sum", "_starts", True)])
+    # the lines of one record
+    parts = numbered.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("at", "raw"))).alias("_l"))
+    return parts.select("file", F.array_join(F.transform("_l", lambda x: x["raw"]), "\n").alias("raw")).filter("raw <> ''")
+
+
+def read_csv_metrics(spark: SparkSession, path: str, schema: T.StructType, *, multiline: bool = False):
     """S3: CSV files with a header line; unparsable rows go to an error table
     instead of failing the job.
 
+    With ``multiline`` values in quotes may hold line breaks and doubled quotes (each
+    file is then read whole, by one task); without it a line is a row and files are split.
+
     A file's header (the line that has exactly the schema's names) says in which
     order its columns come; a file without one has the schema's order.  A row
     with too few or many values, or one that is not of its column's type, is bad.
     Returns (good, bad); bad rows keep the raw line and their file.
     """
     names = schema.fieldNames()
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
-    fields = F.transform(F.split("raw", ","), lambda x: F.trim(x))
+    if multiline:
+        lines = _records_with_breaks(spark, path)
+    else:
+        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
+    name = lambda x: F.btrim(F.trim(x), F.lit('"'))
+    fields = F.transform(F.split("raw", ","), name)
     lines = lines.withColumn("is_header", F.array_sort(fields) == F.array(*[F.lit(n) for n in sorted(names)]))
     # one row a file
-    headers = lines.filter("is_header").groupBy("file").agg(F.max(F.transform(F.split("raw", ","), lambda x: F.trim(x))).alias("header"))
+    headers = lines.filter("is_header").groupBy("file").agg(F.max(fields).alias("header"))
     ddl = ", ".join(f"c{i} STRING" for i in range(len(names))) + ", _corrupt STRING"
     rows = (lines.filter("NOT is_header").join(headers, "file", "left")
             .withColumn("header", F.coalesce("header", F.array(*[F.lit(n) for n in names])))
-            .withColumn("r", F.from_csv("raw", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})))
+            .withColumn("r", F.from_csv("raw", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", **({"escape": '"'} if multiline else {})})))
     cells = F.array(*[F.col(f"r.c{i}") for i in range(len(names))])
     text = {n: F.get(cells, F.array_position("header", n).cast("int") - 1) for n in names}
     typed = rows.select("file", "raw", F.col("r._corrupt").isNotNull().alias("_bad"),

@@ -95,3 +95,14 @@ def test_normalise_keyed_json(spark):
                                "problem_id string, j string")
     rows = sorted((r["tc_no"], r["output"], r["program_id"]) for r in io.normalise_keyed_json(df, "j").collect())
     assert rows == [(3, "out a", "g1"), (3, "out a", "g2"), (10, "b", "g3")]
+
+
+def test_csv_values_with_line_breaks(spark, tmp_path):
+    from pyspark.sql import types as T
+    from pairlab.sources import io
+    schema = T.StructType([T.StructField("step", T.LongType()), T.StructField("note", T.StringType())])
+    (tmp_path / "a.csv").write_text('note,step\n"one\ntwo, ""three""\n",1\n\nplain,2\nodd,x\n"last",3')
+    (tmp_path / "b.csv").write_text('4,"\r\n"\n5,')
+    good, bad = io.read_csv_metrics(spark, str(tmp_path / "*.csv"), schema, multiline=True)
+    assert {r.step: r.note for r in good.collect()} == {1: 'one\ntwo, "three"\n', 2: "plain", 3: "last", 4: "\n", 5: None}
+    assert [r.raw for r in bad.collect()] == ["odd,x"]
