@@ -196,17 +196,22 @@ def fewshot_prompt(neighbours: DataFrame, queries: DataFrame, *, qid: str = "que
 
 
 def retrieve_prompts(queries: DataFrame, pairs: DataFrame, *, k: int = 4, encoder=None,
-                     qid: str = "src_id", code: str = "src_code") -> DataFrame:
+                     qid: str = "src_id", code: str = "src_code", method: str = "letters", pivots: bool = False) -> DataFrame:
     """Composed RETR job: U2/A12 -> F12 -> J7 -> J10 -> F6.
 
     The corpus is one row per distinct slow program of ``pairs`` (its best
-    pair); a query never retrieves its own program text.
+    pair); a query never retrieves its own program text.  ``pivots`` searches with
+    bounds (the same neighbours; fewer distances where programs cluster).
     """
     best = best_pair_per_source(pairs)
     corpus = encode_text(best.select(F.col("src_id").alias("neighbor_id"), "code_hash", code), code,
-                         encoder=encoder)
+                         encoder=encoder, method=method)
     q = encode_text(queries.select(F.col(qid).alias("query_id"), code,
-                                   F.sha2(F.col(code), 256).alias("q_hash")), code, encoder=encoder)
-    nn = knn_join(q, corpus, k=k, qkey="q_hash", ckey="code_hash")
+                                   F.sha2(F.col(code), 256).alias("q_hash")), code, encoder=encoder, method=method)
+    if pivots:
+        from pairlab.operators.nearest import knn_join_pivots
+        nn = knn_join_pivots(q, corpus, k=k, qkey="q_hash", ckey="code_hash").rows
+    else:
+        nn = knn_join(q, corpus, k=k, qkey="q_hash", ckey="code_hash")
     nb = lookup_best_pair(nn, best)
     return fewshot_prompt(nb, queries.select(F.col(qid).alias("query_id"), code))

@@ -109,14 +109,25 @@ def j10_lookup_best_pair(spark, sf):
                                          F.sha2(F.col("prompt"), 256).alias("prompt_hash"))
 
 
-@query("f6_fewshot_prompt", oracle_with(["v_pairs"], _RETR + f"""
+_FEWSHOT = oracle_with(["v_pairs"], _RETR + f"""
 , f AS (SELECT query_id, count(*) AS n_examples, string_agg(prompt, {_SEP} ORDER BY rank DESC) AS ex
         FROM pr GROUP BY query_id)
 , x AS (SELECT f.query_id, f.n_examples, {_INPUT} AS input
         FROM f JOIN v_pairs p ON p.src_id = f.query_id)
 SELECT query_id, CAST(n_examples AS BIGINT) AS n_examples, CAST(length(input) AS BIGINT) AS input_length,
-  sha256(input) AS input_hash FROM x"""))
+  sha256(input) AS input_hash FROM x""")
+
+
+@query("f6_fewshot_prompt", _FEWSHOT)
 def f6_fewshot_prompt(spark, sf):
     out = rt.retrieve_prompts(view(spark, sf, "v_pairs"), view(spark, sf, "v_pairs"))
     return out.select("query_id", "n_examples", F.length("input").alias("input_length"),
                       F.sha2(F.col("input"), 256).alias("input_hash"))
+
+
+@query("f6_fewshot_prompt_pivots", _FEWSHOT)
+def f6_fewshot_prompt_pivots(spark, sf):
+    """The same prompts, neighbours searched with bounds."""
+    out = rt.retrieve_prompts(view(spark, sf, "v_pairs"), view(spark, sf, "v_pairs"), pivots=True)
+    return out.select("query_id", "n_examples", F.length("input").alias("input_length"),
+                      F.sha2(F.col("input"), 256).alias("input_hash"))
