@@ -45,7 +45,7 @@ _MAGIC = b"PLTOKEN2"
 #: scale of hit rates and class frequencies
 _BITS = 14
 _ONE = 1 << _BITS
-#: the coder's interval is kept at this width or more; it then gives out 16 bits
+#: an id is coded from an interval of this width or more (at most 48 bits); narrower ones give out 16 bits
 _LEAST = 1 << 32
 #: classes of order 0, how fast a block's frequencies of them (and the weights of the
 #: orders) follow its ids, and at each how many ids they do
@@ -104,12 +104,16 @@ class _Model:
         self.rate = [np.tile(np.array([_ONE >> 6, _ONE >> 2, _ONE >> 1, _ONE * 3 >> 2], np.int64), n) for _ in range(2)]
         self.cells = lane * 4
         self.weight = [np.full(n, _ONE // 2, np.int64), np.full(n, _ONE // 2, np.int64), np.full(n, _ONE // 16, np.int64)]
+        self._share()
         self.rows = np.tile(_FRESH, (n, 1))
         self.row = lane * 17
         #: the id before, and the key of the one before that
         self.one = np.zeros(n, np.int64)
         self.two = np.zeros(n, np.int64)
 
+    def _share(self) -> None:
+        self.share = (1 << 30) // (self.weight[0] + self.weight[1] + self.weight[2])
+
     def predict(self) -> None:
         """The likeliest id of each block and its probability, mixed from what orders 2, 1 and 0 say of it."""
         key = (self.one + 1) * 0x9E3779B1 & 0xFFFFFFFF
@@ -125,7 +129,7 @@ class _Model:
         agree = self.guess[1] == self.first
         self.votes = self.rates[0], np.where(agree, self.rates[1], _ONE - self.rates[1] >> 4), self.classes.chance.take(self.first, mode="clip")
         w, v = self.weight, self.votes
-        self.p_first = np.clip((w[0] * v[0] + w[1] * v[1] + w[2] * v[2]) // (w[0] + w[1] + w[2]), 32, _ONE - 32)
+        self.p_first = np.clip((w[0] * v[0] + w[1] * v[1] + w[2] * v[2]) * self.share >> 30, 32, _ONE - 32)
 
     def learn(self, step: int, ids: np.ndarray, hit: np.ndarray, missed: np.ndarray, of: np.ndarray) -> None:
         """``missed``: the blocks whose id was coded by order 0, ``of`` its class."""
@@ -139,6 +143,7 @@ class _Model:
                 w = self.weight[k]
                 w += (np.where(hit, self.votes[k], _ONE - self.votes[k]) - w) >> 3
                 np.maximum(w, 64, out=w)
+            self._share()
         if step % _EVERY == 3 and len(missed):
             rows = self.rows[missed]
             rows += (_PULL.take(of, axis=0) - rows) >> _RATE
@@ -162,14 +167,16 @@ def encode_blocks(ids: np.ndarray, classes: Classes) -> list[bytes]:
     used = np.ones(n, np.int64)  # digit 0 takes a carry out of the first
 
     def shift(lanes: np.ndarray, lows: np.ndarray, widths: np.ndarray) -> None:
-        """Give out 16 bits where the interval has become narrow."""
+        """Give out 16 bits while the interval is narrow."""
         small = np.flatnonzero(widths < _LEAST)
-        if len(small):
-            own = lanes[small]
-            digits[own, used[own]] = lows[small] >> 32
-            used[own] += 1
-            lows[small] = (lows[small] & 0xFFFFFFFF) << 16
-            widths[small] <<= 16
+        while len(small):
+            own, low, at = lanes[small], lows[small], used[lanes[small]]
+            digits[own, at] = low >> 32
+            used[own] = at + 1
+            lows[small] = (low & 0xFFFFFFFF) << 16
+            now = widths[small] << 16
+            widths[small] = now
+            small = small[now < _LEAST]
 
     def uniform(lanes: np.ndarray, lows: np.ndarray, widths: np.ndarray, value: np.ndarray, of: np.ndarray) -> None:
         widths //= of
@@ -189,7 +196,6 @@ def encode_blocks(ids: np.ndarray, classes: Classes) -> list[bytes]:
         lows, widths = np.where(hit, low, low + part), np.where(hit, part, width - part)
         if len(live) < n:  # the last block has ended
             lows[-1], widths[-1] = low[-1], width[-1]
-        shift(everyone, lows, widths)
         low, width = lows, widths
         missed = live[~hit[:len(live)]]
         of = classes.of.take(x[missed])
@@ -209,8 +215,10 @@ def encode_blocks(ids: np.ndarray, classes: Classes) -> list[bytes]:
                 lows[big], widths[big] = l, w
                 place[big] &= (1 << _LOW) - 1
                 many[big] = 1 << _LOW
-            uniform(missed, lows, widths, place, many)
+            widths //= many
+            lows += widths * place
             low[missed], width[missed] = lows, widths
+        shift(everyone, low, width)
         model.learn(step, x, hit, missed, of)
     digits = np.concatenate([digits, np.zeros((n, 4), np.uint32)], axis=1)
     for _ in range(3):
@@ -245,11 +253,14 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], classes: Classes) ->
 
     def shift(lanes: np.ndarray, codes: np.ndarray, widths: np.ndarray) -> None:
         small = np.flatnonzero(widths < _LEAST)
-        if len(small):
+        while len(small):
             own = lanes[small]
-            codes[small] = codes[small] << 16 | source[np.minimum(at[own], stop[own])]
-            at[own] += 1
-            widths[small] <<= 16
+            place = at[own]
+            codes[small] = codes[small] << 16 | source[np.minimum(place, stop[own])]
+            at[own] = place + 1
+            now = widths[small] << 16
+            widths[small] = now
+            small = small[now < _LEAST]
 
     def uniform(lanes: np.ndarray, codes: np.ndarray, widths: np.ndarray, of: np.ndarray) -> np.ndarray:
         widths //= of
@@ -263,9 +274,7 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], classes: Classes) ->
         model.predict()
         part = (width >> _BITS) * model.p_first
         hit = code < part
-        codes, widths = np.where(hit, code, code - part), np.where(hit, part, width - part)
-        shift(everyone, codes, widths)  # a lane past its end goes on alone, and is cut off below
-        code, width = codes, widths
+        code, width = np.where(hit, code, code - part), np.where(hit, part, width - part)
         missed = live[~hit[:len(live)]]
         x = model.first.astype(np.int64)
         of = np.zeros(0, np.int64)
@@ -288,9 +297,13 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], classes: Classes) ->
                 place[big] = uniform(missed[big], c, w, (many[big] - 1 >> _LOW) + 1) << _LOW
                 codes[big], widths[big] = c, w
                 many[big] = 1 << _LOW
-            place += uniform(missed, codes, widths, many)
+            widths //= many
+            own = np.minimum(codes // widths, many - 1)
+            codes -= widths * own
+            place += own
             code[missed], width[missed] = codes, widths
             x[missed] = classes.order.take(classes.first.take(of) + place, mode="clip")
+        shift(everyone, code, width)  # a lane past its end goes on alone, and is cut off below
         grid[step] = x
         model.learn(step, x, hit, missed, of)
     return np.concatenate([grid[:size[i], i] for i in range(n)]).astype(np.int64)
@@ -379,19 +392,73 @@ def _read_group(source, path: str) -> np.ndarray:
     return ids
 
 
+# kinds of bytes: white space, letters (ASCII, or after C3 in UTF-8), other ASCII marks, the rest
+_SPACE, _LETTER, _MARK, _REST = range(4)
+_KIND = np.full(256, _REST, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[[0x27, *range(48, 58)]] = _REST  # an apostrophe may begin an ending, digits stand alone
+_KIND[[*range(65, 91), *range(97, 123), 0xC3]] = _LETTER
+_KIND[W.SPACE] = _SPACE
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = _KIND) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut where a tokenizer cuts them for certain: starts, ends, first piece per text, and which are plain.
+
+    A word of letters and marks only is cut between the two; any other word is one
+    piece.  A plain piece is letters only or marks only, so it is one unit of the
+    tokenizer's splitting.
+    """
+    kind = kinds[data]
+    lead = np.flatnonzero(data == 0xC3)
+    if len(lead):
+        after = np.minimum(lead + 1, len(data) - 1)
+        letter = (data[after] != 0x97) & (data[after] != 0xB7)  # the signs of multiplication and division
+        kind[after] = np.where(letter, _LETTER, _REST)
+        kind[lead[~letter]] = _REST
+    start, end, first = W.spans(data, offsets)
+    odd = np.concatenate([[0], np.cumsum(kind == _REST)])
+    plain_word = odd[end] == odd[start]
+    mark = np.zeros(len(data) + 1, np.int8)  # 1 inside plain words
+    mark[start[plain_word]] = 1
+    mark[end[plain_word]] -= 1
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) & np.cumsum(mark[:-1], dtype=np.int8)[1:].view(bool)
+    cut[start] = False
+    extra = np.flatnonzero(cut)
+    cut[start] = True
+    starts = np.flatnonzero(cut[:-1])
+    cut[start] = False
+    cut[end] = True
+    cut[extra] = True
+    ends = np.flatnonzero(cut)
+    plain = odd[ends] == odd[starts]
+    return starts, ends, np.searchsorted(starts, offsets), plain
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer whose tokens never span ASCII white space.
 
-    A distinct word is encoded once and kept (up to ``KEEP`` words, as arrays sorted by
-    hash; fresh ones apart until there are many), so the cost follows the vocabulary,
-    not the length of the corpus.
+    A distinct piece of a word is encoded once and kept (up to ``KEEP`` pieces, as
+    arrays sorted by hash; fresh ones apart until there are many), so the cost follows
+    the vocabulary, not the length of the corpus.  Where the vocabulary marks ends of
+    words, new plain pieces are encoded many at a time.
     """
 
-    KEEP, FRESH = 2_000_000, 1 << 16
+    KEEP, FRESH, TOGETHER = 2_000_000, 1 << 16, 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        # words that may hold an added token stay whole
+        self.kinds = _KIND.copy()
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            marks = [x for x in token.content.encode() if _KIND[x] == _MARK]
+            self.kinds[marks or self.kinds != _SPACE] = _REST
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -404,10 +471,29 @@ class WordEncoder:
         at = np.searchsorted(a[0], b[0])
         return tuple(np.insert(x, at, y) for x, y in zip(a, b, strict=True))
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.array([len(x) for x in found], np.int32)
-        flat = np.array([i for x in found for i in x], np.int32)
+        return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int32)
+
+    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are one unit each: joined by blanks, and parted at the ids that end words."""
+        if not self.ends.any():
+            return self._encode(words)
+        groups = [words[i:i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
+        flat, size = self._encode([" ".join(g) for g in groups])
+        stop = np.flatnonzero(self.ends[flat]) + 1
+        if len(stop) != len(words) or (stop[np.cumsum([len(g) for g in groups]) - 1] != np.cumsum(size)).any():
+            return self._encode(words)
+        return flat, np.diff(np.concatenate([[0], stop])).astype(np.int32)
+
+    def _learn(self, hashes: np.ndarray, words: list[str], plain: np.ndarray) -> None:
+        for mine, encode in ((plain, self._encode_plain), (~plain, self._encode)):
+            if mine.any():
+                flat, size = encode([words[i] for i in np.flatnonzero(mine).tolist()])
+                self._keep(hashes[mine], flat, size)
+
+    def _keep(self, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         if self.n + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[:self.n], np.zeros(max(len(flat), len(self.ids)), np.int32)])
         self.ids[self.n:self.n + len(flat)] = flat
@@ -428,21 +514,23 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text (null: none)."""
-        for w in W.scan(texts, lower=False):
+        data, offsets = W.utf8(texts)
+        for _, d, o in W.chunks(data, offsets):
             if len(self.known[0]) + len(self.fresh[0]) > self.KEEP:
                 self._forget()
-            h, where, back = np.unique(w.hash, return_index=True, return_inverse=True)
+            starts, ends, first, plain = pieces(d, o, self.kinds)
+            h, where, back = np.unique(W.hash_spans(d, starts, ends, False), return_index=True, return_inverse=True)
             start, size = self._find(h)
             new = np.flatnonzero(start < 0)
             if len(new):
-                data = w.data.tobytes()
-                s, e = w.start[where[new]].tolist(), w.end[where[new]].tolist()
-                self._learn(h[new], [data[a:b].decode() for a, b in zip(s, e, strict=True)])
+                raw = d.tobytes()
+                s, e = starts[where[new]].tolist(), ends[where[new]].tolist()
+                self._learn(h[new], [raw[a:b].decode() for a, b in zip(s, e, strict=True)], plain[where[new]])
                 start[new], size[new] = self._find(h[new])
             count = size[back]
             upto = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
             ids = self.ids[np.repeat(start[back] - upto[:-1], count) + np.arange(upto[-1])].astype(np.int64)
-            cut = upto[w.first]
+            cut = upto[first]
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 yield ids[a:b]
 
