@@ -28,12 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import parquet
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlab.llm import words as W
 from pairlab.llm.base import shared_path, table
+from pairlab.llm.files import open_in
 
 ORDER = 2
 #: prior strength of a context, in observations
@@ -124,7 +126,7 @@ def _ask(order: int, buckets: int):
                     full = np.flatnonzero(np.diff(edge))
                     yield pa.RecordBatch.from_pydict({
                         "bucket": pa.array(full, pa.int32()), "block": pa.array([r["block"]] * len(full), pa.int64()), "level": pa.array([level] * len(full), pa.int32()),
-                        "grams": [grams[edge[i]:edge[i + 1]].tobytes() for i in full],
+                        "grams": [_planes(np.diff(grams[edge[i]:edge[i + 1]], prepend=np.uint64(0))) for i in full],
                         "seen": [_planes(seen[edge[i]:edge[i + 1]]) for i in full]})
     return ask
 
@@ -136,7 +138,7 @@ def _edges(grams: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _planes(counts: np.ndarray) -> bytes:
-    """Counts as byte planes, the low bytes first (small counts compress to a byte each)."""
+    """Numbers as byte planes, the low bytes first (small counts compress to a byte each, steps between sorted hashes to five or six)."""
     return np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
@@ -155,7 +157,7 @@ def _answer(t: pa.Table) -> pa.Table:
     rows = {"bucket": [], "block": [], "level": [], "counts": [], "n_words": [], "n_tokens": []}
     for k in np.unique(level):
         part = t.filter(pa.array(level == k))
-        asked = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("grams")]
+        asked = [np.cumsum(_unplanes(x.as_py()), dtype=np.uint64) for x in part.column("grams")]
         seen = [_unplanes(x.as_py()).astype(np.uint32) for x in part.column("seen")]
         size = sum(map(len, asked))
         least, most = min(int(a[0]) for a in asked), max(int(a[-1]) for a in asked)
@@ -258,9 +260,14 @@ class Automaton:
 _SCORES = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
+def _read_block(path: str, block: int) -> dict:
+    with open_in(path) as f:
+        return parquet.read_table(f, filters=[("block", "=", block)]).to_pylist()[0]
+
+
 def _traverse(order: int, strength: float, tokens: int, words: int):
     def traverse(block: pa.Table, answers: pa.Table) -> pa.Table:
-        r = block.to_pylist()[0]
+        r = _read_block(block.column("file")[0].as_py(), block.column("block")[0].as_py())
         s = _Stream(r["ids"], r["words"], r["lengths"], r["train"])
         level, bucket = answers.column("level").to_numpy(), answers.column("bucket").to_numpy()
         counts = []
@@ -317,7 +324,9 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, strength: fl
     tokens, words = n.tokens or 0, n.words or 0
     parts = buckets // 4
     told = answers.select("bucket", "block", "level", "counts").repartition(parts, "block")
-    scored = blocks.repartition(parts, "block").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
+    # blocks stay in their files
+    places = blocks.select("block", F.col("_metadata.file_path").alias("file")).repartition(parts, "block")
+    scored = places.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
         _traverse(order, strength, tokens, words), _SCORES)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("bigint"))
 
