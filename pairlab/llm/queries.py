@@ -25,4 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL; the other queries are tested against brute-force versions
-ORACLES: dict[str, str] = {"op6_weighted_mix": mix.ORACLE, "op9_host_reputation": hosts.ORACLE}
+ORACLES: dict[str, str] = {
+    "op6_weighted_mix": mix.ORACLE,
+    "op9_host_reputation": hosts.ORACLE,
+    "op11_double_array_trie": trie.ORACLE,
+    "op12_reduced_alphabet": spelling.ORACLE,
+}

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from pairlab.llm import words as W
 from pairlab.llm.base import table, written
+from pairlab.llm.sql import crc32_sql
 
 #: symbols of the reduced alphabet
 SYMBOLS = 8
@@ -266,3 +267,20 @@ def op12_reduced_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling groups of the words of all whole ``documents`` texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spelling_groups(written(vocabulary(docs), "vocabulary"))
+
+
+ORACLE = f"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents)
+, g AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM r WHERE length(run) >= {MIN_LENGTH} GROUP BY ALL)
+, h AS (SELECT run, n, {crc32_sql("CAST(doc_id AS VARCHAR) || ':' || run")} AS h FROM g)
+, w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h)
+, v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= {MIN_LENGTH} GROUP BY word HAVING sum(n) >= {MIN_COUNT})
+, p AS (SELECT word, substr(word, 1, i) || '*' || substr(word, i + 2) AS hole, substr(word, 1, i) || substr(word, i + 2) AS cut FROM v, unnest(range(length(word))) AS u(i))
+, near AS (SELECT a.word, b.word AS near FROM p a JOIN p b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT p.word, v.word FROM p JOIN v ON v.word = p.cut UNION SELECT v.word, p.word FROM p JOIN v ON v.word = p.cut)
+, best AS (SELECT near.word, near.near AS form, v.n AS form_n, count(*) OVER (PARTITION BY near.word) AS n_near FROM near JOIN v ON v.word = near.near
+  QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, near.near) = 1)
+, f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {RATIO} * n THEN form END AS form, CASE WHEN form_n >= {RATIO} * n THEN form_n END AS form_n
+  FROM v LEFT JOIN best USING (word))
+, walk AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT walk.word, f.form, step + 1 FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, arg_max(root, step) AS root, any_value(n) AS n, CAST(any_value(n_near) AS BIGINT) AS n_near, any_value(form_n) AS form_n FROM f JOIN walk USING (word) GROUP BY f.word, form"""

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from pairlab.llm import words as W
 from pairlab.llm.base import table, written
+from pairlab.llm.sql import crc32_sql
 from pairlab.operators.scan import dense_index, prefix_agg
 
 #: turns of a segment, and segments of a shard
@@ -465,3 +466,20 @@ def op11_double_array_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     c % 5 has the sign of c.
     """
     return conversation_trie(*rebuild(table(spark, sf_dir, "conversations")))
+
+
+ORACLE = f"""
+WITH o AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+, own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role) AS l FROM o GROUP BY conv_id)
+, h AS (SELECT conv_id, l, {crc32_sql("CAST(conv_id AS VARCHAR)")} % {SHARED} AS h FROM own)
+, b AS (SELECT h.conv_id, list_concat(coalesce(s.l[1:h.h], []), h.l[h.h + 1:]) AS l FROM h LEFT JOIN own s ON s.conv_id = h.conv_id - h.conv_id % {GROUP})
+, p AS (SELECT conv_id, len(l) AS total, d, l[1:d] AS path, md5(CAST(to_json(l[1:d]) AS VARCHAR)) AS k FROM b, unnest(range(len(l) + 1)) AS u(d))
+, n AS (SELECT k, d, any_value(path) AS path, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE total = d) AS ends
+        FROM p GROUP BY k, d)
+, m AS (SELECT *, CASE WHEN d > 0 THEN md5(CAST(to_json(path[1:d - 1]) AS VARCHAR)) END AS up, CASE WHEN d > 0 THEN (n_convs - 1) * strlen(path[d].text) ELSE 0 END AS saved FROM n)
+, c AS (SELECT up AS k, count(*) AS n_children FROM m WHERE up IS NOT NULL GROUP BY up)
+, a AS (SELECT md5(CAST(to_json(path[1:x]) AS VARCHAR)) AS k, x AS d, m.saved, c.k IS NULL AS leaf FROM m LEFT JOIN c ON c.k = m.k, unnest(range(m.d + 1)) AS u(x))
+, s AS (SELECT k, d, sum(saved) AS saved, count(*) FILTER (WHERE leaf) AS n_leaves FROM a GROUP BY k, d)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, CAST(m.n_convs AS BIGINT) AS n_convs, CAST(coalesce(c.n_children, 0) AS BIGINT) AS n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN s ON s.k = m.k AND s.d = m.d LEFT JOIN c ON c.k = m.k LEFT JOIN m q ON q.k = m.up AND q.d = m.d - 1"""
