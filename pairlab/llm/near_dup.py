@@ -400,3 +400,15 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def op5_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over all whole texts of ``documents``."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)
+, sh AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM w, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0)
+, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id)
+, pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL)
+, links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= {PERCENT} * (x.n + y.n - i))
+, ab AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links)
+, reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT ab.b, reach.other FROM reach JOIN ab ON ab.a = reach.doc_id)
+, c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT c.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""

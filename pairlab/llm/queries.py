@@ -26,8 +26,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL; the other queries are tested against brute-force versions
 ORACLES: dict[str, str] = {
+    "op5_bayes_minhash": near_dup.ORACLE,
     "op6_weighted_mix": mix.ORACLE,
     "op9_host_reputation": hosts.ORACLE,
+    "op10_seekable_warc": warc.ORACLE,
     "op11_double_array_trie": trie.ORACLE,
     "op12_reduced_alphabet": spelling.ORACLE,
+    "op13_run_length_index": repeats.ORACLE,
 }

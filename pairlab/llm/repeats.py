@@ -428,3 +428,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 def op13_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All whole ``documents`` without the bytes of repeated strings of 400 bytes."""
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS row, hex(encode(coalesce(text, ''))) AS x FROM documents)
+, part AS (SELECT row, 500 * j AS lo, substr(x, 1000 * j + 1, {2 * LENGTH + 998}) AS x FROM t, unnest(range((length(x) // 2 - {LENGTH}) // 500 + 1)) AS u(j) WHERE length(x) >= {2 * LENGTH})
+, w AS (SELECT row, lo + i AS i, md5(substr(x, 2 * i + 1, {2 * LENGTH})) AS h FROM part, unnest(range(least(length(x) // 2 - {LENGTH - 1}, 500))) AS u(i))
+, twice AS (SELECT row, i FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1)
+, new AS (SELECT row, i, CASE WHEN i <= lag(i) OVER (PARTITION BY row ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM twice)
+, runs AS (SELECT row, i, sum(new) OVER (PARTITION BY row ORDER BY i) AS run FROM new)
+, gone AS (SELECT row, min(i) AS a, max(i) + {LENGTH} AS b FROM runs GROUP BY row, run)
+, gaps AS (SELECT row, a, b, lag(b, 1, 0) OVER (PARTITION BY row ORDER BY a) AS before FROM gone)
+, cut AS (SELECT row, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+          FROM gaps JOIN t USING (row) GROUP BY row)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM t LEFT JOIN cut USING (row)"""

@@ -258,3 +258,16 @@ def op10_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``pages`` written as WARC bundles to the shared folder and read back."""
     index = write_warc(with_revisits(table(spark, sf_dir, "pages")), shared_path(spark, "warc"))
     return read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_HEX = "sha1(html)"
+_BASE32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {v} % 32 + 1, 1)"
+#: five hex digits are four digits of base 32
+_DIGEST = "array_to_string(list_transform(list_transform(range(8), lambda g: CAST('0x' || substr(" + _HEX + ", 5 * g + 1, 5) AS BIGINT)), lambda v: " + " || ".join(
+    _BASE32.format(v=f"(v // {32 ** k})") for k in (3, 2, 1, 0)) + "), '')"
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages)
+, m AS (SELECT html, max(page_id) AS keep FROM p GROUP BY html)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_DIGEST} AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM p JOIN m USING (html)"""
