@@ -55,8 +55,11 @@ _WIDE, _LOW = 1 << 15, 12
 
 # cumulative class frequencies before the first id, and what each class pulls them to
 _FRESH = (np.arange(17) * (_ONE // 16)).astype(np.int32)
-_SURER = np.array([1, 2, 3, 3])
-_PULL = np.array([[j if j <= s else _ONE - 16 + j for j in range(17)] for s in range(16)], dtype=np.int32)
+# the next confidence after a right guess of each (0: after a wrong one, or none)
+_SURER = np.array([1, 2, 3, 3], dtype=np.int32)
+_WHOLE, _SHIFT = np.int32(_ONE), np.uint32(32 - _SLOT_BITS)
+_STEP = np.array([1, 0x9E3779B1, 0x85EBCA6B], dtype=np.uint32)
+_PULL = np.array([[j if j <= s else _ONE - 16 + j for s in range(16)] for j in range(17)], dtype=np.int32)
 
 
 class Classes:
@@ -98,57 +101,55 @@ class _Model:
     def __init__(self, n: int, classes: Classes):
         self.n, self.classes = n, classes
         lane = np.arange(n)
-        #: by context: the id that followed last, times 4, plus the confidence
-        self.said = [np.zeros(n * SLOTS, np.int32) for _ in range(2)]
-        self.slots = lane * SLOTS
-        self.rate = [np.tile(np.array([_ONE >> 6, _ONE >> 2, _ONE >> 1, _ONE * 3 >> 2], np.int64), n) for _ in range(2)]
-        self.cells = lane * 4
+        #: orders 2 and 1 as rows; by context: the id that followed last, times 4, plus the confidence
+        self.said = np.zeros(2 * n * SLOTS, np.int32)
+        self.slots = np.stack([lane, n + lane]) * SLOTS
+        self.rate = np.tile(np.array([_ONE >> 6, _ONE >> 2, _ONE >> 1, _ONE * 3 >> 2], np.int32), 2 * n)
+        self.cells = np.stack([lane, n + lane]) * 4
         self.weight = [np.full(n, _ONE // 2, np.int64), np.full(n, _ONE // 2, np.int64), np.full(n, _ONE // 16, np.int64)]
         self._share()
-        self.rows = np.tile(_FRESH, (n, 1))
-        self.row = lane * 17
-        #: the id before, and the key of the one before that
-        self.one = np.zeros(n, np.int64)
-        self.two = np.zeros(n, np.int64)
+        self.rows = np.repeat(_FRESH[:, None], n, axis=1)
+        #: hashes of the two contexts, and of the id before alone
+        self.hash = np.zeros((2, n), np.uint32)
 
     def _share(self) -> None:
         self.share = (1 << 30) // (self.weight[0] + self.weight[1] + self.weight[2])
 
     def predict(self) -> None:
         """The likeliest id of each block and its probability, mixed from what orders 2, 1 and 0 say of it."""
-        key = (self.one + 1) * 0x9E3779B1 & 0xFFFFFFFF
-        both = key * 0x85EBCA6B + self.two & 0xFFFFFFFF  # `two` is the key before
-        self.at = self.slots + (both >> (32 - _SLOT_BITS)), self.slots + (key >> (32 - _SLOT_BITS))
-        self.key = key
-        said = self.said[0].take(self.at[0]), self.said[1].take(self.at[1])
-        self.guess = said[0] >> 2, said[1] >> 2
-        self.conf = said[0] & 3, said[1] & 3
-        self.cell = self.cells + self.conf[0], self.cells + self.conf[1]
-        self.rates = self.rate[0].take(self.cell[0]), self.rate[1].take(self.cell[1])
+        self.at = self.slots + (self.hash >> _SHIFT)
+        said = self.said.take(self.at)
+        self.guess, self.conf = said >> 2, said & 3
+        self.cell = self.cells + self.conf
+        self.rates = self.rate.take(self.cell)
         self.first = np.where(self.conf[0] > 0, self.guess[0], self.guess[1])
-        agree = self.guess[1] == self.first
-        self.votes = self.rates[0], np.where(agree, self.rates[1], _ONE - self.rates[1] >> 4), self.classes.chance.take(self.first, mode="clip")
-        w, v = self.weight, self.votes
-        self.p_first = np.clip((w[0] * v[0] + w[1] * v[1] + w[2] * v[2]) * self.share >> 30, 32, _ONE - 32)
+        two, one = self.rates
+        one = np.where(self.guess[1] == self.first, one, _ONE - one >> 4)
+        self.votes = two, one, self.classes.chance.take(self.first, mode="clip")
+        w = self.weight
+        p = (w[0] * two + w[1] * one + w[2] * self.votes[2]) * self.share >> 30
+        self.p_first = np.minimum(np.maximum(p, 32), _ONE - 32)
 
     def learn(self, step: int, ids: np.ndarray, hit: np.ndarray, missed: np.ndarray, of: np.ndarray) -> None:
         """``missed``: the blocks whose id was coded by order 0, ``of`` its class."""
-        for k in range(2):
-            right = (self.guess[k] == ids) & (self.conf[k] > 0)
-            self.said[k][self.at[k]] = ids << 2 | np.where(right, _SURER.take(self.conf[k]), 1)
-            if step % _EVERY == k:  # the rate of a context that said nothing is never asked for
-                self.rate[k][self.cell[k]] = self.rates[k] + ((right * _ONE - self.rates[k]) >> 4)
-        if step % _EVERY == 2:
+        right = (self.guess == ids) & (self.conf > 0)
+        self.said[self.at] = ids << 2 | _SURER.take(self.conf * right)
+        if step % _EVERY == 1:  # the rate of a context that said nothing is never asked for
+            self.rate[self.cell] = self.rates + ((right * _WHOLE - self.rates) >> 4)
+        elif step % _EVERY == 2:
             for k in range(3):
                 w = self.weight[k]
                 w += (np.where(hit, self.votes[k], _ONE - self.votes[k]) - w) >> 3
                 np.maximum(w, 64, out=w)
             self._share()
-        if step % _EVERY == 3 and len(missed):
-            rows = self.rows[missed]
-            rows += (_PULL.take(of, axis=0) - rows) >> _RATE
-            self.rows[missed] = rows
-        self.two, self.one = self.key, ids
+        elif step % _EVERY == 3 and len(missed):
+            rows = self.rows.take(missed, axis=1)
+            rows += (_PULL.take(of, axis=1) - rows) >> _RATE
+            self.rows[:, missed] = rows
+        # the context of one id, and with it that of two
+        one = (ids.view(np.uint32) + _STEP[0]) * _STEP[1]
+        np.add(one * _STEP[2], self.hash[1], out=self.hash[0])
+        self.hash[1] = one
 
 
 def encode_blocks(ids: np.ndarray, classes: Classes) -> list[bytes]:
@@ -187,7 +188,7 @@ def encode_blocks(ids: np.ndarray, classes: Classes) -> list[bytes]:
     most = 6  # digits that an id can give out
     for step in range(int(size.max())):
         live = everyone if step < size[-1] else everyone[:-1]
-        x = grid[step].astype(np.int64)
+        x = grid[step]
         if step % 64 == 0 and int(used.max()) + 64 * most + 4 > digits.shape[1]:
             digits = np.concatenate([digits, np.zeros((n, max(BLOCK // 2, 64 * most)), np.uint32)], axis=1)
         model.predict()
@@ -197,15 +198,15 @@ def encode_blocks(ids: np.ndarray, classes: Classes) -> list[bytes]:
         if len(live) < n:  # the last block has ended
             lows[-1], widths[-1] = low[-1], width[-1]
         low, width = lows, widths
-        missed = live[~hit[:len(live)]]
+        missed = np.flatnonzero(~hit[:len(live)])
         of = classes.of.take(x[missed])
         if len(missed):
-            at = model.row[missed] + of
+            at = of * np.int64(n) + missed
             below = model.rows.take(at)
             lows, widths = low[missed], width[missed]
             unit = widths >> _BITS
             lows += unit * below
-            widths = unit * (model.rows.take(at + 1) - below)
+            widths = unit * (model.rows.take(at + n) - below)
             shift(missed, lows, widths)
             place, many = classes.place.take(x[missed]), classes.size.take(of)
             big = np.flatnonzero(many > _WIDE)
@@ -275,18 +276,18 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], classes: Classes) ->
         part = (width >> _BITS) * model.p_first
         hit = code < part
         code, width = np.where(hit, code, code - part), np.where(hit, part, width - part)
-        missed = live[~hit[:len(live)]]
-        x = model.first.astype(np.int64)
+        missed = np.flatnonzero(~hit[:len(live)])
+        x = model.first.copy()
         of = np.zeros(0, np.int64)
         if len(missed):
             codes, widths = code[missed], width[missed]
             unit = widths >> _BITS
             value = np.minimum(codes // unit, _ONE - 1)
-            of = (model.rows[missed, 1:] <= value[:, None]).sum(axis=1)
-            cell = model.row[missed] + of
+            of = (model.rows[1:].take(missed, axis=1) <= value).view(np.int8).sum(axis=0, dtype=np.int8)
+            cell = of * np.int64(n) + missed
             below = model.rows.take(cell)
             codes -= unit * below
-            widths = unit * (model.rows.take(cell + 1) - below)
+            widths = unit * (model.rows.take(cell + n) - below)
             shift(missed, codes, widths)
             many = classes.size.take(of)
             np.maximum(many, 1, out=many)  # an empty class comes only from damaged bytes, which the checksum finds
@@ -392,8 +393,8 @@ def _read_group(source, path: str) -> np.ndarray:
     return ids
 
 
-# kinds of bytes: white space, letters (ASCII, or after C3 in UTF-8), other ASCII marks, the rest
-_SPACE, _LETTER, _MARK, _REST = range(4)
+# kinds of bytes as bits: white space none, letters (ASCII, or after C3 in UTF-8), other ASCII marks, the rest
+_SPACE, _LETTER, _MARK, _REST = 0, 1, 2, 4
 _KIND = np.full(256, _REST, np.uint8)
 _KIND[33:127] = _MARK
 _KIND[[0x27, *range(48, 58)]] = _REST  # an apostrophe may begin an ending, digits stand alone
@@ -416,11 +417,13 @@ def pieces(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = _KIND) ->
         kind[after] = np.where(letter, _LETTER, _REST)
         kind[lead[~letter]] = _REST
     start, end, first = W.spans(data, offsets)
-    odd = np.concatenate([[0], np.cumsum(kind == _REST)])
-    plain_word = odd[end] == odd[start]
-    mark = np.zeros(len(data) + 1, np.int8)  # 1 inside plain words
-    mark[start[plain_word]] = 1
-    mark[end[plain_word]] -= 1
+    if not len(start):
+        return start, end, first, np.zeros(0, dtype=bool)
+    has = np.bitwise_or.reduceat(kind, start)
+    mixed = has == _LETTER | _MARK
+    mark = np.zeros(len(data) + 1, np.int8)  # 1 inside words of letters and marks
+    mark[start[mixed]] = 1
+    mark[end[mixed]] -= 1
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[1:-1] = (kind[1:] != kind[:-1]) & np.cumsum(mark[:-1], dtype=np.int8)[1:].view(bool)
     cut[start] = False
@@ -431,7 +434,9 @@ def pieces(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = _KIND) ->
     cut[end] = True
     cut[extra] = True
     ends = np.flatnonzero(cut)
-    plain = odd[ends] == odd[starts]
+    cut[:] = False
+    cut[start] = True
+    plain = (has < _REST)[np.cumsum(cut[starts]) - 1]
     return starts, ends, np.searchsorted(starts, offsets), plain
 
 
