@@ -66,14 +66,25 @@ WHERE u.role = 'user' AND a.role = 'assistant'""",
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
 
 
+#: tables of which a view makes many rows from each, and how many of their rows a task takes
+SPREAD = {"v_outputs": {"customer": 1 << 13}}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _read(spark: SparkSession, sf_dir: str, name: str, rows: int | None) -> DataFrame:
+    """A table, in as many partitions as its rows ask for: a small file is one task, whatever its rows become."""
+    d = table(spark, sf_dir, name)
+    n = -(-d.count() // rows) if rows else 1
+    return d.repartition(n) if n > 1 else d
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = VIEWS[name]
+    sql, spread = VIEWS[name], SPREAD.get(name, {})
     names = sorted(set(_PLACEHOLDER.findall(sql)))
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+    return spark.sql(sql, **{n: _read(spark, sf_dir, n, spread.get(n)) for n in names})
 
 
 def oracle_with(views: list[str], body: str) -> str:
