@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pairlab.functions.numeric import is_finite, py_strip, safe_divide
 from pairlab.functions.text import canonical_newlines, seeded_hash, token_length
-from pairlab.operators.scan import dense_index, keep_first
+from pairlab.operators.scan import dense_index, keep_first, small
 from pairlab.session import materialize
 
 # Outputs that mean the program did not run to completion, the
@@ -305,8 +305,12 @@ def assign_ids(df: DataFrame, *, order: Sequence[str], prefix: str = "generated_
 # ---- novelty -----------------------------------------------------------------
 
 def _on_tests(outputs: DataFrame, chosen: DataFrame, problem: str, tc: str, program: str, output: str) -> DataFrame:
-    """Signatures over the chosen tests of programs that have an output for every one of them."""
-    n = chosen.groupBy(problem).agg(F.count(F.lit(1)).alias("_n_chosen"))
+    """Signatures over the chosen tests (a ``small`` table) of programs that have an output for every one of them.
+
+    Few tests have the outputs of all programs: those stay where they are and add up
+    there, before anything is shuffled.
+    """
+    n = small(chosen.groupBy(problem).agg(F.count(F.lit(1)).alias("_n_chosen")), "n_chosen")
     kept = outputs.filter(F.col(output).isNotNull()).join(chosen, [problem, tc], "left_semi")
     sigs = program_signatures(kept, program=[problem, program], problem=problem, tc=tc, output=output)
     return sigs.join(n, problem).filter("sig_n = _n_chosen").drop("_n_chosen")
@@ -322,7 +326,7 @@ def match_classes(cands: DataFrame, refs: DataFrame, tests: DataFrame, *,
     has a reference: (problem, class_id, is_reference, program); the references
     of a candidate's class are its matches, without a row for every pair.
     """
-    chosen = tests.select(problem, tc).distinct()
+    chosen = small(tests.select(problem, tc).distinct(), "chosen_tests")
     c = _on_tests(cands, chosen, problem, tc, program, output).withColumn("is_reference", F.lit(False))
     r = _on_tests(refs, chosen, problem, tc, program, output).withColumn("is_reference", F.lit(True))
     ids = r.groupBy(problem, *SIGNATURE).agg(F.min(program).alias("class_id"))
@@ -338,7 +342,7 @@ def match_outputs(cands: DataFrame, refs: DataFrame, tests: DataFrame, *,
     is none).  Signatures over the chosen tests replace the candidate x
     reference join; ``class_id`` leads to the matching references (``match_classes``).
     """
-    chosen = tests.select(problem, tc).distinct()
+    chosen = small(tests.select(problem, tc).distinct(), "chosen_tests")
     c = _on_tests(cands, chosen, problem, tc, program, output)
     r = _on_tests(refs, chosen, problem, tc, program, output)
     rc = r.groupBy(problem, *SIGNATURE).agg(F.count(F.lit(1)).alias("n_matching"), F.min(program).alias("class_id"))
@@ -355,7 +359,7 @@ def novelty_filter(cands: DataFrame, refs: DataFrame, all_tests: DataFrame, *, l
 
     A test without an output, with a NULL one or with a timeout/error was not run.
     """
-    every = all_tests.select(problem, tc).distinct()
+    every = small(all_tests.select(problem, tc).distinct(), "every_test")
     n_tests = every.groupBy(problem).agg(F.count(F.lit(1)).alias("_n_tests"))
     done = F.when(F.col(output).isNotNull() & ~F.col(output).isin(*RUN_FAILURES), F.col(tc))
     ran = cands.join(every, [problem, tc], "left_semi").groupBy(problem, program, tc).agg(F.count(done).alias("_done")).groupBy(

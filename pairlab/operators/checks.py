@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pairlab.functions.numeric import differs, py_strip
 from pairlab.operators.augment import FAILED_COMPLETION
-from pairlab.operators.scan import keep_first
+from pairlab.operators.scan import keep_first, spread
 
 
 class CheckFailed(AssertionError):
@@ -107,11 +107,12 @@ def complete_with_missing(results: DataFrame, reference: DataFrame, *, key: Sequ
 def once_per_test(outputs: DataFrame, *, program: str = "program_id", problem: str = "problem_id", tc: str = "tc_no", output: str = "output") -> DataFrame:
     """A10's condition for signatures: every program has one output of each (problem, test) that it has any of.
 
-    A second one raises while the plan runs.  Counted by a partial aggregate before
-    the rows go on; only the four columns are returned.
+    A second one raises while the plan runs.  The rows (counted first) are spread
+    by program and test, so each task counts a bounded part of them; only the four
+    columns are returned.
     """
     by = [problem, tc, program]
-    counted = outputs.groupBy(*by).agg(F.first(output).alias(output), F.count(F.lit(1)).alias("_n"))
+    counted = spread(outputs.select(*by, output), outputs.count(), *by).groupBy(*by).agg(F.first(output).alias(output), F.count(F.lit(1)).alias("_n"))
     named = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in by])
     twice = F.raise_error(F.concat(F.lit("several outputs of one test: "), named)).cast("string")
     return counted.select(*by, F.when(F.col("_n") == 1, F.col(output)).otherwise(twice).alias(output))

@@ -3,6 +3,8 @@
 * ``prefix_agg``  - running min/max/sum per key in a fixed order, computed in
   blocks so a key holding a third of all rows is spread over many tasks.
 * ``keep_first``  - first row per key under an explicit order, pruned map-side.
+* ``spread``      - partitions by number of rows, so a task's memory does not grow.
+* ``small``       - a table to be sent to every task, if it has few rows.
 * ``dense_index`` - 0..n-1 numbering in a global order without a window over
   all rows (range partitions written once, their counts and offsets).
 """
@@ -27,6 +29,31 @@ def _combine(fn: str, a: Column, b: Column) -> Column:
         F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
 
 
+#: rows of a partition of ``spread``; rows of a table that ``small`` lets every task have
+SPREAD_ROWS, SMALL_ROWS = 1 << 19, 1 << 18
+
+
+def spread(df: DataFrame, n_rows: int, *by: str) -> DataFrame:
+    """``df`` (of about ``n_rows`` rows) hashed by ``by`` into partitions of about ``SPREAD_ROWS`` rows.
+
+    Sorts and maps of a task hold its partition, so what a task holds must not
+    depend on a fixed number of partitions.  A small table stays as it is.
+    """
+    if n_rows <= SPREAD_ROWS:
+        return df
+    return df.repartition(max(-(-n_rows // SPREAD_ROWS), df.sparkSession.sparkContext.defaultParallelism), *by)
+
+
+def small(df: DataFrame, name: str = "small") -> DataFrame:
+    """``df`` written once, and marked for broadcast if it has at most ``SMALL_ROWS`` rows.
+
+    For lookups with few keys that many rows share: joined by a shuffle, those rows
+    would meet in a partition per key.
+    """
+    d = materialize(df, name)
+    return F.broadcast(d) if d.count() <= SMALL_ROWS else d
+
+
 def prefix_agg(df: DataFrame, key: Sequence[str], order: str,
                specs: Sequence[tuple[str, str, Column | str, bool]],
                block_size: int = 1 << 14, last_flag: str | None = None, next_order: str | None = None) -> DataFrame:
