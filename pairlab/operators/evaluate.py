@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pairlab.functions.numeric import (
     differs, floored_speedup, inf, nan_to_null, reached, safe_divide,
 )
-from pairlab.operators.scan import keep_first, prefix_agg
+from pairlab.operators.scan import keep_first, prefix_agg, spread
 
 # Speedup thresholds of the report.
 SPEEDUP_THRESHOLDS = (1.1, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0)
@@ -34,7 +34,7 @@ def adjusted_runtime(code: Column, accuracy: Column, runtime: Column, threshold:
 def best_at_k(gens: DataFrame, *, key: str = "src_id", order: str = "gen_idx",
               base: str = "src_runtime", code: str = "code", accuracy: str = "accuracy",
               runtime: str = "agg_runtime", threshold: float = 1.0, floor: float = 1.0,
-              keep: Sequence[str] = (), block_size: int = 1 << 14) -> DataFrame:
+              keep: Sequence[str] = (), block_size: int = 1 << 14, n_rows: int = 0) -> DataFrame:
     """Best runtime / accuracy over the first k answers of each input.
 
     One row per (input, k) with k = order + 1 for the answers that exist; inputs
@@ -49,7 +49,7 @@ def best_at_k(gens: DataFrame, *, key: str = "src_id", order: str = "gen_idx",
         nan_to_null(F.col(accuracy)).alias("_acc"))
     d = prefix_agg(d, [key], order, [("best_runtime", "min", "_adj", True),
                                      ("best_accuracy", "max", "_acc", True)],
-                   block_size=block_size, last_flag="is_last", next_order="_next")
+                   block_size=block_size, last_flag="is_last", next_order="_next", n_rows=n_rows)
     return d.select(
         key, *keep, base, (F.col(order) + 1).alias("k"), "is_last", (F.col("_next") + 1).alias("next_k"), "best_runtime", "best_accuracy",
         floored_speedup(F.col(base), F.col("best_runtime"), floor).alias("speedup"),
@@ -218,17 +218,19 @@ def drop_identity_pairs(df: DataFrame, *, slow: str = "src_code", ref: str = "tg
 
 def evaluate(gens: DataFrame, inputs: DataFrame | None = None, *, key: str = "src_id",
              group: str = "problem_id", threshold: float = 1.0,
-             thresholds: Sequence[float] = SPEEDUP_THRESHOLDS) -> dict[str, DataFrame]:
+             thresholds: Sequence[float] = SPEEDUP_THRESHOLDS, n_rows: int | None = None) -> dict[str, DataFrame]:
     """Composed EVAL job: J1 -> W1 -> A5/A6 -> J3 -> A7.
 
-    Returns lazily-built frames: per-(input, k) table, per-k summary, per-input
+    With ``inputs`` the answers are spread by ``n_rows`` (about their number; counted
+    by default), so no task's sorts grow with the table.  Returns lazily-built frames: per-(input, k) table, per-k summary, per-input
     group best, the one-row group summary and the reference speedup summary.
     """
     if inputs is not None:
+        n_rows = gens.count() if n_rows is None else n_rows
         gens = complete_with_missing(
-            gens, inputs, key=[key], identity=[key, "gen_idx"],
+            spread(gens, n_rows, key, "gen_idx"), inputs, key=[key], identity=[key, "gen_idx"],
             fill={"gen_idx": 0, "accuracy": 0.0, "agg_runtime": float("inf"), "code": None})
-    best = best_at_k(gens, key=key, threshold=threshold)
+    best = best_at_k(gens, key=key, threshold=threshold, n_rows=n_rows or 0)
     grouped = group_best(input_best(gens, key=key, threshold=threshold, keep=[group]), group=group)
     base = input_runtimes(gens, key=key)
     return {

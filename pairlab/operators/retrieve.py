@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from hashlib import md5
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -125,18 +126,24 @@ def encode_text(df: DataFrame, text: str, *, encoder: Callable[[list[str]], np.n
     return transform_texts(df, text, encode, out=out, to=T.ArrayType(T.DoubleType())).rows
 
 
-def nearest_rows(q: np.ndarray, c: np.ndarray, cid: np.ndarray, qkey: np.ndarray, ckey: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_rows(q: np.ndarray, c: np.ndarray, cid: np.ndarray, qkey: np.ndarray, ckey: np.ndarray, k: int,
+                 bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, corpus row, distance) of each query's k nearest corpus rows, ties by id.
 
     The matrix product finds the candidates (with a margin for its rounding, which
     depends on the shapes); their distances are then taken by differences, so
-    equal vectors have equal distances wherever they lie.
+    equal vectors have equal distances wherever they lie.  With a ``bound`` per query
+    (a distance that k rows found elsewhere keep) farther rows are left out.
     """
     long_q, long_c = (q * q).sum(1), (c * c).sum(1)
     dist = long_q[:, None] + long_c[None, :] - 2.0 * (q @ c.T)
     dist[qkey[:, None] == ckey[None, :]] = np.inf
     kk = min(k, dist.shape[1])
-    limit = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk] + 1e-12 * (long_q + long_c.max())[:, None]
+    if bound is None or not np.isfinite(bound).all():
+        limit = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk]
+    else:
+        limit = bound[:, None]
+    limit = limit + 1e-12 * (long_q + long_c.max())[:, None]
     row, col = np.nonzero((dist <= limit) & np.isfinite(dist))
     value = ((q[row] - c[col]) ** 2).sum(axis=1)
     order = np.lexsort((cid[col], value, row))
@@ -155,52 +162,82 @@ def _ids(batch, column: str) -> np.ndarray:
     return a.astype(str) if a.dtype == object else a
 
 
+#: distances that ``knn_join`` holds at once, corpus rows of its blocks, rows of a file of either side, distances of a task
+KNN_CELLS, KNN_ROWS, KNN_FILE_ROWS, KNN_SHARE = 1 << 21, 1 << 13, 1 << 16, 1 << 31
+
+
+def _merge_nearest(parts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, place in the block's task, distance, id) lists merged to each query's k nearest, ties by id."""
+    row, col, dist, cid = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((cid, dist, row))
+    row, col, dist, cid = row[order], col[order], dist[order], cid[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+    return row[keep], col[keep], dist[keep], cid[keep]
+
+
 def knn_join(queries: DataFrame, corpus: DataFrame, *, k: int = 4, vec: str = "embedding",
              qid: str = "query_id", cid: str = "neighbor_id", qkey: str | None = None,
              ckey: str | None = None, q_block_rows: int = 2048, corpus_partitions: int | None = None) -> DataFrame:
     """Exact k nearest corpus rows (squared L2) for every query, ties by id.
 
-    The corpus stays where it is: each task holds its partition (sized by
-    ``corpus_partitions``; as it comes by default) and reads the queries, written
-    once to the shared folder, in blocks of ``q_block_rows``.  It returns its k
-    nearest for each query, and ``row_number() <= k`` merges the partitions.  So
-    neither side's vectors are copied in a shuffle; what is shuffled is k narrow
-    rows per query and partition.  The work is queries x corpus by nature.
+    Both sides are written once to the shared folder, in files of at most
+    ``KNN_FILE_ROWS`` rows (the corpus in ``corpus_partitions`` parts; as it comes by
+    default).  A piece of work is a corpus file and a query file; there are as many
+    tasks as the pieces ask for, however few parts the corpus has.  A task holds one
+    corpus file and reads the queries in blocks of at most ``q_block_rows``, takes one
+    block of distances at a time (``KNN_CELLS``) and returns its k nearest for each
+    query; ``row_number() <= k`` merges the pieces.  So neither side's vectors are
+    shuffled for the search, but k narrow rows per query and corpus file.  The work
+    is queries x corpus by nature.
 
     Ids may be of any type.  When ``qkey`` and ``ckey`` are given, pairs with
     equal keys are excluded (leave-one-out).  Rows without a vector have no
     neighbours and are none.
     """
+    spark = corpus.sparkSession
     excl = qkey is not None and ckey is not None
     q_type, c_type = queries.schema[qid].dataType, corpus.schema[cid].dataType
     q = queries.filter(F.col(vec).isNotNull()).select(
         F.col(qid).alias("qid"), F.col(vec).cast("array<double>").alias("vec"), (F.col(qkey) if excl else F.lit("q")).cast("string").alias("qkey"))
-    q = materialize(q, "knn_queries")
-    files = sorted(q.inputFiles())
     c = corpus.filter(F.col(vec).isNotNull()).select(
         F.col(cid).alias("cid"), F.col(vec).cast("array<double>").alias("vec"), (F.col(ckey) if excl else F.lit("c")).cast("string").alias("ckey"))
     if corpus_partitions:
         c = c.repartition(corpus_partitions, "cid")
+    q, c = (materialize(d, name, maxRecordsPerFile=KNN_FILE_ROWS) for d, name in ((q, "knn_queries"), (c, "knn_corpus")))
+    work = [(i, *pair) for i, pair in enumerate(product(sorted(c.inputFiles()), sorted(q.inputFiles())))]
+    wanted = max(2 * spark.sparkContext.defaultParallelism, -(-q.count() * c.count() // KNN_SHARE))
+    tasks = spark.createDataFrame(work, "at long, corpus string, queries string").repartitionByRange(max(1, min(wanted, len(work))), "at")
+    block_rows = max(1, min(q_block_rows, KNN_CELLS // KNN_ROWS))
+
+    def blocks(path, rows):
+        from pyarrow import fs, parquet
+        store, place = fs.FileSystem.from_uri(path)
+        with store.open_input_file(place) as f:
+            yield from (b for b in parquet.ParquetFile(f).iter_batches(batch_size=rows) if b.num_rows)
 
     def search(batches):
         import pyarrow as pa
-        from pyarrow import fs, parquet
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        mine = table.to_batches()[0]
-        vectors, ids, keys = _vectors(mine, "vec"), _ids(mine, "cid"), _ids(mine, "ckey")
-        for path in files:
-            store, place = fs.FileSystem.from_uri(path)
-            with store.open_input_file(place) as f:
-                for block in parquet.ParquetFile(f).iter_batches(batch_size=q_block_rows):
-                    row, col, dist = nearest_rows(_vectors(block, "vec"), vectors, ids, _ids(block, "qkey"), keys, k)
-                    yield pa.RecordBatch.from_arrays([block.column("qid").take(pa.array(row)), mine.column("cid").take(pa.array(col)), pa.array(dist)],
-                                                     names=["query_id", "neighbor_id", "dist"])
+        now, held, own = None, [], None
+        for of, asked in ((x, y) for b in batches for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            if of != now:
+                now, held = of, [(b.column("cid"), _vectors(b, "vec"), _ids(b, "cid"), _ids(b, "ckey")) for b in blocks(of, KNN_ROWS)]
+                own = pa.concat_arrays([h[0] for h in held]) if held else None
+            for block in blocks(asked, block_rows) if held else ():
+                v, keys, at, best, bound = _vectors(block, "vec"), _ids(block, "qkey"), 0, None, None
+                for _, vectors, ids, ckeys in held:
+                    row, col, dist = nearest_rows(v, vectors, ids, keys, ckeys, k, bound)
+                    best = _merge_nearest([*([best] if best else []), (row, col + at, dist, ids[col])], k)
+                    bound = np.full(len(v), np.inf)
+                    full = np.bincount(best[0], minlength=len(v)) == k
+                    np.maximum.at(worst := np.full(len(v), -np.inf), best[0], best[2])
+                    bound[full] = worst[full]
+                    at += len(ids)
+                row, col, dist, _ = best
+                yield pa.RecordBatch.from_arrays([block.column("qid").take(pa.array(row)), own.take(pa.array(col)), pa.array(dist)],
+                                                 names=["query_id", "neighbor_id", "dist"])
 
     schema = T.StructType([T.StructField("query_id", q_type), T.StructField("neighbor_id", c_type), T.StructField("dist", T.DoubleType())])
-    part = c.mapInArrow(search, schema)
+    part = tasks.mapInArrow(search, schema)
     w = Window.partitionBy("query_id").orderBy("dist", "neighbor_id")
     out = part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return out.withColumnRenamed("query_id", qid).withColumnRenamed("neighbor_id", cid)

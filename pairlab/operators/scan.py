@@ -56,7 +56,8 @@ def small(df: DataFrame, name: str = "small") -> DataFrame:
 
 def prefix_agg(df: DataFrame, key: Sequence[str], order: str,
                specs: Sequence[tuple[str, str, Column | str, bool]],
-               block_size: int = 1 << 14, last_flag: str | None = None, next_order: str | None = None) -> DataFrame:
+               block_size: int = 1 << 14, last_flag: str | None = None, next_order: str | None = None,
+               n_rows: int = 0) -> DataFrame:
     """Add running aggregates over rows of ``key`` ordered by ``order``.
 
     ``order`` must be an integer ordinal (dense or not).  ``specs`` entries are
@@ -67,12 +68,13 @@ def prefix_agg(df: DataFrame, key: Sequence[str], order: str,
 
     Rows are cut into blocks of ``block_size`` ordinals: a window runs inside
     each (key, block) and the exclusive prefix over earlier blocks comes from
-    a block-level table that is ``block_size`` times smaller.
+    a block-level table that is ``block_size`` times smaller.  With ``n_rows`` (about
+    the rows of ``df``) the blocks are spread by it.
     """
     key = list(key)
     vals = [(expr if isinstance(expr, Column) else F.col(expr)).alias(f"_v{i}")
             for i, (_, _, expr, _) in enumerate(specs)]
-    d = df.select("*", F.floor(F.col(order) / F.lit(block_size)).alias("_blk"), *vals)
+    d = spread(df.select("*", F.floor(F.col(order) / F.lit(block_size)).alias("_blk"), *vals), n_rows, *key, "_blk")
     w_in = Window.partitionBy(*key, "_blk").orderBy(order)
     local = [_AGG[fn](f"_v{i}").over(
         w_in.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)).alias(f"_l{i}")

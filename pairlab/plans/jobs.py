@@ -15,6 +15,7 @@ from pairlab.operators.evaluate import evaluate
 from pairlab.operators.prepare import build_training_set
 from pairlab.operators.retrieve import retrieve_prompts
 from pairlab.operators.runs import compare_versions, summarise_runs
+from pairlab.operators.scan import spread
 from pairlab.operators.texts import pages_to_text
 from pairlab.sources import io
 
@@ -97,13 +98,15 @@ def evaluate_answers(pairs: DataFrame, measured: DataFrame, *, answers: str = "g
     known = rs.unpivot_code(pairs.select(*ids, F.col(src).alias("src_code"), F.col(tgt).alias("tgt_code")), ids, ["src_code", "tgt_code"])
     every = rs.clean_code_rows(rs.union_by_name(known, rows))
     cached, todo = rs.split_cached_rows(every, types=["src_code", "tgt_code"])
-    todo = todo.join(measured.select(key, "gen_idx", *values), [key, "gen_idx"], "left")
+    # about as many answers as were measured; a task's share of either side is bounded
+    n = measured.count()
+    todo = spread(todo, n, key, "gen_idx").join(spread(measured.select(key, "gen_idx", *values), n, key, "gen_idx"), [key, "gen_idx"], "left")
     runtime = F.when(F.col("code_type") == "src_code", F.col("src_code_agg_runtime")).otherwise(F.col("tgt_code_agg_runtime"))
     cached = cached.withColumn("agg_runtime", runtime)
     gens = todo.select(key, group, F.col("src_code_agg_runtime").alias("src_runtime"), F.col("tgt_code_agg_runtime").alias("tgt_runtime"),
                        F.col("gen_idx").cast("int").alias("gen_idx"), "code", "accuracy", "agg_runtime")
     inputs = pairs.select(key, group, F.col("src_code_agg_runtime").alias("src_runtime"), F.col("tgt_code_agg_runtime").alias("tgt_runtime"))
-    out = evaluate(gens, inputs, key=key, group=group, threshold=threshold)
+    out = evaluate(gens, inputs, key=key, group=group, threshold=threshold, n_rows=n)
     out["long"] = rs.union_by_name(todo, cached).select(key, group, "code_type", "gen_idx", "code", *values)
     if max_answers:
         types = [f"answer_{i}" for i in range(max_answers)]

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pairlab.functions.tokenizers import SubwordTokenizer
 from pairlab.operators import augment as au
 from pairlab.operators import checks as ck
+from pairlab.operators import evaluate as ev
 from pairlab.operators import retrieve as rt
 from pairlab.operators import runs as rn
 from pairlab.operators import scan, texts
@@ -124,3 +125,15 @@ def test_counts_of_tokens_are_lengths_of_ids():
     for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"):
         tok = SubwordTokenizer(public_tokenizers.path(name))
         assert tok.count(t) == [len(i) for i in tok.encode(t)] and tok.decode(tok.encode(t)) == t
+
+
+def test_answers_are_spread_by_their_number(spark, monkeypatch):
+    rows = [(i, i % 7, 100.0, 50.0, g, None if (i + g) % 5 == 0 else "c", 1.0, float(10 + (i * g) % 40)) for i in range(300) for g in range(i % 4)]
+    g = spark.createDataFrame(rows + rows[:50], "src_id long, problem_id long, src_runtime double, tgt_runtime double, gen_idx int, code string, accuracy double, agg_runtime double")
+    inputs = spark.range(300).select(F.col("id").alias("src_id"), (F.col("id") % 7).alias("problem_id"), F.lit(100.0).alias("src_runtime"), F.lit(50.0).alias("tgt_runtime"))
+    rounded = lambda d: sorted(tuple(round(x, 9) for x in r) for r in d.collect())
+    plain = rounded(ev.evaluate(g, inputs)["summary"])
+    monkeypatch.setattr(scan, "SPREAD_ROWS", 40)
+    d = ev.evaluate(g, inputs)["summary"]
+    assert "REPARTITION_BY_NUM" in _plan(d)
+    assert rounded(d) == plain
