@@ -7,8 +7,9 @@ from every row within (beyond) radius ``r`` of it.  Each query first searches th
 blocks around its own shell; its k-th distance there bounds what it still has to
 search: in every cell the shells that the bound reaches, which is one range of blocks.
 
-Pivots are a bounded sample (they decide the cost, never the result).  What is
-shuffled is the corpus once, and a query's vector per block that it has to search.
+Pivots are a bounded sample (they decide the cost, never the result).  Consecutive
+blocks are a slab, which is a file that a task holds.  What is shuffled is the corpus
+once, and a query's vector per slab with blocks that it has to search.
 """
 
 from __future__ import annotations
@@ -23,19 +24,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab.functions.text import seeded_hash
-from pairlab.operators.retrieve import nearest_rows
+from pairlab.operators.retrieve import merge_nearest, nearest_rows
 from pairlab.operators.scan import dense_index
 from pairlab.session import materialize
 
 #: at most so many pivots; rows of a block (more where a corpus would have over ``MAX_BLOCKS`` blocks)
 PIVOTS, BLOCK_ROWS, MAX_BLOCKS = 256, 1024, 1 << 16
+#: numbers in the vectors of a slab, at most so many queries of a task, queries routed and searched at once, rows placed by a task
+SLAB_VALUES, CHUNK, ROUTED, ASKED, PLACED = 1 << 22, 1 << 13, 256, 2048, 1 << 13
 #: rounding of a squared distance, as a share of the squared lengths it comes from
 _ROUNDING = 1e-12
 
 
 @dataclass
 class Neighbours:
-    """``rows``: (query id, neighbour id, dist, rank); ``searched``: (query, block, n_rows) of both rounds."""
+    """``rows``: (query id, neighbour id, dist, rank); ``searched``: (query, slab, n_rows) of both rounds, ``n_rows`` in the blocks searched."""
     rows: DataFrame
     searched: DataFrame
     n_pivots: int
@@ -50,7 +53,17 @@ class Neighbours:
 
 
 def _stack(column: pa.Array) -> np.ndarray:
-    return np.stack(column.to_numpy(zero_copy_only=False)).astype("float64")
+    """Lists of one length as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    size = np.diff(column.offsets.to_numpy())
+    if len(size) and (size != size[0]).any():
+        raise ValueError("vectors of different lengths")
+    return flat.reshape(len(column), -1)
+
+
+def _plain(column: pa.Array) -> np.ndarray:
+    a = column.to_numpy(zero_copy_only=False)
+    return a.astype(str) if a.dtype == object else a
 
 
 def _to_pivots(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -68,19 +81,18 @@ def _cells(pivots: np.ndarray):
     return cells
 
 
-def _edges(shells: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per cell: blocks in order of radius, their least and largest radius, their rows."""
-    t = shells.sort_by([("cell", "ascending"), ("near", "ascending"), ("block", "ascending")])
-    cell, block, near, far, n = (t.column(k).to_numpy() for k in ("cell", "block", "near", "far", "n_rows"))
+def _edges(shells: pa.Table) -> dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per cell: the place of its first block, and its blocks' least and largest radius and rows."""
+    cell, near, far, n = (shells.column(k).to_numpy() for k in ("cell", "near", "far", "n_rows"))
     out = {}
     for c in np.unique(cell):
-        at = slice(*np.searchsorted(cell, [c, c + 1]))
-        out[int(c)] = block[at], near[at], far[at], n[at]
+        lo, hi = np.searchsorted(cell, [c, c + 1])
+        out[int(c)] = int(lo), near[lo:hi], far[lo:hi], n[lo:hi]
     return out
 
 
 def _first_blocks(pivots: np.ndarray, shells, k: int):
-    """Queries to the blocks of their nearest cell around their own shell, until those have more than ``k`` rows."""
+    """For each query the blocks (places from, to) of its nearest cell around its own shell, until those have more than ``k`` rows."""
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _edges(shells.value)
         held = np.array(sorted(edges))
@@ -88,86 +100,122 @@ def _first_blocks(pivots: np.ndarray, shells, k: int):
             if not b.num_rows or not len(held):
                 continue
             d = _to_pivots(_stack(b.column(1)), pivots[held])
-            row, block, n = [], [], []
+            start, stop = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows, np.int32)
             for i, c in enumerate(d.argmin(axis=1).tolist()):
-                blocks, _, far, rows = edges[int(held[c])]
-                at = min(int(np.searchsorted(far, d[i, c])), len(blocks) - 1)
+                first, _, far, rows = edges[int(held[c])]
+                at = min(int(np.searchsorted(far, d[i, c])), len(rows) - 1)
                 lo, hi, found = at, at + 1, int(rows[at])
-                while found <= k and (lo > 0 or hi < len(blocks)):
-                    if hi < len(blocks):
+                while found <= k and (lo > 0 or hi < len(rows)):
+                    if hi < len(rows):
                         found += int(rows[hi])
                         hi += 1
                     if lo > 0:
                         lo -= 1
                         found += int(rows[lo])
-                row += [i] * (hi - lo)
-                block += blocks[lo:hi].tolist()
-                n += rows[lo:hi].tolist()
-            yield _routed(b, row, block, n)
+                start[i], stop[i] = first + lo, first + hi
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(start), pa.array(stop)], names=[*b.schema.names, "start", "stop"])
     return route
 
 
-def _other_blocks(pivots: np.ndarray, shells):
-    """Queries with a bound to all blocks that it reaches."""
+def _ranges(n: int, width: int, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """``n`` rows of ``width`` flags, set in the ranges given of each row (those of a row do not overlap)."""
+    step = np.zeros((n, width + 1), np.int8)
+    np.add.at(step, (row, lo), 1)
+    np.add.at(step, (row, hi), -1)
+    return np.cumsum(step[:, :width], axis=1, dtype=np.int8).view(bool)
+
+
+def _reached(v: np.ndarray, pivots: np.ndarray, edges, bound: np.ndarray, n_blocks: int) -> np.ndarray:
+    """Query x block: whether the query's bound reaches into the block (no bound: everywhere)."""
+    held = np.array(sorted(edges))
+    d = _to_pivots(v, pivots[held])
+    scale = 2 * (np.sqrt((v * v).sum(axis=1)) + d.max(axis=1)) ** 2 + 1
+    reach = np.sqrt(np.where(np.isnan(bound), np.inf, bound) + _ROUNDING * scale)
+    row, start, stop = [], [], []
+    for j, c in enumerate(held.tolist()):
+        first, near, far, _ = edges[c]
+        lo = np.searchsorted(np.maximum.accumulate(far), d[:, j] - reach)  # shells wholly within are too near
+        hi = np.searchsorted(near, d[:, j] + reach, side="right")
+        some = np.flatnonzero(hi > lo)
+        row.append(some)
+        start.append(first + lo[some])
+        stop.append(first + hi[some])
+    return _ranges(len(v), n_blocks, *(np.concatenate(x) for x in (row, start, stop)))
+
+
+def _tiles(pivots: np.ndarray, shells, others: bool):
+    """Queries to the slabs with blocks to search: their first blocks, or (with a bound) all ``others`` that it reaches."""
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _edges(shells.value)
-        held = np.array(sorted(edges))
-        for b in batches:
-            if not b.num_rows or not len(held):
-                continue
-            v = _stack(b.column(1))
-            d = _to_pivots(v, pivots[held])
-            bound = b.column(3).to_numpy(zero_copy_only=False).astype("float64")
-            scale = 2 * (np.sqrt((v * v).sum(axis=1)) + d.max(axis=1)) ** 2 + 1
-            reach = np.sqrt(np.where(np.isnan(bound), np.inf, bound) + _ROUNDING * scale)
-            row, block, n = [], [], []
-            for j, c in enumerate(held.tolist()):
-                blocks, near, far, rows = edges[c]
-                lo = np.searchsorted(np.maximum.accumulate(far), d[:, j] - reach)  # shells wholly within are too near
-                hi = np.searchsorted(near, d[:, j] + reach, side="right")
-                for i in np.flatnonzero(hi > lo).tolist():
-                    row += [i] * int(hi[i] - lo[i])
-                    block += blocks[lo[i]:hi[i]].tolist()
-                    n += rows[lo[i]:hi[i]].tolist()
-                if len(row) > 1 << 16:
-                    yield _routed(b, row, block, n)
-                    row, block, n = [], [], []
-            yield _routed(b, row, block, n)
+        size, slab = (shells.value.column(k).to_numpy() for k in ("n_rows", "slab"))
+        cuts = np.flatnonzero(np.diff(slab, prepend=-1, append=-1))
+        for b in (whole.slice(i, ROUTED) for whole in batches for i in range(0, whole.num_rows, ROUTED)):
+            rows = np.arange(b.num_rows)
+            wanted = first = _ranges(b.num_rows, len(size), rows, *(b.column(k).to_numpy() for k in ("start", "stop")))
+            bound = b.column("bound").to_numpy(zero_copy_only=False).astype("float64")
+            if others:
+                wanted = _reached(_stack(b.column("vec")), pivots, edges, bound, len(size)) & ~first
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                at = np.flatnonzero(wanted[:, lo:hi].any(axis=1))
+                if len(at):
+                    here = wanted[at, lo:hi]
+                    count = here.sum(axis=1)
+                    blocks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array((np.nonzero(here)[1] + lo).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(at)) for k in ("qid", "vec", "qkey", "chunk", "bound")), pa.array(np.full(len(at), slab[lo], np.int32)),
+                                                      blocks, pa.array(here @ size[lo:hi])], names=["qid", "vec", "qkey", "chunk", "bound", "slab", "blocks", "n_rows"])
     return route
 
 
-def _routed(b: pa.RecordBatch, row: list, block: list, n: list) -> pa.RecordBatch:
-    at = pa.array(row, pa.int64())
-    return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(block, pa.int64()), pa.array(n, pa.int64())],
-                                      names=["qid", "vec", "qkey", "block", "n_rows"])
-
+def _read_slab(paths: list[str], shells: pa.Table):
+    """(ids as they are, ids to sort by, keys, vectors) of a slab's rows in order of their blocks, and where each block starts."""
+    from pyarrow import fs, parquet
+    parts = []
+    for path in paths:
+        store, place = fs.FileSystem.from_uri(path)
+        with store.open_input_file(place) as f:
+            parts += [b for b in parquet.ParquetFile(f).iter_batches(columns=["block", "cid", "vec", "ckey"]) if b.num_rows]
+    at = np.searchsorted(shells.column("block").to_numpy(), np.concatenate([b.column("block").to_numpy() for b in parts]))
+    order = np.argsort(at, kind="stable")
+    cid = pa.concat_arrays([b.column("cid") for b in parts]).take(pa.array(order))
+    keys = np.concatenate([b.column("ckey").to_numpy(zero_copy_only=False).astype(str) for b in parts])[order]
+    return cid, _plain(cid), keys, np.concatenate([_stack(b.column("vec")) for b in parts])[order], np.searchsorted(at[order], np.arange(shells.num_rows + 1))
+
+
+def _search(paths: dict[int, list[str]], shells, k: int):
+    """Queries with blocks of one slab to their ``k`` nearest rows in those blocks."""
+    def nearest(v, keys, bound, blocks, slab) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        _, order, ckey, held, starts = slab
+        row = np.repeat(np.arange(len(v)), np.diff(blocks.offsets.to_numpy()))
+        block = blocks.flatten().to_numpy()
+        by_block = np.argsort(block, kind="stable")
+        row, block = row[by_block], block[by_block]
+        bound, found, n_new = np.where(np.isnan(bound), np.inf, bound), [], 0
+        for lo, hi in zip(cuts := np.flatnonzero(np.diff(block, prepend=-1)), [*cuts[1:], len(block)], strict=True):
+            c = slice(*starts[[block[lo], block[lo] + 1]])
+            asked = row[lo:hi]
+            free = np.isinf(bound[asked])
+            for mine in (asked[free], asked[~free]):
+                if len(mine):
+                    r, col, dist = nearest_rows(v[mine], held[c], order[c], keys[mine], ckey[c], k, bound[mine])
+                    found.append((mine[r], col + c.start, dist, order[c][col]))
+                    n_new += len(r)
+            if n_new > 2 * k * len(v) or free.any():  # what was found so far bounds the blocks to come
+                best = merge_nearest(found, k)
+                full = np.flatnonzero(np.bincount(best[0], minlength=len(v)) == k)
+                last = np.searchsorted(best[0], full, side="right") - 1
+                bound[full] = np.minimum(bound[full], best[2][last])
+                found, n_new = [best], 0
+        return merge_nearest(found, k)
 
-def _search(k: int):
-    """Rows of a block (first), then queries routed to it, to each query's k nearest in the block."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, keys, vectors = None, [], [], []
-        held = None
-        for b in batches:
-            block, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
-            for part in (b.slice(lo, hi - lo) for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True) if hi > lo):
-                of = part.column(0)[0].as_py()
-                if of != now:
-                    now, ids, keys, vectors, held = of, [], [], [], None
-                if part.column(1)[0].as_py() == 0:
-                    ids.append(part.column(2))
-                    keys.append(part.column(5))
-                    vectors.append(_stack(part.column(4)))
-                    continue
-                if not ids:
-                    continue
-                if held is None:
-                    cid = pa.concat_arrays(ids)
-                    plain = cid.to_numpy(zero_copy_only=False)
-                    held = cid, plain.astype(str) if plain.dtype == object else plain, np.concatenate([x.to_numpy(zero_copy_only=False).astype(str) for x in keys]), np.concatenate(vectors)
-                cid, order, ckey, v = held
-                row, col, dist = nearest_rows(_stack(part.column(4)), v, order, part.column(5).to_numpy(zero_copy_only=False).astype(str), ckey, k)
-                yield pa.RecordBatch.from_arrays([part.column(3).take(pa.array(row)), cid.take(pa.array(col)), pa.array(dist)], names=["query_id", "neighbor_id", "dist"])
+        now, held = None, None
+        for b in (whole.slice(i, ASKED) for whole in batches for i in range(0, whole.num_rows, ASKED)):
+            if b.column("slab")[0].as_py() != now:
+                now = b.column("slab")[0].as_py()
+                held = _read_slab(paths[now], shells.value)
+            row, col, dist, _ = nearest(_stack(b.column("vec")), b.column("qkey").to_numpy(zero_copy_only=False).astype(str),
+                                        b.column("bound").to_numpy(zero_copy_only=False).astype("float64"), b.column("blocks"), held)
+            yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(row)), held[0].take(pa.array(col)), pa.array(dist)], names=["query_id", "neighbor_id", "dist"])
     return search
 
 
@@ -180,7 +228,7 @@ def knn_join_pivots(queries: DataFrame, corpus: DataFrame, *, k: int = 4, vec: s
     keys are excluded.  Rows without a vector have no neighbours and are none.
     A query whose first blocks have fewer than k rows for it searches every
     block.  Vectors without clusters are searched almost whole, which is the work of
-    ``knn_join``.  The pivots and one row per block (its radii; at most
+    ``knn_join``, in tasks of at most ``CHUNK`` queries and one slab.  The pivots and one row per block (its radii; at most
     ``MAX_BLOCKS`` and one per pivot) reach the driver and the tasks; intermediate
     tables are written to the shared folder.
     """
@@ -200,32 +248,40 @@ def knn_join_pivots(queries: DataFrame, corpus: DataFrame, *, k: int = 4, vec: s
         return Neighbours(none.withColumnsRenamed({"query_id": qid, "neighbor_id": cid}), spark.createDataFrame([], "n_rows long"), 0, n_queries, 0)
     points = np.array([r.vec for r in sample], dtype="float64")
     celled = T.StructType([*c.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())])
-    placed = dense_index(c.mapInArrow(_cells(points), celled), ["cell", "radius", "cid"], name="at")
+    placed = dense_index(c.repartition(-(-n_corpus // PLACED)).mapInArrow(_cells(points), celled), ["cell", "radius", "cid"], name="at")
     start = placed.groupBy("cell").agg(F.min("at").alias("first"))
-    # a block: consecutive rows of one cell by radius
+    # a block: consecutive rows of one cell by radius; a slab: consecutive blocks
     block_rows = max(block_rows, -(-n_corpus // MAX_BLOCKS))
+    slab_rows = max(1, SLAB_VALUES // max(1, points.shape[1]))
+    n_slabs = -(-n_corpus // slab_rows)
     blocks = placed.join(start, "cell").withColumn("shell", F.floor((F.col("at") - F.col("first")) / block_rows))
-    blocks = materialize(blocks.select((F.col("cell").cast("bigint") * F.lit(1 << 40) + F.col("shell")).alias("block"), "cell", "radius", "cid", "vec", "ckey"), "nearest_blocks")
-    shells = spark.sparkContext.broadcast(blocks.groupBy("block", "cell").agg(F.min("radius").alias("near"), F.max("radius").alias("far"), F.count(F.lit(1)).alias("n_rows")).toArrow())
-
-    routed = T.StructType([*q.schema.fields, T.StructField("block", T.LongType()), T.StructField("n_rows", T.LongType())])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    no_c, no_q = F.lit(None).cast(c_type).alias("cid"), F.lit(None).cast(q_type).alias("qid")
-    rows = blocks.select("block", F.lit(0).alias("kind"), "cid", no_q, "vec", F.col("ckey").alias("key"))
-
-    def search(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select("block", F.lit(1).alias("kind"), no_c, "qid", "vec", F.col("qkey").alias("key"))
-        together = rows.unionByName(asked).repartition(parts, "block").sortWithinPartitions("block", "kind")
-        return together.mapInArrow(_search(k), result)
+    blocks = blocks.withColumn("slab", F.floor((F.col("first") + F.col("shell") * block_rows) / slab_rows).cast("int"))
+    blocks = materialize(blocks.select((F.col("cell").cast("bigint") * F.lit(1 << 40) + F.col("shell")).alias("block"), "cell", "radius", "cid", "vec", "ckey", "slab")
+                         .repartitionById(n_slabs, "slab"), "nearest_blocks", by=["slab"])
+    table = blocks.groupBy("block", "cell", "slab").agg(F.min("radius").alias("near"), F.max("radius").alias("far"), F.count(F.lit(1)).alias("n_rows")).toArrow()
+    shells = spark.sparkContext.broadcast(table.combine_chunks().sort_by("block"))
+    paths: dict[int, list[str]] = {}
+    for path in blocks.inputFiles():
+        paths.setdefault(int(path.rsplit("/slab=", 1)[1].split("/")[0]), []).append(path)
+
+    # a task: the queries of one chunk that have blocks of one slab to search
+    n_chunks = max(-(-n_queries // CHUNK), min(-(-2 * spark.sparkContext.defaultParallelism // n_slabs), -(-n_queries // ROUTED)), 1)
+    number = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
+    q = q.repartition(n_chunks).withColumn("chunk", F.spark_partition_id())
+    tiled = T.StructType([*q.schema.fields, T.StructField("bound", T.DoubleType()), T.StructField("slab", T.IntegerType()),
+                          T.StructField("blocks", T.ArrayType(T.IntegerType())), T.StructField("n_rows", T.LongType())])
+
+    def search(tiles: DataFrame) -> DataFrame:
+        dealt = tiles.repartitionById(n_slabs * n_chunks, F.col("slab") * n_chunks + F.col("chunk"))
+        return dealt.mapInArrow(_search(paths, shells, k), result)
 
     nearest = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "neighbor_id"))
-    first = materialize(q.mapInArrow(_first_blocks(points, shells, k), routed), "nearest_first")
-    found = materialize(search(first).withColumn("rank", nearest).filter(F.col("rank") <= k), "nearest_found")
+    first = materialize(q.mapInArrow(_first_blocks(points, shells, k), T.StructType([*q.schema.fields, *number.fields])), "nearest_first")
+    asked = materialize(first.withColumn("bound", F.lit(None).cast("double")).mapInArrow(_tiles(points, shells, False), tiled), "nearest_asked")
+    found = materialize(search(asked).withColumn("rank", nearest).filter(F.col("rank") <= k), "nearest_found")
     bound = found.filter(F.col("rank") == k).select(F.col("query_id").alias("qid"), F.col("dist").alias("bound"))
-    bounded = q.join(bound, "qid", "left").select("qid", "vec", "qkey", "bound")
-    others = bounded.mapInArrow(_other_blocks(points, shells), routed).join(first.select("qid", "block"), ["qid", "block"], "left_anti")
-    others = materialize(others.select("qid", "vec", "qkey", "block", "n_rows"), "nearest_others")
+    others = materialize(first.join(bound, "qid", "left").mapInArrow(_tiles(points, shells, True), tiled), "nearest_others")
     both = found.drop("rank").unionByName(search(others))
     best = both.withColumn("rank", nearest).filter(F.col("rank") <= k)
-    searched = first.select("n_rows").unionByName(others.select("n_rows"))
+    searched = asked.select("qid", "slab", "n_rows").unionByName(others.select("qid", "slab", "n_rows"))
     return Neighbours(best.withColumnsRenamed({"query_id": qid, "neighbor_id": cid}), searched, len(sample), n_queries, n_corpus)

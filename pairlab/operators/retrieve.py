@@ -136,15 +136,24 @@ def nearest_rows(q: np.ndarray, c: np.ndarray, cid: np.ndarray, qkey: np.ndarray
     (a distance that k rows found elsewhere keep) farther rows are left out.
     """
     long_q, long_c = (q * q).sum(1), (c * c).sum(1)
-    dist = long_q[:, None] + long_c[None, :] - 2.0 * (q @ c.T)
-    dist[qkey[:, None] == ckey[None, :]] = np.inf
+    dist = q @ c.T
+    dist *= -2.0
+    dist += long_c  # the distance but for the query's length
+    # pairs of equal keys, by the place of a query's key among the sorted keys
+    by_key = np.argsort(ckey, kind="stable")
+    lo, n = np.searchsorted(ckey, qkey, sorter=by_key), np.searchsorted(ckey, qkey, side="right", sorter=by_key)
+    n -= lo
+    own = np.repeat(np.arange(len(q)), n)
+    dist[own, by_key[np.arange(len(own)) - np.repeat(np.cumsum(n) - n - lo, n)]] = np.inf
     kk = min(k, dist.shape[1])
     if bound is None or not np.isfinite(bound).all():
-        limit = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk]
+        limit = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
     else:
-        limit = bound[:, None]
-    limit = limit + 1e-12 * (long_q + long_c.max())[:, None]
-    row, col = np.nonzero((dist <= limit) & np.isfinite(dist))
+        limit = bound - long_q
+    limit = limit + 1e-12 * (long_q + long_c.max())
+    row, col = np.nonzero(dist <= limit[:, None])
+    there = np.isfinite(dist[row, col])
+    row, col = row[there], col[there]
     value = ((q[row] - c[col]) ** 2).sum(axis=1)
     order = np.lexsort((cid[col], value, row))
     row, col, value = row[order], col[order], value[order]
@@ -166,7 +175,7 @@ def _ids(batch, column: str) -> np.ndarray:
 KNN_CELLS, KNN_ROWS, KNN_FILE_ROWS, KNN_SHARE = 1 << 21, 1 << 13, 1 << 16, 1 << 31
 
 
-def _merge_nearest(parts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge_nearest(parts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, place in the block's task, distance, id) lists merged to each query's k nearest, ties by id."""
     row, col, dist, cid = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((cid, dist, row))
@@ -226,7 +235,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, *, k: int = 4, vec: str = "e
                 v, keys, at, best, bound = _vectors(block, "vec"), _ids(block, "qkey"), 0, None, None
                 for _, vectors, ids, ckeys in held:
                     row, col, dist = nearest_rows(v, vectors, ids, keys, ckeys, k, bound)
-                    best = _merge_nearest([*([best] if best else []), (row, col + at, dist, ids[col])], k)
+                    best = merge_nearest([*([best] if best else []), (row, col + at, dist, ids[col])], k)
                     bound = np.full(len(v), np.inf)
                     full = np.bincount(best[0], minlength=len(v)) == k
                     np.maximum.at(worst := np.full(len(v), -np.inf), best[0], best[2])

@@ -5,7 +5,7 @@ import pytest
 
 from pairlab.operators import nearest
 from pairlab.operators.nearest import knn_join_pivots
-from pairlab.operators.retrieve import knn_join
+from pairlab.operators.retrieve import knn_join, nearest_rows
 
 
 def _frames(spark, q, c, ids=int):
@@ -58,3 +58,31 @@ def test_empty_sides(spark):
     assert knn_join_pivots(qf, cf.where("false")).rows.count() == 0
     assert knn_join_pivots(qf.where("false"), cf).rows.count() == 0
     assert knn_join_pivots(qf, cf.where("false")).report().first().n_row_distances == 0
+
+
+def test_queries_travel_once_per_slab(spark, monkeypatch):
+    """Vectors without clusters reach every block; a query is sent to slabs of blocks, not to each block."""
+    rng = np.random.default_rng(6)
+    flat = [*rng.normal(size=(150, 12)), *[np.ones(12)] * 6]
+    qf, cf = _frames(spark, flat[:60], flat)
+    keys = {"qkey": "query_id", "ckey": "neighbor_id"}
+    want = _rows(knn_join(qf, cf, k=3, **keys))
+    got = knn_join_pivots(qf, cf, k=3, block_rows=4, **keys)
+    assert _rows(got.rows) == want and got.searched.count() <= 2 * 60
+    for name, value in (("SLAB_VALUES", 12 * 40), ("CHUNK", 16), ("ROUTED", 7), ("ASKED", 5)):
+        monkeypatch.setattr(nearest, name, value)
+    got = knn_join_pivots(qf, cf, k=3, block_rows=4, **keys)
+    assert _rows(got.rows) == want and 60 < got.searched.count() <= 2 * 60 * 4
+
+
+def test_equal_keys_are_left_out_without_a_matrix_of_them():
+    rng = np.random.default_rng(7)
+    q, c = rng.integers(0, 3, (20, 2)).astype("float64"), rng.integers(0, 3, (30, 2)).astype("float64")
+    qkey, ckey = (np.array([f"k{x}" for x in rng.integers(0, 9, n)]) for n in (20, 30))
+    dist = ((q[:, None] - c[None]) ** 2).sum(axis=2)
+    dist[qkey[:, None] == ckey[None]] = np.inf
+    want = [(i, j) for i in range(20) for j in np.lexsort((np.arange(30), dist[i]))[:4].tolist() if np.isfinite(dist[i, j])]
+    kth = np.sort(dist, axis=1)[:, 3]
+    for bound in (None, kth):
+        row, col, _ = nearest_rows(q, c, np.arange(30), qkey, ckey, 4, bound)
+        assert list(zip(row.tolist(), col.tolist(), strict=True)) == want
