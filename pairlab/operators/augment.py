@@ -360,7 +360,7 @@ def novelty_filter(cands: DataFrame, refs: DataFrame, all_tests: DataFrame, *, l
     A test without an output, with a NULL one or with a timeout/error was not run.
     """
     every = small(all_tests.select(problem, tc).distinct(), "every_test")
-    n_tests = every.groupBy(problem).agg(F.count(F.lit(1)).alias("_n_tests"))
+    n_tests = small(every.groupBy(problem).agg(F.count(F.lit(1)).alias("_n_tests")), "n_tests")
     done = F.when(F.col(output).isNotNull() & ~F.col(output).isin(*RUN_FAILURES), F.col(tc))
     ran = cands.join(every, [problem, tc], "left_semi").groupBy(problem, program, tc).agg(F.count(done).alias("_done")).groupBy(
         problem, program).agg(F.count_if(F.col("_done") > 0).alias("_n_run"))

@@ -93,6 +93,19 @@ def test_outputs_are_not_shuffled_by_test(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_verdicts_do_not_meet_by_problem(spark):
+    """Problems are few and have any number of programs: what is known of a problem goes to its programs."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        o = spark.range(600).select((F.col("id") % 2).alias("problem_id"), (F.col("id") % 6).alias("tc_no"), F.floor(F.col("id") / 6).alias("program_id"),
+                                    F.when(F.col("id") < 300, "a").otherwise(F.col("id").cast("string")).alias("output"))
+        d = au.novelty_filter(o.filter("program_id % 2 = 0"), o.filter("program_id % 2 = 1"), o)
+        assert not re.search(r"hashpartitioning\(problem_id#\d+L?, \d+\)", _plan(d))
+        assert {tuple(r) for r in d.collect()} == {(p, c, True, 25 if c < 50 else 0, c >= 50) for p in (0, 1) for c in range(0, 100, 2)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_search_of_few_parts_is_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(rt, "KNN_FILE_ROWS", 40)
     monkeypatch.setattr(rt, "KNN_ROWS", 16)
