@@ -53,13 +53,11 @@ CLASSES, _RATE, _EVERY = 16, 4, 4
 #: a class of more ids than this numbers them in two steps, the lower of so many bits
 _WIDE, _LOW = 1 << 15, 12
 
-# cumulative class frequencies before the first id, and what each class pulls them to
-_FRESH = (np.arange(17) * (_ONE // 16)).astype(np.int32)
-# the next confidence after a right guess of each (0: after a wrong one, or none)
-_SURER = np.array([1, 2, 3, 3], dtype=np.int32)
+# where the share of each class starts before the first id, and what each class pulls the starts to
+_FRESH = (np.arange(CLASSES) * (_ONE // CLASSES)).astype(np.int16)
 _WHOLE, _SHIFT = np.int32(_ONE), np.uint32(32 - _SLOT_BITS)
 _STEP = np.array([1, 0x9E3779B1, 0x85EBCA6B], dtype=np.uint32)
-_PULL = np.array([[j if j <= s else _ONE - 16 + j for s in range(16)] for j in range(17)], dtype=np.int32)
+_PULL = np.array([[j if j <= s else _ONE - CLASSES + j for j in range(CLASSES)] for s in range(CLASSES)], dtype=np.int16)
 
 
 class Classes:
@@ -76,7 +74,7 @@ class Classes:
         self.first = np.cumsum(self.size) - self.size
         self.place = np.zeros(len(of), np.int64)
         self.place[self.order] = np.arange(len(self.order)) - np.repeat(self.first, self.size)
-        self.chance = np.maximum(_ONE >> 2 >> np.minimum(of, CLASSES).astype(np.int64), 1)
+        self.chance = np.maximum(_ONE >> 2 >> np.minimum(of, CLASSES).astype(np.int32), 1).astype(np.int32)
 
     @classmethod
     def count(cls, ids: np.ndarray) -> Classes:
@@ -106,34 +104,43 @@ class _Model:
         self.slots = np.stack([lane, n + lane]) * SLOTS
         self.rate = np.tile(np.array([_ONE >> 6, _ONE >> 2, _ONE >> 1, _ONE * 3 >> 2], np.int32), 2 * n)
         self.cells = np.stack([lane, n + lane]) * 4
-        self.weight = [np.full(n, _ONE // 2, np.int64), np.full(n, _ONE // 2, np.int64), np.full(n, _ONE // 16, np.int64)]
+        self.weight = [np.full(n, _ONE // 2, np.int32), np.full(n, _ONE // 2, np.int32), np.full(n, _ONE // 16, np.int32)]
         self._share()
-        self.rows = np.repeat(_FRESH[:, None], n, axis=1)
+        #: by block, where the share of each class starts; a 0 after the last
+        self.starts = np.concatenate([np.tile(_FRESH, n), _FRESH[:1]])
+        self.rows = self.starts[:-1].reshape(n, CLASSES)
         #: hashes of the two contexts, and of the id before alone
         self.hash = np.zeros((2, n), np.uint32)
 
     def _share(self) -> None:
-        self.share = (1 << 30) // (self.weight[0] + self.weight[1] + self.weight[2])
+        self.share = ((1 << 30) // (self.weight[0] + self.weight[1] + self.weight[2])).astype(np.int64)
+
+    def part(self, blocks: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the share of class ``of`` starts in each of ``blocks``, and how wide it is (the last ends at the whole)."""
+        at = blocks * CLASSES + of
+        below = self.starts[at]
+        return below, (self.starts[at + 1] - below) & (_ONE - 1)
 
     def predict(self) -> None:
         """The likeliest id of each block and its probability, mixed from what orders 2, 1 and 0 say of it."""
-        self.at = self.slots + (self.hash >> _SHIFT)
-        said = self.said.take(self.at)
+        self.at = self.slots + (self.hash >> _SHIFT).astype(np.int64)
+        said = self.said[self.at]
         self.guess, self.conf = said >> 2, said & 3
-        self.cell = self.cells + self.conf
-        self.rates = self.rate.take(self.cell)
+        self.cell = self.cells + self.conf.astype(np.int64)
+        self.rates = self.rate[self.cell]
         self.first = np.where(self.conf[0] > 0, self.guess[0], self.guess[1])
         two, one = self.rates
         one = np.where(self.guess[1] == self.first, one, _ONE - one >> 4)
         self.votes = two, one, self.classes.chance.take(self.first, mode="clip")
         w = self.weight
-        p = (w[0] * two + w[1] * one + w[2] * self.votes[2]) * self.share >> 30
+        p = (w[0] * two + w[1] * one + w[2] * self.votes[2]).astype(np.int64) * self.share >> 30
         self.p_first = np.minimum(np.maximum(p, 32), _ONE - 32)
 
     def learn(self, step: int, ids: np.ndarray, hit: np.ndarray, missed: np.ndarray, of: np.ndarray) -> None:
         """``missed``: the blocks whose id was coded by order 0, ``of`` its class."""
-        right = (self.guess == ids) & (self.conf > 0)
-        self.said[self.at] = ids << 2 | _SURER.take(self.conf * right)
+        right = ((self.guess == ids) & (self.conf > 0)).astype(np.int32)
+        # the next confidence: 1 after a wrong guess or none, else one more (at most 3)
+        self.said[self.at] = ids << 2 | np.minimum(self.conf, 2) * right + 1
         if step % _EVERY == 1:  # the rate of a context that said nothing is never asked for
             self.rate[self.cell] = self.rates + ((right * _WHOLE - self.rates) >> 4)
         elif step % _EVERY == 2:
@@ -143,9 +150,9 @@ class _Model:
                 np.maximum(w, 64, out=w)
             self._share()
         elif step % _EVERY == 3 and len(missed):
-            rows = self.rows.take(missed, axis=1)
-            rows += (_PULL.take(of, axis=1) - rows) >> _RATE
-            self.rows[:, missed] = rows
+            rows = self.rows.take(missed, axis=0)
+            rows += (_PULL.take(of, axis=0) - rows) >> _RATE
+            self.rows[missed] = rows
         # the context of one id, and with it that of two
         one = (ids.view(np.uint32) + _STEP[0]) * _STEP[1]
         np.add(one * _STEP[2], self.hash[1], out=self.hash[0])
@@ -169,9 +176,10 @@ def encode_blocks(ids: np.ndarray, classes: Classes) -> list[bytes]:
 
     def shift(lanes: np.ndarray, lows: np.ndarray, widths: np.ndarray) -> None:
         """Give out 16 bits while the interval is narrow."""
-        small = np.flatnonzero(widths < _LEAST)
+        small, = (widths < _LEAST).nonzero()
         while len(small):
-            own, low, at = lanes[small], lows[small], used[lanes[small]]
+            own, low = lanes[small], lows[small]
+            at = used[own]
             digits[own, at] = low >> 32
             used[own] = at + 1
             lows[small] = (low & 0xFFFFFFFF) << 16
@@ -198,17 +206,17 @@ def encode_blocks(ids: np.ndarray, classes: Classes) -> list[bytes]:
         if len(live) < n:  # the last block has ended
             lows[-1], widths[-1] = low[-1], width[-1]
         low, width = lows, widths
-        missed = np.flatnonzero(~hit[:len(live)])
-        of = classes.of.take(x[missed])
+        missed, = (~hit[:len(live)]).nonzero()
+        other = x[missed]
+        of = classes.of[other].astype(np.int64)
         if len(missed):
-            at = of * np.int64(n) + missed
-            below = model.rows.take(at)
+            below, share = model.part(missed, of)
             lows, widths = low[missed], width[missed]
             unit = widths >> _BITS
             lows += unit * below
-            widths = unit * (model.rows.take(at + n) - below)
+            widths = unit * share
             shift(missed, lows, widths)
-            place, many = classes.place.take(x[missed]), classes.size.take(of)
+            place, many = classes.place[other], classes.size[of]
             big = np.flatnonzero(many > _WIDE)
             if len(big):  # a class of many ids: the upper part of the number first
                 l, w = lows[big], widths[big]
@@ -253,7 +261,7 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], classes: Classes) ->
     stop = start + length + 3
 
     def shift(lanes: np.ndarray, codes: np.ndarray, widths: np.ndarray) -> None:
-        small = np.flatnonzero(widths < _LEAST)
+        small, = (widths < _LEAST).nonzero()
         while len(small):
             own = lanes[small]
             place = at[own]
@@ -276,20 +284,21 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], classes: Classes) ->
         part = (width >> _BITS) * model.p_first
         hit = code < part
         code, width = np.where(hit, code, code - part), np.where(hit, part, width - part)
-        missed = np.flatnonzero(~hit[:len(live)])
+        missed, = (~hit[:len(live)]).nonzero()
         x = model.first.copy()
         of = np.zeros(0, np.int64)
         if len(missed):
             codes, widths = code[missed], width[missed]
             unit = widths >> _BITS
-            value = np.minimum(codes // unit, _ONE - 1)
-            of = (model.rows[1:].take(missed, axis=1) <= value).view(np.int8).sum(axis=0, dtype=np.int8)
-            cell = of * np.int64(n) + missed
-            below = model.rows.take(cell)
+            value = np.minimum(np.maximum(codes // unit, 0), _ONE - 1).astype(np.int16)
+            # classes that start at the value or before it, as bytes of 1, eight at once
+            started = np.bitwise_count((model.rows.take(missed, axis=0) <= value[:, None]).view(np.uint64))
+            of = (started[:, 0] + started[:, 1]).astype(np.int64) - 1
+            below, share = model.part(missed, of)
             codes -= unit * below
-            widths = unit * (model.rows.take(cell + n) - below)
+            widths = unit * share
             shift(missed, codes, widths)
-            many = classes.size.take(of)
+            many = classes.size[of]
             np.maximum(many, 1, out=many)  # an empty class comes only from damaged bytes, which the checksum finds
             place = np.zeros(len(missed), np.int64)
             big = np.flatnonzero(many > _WIDE)
@@ -440,6 +449,17 @@ def pieces(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = _KIND) ->
     return starts, ends, np.searchsorted(starts, offsets), plain
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes ascending, a place of each, and for every hash which it is (``np.unique`` without its stable sort)."""
+    order = np.argsort(h)
+    ranked = h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], back
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer whose tokens never span ASCII white space.
 
@@ -524,7 +544,7 @@ class WordEncoder:
             if len(self.known[0]) + len(self.fresh[0]) > self.KEEP:
                 self._forget()
             starts, ends, first, plain = pieces(d, o, self.kinds)
-            h, where, back = np.unique(W.hash_spans(d, starts, ends, False), return_index=True, return_inverse=True)
+            h, where, back = _distinct(W.hash_spans(d, starts, ends, False))
             start, size = self._find(h)
             new = np.flatnonzero(start < 0)
             if len(new):

@@ -56,6 +56,35 @@ def test_a_block_stands_alone():
     assert (token_codec.decode_blocks(blocks[1:2], [token_codec.BLOCK], classes) == ids[token_codec.BLOCK:2 * token_codec.BLOCK]).all()
 
 
+def _mixed_ids():
+    at = np.arange(30_000, dtype=np.int64)
+    return np.where(at % 5 < 2, at % 11, at * at * 7919 % 30_011)
+
+
+def test_blocks_keep_their_bytes_and_state_is_narrow():
+    """The file format is as it was; a block's classes are one line of 16-bit numbers, not a column of wider ones."""
+    ids = _mixed_ids()
+    blocks, back = coded(ids)
+    assert (back == ids).all() and zlib.crc32(b"".join(blocks)) == 970496580
+    model = token_codec._Model(7, token_codec.Classes.count(ids))
+    assert model.rows.shape == (7, token_codec.CLASSES) and model.rows.dtype == np.int16 and model.rows.flags.c_contiguous
+    below, share = model.part(np.arange(7), np.arange(9, 16))
+    assert (below + share == np.arange(10, 17) << 10).all()
+
+
+def test_garbage_decodes_to_something():
+    """Damaged blocks reach the checksum, whatever their bytes are."""
+    classes, rng = token_codec.Classes.count(_mixed_ids()), np.random.default_rng(8)
+    for payloads in ([rng.bytes(4000), b"", rng.bytes(20)], [b"\xff" * 8000] * 2, [bytes(8000)]):
+        assert len(token_codec.decode_blocks(payloads, [token_codec.BLOCK] * len(payloads), classes)) == token_codec.BLOCK * len(payloads)
+
+
+def test_distinct_hashes():
+    for h in (np.zeros(0, np.uint64), np.random.default_rng(2).integers(0, 50, 900).astype(np.uint64) << np.uint64(58)):
+        found, where, back = token_codec._distinct(h)
+        assert (found == np.unique(h)).all() and (h[where] == found).all() and (found[back] == h).all()
+
+
 def test_word_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
     rng = random.Random(6)
