@@ -576,12 +576,12 @@ _READ = "doc_id long, file string, start long, offset long, ids binary"
 
 def _write(folder: str, tokenizer: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out, n = None, None, 0
+        encoder, out, n, end = None, None, 0, np.array([END_ID], np.int64)
         for b in batches:
             encoder = encoder or word_encoder(tokenizer)
             out = out or TokenWriter(new_file(folder, ".tok"))
             for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1)), strict=True):
-                out.add(doc_id, np.append(ids, END_ID))
+                out.add(doc_id, np.concatenate((ids, end)))
                 n += len(ids) + 1
         if out:
             out.close()
