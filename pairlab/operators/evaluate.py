@@ -34,14 +34,15 @@ def adjusted_runtime(code: Column, accuracy: Column, runtime: Column, threshold:
 def best_at_k(gens: DataFrame, *, key: str = "src_id", order: str = "gen_idx",
               base: str = "src_runtime", code: str = "code", accuracy: str = "accuracy",
               runtime: str = "agg_runtime", threshold: float = 1.0, floor: float = 1.0,
-              keep: Sequence[str] = (), block_size: int = 1 << 14, n_rows: int = 0) -> DataFrame:
+              keep: Sequence[str] = (), block_size: int | None = 1 << 14, n_rows: int = 0) -> DataFrame:
     """Best runtime / accuracy over the first k answers of each input.
 
     One row per (input, k) with k = order + 1 for the answers that exist; inputs
     with fewer answers, or with gaps between them (``next_k`` is the k of the next
     existing answer), are carried forward by ``best_at_k_summary`` rather than
     densified here.  Running aggregates use the blocked prefix scan, so an input
-    with a huge number of answers is split across tasks.
+    with a huge number of answers is split across tasks (``block_size=None``: answers
+    that lie by their input stay there).
     """
     d = gens.select(
         key, base, order, *keep,
@@ -174,13 +175,15 @@ def reference_speedup(df: DataFrame, *, src: str = "src_runtime", tgt: str = "tg
 
 def complete_with_missing(results: DataFrame, reference: DataFrame, *, key: Sequence[str],
                           fill: dict, order: Sequence[str] | None = None,
-                          expected_rows: int | None = None, identity: Sequence[str] | None = None) -> DataFrame:
+                          expected_rows: int | None = None, identity: Sequence[str] | None = None,
+                          found: DataFrame | None = None) -> DataFrame:
     """Every reference item missing from the results is added as a failure.
 
     ``identity`` names one result (such as input and answer index): of several
     rows of one only the first by the filled columns stays.  Reference rows are deduplicated (first by ``order``), the missing ones found
     with a left anti join on the key (a tuple key, so no concatenation
-    collisions), filled and unioned; ``is_filled`` marks them.
+    collisions), filled and unioned; ``is_filled`` marks them.  ``found`` has the keys of
+    ``results`` where those are cheaper to take from another table.
     """
     key = list(key)
     if identity is not None:
@@ -188,7 +191,7 @@ def complete_with_missing(results: DataFrame, reference: DataFrame, *, key: Sequ
     ref = keep_first(reference, key, list(order or key))
     # distinct keys first (map-side): the anti join's right side cannot be
     # split by AQE, so a key repeated across many result rows must collapse
-    missing = ref.join(results.select(*key).distinct(), key, "left_anti")
+    missing = ref.join((results if found is None else found).select(*key).distinct(), key, "left_anti")
     cols = []
     for c, t in results.dtypes:
         if c in fill:
@@ -218,19 +221,21 @@ def drop_identity_pairs(df: DataFrame, *, slow: str = "src_code", ref: str = "tg
 
 def evaluate(gens: DataFrame, inputs: DataFrame | None = None, *, key: str = "src_id",
              group: str = "problem_id", threshold: float = 1.0,
-             thresholds: Sequence[float] = SPEEDUP_THRESHOLDS, n_rows: int | None = None) -> dict[str, DataFrame]:
+             thresholds: Sequence[float] = SPEEDUP_THRESHOLDS, n_rows: int | None = None,
+             found: DataFrame | None = None, block_size: int | None = 1 << 14) -> dict[str, DataFrame]:
     """Composed EVAL job: J1 -> W1 -> A5/A6 -> J3 -> A7.
 
     With ``inputs`` the answers are spread by ``n_rows`` (about their number; counted
-    by default), so no task's sorts grow with the table.  Returns lazily-built frames: per-(input, k) table, per-k summary, per-input
+    by default), so no task's sorts grow with the table; ``found`` has the keys of the answers
+    (default: taken from ``gens``) and ``block_size`` is that of ``best_at_k``.  Returns lazily-built frames: per-(input, k) table, per-k summary, per-input
     group best, the one-row group summary and the reference speedup summary.
     """
     if inputs is not None:
         n_rows = gens.count() if n_rows is None else n_rows
         gens = complete_with_missing(
-            spread(gens, n_rows, key, "gen_idx"), inputs, key=[key], identity=[key, "gen_idx"],
+            spread(gens, n_rows, key, "gen_idx"), inputs, key=[key], identity=[key, "gen_idx"], found=found,
             fill={"gen_idx": 0, "accuracy": 0.0, "agg_runtime": float("inf"), "code": None})
-    best = best_at_k(gens, key=key, threshold=threshold, n_rows=n_rows or 0)
+    best = best_at_k(gens, key=key, threshold=threshold, block_size=block_size, n_rows=n_rows or 0)
     grouped = group_best(input_best(gens, key=key, threshold=threshold, keep=[group]), group=group)
     base = input_runtimes(gens, key=key)
     return {

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,29 +35,54 @@ def looks_like_list(c: Column) -> Column:
     return (F.length(c) > 1) & c.startswith("[") & c.endswith("]")
 
 
+_LISTS = T.ArrayType(T.StringType())
+
+
+def _list_literals(texts: pd.Series) -> pd.Series:
+    """Lists of the texts that are Python literals, other texts NULL; equal texts of a batch are parsed once."""
+    done: dict[str, list[str | None] | None] = {}
+    for x in texts.dropna().unique():
+        try:
+            done[x] = _literal_list(x)
+        except Exception:
+            done[x] = None
+    return pd.Series([done.get(x) for x in texts], dtype=object)
+
+
+def _with_json(df: DataFrame, c: str) -> DataFrame:
+    """``_json``: the lists of the texts that are JSON; ``_literal``: list-looking texts that are not."""
+    text, listed = F.col(c), looks_like_list(F.col(c))
+    d = df.withColumn("_json", F.when(listed, F.from_json(text, _LISTS, {"allowSingleQuotes": "true"})))
+    return d.withColumn("_literal", F.when(listed & F.col("_json").isNull(), text))
+
+
+def _parsed(c: str, literal: Column) -> Column:
+    return (F.when(F.col(c).isNull(), F.lit(None)).when(~looks_like_list(F.col(c)), F.array(F.col(c)))
+            .otherwise(F.coalesce(F.col("_json"), literal)))
+
+
 def parse_list_literal(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """List-looking strings -> array<string>; any other text is one answer.
 
     JSON (single quotes allowed) is parsed JVM-side; the texts it cannot parse
-    (Python literal forms such as ``None``) go through ``ast.literal_eval`` as a text
-    job, each distinct text once.  A list-looking text that neither can parse
-    becomes NULL.
+    (Python literal forms such as ``None``) go through ``ast.literal_eval`` in Arrow
+    batches where they are, so no row is shuffled or written.  A list-looking text that
+    neither can parse becomes NULL.
     """
-    return parse_list_job(df, cols)[0]
+    order, parse = df.columns, F.pandas_udf(_list_literals, _LISTS)
+    for c in cols:
+        df = _with_json(df, c).withColumn(c, _parsed(c, parse(F.col("_literal")))).select(*order)
+    return df
 
 
 def parse_list_job(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """``parse_list_literal`` and, per column, the report of the texts that were no JSON."""
+    """What ``parse_list_literal`` gives, and, per column, the report of the texts that were no
+    JSON; for that they are a text job, each distinct text once."""
     order, reports = df.columns, {}
-    lists = T.ArrayType(T.StringType())
     for c in cols:
-        text, listed = F.col(c), looks_like_list(F.col(c))
-        d = df.withColumn("_json", F.when(listed, F.from_json(text, lists, {"allowSingleQuotes": "true"})))
-        d = d.withColumn("_literal", F.when(listed & F.col("_json").isNull(), text))
-        job = transform_texts(d, "_literal", per_text(_literal_list), out="_parsed", to=lists)
+        job = transform_texts(_with_json(df, c), "_literal", per_text(_literal_list), out="_list", to=_LISTS)
         reports[c] = job.report()
-        listed = looks_like_list(F.col(c))
-        df = job.rows.withColumn(c, F.when(F.col(c).isNull(), F.lit(None)).when(~listed, F.array(F.col(c))).otherwise(F.coalesce("_json", "_parsed"))).select(*order)
+        df = job.rows.withColumn(c, _parsed(c, F.col("_list"))).select(*order)
     return df, reports
 
 

@@ -4,6 +4,7 @@
   blocks so a key holding a third of all rows is spread over many tasks.
 * ``keep_first``  - first row per key under an explicit order, pruned map-side.
 * ``spread``      - partitions by number of rows, so a task's memory does not grow.
+* ``attach``      - a left join that leaves tables where a part of its columns put them.
 * ``small``       - a table to be sent to every task, if it has few rows.
 * ``dense_index`` - 0..n-1 numbering in a global order without a window over
   all rows (range partitions written once, their counts and offsets).
@@ -12,6 +13,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,9 +57,26 @@ def small(df: DataFrame, name: str = "small") -> DataFrame:
     return F.broadcast(d) if d.count() <= SMALL_ROWS else d
 
 
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``left`` with the columns of ``right``: a left join on ``keys``.
+
+    A join deals both tables out by all of its columns, even where they lie by some
+    of them.  Here the rows are united, and a window gives each row of ``left`` the rows
+    of ``right`` with its keys: tables that lie by a part of ``keys`` are not shuffled,
+    others once.
+    """
+    values = [c for c in right.columns if c not in keys]
+    found = right.select(*keys, F.struct(*values).alias("_right"), F.lit(False).alias("_left"))
+    both = left.withColumn("_left", F.lit(True)).unionByName(found, allowMissingColumns=True)
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])  # NULL matches nothing
+    rows = F.when(known, F.collect_list("_right").over(Window.partitionBy(*keys)))
+    out = both.withColumn("_rows", rows).filter("_left").select(*left.columns, F.explode_outer("_rows").alias("_right"))
+    return out.select(*left.columns, *[F.col("_right")[v].alias(v) for v in values])
+
+
 def prefix_agg(df: DataFrame, key: Sequence[str], order: str,
                specs: Sequence[tuple[str, str, Column | str, bool]],
-               block_size: int = 1 << 14, last_flag: str | None = None, next_order: str | None = None,
+               block_size: int | None = 1 << 14, last_flag: str | None = None, next_order: str | None = None,
                n_rows: int = 0) -> DataFrame:
     """Add running aggregates over rows of ``key`` ordered by ``order``.
 
@@ -70,8 +90,13 @@ def prefix_agg(df: DataFrame, key: Sequence[str], order: str,
     each (key, block) and the exclusive prefix over earlier blocks comes from
     a block-level table that is ``block_size`` times smaller.  With ``n_rows`` (about
     the rows of ``df``) the blocks are spread by it.
+
+    ``block_size=None`` is for rows that lie by ``key`` already: a window per key, over
+    which rows are neither shuffled nor computed twice.
     """
     key = list(key)
+    if block_size is None:
+        return _prefix_agg_whole(df, key, order, specs, last_flag, next_order)
     vals = [(expr if isinstance(expr, Column) else F.col(expr)).alias(f"_v{i}")
             for i, (_, _, expr, _) in enumerate(specs)]
     d = spread(df.select("*", F.floor(F.col(order) / F.lit(block_size)).alias("_blk"), *vals), n_rows, *key, "_blk")
@@ -101,6 +126,19 @@ def prefix_agg(df: DataFrame, key: Sequence[str], order: str,
     return out.select(*keep, *extra, *combined)
 
 
+def _prefix_agg_whole(df: DataFrame, key: list[str], order: str, specs: Sequence[tuple[str, str, Column | str, bool]],
+                      last_flag: str | None, next_order: str | None) -> DataFrame:
+    w = Window.partitionBy(*key).orderBy(order)
+    known = reduce(and_, [F.col(k).isNotNull() for k in key])
+    last = F.max(order).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # as with blocks, rows without a key have no last one
+    extra = [F.when(known, F.col(order) == last).alias(last_flag)] if last_flag else []
+    extra += [F.lead(order).over(w).alias(next_order)] if next_order else []
+    running = [_AGG[fn](expr).over(w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)).alias(name)
+               for name, fn, expr, inclusive in specs]
+    return df.select("*", *extra, *running)
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per ``keys``: the first under ``order`` (ascending, NULLs last).
 

@@ -11,11 +11,12 @@ from pairlab.operators import augment as au
 from pairlab.operators import evaluate as ev
 from pairlab.operators import prepare as pp
 from pairlab.operators import reshape as rs
+from pairlab.operators import scan
 from pairlab.operators.evaluate import evaluate
 from pairlab.operators.prepare import build_training_set
 from pairlab.operators.retrieve import retrieve_prompts
 from pairlab.operators.runs import compare_versions, summarise_runs
-from pairlab.operators.scan import spread
+from pairlab.operators.scan import attach, spread
 from pairlab.operators.texts import pages_to_text
 from pairlab.sources import io
 
@@ -89,28 +90,31 @@ def evaluate_answers(pairs: DataFrame, measured: DataFrame, *, answers: str = "g
     ``{code_type}_{value}`` for the programs and the first ``max_answers`` answers
     (a bounded sink; all answers are in ``long``).
     """
+    # about as many answers as were measured; a task's share of either side is bounded (ordinary partitions do, unless too few)
+    n = measured.count()
+    n = n if n > scan.SPREAD_ROWS * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
     if dict(pairs.dtypes)[answers] == "string":
         pairs = rs.parse_list_literal(pairs, [answers])
     pairs = ev.drop_identity_pairs(pairs, slow=src, ref=tgt)
     pairs = rs.rename_runtime_columns(pairs, mapping={"src_agg_runtime": "src_code_agg_runtime", "tgt_agg_runtime": "tgt_code_agg_runtime"})
-    ids = [key, group, "src_code_agg_runtime", "tgt_code_agg_runtime"]
-    rows = rs.explode_generations(pairs, answers, keys=ids).withColumn("code_type", F.concat(F.lit("answer_"), F.col("gen_idx").cast("string")))
-    known = rs.unpivot_code(pairs.select(*ids, F.col(src).alias("src_code"), F.col(tgt).alias("tgt_code")), ids, ["src_code", "tgt_code"])
-    every = rs.clean_code_rows(rs.union_by_name(known, rows))
-    cached, todo = rs.split_cached_rows(every, types=["src_code", "tgt_code"])
-    # about as many answers as were measured; a task's share of either side is bounded
-    n = measured.count()
-    todo = spread(todo, n, key, "gen_idx").join(spread(measured.select(key, "gen_idx", *values), n, key, "gen_idx"), [key, "gen_idx"], "left")
+    ids, types = [key, group, "src_code_agg_runtime", "tgt_code_agg_runtime"], ["src_code", "tgt_code"]
+    # an input's answers are one cell of its row, so all that follows can lie by the input: dealt out for it once, after parsing
+    dealt = spread(pairs, n, key) if n else pairs.repartition(key)
+    rows = rs.explode_generations(dealt.select(*ids, answers), answers, keys=ids).withColumn("code_type", F.concat(F.lit("answer_"), F.col("gen_idx").cast("string")))
+    known = rs.unpivot_code(pairs.select(*ids, F.col(src).alias("src_code"), F.col(tgt).alias("tgt_code")), ids, types)
+    # all known programs are cached and no answer is: their other parts are empty, and would be computed to find that out
+    (cached, _), (_, todo) = (rs.split_cached_rows(rs.clean_code_rows(d), types=types) for d in (known, rows))
+    found = rs.clean_code_rows(rs.explode_generations(pairs, answers, keys=[key]))
+    todo = attach(todo, spread(measured.select(key, "gen_idx", *values), n, key), [key, "gen_idx"])
     runtime = F.when(F.col("code_type") == "src_code", F.col("src_code_agg_runtime")).otherwise(F.col("tgt_code_agg_runtime"))
     cached = cached.withColumn("agg_runtime", runtime)
     gens = todo.select(key, group, F.col("src_code_agg_runtime").alias("src_runtime"), F.col("tgt_code_agg_runtime").alias("tgt_runtime"),
                        F.col("gen_idx").cast("int").alias("gen_idx"), "code", "accuracy", "agg_runtime")
     inputs = pairs.select(key, group, F.col("src_code_agg_runtime").alias("src_runtime"), F.col("tgt_code_agg_runtime").alias("tgt_runtime"))
-    out = evaluate(gens, inputs, key=key, group=group, threshold=threshold, n_rows=n)
+    out = evaluate(gens, inputs, key=key, group=group, threshold=threshold, n_rows=0, found=found, block_size=None)
     out["long"] = rs.union_by_name(todo, cached).select(key, group, "code_type", "gen_idx", "code", *values)
     if max_answers:
-        types = [f"answer_{i}" for i in range(max_answers)]
-        out["wide"] = rs.pivot_results(out["long"], key=key, types=["src_code", "tgt_code", *types], values=list(values))
+        out["wide"] = rs.pivot_results(out["long"], key=key, types=[*types, *(f"answer_{i}" for i in range(max_answers))], values=list(values))
     return out
 
 
