@@ -589,7 +589,8 @@ def s5_read_testcases(spark, sf):
     place = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"))
     name = lambda kind: F.concat(place, F.lit(f"{kind}."), F.col("turn").cast("string"), F.lit(".txt"))
     odd = conv.filter("turn = 0").select(F.concat(place, F.lit("input.big.txt")).alias("name"), F.col("text"))
-    io.write_named_texts(conv.select(name("input").alias("name"), "text").unionByName(conv.select(name("output").alias("name"), F.col("role").alias("text"))).unionByName(odd), root)
+    files = conv.select(name("input").alias("name"), "text").unionByName(conv.select(name("output").alias("name"), F.col("role").alias("text"))).unionByName(odd)
+    io.write_named_texts(files, root, n_rows=2 * conv.count())
     allow = conv.filter("turn <> 1").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("problem_id"), F.col("turn").cast("string").alias("tc_no"))
     d = io.read_testcases(spark, root, allow)
     return d.select("problem_id", "tc_no", F.sha2("input", 256).alias("input_hash"), F.sha2("expected", 256).alias("expected_hash"))

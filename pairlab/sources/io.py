@@ -7,12 +7,17 @@ import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab.functions.numeric import finite_or_null, py_strip
 from pairlab.operators.scan import prefix_agg
+from pairlab.session import materialize
+
+#: files a task writes or reads, and folders it lists; rows of a batch of names, and bytes of a batch of texts
+FILES_PER_TASK, FOLDERS_PER_TASK, LISTED_ROWS, BATCH_BYTES = 1 << 13, 1 << 11, 1 << 13, 1 << 23
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType,
@@ -100,21 +105,131 @@ def read_keyed_documents(spark: SparkSession, pattern: str, *, key_regex: str =
                     py_strip(F.col("value")).alias("text"))
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark gives it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def _store(uri: str):
+    """Arrow's file system of a folder, and the folder's path in it."""
+    from pyarrow import fs
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[len("file:"):].strip("/")
+    store, base = fs.FileSystem.from_uri(uri)
+    return store, base.rstrip("/")
+
+
+def _arrow_reads(uri: str) -> bool:
+    """Whether Arrow has a file system for ``uri`` (and it is no pattern)."""
+    if set("*?[{") & set(uri):
+        return False
+    try:
+        _store(uri)
+    except Exception:
+        return False
+    return True
+
+
+def _in_uri(name: str) -> str:
+    """A name as it stands in a file's URI (``_metadata.file_path``)."""
+    legal = lambda c: c.isalnum() or c in "_-!.~'()*,;:$&+=@" if c < "\x80" else c.isprintable()
+    return "".join(c if legal(c) else "".join(f"%{x:02X}" for x in c.encode()) for c in name)
+
+
+def _list_testcases(spark: SparkSession, root: str) -> DataFrame:
+    """(problem_id, folder, name, size) of the files ``input.*.txt`` and ``output.*.txt`` of every folder of ``root``, written once.
+
+    A task lists the root, many list its folders: no listing of files passes the driver.
+    """
+    def folders(batches):
+        from pyarrow import fs
+        for _ in batches:
+            store, base = _store(root)
+            names = [i.base_name for i in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.type == fs.FileType.Directory]
+            for lo in range(0, len(names), LISTED_ROWS):
+                part = names[lo:lo + LISTED_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([_in_uri(x) for x in part], pa.string()), pa.array(part, pa.string())], names=["problem_id", "folder"])
+
+    def files(batches):
+        from pyarrow import fs
+        store, base = _store(root)
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=names)
+        for b in batches:
+            rows = []
+            for problem, folder in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = ((i.base_name, i.size) for i in store.get_file_info(fs.FileSelector(f"{base}/{folder}")) if i.type == fs.FileType.File)
+                rows += [(problem, folder, x, n) for x, n in found if x.endswith(".txt") and x.startswith(("input.", "output.")) and x.count(".") > 1]
+                if len(rows) >= LISTED_ROWS:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
+
+    names, kinds = ["problem_id", "folder", "name", "size"], [pa.string(), pa.string(), pa.string(), pa.int64()]
+    found = materialize(spark.range(0, 1, 1, 1).mapInArrow(folders, "problem_id string, folder string"), "folders")
+    found = found.repartition(-(-found.count() // FOLDERS_PER_TASK) or 1, "folder")
+    return materialize(found.mapInArrow(files, "problem_id string, folder string, name string, size long"), "files")
+
+
+def _read_tests(tests: DataFrame, root: str) -> DataFrame:
+    """(problem_id, tc_no, folder, input, expected) with two files' names -> with their texts."""
+    names = ["problem_id", "tc_no", "input", "expected"]
+
+    def read(batches):
+        store, base = _store(root)
+
+        def text(folder, name):
+            if name is None:
+                return None
+            with store.open_input_file(f"{base}/{folder}/{name}") as f:
+                return f.read()
+
+        for b in batches:
+            lo, texts, size = 0, ([], []), 0
+            for i, (folder, *pair) in enumerate(zip(*[b.column(c).to_pylist() for c in (2, 3, 4)], strict=True)):
+                for out, name in zip(texts, pair, strict=True):
+                    out.append(text(folder, name))
+                    size += len(out[-1] or b"")
+                if size >= BATCH_BYTES or i + 1 == b.num_rows:
+                    part = b.slice(lo, i + 1 - lo)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.binary()) for x in texts)], names=names)
+                    lo, texts, size = i + 1, ([], []), 0
+
+    d = tests.select("problem_id", "tc_no", "folder", "input", "expected").mapInArrow(read, "problem_id string, tc_no int, input binary, expected binary")
+    return d.select("problem_id", "tc_no", *[F.col(c).cast("string").alias(c) for c in ("input", "expected")])
+
+
 def read_testcases(spark: SparkSession, root: str, allow: DataFrame | None = None) -> DataFrame:
     """``root/<problem>/input.N.txt`` and ``output.N.txt`` paired by
     (problem_id, tc_no); ``allow`` (problem_id, tc_no) keeps listed tests only
-    (ids given as int or text both match); a name without a number is no test."""
+    (ids given as int or text both match); a name without a number is no test.
+
+    Folders are listed and files read by tasks, through Arrow's file systems; names are
+    paired before texts are read.  A store that Arrow does not know, or a pattern as
+    ``root``, is listed by Spark's driver and read by its own reader.
+    """
+    uri = _qualified(spark, root)
+    by_tasks = _arrow_reads(uri)
+    files = _list_testcases(spark, uri) if by_tasks else None
+
     def scan(kind):
+        number = lambda c: F.regexp_extract(c, kind + r"\.(\d+)\.txt$", 1).try_cast("int").alias("tc_no")
+        if by_tasks and not (d := files.filter(F.col("name").startswith(f"{kind}."))).isEmpty():
+            # Spark's readers give no row for an empty file
+            return d.filter("size > 0").select("problem_id", number(F.col("name")), "folder", F.col("name").alias(kind)).filter("tc_no IS NOT NULL")
+        # (raises if there is no such file)
         d = spark.read.text(os.path.join(root, "*", f"{kind}.*.txt"), wholetext=True)
         p = F.col("_metadata.file_path")
-        return d.select(F.regexp_extract(p, r"([^/]+)/[^/]+$", 1).alias("problem_id"),
-                        F.regexp_extract(p, kind + r"\.(\d+)\.txt$", 1).try_cast("int").alias("tc_no"),
+        return d.select(F.regexp_extract(p, r"([^/]+)/[^/]+$", 1).alias("problem_id"), number(p),
                         F.col("value").alias(kind)).filter("tc_no IS NOT NULL")
-    out = scan("input").join(scan("output").withColumnRenamed("output", "expected"),
+    out = scan("input").join(scan("output").drop("folder").withColumnRenamed("output", "expected"),
                              ["problem_id", "tc_no"], "left")
     if allow is not None:
         out = out.join(allow.select("problem_id", F.col("tc_no").cast("int").alias("tc_no")),
                        ["problem_id", "tc_no"], "left_semi")
+    if by_tasks:
+        out = _read_tests(out.repartition(-(-files.count() // FILES_PER_TASK) or 1, "problem_id", "tc_no"), uri)
     return out
 
 
@@ -153,23 +268,34 @@ def write_records(df: DataFrame, path: str, *, inf_as_null: bool = False, mode:
     df.write.mode(mode).json(path)
 
 
-def write_named_texts(df: DataFrame, root: str) -> int:
+def write_named_texts(df: DataFrame, root: str, *, n_rows: int = 0) -> int:
     """One file for every row of ``df`` (name, text) below ``root``; returns how many.
 
     Tasks write through Arrow's file systems (``file:``, ``hdfs:``, ``s3:``, ``gs:``);
-    a name is written whole, so a task that runs again writes the same files.
+    a name is written whole, so a task that runs again writes the same files.  With
+    ``n_rows`` (about the rows of ``df``) they are dealt out by name: however few
+    splits ``df`` has, a task writes about ``FILES_PER_TASK``, those of a folder together.
     """
     def write(batches):
         from pyarrow import fs
         uri = root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root
         store, base = fs.FileSystem.from_uri(uri)
+        made: set[str] = set()
         for pdf in batches:
             for name, text in zip(pdf["name"], pdf["text"], strict=True):
-                store.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+                folder = f"{base}/{name}".rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    if len(made) >= FILES_PER_TASK:
+                        made.clear()
+                    made.add(folder)
                 with store.open_output_stream(f"{base}/{name}", compression=None) as f:
                     f.write((text or "").encode())
             yield pd.DataFrame({"n": [len(pdf)]})
-    return df.select("name", "text").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    d = df.select("name", "text")
+    if n_rows > FILES_PER_TASK:
+        d = d.repartitionByRange(-(-n_rows // FILES_PER_TASK), "name")
+    return d.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_summary(df: DataFrame, path: str, *, experiment: str | None = None) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairlab.operators import reshape as rs
 from pairlab.operators import scan
 from pairlab.plans import jobs
+from pairlab.sources import io
 
 PAIRS = ("src_id long, problem_id long, src_code string, tgt_code string, src_agg_runtime double, tgt_agg_runtime double, "
          "generated_answers string")
@@ -81,3 +82,50 @@ def test_lists_are_parsed_where_they_are(spark):
     want = {r["id"]: r["a"] for r in rs.parse_list_job(d, ["a"])[0].collect()}
     assert {r["id"]: r["a"] for r in got.collect()} == want
     assert want[1] == ["a", None] and want[2] == [None, "x", "3"] and want[8] is None and want[4] == ["plain"] and want[6] is None
+
+
+def _write(root, files):
+    for name, text in files.items():
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(text)
+
+
+def test_testcases_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """No file is listed by the driver, which Spark's readers do; folders and files are dealt out by their number."""
+    _write(tmp_path, {f"p{i}/{kind}.{t}.txt": f"{kind} {i} {t}".encode() for i in range(30) for t in range(4) for kind in ("input", "output")})
+    _write(tmp_path, {"p3/input.big.txt": b"x", "p4/input.7.txt": b"alone"})
+    monkeypatch.setattr(io, "FOLDERS_PER_TASK", 4)
+    monkeypatch.setattr(io, "FILES_PER_TASK", 16)
+    monkeypatch.setattr(type(spark.read), "text", lambda *a, **k: pytest.fail("listed by the driver"))
+    allow = spark.createDataFrame([(f"p{i}", str(t)) for i in range(30) for t in (0, 2, 7)], "problem_id string, tc_no string")
+    d = io.read_testcases(spark, str(tmp_path), allow)
+    assert "16), REPARTITION_BY_NUM" in _plan(d)
+    want = {(f"p{i}", t, f"input {i} {t}", f"output {i} {t}") for i in range(30) for t in (0, 2)} | {("p4", 7, "alone", None)}
+    assert {tuple(r) for r in d.select("problem_id", "tc_no", "input", "expected").collect()} == want
+    assert io.read_testcases(spark, str(tmp_path)).count() == 121
+
+
+def test_testcases_of_odd_names(spark, tmp_path):
+    """What Spark's readers give: names as in URIs, raw bytes, hidden folders, no empty files, tests that two files name."""
+    _write(tmp_path, {"a b%/input.1.txt": b"x\xffy", "a b%/output.1.txt": b"", ".h/input.2.txt": b"\xef\xbb\xbfh\r\n", "q/input.3.txt": b"3", "q/input.03.txt": b"03",
+                      "q/output.3.txt": b"o", "q/input.4.txt": b"", "q/deep/input.5.txt": b"d", "q/input.99999999999.txt": b"n", "\xe9#/input.6.txt": b"6"})
+    rows = io.read_testcases(spark, str(tmp_path)).select("problem_id", "tc_no", F.hex(F.col("input").cast("binary")), "expected").collect()
+    assert {tuple(r) for r in rows} == {("a%20b%25", 1, "78FF79", None), (".h", 2, "EFBBBF680D0A", None), ("q", 3, "33", "o"), ("q", 3, "3033", "o"), ("\xe9%23", 6, "36", None)}
+    assert len(rows) == 5
+    by_spark = io.read_testcases(spark, str(tmp_path)[:-1] + "*").select("problem_id", "tc_no", F.hex(F.col("input").cast("binary")), "expected").collect()
+    assert {tuple(r) for r in rows} <= {tuple(r) for r in by_spark}
+    for none in ("none", "q"):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            io.read_testcases(spark, str(tmp_path / none))
+
+
+def test_named_texts_of_one_split_are_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io, "FILES_PER_TASK", 10)
+    d = spark.range(0, 95, 1, 1).select(F.format_string("f%02d/n%d.txt", F.floor(F.col("id") / 10), "id").alias("name"), F.when(F.col("id") != 5, F.col("id").cast("string")).alias("text"))
+    made = []
+    monkeypatch.setattr(type(d), "repartitionByRange", lambda self, n, *by, f=type(d).repartitionByRange: made.append((n, *by)) or f(self, n, *by))
+    assert io.write_named_texts(d, str(tmp_path / "a"), n_rows=95) == 95
+    assert io.write_named_texts(d, str(tmp_path / "b")) == 95 and made == [(10, "name")]
+    for root in ("a", "b"):
+        assert {p.relative_to(tmp_path / root).as_posix(): p.read_text() for p in (tmp_path / root).glob("*/*")} == {f"f{i // 10:02d}/n{i}.txt": "" if i == 5 else str(i) for i in range(95)}
